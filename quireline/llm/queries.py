@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireline.llm import language, scan_repair, sentences, spam, split, unify
+from quireline.llm import language, mix, pack, scan_repair, sentences, spam, split, tokens, unify
 from quireline.llm.common import read, spread
 
 
@@ -66,6 +66,27 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return wrong.unionByName(foreign)
 
 
+def page_tokens(spark: SparkSession, root: str) -> DataFrame:
+    """Pages with their size in tokens."""
+    rows = read(spark, root, "documents").where("text IS NOT NULL").select("doc_id", "source", "text")
+    return spread(rows).select("doc_id", "source", tokens.token_count(F.col("text")).alias("tokens"))
+
+
+def p6_containers(spark: SparkSession, root: str) -> DataFrame:
+    """Every page in containers of 2,048 tokens."""
+    return pack.pack(page_tokens(spark, root).select("doc_id", "tokens"))
+
+
+def p7_mix(spark: SparkSession, root: str) -> DataFrame:
+    """Pages of the mix with their copies."""
+    return mix.mix(page_tokens(spark, root), read(spark, root, "mix_weights"))[0]
+
+
+def p7_shares(spark: SparkSession, root: str) -> DataFrame:
+    """Share that each source reaches in the mix."""
+    return mix.mix(page_tokens(spark, root), read(spark, root, "mix_weights"))[1]
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     """Pages of repeated keywords, links or product tags."""
     return spam.spam_pages(read(spark, root, "documents")).select("doc_id")
@@ -73,7 +94,7 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage by name."""
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_pieces, p4_found, p5_found, p8_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_pieces, p4_found, p5_found, p6_containers, p7_mix, p7_shares, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
