@@ -183,13 +183,13 @@ def r_scores(spark, root):
 # --- text functions -----------------------------------------------------------
 
 
-@query(rf"""SELECT para_id, md5({SQUEEZE("replace(translate(lower(nfc_normalize(text)), '“”‘’–' || chr(160), '""' || chr(39) || chr(39) || '- '), '—', '--')")}) AS digest FROM {P('sgml')}""")
+@query(rf"""SELECT para_id, md5({SQUEEZE("replace(translate(lower(nfc_normalize(text)), '“”‘’–' || chr(160), chr(34) || chr(34) || chr(39) || chr(39) || '- '), '—', '--')")}) AS digest FROM {P('sgml')}""")
 def f04_loose_norm(spark, root):
     """Digest of each paragraph's loose form."""
     return paras(spark, root, "sgml").select("para_id", F.md5(T.loose_norm(F.col("text"), nfc)).alias("digest"))
 
 
-@query(rf"""SELECT para_id, md5(regexp_replace(regexp_replace({SQUEEZE("lower(translate(nfc_normalize(text), '“”‘’—–' || chr(160) || chr(8209) || chr(8722), '""' || chr(39) || chr(39) || '-- --'))")}, '([\p{{L}}\p{{N}}_]-) ([\p{{L}}\p{{N}}_])', '\1\2', 'g'), '([\p{{L}}\p{{N}}_]) ([;:,.])', '\1\2', 'g')) AS digest FROM {P('sgml')}""")
+@query(rf"""SELECT para_id, md5(regexp_replace(regexp_replace({SQUEEZE("lower(translate(nfc_normalize(text), '“”‘’—–' || chr(160) || chr(8209) || chr(8722), chr(34) || chr(34) || chr(39) || chr(39) || '-- --'))")}, '([\p{{L}}\p{{N}}_]-) ([\p{{L}}\p{{N}}_])', '\1\2', 'g'), '([\p{{L}}\p{{N}}_]) ([;:,.])', '\1\2', 'g')) AS digest FROM {P('sgml')}""")
 def f06_strict_norm(spark, root):
     """Digest of each paragraph's strict form."""
     return paras(spark, root, "sgml").select("para_id", F.md5(T.strict_norm(F.col("text"), nfc)).alias("digest"))
@@ -427,7 +427,7 @@ def j12_absent_headings(spark, root):
     return J.not_contained(heads(spark, root, "sgml"), heads(spark, root, "pdf_l4")).select("heading_id", "doc_id")
 
 
-YEAR = r"\b((?:19|20)[0-9]{2})\b"
+YEAR = r"(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)"
 DELTA = f"""s AS (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{YEAR}', 1)) AS token FROM {P('pdf_l4')}) GROUP BY ALL), t AS (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{YEAR}', 1)) AS token FROM {P('sgml')}) GROUP BY ALL),
   d AS (SELECT doc_id, token, CAST(coalesce(s.n, 0) AS BIGINT) AS n_source, CAST(coalesce(t.n, 0) AS BIGINT) AS n_target FROM s FULL JOIN t USING (doc_id, token) WHERE coalesce(s.n, 0) <> coalesce(t.n, 0))"""
 
@@ -469,10 +469,11 @@ def j25_unknown_numbers(spark, root):
     return s.join(table(spark, root, "instruments").select("doc_number"), "doc_number", "left_anti").select("doc_id", "doc_number")
 
 
-@query(f"""SELECT h.doc_id, heading_id, min(p.idx) AS line FROM {H('sgml')} h JOIN {P('pdf_l1')} p USING (doc_id) WHERE len(string_split({SQUEEZE('h.text')}, ' ')) >= 2 AND contains({SQUEEZE('lower(p.text)')}, {SQUEEZE('lower(h.text)')}) GROUP BY ALL""")
+@query(f"""SELECT h.doc_id, min(p.idx) AS line FROM (SELECT DISTINCT doc_id, doc_title AS text FROM sgml_content) h JOIN {P('pdf_l1')} p USING (doc_id) WHERE len(string_split({SQUEEZE('h.text')}, ' ')) >= 2 AND contains({SQUEEZE('lower(p.text)')}, {SQUEEZE('lower(h.text)')}) GROUP BY ALL""")
 def j27_locate(spark, root):
-    """First printed line that holds a heading."""
-    return J.locate(heads(spark, root, "sgml"), paras(spark, root, "pdf_l1"))
+    """First printed line that holds the filing's title."""
+    t = table(spark, root, "sgml_content").select("doc_id", F.col("doc_title").alias("text")).distinct().withColumn("k", F.col("doc_id"))
+    return J.locate(t, paras(spark, root, "pdf_l1"), key="k").select("doc_id", "line")
 
 
 @query()
