@@ -48,15 +48,20 @@ def char_class(chars: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's shared checkpoint folder and read again.
+    """``df`` written as a table into the cluster's shared folder and read again, so
+    that what follows starts from there and reads only the columns it needs.
 
     The folder is that of ``spark.checkpoint.dir``; only where it is unset, as in
-    tests, a temporary one is set.
+    tests, a temporary one is used.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
+    import tempfile
+    import uuid
 
-        where = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="quireline-"))
-    return df.checkpoint()
+    session = df.sparkSession
+    where = session.sparkContext.getConf().get("spark.checkpoint.dir") or session.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        where = tempfile.mkdtemp(prefix="quireline-")
+        session.conf.set("spark.checkpoint.dir", where)
+    path = f"{where.rstrip('/')}/quireline-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return session.read.schema(df.schema).parquet(path)
