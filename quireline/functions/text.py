@@ -224,3 +224,11 @@ def wrap_in_tag(line: Column, part: Column, tag: str) -> Column:
     size = F.length(part)
     wrapped = F.concat(F.substring(line, F.lit(1), at - 1), F.lit(f"<{tag}>"), F.substring(line, at, size), F.lit(f"</{tag}>"), F.substring(line, at + size, F.length(line)))
     return F.when(at > 0, wrapped).otherwise(line)
+
+
+def tier(value: Column, steps: list[tuple[float, float]], below: float = 0.0) -> Column:
+    """Points of the first step ``(least value, points)`` that a value reaches."""
+    out = F.lit(float(below))
+    for least, points in sorted(steps):
+        out = F.when(value >= least, float(points)).otherwise(out)
+    return out

@@ -285,3 +285,65 @@ def locate(items: DataFrame, lines: DataFrame, least_words: int = 2, doc: str =
     i = items.where(T.word_count(F.col("text")) >= least_words).select(doc, key, T.squeeze(F.lower("text")).alias("x"))
     t = lines.select(doc, F.col(order).alias("line"), T.squeeze(F.lower("text")).alias("y"))
     return i.join(t, doc).where(F.contains("y", "x")).groupBy(doc, key).agg(F.min("line").alias("line"))
+
+
+def islands(lines: DataFrame, starts: Column, doc: str = "doc_id", order: str = "idx", block: int = 5000) -> DataFrame:
+    """``(doc, section, heading, content)``: runs of lines, a new one at every line
+    that ``starts`` marks; lines before the first are section 0 without heading.
+
+    Sections are numbered in two steps, within blocks of lines and over the blocks,
+    so a long document doesn't pass through one task.
+    """
+    rows = lines.withColumns({"__s": starts.cast("int"), "__b": F.expr(f"{order} div {block}")})
+    base = rows.groupBy(doc, "__b").agg(F.sum("__s").alias("__n"))
+    before = Window.partitionBy(doc).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    base = base.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).select(doc, "__b", "__before")
+    inner = Window.partitionBy(doc, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = rows.join(base, [doc, "__b"]).withColumn("section", (F.col("__before") + F.sum("__s").over(inner)).cast("int"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("__s") == 0, F.struct(order, "text")))), lambda x: x["text"]), " ")
+    return numbered.groupBy(doc, "section").agg(F.max(F.when(F.col("__s") == 1, F.col("text"))).alias("heading"), body.alias("content"))
+
+
+def staged_coverage(source: DataFrame, target: DataFrame, words: Column, doc: str = "doc_id", key: str = "para_id", grams: float = 0.55, single: float = 0.9, runs: float = 0.55) -> DataFrame:
+    """``(doc, key, method, confidence)``: how each source text is covered: by its
+    5-grams, else by its words, else by its windows; null if by none."""
+    g = gram_coverage(source, target, words, 5, doc, key).select(doc, key, F.col("coverage").alias("g"))
+    w = word_containment(source, target, words, doc, key).select(doc, key, (F.col("hits") / F.col("words")).alias("w"))
+    r = window_coverage(source, target, words, doc=doc, key=key).select(doc, key, (F.col("covered") / F.col("windows")).alias("r"))
+    all_ = source.select(doc, key).join(g, [doc, key], "left").join(w, [doc, key], "left").join(r, [doc, key], "left")
+    method = F.when(F.col("g") >= grams, "grams").when(F.col("w") >= single, "words").when(F.col("r") >= runs, "windows")
+    value = F.when(method == "grams", F.col("g")).when(method == "words", F.col("w")).when(method == "windows", F.col("r"))
+    return all_.select(doc, key, method.alias("method"), value.alias("confidence"))
+
+
+def absent_items(source: DataFrame, target: DataFrame, words, least_items: int = 2, first: int = 12, doc: str = "doc_id", key: str = "para_id") -> DataFrame:
+    """``(doc, key, no, item)``: items of enumerations whose first words stand
+    together nowhere in the target; ``words`` makes the words of a text."""
+    items = source.where(F.size(T.bullets(F.col("text"))) >= least_items).select(doc, key, F.posexplode(T.bullets(F.col("text"))).alias("no", "item"))
+    head = lambda c: F.slice(words(c), 1, first)
+    items = items.withColumn("n", F.size(head(F.col("item")))).where("n > 0").withColumn("g", F.xxhash64(F.array_join(head(F.col("item")), " ")))
+    sizes = [r["n"] for r in items.select("n").distinct().collect()]
+    t = None
+    for n in sizes:
+        one = target.select(doc, F.lit(n).alias("n"), F.explode(F.array_distinct(F.transform(T.ngrams(words(F.col("text")), n), lambda x: F.xxhash64(x)))).alias("g")).distinct()
+        t = one if t is None else t.unionByName(one)
+    return (items if t is None else items.join(t, [doc, "n", "g"], "left_anti")).select(doc, key, "no", "item")
+
+
+def sampled_values(values: DataFrame, blobs: DataFrame, k: int = 30, doc: str = "doc_id", order: str = "ord") -> DataFrame:
+    """``(doc, sampled, missing)``: of the first ``k`` values of each document, those
+    that stand nowhere in its text, neither plain nor escaped."""
+    first = values.withColumn("__k", F.row_number().over(Window.partitionBy(doc).orderBy(order))).where(F.col("__k") <= k)
+    escaped = F.replace(F.replace(F.replace("value", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    hit = first.join(blobs.select(doc, "text"), doc).where(F.contains("text", "value") | F.contains("text", escaped)).select(doc, "__k").distinct().withColumn("hit", F.lit(1))
+    return first.join(hit, [doc, "__k"], "left").groupBy(doc).agg(F.count("*").alias("sampled"), F.count_if(F.col("hit").isNull()).alias("missing"))
+
+
+def lower_cased(values: DataFrame, blobs: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """``(doc, value)``: values all in capitals that the target has only in small or
+    capitalised letters."""
+    v = values.where(T.all_caps(F.col("value")) & (F.length("value") > 2)).select(doc, "value").distinct()
+    met = v.join(blobs.select(doc, "text"), doc).groupBy(doc, "value").agg(
+        F.bool_or(F.contains("text", "value")).alias("same"), F.bool_or(F.contains("text", F.lower("value")) | F.contains("text", F.initcap("value"))).alias("lower")
+    )
+    return met.where(~F.col("same") & F.col("lower")).select(doc, "value")

@@ -78,3 +78,28 @@ def keyword_class(text: Column, ordered: list[tuple[str, str]], default: str) ->
     for keyword, value in reversed(ordered):
         out = F.when(F.contains(up, F.lit(keyword.upper())), F.lit(value)).otherwise(out)
     return out
+
+
+def tag_features(docs: DataFrame, events: DataFrame, top: int = 30, key: str = "doc_id") -> DataFrame:
+    """``(key, tags, kinds, top_tags)``: opening tags of each document, different ones
+    and the ``top`` most frequent with their numbers. ``events(key, tag, opens)``."""
+    w = Window.partitionBy(key).orderBy(F.desc("opens"), "tag")
+    ranked = events.where("opens > 0").withColumn("k", F.row_number().over(w))
+    f = ranked.groupBy(key).agg(
+        F.sum("opens").alias("tags"), F.count("*").alias("kinds"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= top, F.struct("k", "tag", "opens")))), lambda x: F.struct(x["tag"].alias("tag"), x["opens"].alias("n"))).alias("top_tags"),
+    )
+    return docs.select(key).join(f, key, "left")
+
+
+def score_summary(rows: DataFrame, by: list[str], score: str) -> DataFrame:
+    """Number, mean, extremes and outer ranks of a score in each group."""
+    s = rows.groupBy(*by).agg(F.count(score).alias("n"), F.round(F.avg(score), 2).alias("mean"), F.min(score).alias("low"), F.max(score).alias("high"))
+    return s.join(nearest_rank(rows, by, score, {"p10": 0.1, "p90": 0.9}), by)
+
+
+def share_of_maximum(rows: DataFrame, by: list[str], score: str, most: str, good: float = 0.85, bad: float = 0.7) -> DataFrame:
+    """Mean share of the points reached in each group, and how many rows are good,
+    bad or between."""
+    share = F.when(F.col(most) > 0, F.col(score) / F.col(most))
+    return rows.groupBy(*by).agg(F.avg(share).alias("share"), F.count_if(share >= good).alias("good"), F.count_if((share < good) & (share >= bad)).alias("fair"), F.count_if(share < bad).alias("bad"))

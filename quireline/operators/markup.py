@@ -210,3 +210,53 @@ def entity_names(raw: Column) -> Column:
 def list_by_levels(section: Column) -> Column:
     """Ordered text of a block: headings, paragraphs and items as they come."""
     return F.regexp_extract_all(section, F.lit(r"(?is)<(?:TI|P|ITEM|h1|p|li)(?:\s[^>]*)?>(.*?)</"), F.lit(1))
+
+
+def direct_children(raw: Column, tag: str) -> Column:
+    """Names of the tags that open inside the first ``tag``, each once, in order."""
+    first = F.get(elements(raw, tag), F.lit(0))
+    return F.array_distinct(F.regexp_extract_all(first, F.lit(r"<([A-Za-z][A-Za-z0-9]*)"), F.lit(1)))
+
+
+def part_counts(raw: Column, v: MarkupVocabulary) -> Column:
+    """Numbers of tables, footnotes, graphics and sections."""
+    return F.struct(
+        count_tag(raw, v.table).alias("tables"), count_tag(raw, v.footnote).alias("footnotes"), count_tag(raw, v.graphic).alias("graphics"), count_tag(raw, v.number).alias("sections")
+    )
+
+
+def contents(raw: Column, v: MarkupVocabulary, paragraph_words: int = 5, cell_words: int = 2) -> Column:
+    """What a comparison reads of a document: its text, paragraphs, headings and
+    cells (shorter ones left out), attributes and counts."""
+    long_ = lambda xs, n: F.filter(xs, lambda x: F.size(T.words(x)) >= n)
+    return F.struct(
+        inner_text(raw).alias("text"), long_(element_texts(raw, v.paragraphs[0]), paragraph_words).alias("paragraphs"), element_texts(raw, v.heading).alias("headings"),
+        long_(element_texts(raw, v.cell), cell_words).alias("cells"), root_attributes(raw, v.root).alias("attributes"), part_counts(raw, v).alias("counts"),
+        (count_tag(raw, "APPENDIX") > 0).alias("has_appendix"),
+    )
+
+
+def context_lines(docs: DataFrame, places: DataFrame, around: int = 2, raw: str = "raw", key: str = "doc_id") -> DataFrame:
+    """``(key, line, snippet)``: the lines around each place ``(key, line)``, the line
+    itself marked with an arrow. Lines meet places by equality."""
+    lines = docs.select(key, F.posexplode(F.split(F.col(raw), "\n", -1)).alias("k", "text")).withColumn("at", F.col("k") + 1)
+    wanted = places.select(key, "line").distinct().withColumn("at", F.explode(F.sequence(F.col("line") - around, F.col("line") + around)))
+    marked = F.struct("at", F.concat(F.when(F.col("at") == F.col("line"), "> ").otherwise("  "), F.col("text")).alias("t"))
+    got = wanted.join(lines.select(key, "at", "text"), [key, "at"]).groupBy(key, "line").agg(F.array_sort(F.collect_list(marked)).alias("l"))
+    return got.select(key, "line", F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("snippet"))
+
+
+def first_line(docs: DataFrame, pattern: str, raw: str = "raw", key: str = "doc_id") -> DataFrame:
+    """``(key, line)`` of the first line that a pattern matches."""
+    lines = docs.select(key, F.posexplode(F.split(F.col(raw), "\n", -1)).alias("k", "text")).where(F.regexp_like("text", F.lit(pattern)))
+    return lines.groupBy(key).agg((F.min("k") + 1).alias("line"))
+
+
+def table_parts(docs: DataFrame, tag: str = "SGMLTBL", raw: str = "raw", key: str = "doc_id") -> DataFrame:
+    """``(key, ord, content, has_head, columns, rows)`` of every table."""
+    t = docs.select(key, F.posexplode(elements(F.col(raw), tag)).alias("ord", "content"))
+    first_defs = F.get(elements(F.col("content"), "TBLCDEFS"), F.lit(0))
+    return t.select(
+        key, "ord", "content", (count_tag(F.col("content"), "TBLHEAD") > 0).alias("has_head"), F.coalesce(count_tag(first_defs, "TBLCDEF"), F.lit(0)).alias("columns"),
+        count_tag(F.col("content"), "TBLROW").alias("rows"),
+    )

@@ -50,3 +50,63 @@ def append_log(rows: DataFrame, path: str) -> None:
 def write_texts(rows: DataFrame, path: str, text: str = "fixed") -> None:
     """Texts written one document a line, escaped as JSON strings."""
     rows.select(F.to_json(F.struct("doc_id", F.col(text).alias("text"))).alias("value")).write.mode("overwrite").text(path)
+
+
+def xlsx_bytes(rows: list[tuple], names: list[str], sheet: str = "Report") -> bytes:
+    """A workbook of one sheet: a header row and the rows, numbers as numbers."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    def column(i: int) -> str:
+        out = ""
+        while i >= 0:
+            out, i = chr(65 + i % 26) + out, i // 26 - 1
+        return out
+
+    def cell(value, r: int, c: int) -> str:
+        ref = f"{column(c)}{r}"
+        if value is None:
+            return ""
+        if isinstance(value, (int, float)) and not isinstance(value, bool):
+            return f'<c r="{ref}"><v>{value}</v></c>'
+        return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(str(value))}</t></is></c>'
+
+    lines = "".join(f'<row r="{r}">' + "".join(cell(v, r, c) for c, v in enumerate(row)) + "</row>" for r, row in enumerate([tuple(names), *rows], 1))
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    package = "http://schemas.openxmlformats.org/package/2006"
+    files = {
+        "[Content_Types].xml": f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>'
+        '<Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
+        "_rels/.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="{escape(sheet)}" sheetId="1" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}"><sheetData>{lines}</sheetData></worksheet>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in files.items():
+            z.writestr(name, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + text)
+    return out.getvalue()
+
+
+def write_xlsx(rows: DataFrame, folder: str, per_file: int = 100_000) -> DataFrame:
+    """``(path)`` of the workbooks written, one for at most ``per_file`` rows: the
+    executors write them, the driver sees their names only."""
+    names = rows.columns
+
+    def run(batches):
+        import os
+        import uuid
+
+        os.makedirs(folder, exist_ok=True)
+        for b in batches:
+            for at in range(0, len(b), per_file):
+                path = os.path.join(folder, f"part-{uuid.uuid4().hex}.xlsx")
+                part = b.iloc[at : at + per_file]
+                with open(path, "wb") as f:
+                    f.write(xlsx_bytes([tuple(None if v != v else v for v in r) for r in part.itertuples(index=False)], names))
+                yield part.iloc[:1].assign(path=path)[["path"]]
+
+    return rows.mapInPandas(run, "path string")

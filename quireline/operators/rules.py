@@ -180,3 +180,36 @@ def data_rows(cells: DataFrame, headers: DataFrame, first: int = 4) -> DataFrame
     filled = F.coalesce(F.col("v_str"), F.col("v_num").cast("string"), F.col("v_ts").cast("string")).isNotNull()
     keep = below.where(filled & (F.col("col") <= first)).select("doc_id", "sheet", "row").distinct()
     return below.join(keep, ["doc_id", "sheet", "row"], "left_semi")
+
+
+def tabular_rules(raw: Column) -> list[Rule]:
+    """Rules of documents that were made from a workbook."""
+    tables = M.elements(raw, "SGMLTBL")
+    defs = lambda part: M.count_tag(F.coalesce(F.get(M.elements(part, "TBLCDEFS"), F.lit(0)), F.lit("")), "TBLCDEF")
+    head = lambda t: F.coalesce(F.get(M.elements(t, "TBLHEAD"), F.lit(0)), F.lit(""))
+    body = lambda t: F.coalesce(F.get(M.elements(t, "TBLBODY"), F.lit(0)), F.lit(""))
+    widths = lambda d: F.aggregate(F.regexp_extract_all(d, F.lit(r"(?i)COLWD\s*=\s*\"?([0-9]+)"), F.lit(1)), F.lit(0), lambda s, x: s + x.cast("int"))
+    starts = lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?i)COLSTART\s*=\s*\"?([0-9]+)"), F.lit(1)), lambda x: x.cast("int"))
+    rows = F.slice(M.elements(raw, "TBLROW"), 1, 100)
+    wrong_order = lambda r: (F.size(starts(r)) > 0) & (starts(r) != F.sequence(F.lit(1), F.greatest(F.size(starts(r)), F.lit(1))))
+    stated = lambda t: F.regexp_extract(t, r"(?i)<TBLROWS\s[^>]*?(?:COUNT|ROWS|N)\s*=\s*\"?([0-9]+)", 1)
+    unbalanced = sum((_flag(F.regexp_count(raw, F.lit(rf"<{t}[\s>/]")) != F.regexp_count(raw, F.lit(rf"</{t}>"))) for t in BALANCED), F.lit(0))
+    top = F.substring(raw, 1, 500)
+    return [
+        Rule("root", "content", "critical", 10.0, 10.0, _flag((M.count_tag(raw, "POLIDOC") == 0) | ~F.contains(raw, F.lit("</POLIDOC>")))),
+        Rule("forbidden attribute", "content", "major", 5.0, 5.0, _flag(F.contains(raw, F.lit("INITID=")))),
+        Rule("language attribute", "content", "minor", 2.0, 2.0, _flag(~F.contains(top, F.lit('LANG="EN"')))),
+        Rule("dates", "content", "minor", 2.0, 6.0, sum((_flag(~F.regexp_like(raw, F.lit(rf"{a}=\"[0-9]{{8}}\""))) for a in ("ADDDATE", "CLIPDATE", "MODDATE")), F.lit(0))),
+        Rule("empty number", "content", "minor", 2.0, 2.0, _flag((M.count_tag(raw, "N") == 0) | (_empty(raw, "N") > 0))),
+        Rule("no table", "content", "major", 5.0, 5.0, _flag((M.count_tag(raw, "TBLCELL") == 0) | (M.count_tag(raw, "TBLBODY") == 0))),
+        Rule("literal none", "content", "major", 5.0, 10.0, F.regexp_count(raw, F.lit(">None<"))),
+        Rule("bare ampersand", "content", "minor", 1.0, 5.0, F.regexp_count(raw, F.lit(r"&(?!#?[A-Za-z0-9]+;|\s)"))),
+        Rule("column numbers", "tables", "major", 5.0, 10.0, F.size(F.filter(tables, lambda t: (M.count_tag(t, "TBLHEAD") > 0) & (defs(head(t)) > 0) & (defs(body(t)) > 0) & (defs(head(t)) != defs(body(t)))))),
+        Rule("column order", "tables", "minor", 1.0, 5.0, F.size(F.filter(rows, wrong_order))),
+        Rule("accented signs", "content", "minor", 1.0, 3.0, _flag(F.regexp_like(raw, F.lit("[À-ÖØ-öø-ÿ]")))),
+        Rule("balance", "content", "critical", 10.0, 1e9, unbalanced),
+        Rule("stated rows", "tables", "minor", 2.0, 6.0, F.size(F.filter(tables, lambda t: (stated(t) != "") & (stated(t).try_cast("int") != M.count_tag(t, "TBLROW"))))),
+        Rule("column widths", "tables", "major", 4.0, 8.0, F.size(F.filter(M.elements(raw, "TBLCDEFS"), lambda d: (widths(d) > 0) & ~widths(d).between(95, 105)))),
+        Rule("empty rows", "tables", "minor", 1.0, 3.0, F.size(F.filter(M.elements(raw, "TBLROW"), lambda r: M.inner_text(r) == ""))),
+        Rule("long decimals", "tables", "minor", 1.0, 3.0, F.size(F.filter(M.elements(raw, "TBLCELL"), lambda c: F.regexp_like(M.inner_text(c), F.lit(r"^-?[0-9]+\.[0-9]{4,}$"))))),
+    ]

@@ -17,6 +17,7 @@ from quireline.operators import layout as L
 from quireline.operators import markup as M
 from quireline.operators import report as K
 from quireline.operators import rules as R
+from quireline.plans import validate as V
 from quireline.plans.judge import OfflineJudge, judge_pairs
 from quireline.sources.tables import table
 from quireline.streaming import decisions as ST
@@ -748,3 +749,120 @@ def st2_latest(spark, root):
 def st4_override_rate(spark, root):
     """Overrides by day."""
     return ST.run_once(ST.override_rate(log_stream(spark, root)), "append")
+
+
+# --- more of markup, comparison and corpus ---------------------------------------------
+
+
+def crawl_lines(spark, root):
+    """Lines of the pages' texts, numbered from 0."""
+    return table(spark, root, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("idx", "text"))
+
+
+LINES = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS idx FROM documents WHERE text IS NOT NULL)"
+
+
+@query(f"""SELECT doc_id, CAST(section AS INT) AS section, max(CASE WHEN s = 1 THEN text END) AS heading, CAST(coalesce(sum(CASE WHEN s = 0 THEN length(text) + 1 END) - 1, 0) AS INT) AS n FROM (SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY idx) AS section FROM (SELECT *, CASE WHEN contains(text, ' | ') THEN 1 ELSE 0 END AS s FROM {LINES})) GROUP BY doc_id, section""")
+def t16_islands(spark, root):
+    """Pages cut at their menu and footer lines."""
+    got = J.islands(crawl_lines(spark, root), F.contains("text", F.lit(" | ")))
+    return got.select("doc_id", "section", "heading", F.length("content").alias("n"))
+
+
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(raw, '\x0A')) AS text, unnest(range(1, len(string_split(raw, '\x0A')) + 1)) AS line FROM {RAW}) SELECT doc_id, CAST(min(line) AS INT) AS line FROM l WHERE regexp_matches(text, '<h1') GROUP BY doc_id""")
+def t24_first_line(spark, root):
+    """First line that opens a heading."""
+    return M.first_line(pages(spark, root), "<h1")
+
+
+@query()
+def t22_context(spark, root):
+    """Lines around the first heading."""
+    d = pages(spark, root)
+    return M.context_lines(d, M.first_line(d, "<h1"))
+
+
+@query()
+def t14_contents(spark, root):
+    """Sizes of what a comparison reads of each page."""
+    c = pages(spark, root).select("doc_id", M.contents(F.col("raw"), M.HTML).alias("c"))
+    return c.select("doc_id", F.length("c.text").alias("n"), F.size("c.paragraphs").alias("paragraphs"), F.size("c.headings").alias("headings"), "c.counts.tables", "c.has_appendix")
+
+
+@query(f"""WITH t AS (SELECT doc_id, lower(replace(t, '/', '')) AS tag FROM (SELECT doc_id, unnest(regexp_extract_all(raw, '<(/?[A-Za-z][A-Za-z0-9]*)', 1)) AS t FROM {RAW}) WHERE t NOT LIKE '/%')
+  SELECT doc_id, CAST(sum(n) AS BIGINT) AS tags, CAST(count(*) AS BIGINT) AS kinds, list(tag ORDER BY n DESC, tag)[1] AS most FROM (SELECT doc_id, tag, count(*) AS n FROM t GROUP BY ALL) GROUP BY doc_id""")
+def a01_features(spark, root):
+    """Tags of every page, different ones and the most frequent."""
+    d = pages(spark, root)
+    f = A.tag_features(d, M.tag_counts(d))
+    return f.select("doc_id", "tags", "kinds", F.get("top_tags", F.lit(0))["tag"].alias("most"))
+
+
+@query(f"""SELECT source, CAST(count(normalised_score) AS BIGINT) AS n, round(avg(normalised_score), 2) AS mean, min(normalised_score) AS low, max(normalised_score) AS high,
+  list_sort(list(normalised_score) FILTER (WHERE normalised_score IS NOT NULL))[CAST(floor(count(normalised_score) * 0.1) AS BIGINT) + 1] AS p10,
+  list_sort(list(normalised_score) FILTER (WHERE normalised_score IS NOT NULL))[least(count(normalised_score) - 1, CAST(floor(count(normalised_score) * 0.9) AS BIGINT)) + 1] AS p90 FROM {D} WHERE source IS NOT NULL GROUP BY source""")
+def a08_score_summary(spark, root):
+    """Scores of each source."""
+    return A.score_summary(table(spark, root, "decisions").distinct().where("source IS NOT NULL"), ["source"], "normalised_score")
+
+
+@query(f"""WITH g AS (SELECT para_id, unnest({GRAMS(5)}) AS g, doc_id FROM (SELECT doc_id, para_id, {WORDS} AS w FROM {P('pdf_l4')}) WHERE len(w) >= 5), t AS (SELECT DISTINCT doc_id, unnest({GRAMS(5)}) AS g FROM (SELECT doc_id, {WORDS} AS w FROM {P('sgml')}) WHERE len(w) >= 5),
+  c AS (SELECT para_id, CAST(count(t.g) AS DOUBLE) / count(*) AS c FROM g LEFT JOIN t ON g.doc_id = t.doc_id AND g.g = t.g GROUP BY ALL),
+  x AS (SELECT doc_id, para_id, unnest(list_distinct({WORDS})) AS q FROM {P('pdf_l4')}), v AS (SELECT DISTINCT doc_id, unnest({WORDS}) AS q FROM {P('sgml')}), w AS (SELECT para_id, CAST(count(v.q) AS DOUBLE) / count(*) AS w FROM x LEFT JOIN v ON x.doc_id = v.doc_id AND x.q = v.q GROUP BY ALL),
+  s AS (SELECT doc_id, para_id, unnest(range(1, len(w) - 14 + 1, 8)) AS k, w FROM (SELECT doc_id, para_id, {WORDS} AS w FROM {P('pdf_l4')}) WHERE len(w) >= 15), e AS (SELECT doc_id, para_id, k, unnest(list_slice(w, k, k + 14)) AS q FROM s),
+  r AS (SELECT para_id, avg(CASE WHEN z >= 0.6 THEN 1.0 ELSE 0.0 END) AS r FROM (SELECT para_id, k, CAST(count(v.q) AS DOUBLE) / count(*) AS z FROM e LEFT JOIN v ON e.doc_id = v.doc_id AND e.q = v.q GROUP BY ALL) GROUP BY para_id)
+  SELECT p.para_id, CASE WHEN c >= 0.55 THEN 'grams' WHEN w >= 0.9 THEN 'words' WHEN r >= 0.55 THEN 'windows' END AS method FROM {P('pdf_l4')} p LEFT JOIN c USING (para_id) LEFT JOIN w USING (para_id) LEFT JOIN r USING (para_id)""")
+def j02_staged(spark, root):
+    """How each printed paragraph is covered by the marked-up text."""
+    return J.staged_coverage(paras(spark, root, "pdf_l4"), paras(spark, root, "sgml"), plain()).select("para_id", "method")
+
+
+@query(f"""WITH f AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY idx, heading_id) AS k FROM {H('sgml')}), b AS (SELECT doc_id, k FROM f WHERE k <= 30 AND EXISTS (SELECT 1 FROM {P('pdf_l1')} p WHERE p.doc_id = f.doc_id AND contains(p.text, f.text)))
+  SELECT f.doc_id, CAST(count(*) AS BIGINT) AS sampled, CAST(count(*) FILTER (WHERE b.k IS NULL) AS BIGINT) AS missing FROM (SELECT * FROM f WHERE k <= 30) f LEFT JOIN b ON f.doc_id = b.doc_id AND f.k = b.k GROUP BY f.doc_id""")
+def j18_sampled_values(spark, root):
+    """Headings of the marked-up side that no printed line holds."""
+    v = heads(spark, root, "sgml").select("doc_id", F.struct("idx", "heading_id").alias("ord"), F.col("text").alias("value"))
+    return J.sampled_values(v, paras(spark, root, "pdf_l1"))
+
+
+@query()
+def g10_absent_items(spark, root):
+    """Items of printed enumerations that the marked-up text lacks."""
+    return J.absent_items(paras(spark, root, "pdf_l4"), paras(spark, root, "sgml"), lambda c: T.words(T.plain_words_text(c)))
+
+
+@query(f"""SELECT doc_id, value FROM (SELECT v.doc_id, value, bool_or(contains(p.text, value)) AS same, bool_or(contains(p.text, lower(value))) AS low FROM (SELECT DISTINCT doc_id, upper(doc_number) AS value FROM sgml_content WHERE doc_number IS NOT NULL AND regexp_matches(upper(doc_number), '[A-Z]') AND length(doc_number) > 2) v JOIN {P('pdf_l1')} p USING (doc_id) GROUP BY ALL) WHERE NOT same AND low""")
+def j19_lower_cased(spark, root):
+    """Numbers with letters that the printed side has in small letters only."""
+    v = table(spark, root, "sgml_content").where("doc_number IS NOT NULL").select("doc_id", F.upper("doc_number").alias("value"))
+    return J.lower_cased(v, paras(spark, root, "pdf_l1"))
+
+
+@query(f"""WITH s AS (SELECT doc_id, para_id, {WORDS} AS w FROM {P('pdf_l4')}), g AS (SELECT doc_id, para_id, unnest({GRAMS(5)}) AS g FROM s WHERE len(w) >= 10), t AS (SELECT DISTINCT doc_id, unnest({GRAMS(5)}) AS g FROM (SELECT doc_id, {WORDS} AS w FROM {P('sgml')}) WHERE len(w) >= 5),
+  c AS (SELECT g.doc_id, para_id, CAST(count(t.g) AS DOUBLE) / count(*) AS c FROM g LEFT JOIN t ON g.doc_id = t.doc_id AND g.g = t.g GROUP BY ALL), r AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE c >= 0.6) AS f FROM c GROUP BY doc_id)
+  SELECT doc_id, CAST(n AS BIGINT) AS paragraphs, CAST(f AS BIGINT) AS found, CAST(CASE WHEN f / n >= 0.9 THEN 20.0 WHEN f / n >= 0.75 THEN 18.0 WHEN f / n >= 0.6 THEN 15.0 WHEN f / n >= 0.45 THEN 12.0 WHEN f / n >= 0.3 THEN 8.0 ELSE 0.0 END AS DOUBLE) AS text FROM r""")
+def c2_text_scores(spark, root):
+    """Share of the printed paragraphs that the marked-up text holds, as points."""
+    return V.text_scores(paras(spark, root, "pdf_l4"), paras(spark, root, "sgml"), plain()).select("doc_id", "paragraphs", "found", "text")
+
+
+@query()
+def r_tabular_issues(spark, root):
+    """Rules for documents made from workbooks, applied to the pages."""
+    d = pages(spark, root)
+    return R.issues(d, R.tabular_rules(F.col("raw")))
+
+
+@query("""WITH t(prio, category, keyword, template) AS (VALUES (0, 'page', 'page', 'PAGE'), (1, 'note', 'page', 'OTHER'), (2, 'note', 'see', 'SEE')),
+  n AS (SELECT DISTINCT decision_id, lower(reviewer_note) AS d, source FROM decisions) SELECT decision_id, (SELECT min_by(t.template, struct_pack(m := CASE WHEN t.category <> 'note' THEN 1 ELSE 0 END, p := t.prio)) FROM t WHERE contains(n.d, t.keyword)) AS template FROM n""")
+def j26_templates(spark, root):
+    """Template that fits each reviewer's note."""
+    n = table(spark, root, "decisions").select(F.col("decision_id").alias("issue_id"), F.lit("note").alias("category"), F.col("reviewer_note").alias("description"), "source").distinct()
+    t = spark.createDataFrame([(0, "page", "page", "PAGE"), (1, "note", "page", "OTHER"), (2, "note", "see", "SEE")], "prio int, category string, keyword string, template string")
+    return X.match_templates(n, t).select(F.col("issue_id").alias("decision_id"), "template")
+
+
+@query("""SELECT list_sort(list(DISTINCT label)) AS labels FROM sgml_content WHERE label IS NOT NULL""")
+def a06_known_labels(spark, root):
+    """All labels in use, in order."""
+    return table(spark, root, "sgml_content").agg(F.array_sort(F.collect_set("label")).alias("labels"))
