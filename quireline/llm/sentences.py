@@ -33,6 +33,9 @@ PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "｛": "｝",
 DOUBLE = '"“”„'
 INVERTED = "¿¡"
 
+ENDING, DOTS, CLOSING = frozenset(FINAL + STOP + ELLIPSIS), frozenset(STOP + ELLIPSIS), frozenset(CLOSE + DOUBLE + "'")
+OPENING, QUOTE, BEFORE_WORD = frozenset(OPEN + DOUBLE), frozenset(DOUBLE + "'"), frozenset(OPEN + DOUBLE + INVERTED + ",;:/")
+
 # Abbreviations by language and by what may follow.
 # "title": a name follows; "inner": the sentence always goes on; "number": it goes
 # on if a number or a small letter follows; "last": may well end a sentence.
@@ -88,8 +91,11 @@ OPENERS = set(
 # German months, after which a number with a stop is an ordinal.
 MONTHS = set("januar jänner februar märz april mai juni juli august september oktober november dezember".split())
 
-_ENDING = re.compile(f"[{re.escape(FINAL + STOP + ELLIPSIS)}]")
+_PAIR_SIGN = re.compile(f"[{re.escape(OPEN + CLOSE + DOUBLE)}]")
+_PLACE = re.compile(f"[{re.escape(FINAL + STOP + ELLIPSIS + CLOSE + DOUBLE)}]")
 _FIGURE = re.compile(r"[OSIBZ](?:[\d.,;OSIl]|\s)|[IVXLC]+\b|No\b")
+_CAPS_WORD = re.compile(r"[\w'’-]+")
+_DASH = re.compile(r"[—–-]\s*[^\W\d_]")
 _TAIL = re.compile("[^\u2e80-\uffff]*$")
 _STYLED = re.compile(r"[^\W\d_]-[^\W\d_]{2}|[a-z][A-Z]")
 _FOLD = str.maketrans("01!5@96", "oiisage")
@@ -121,13 +127,14 @@ def abbreviations(langs: tuple[str, ...]) -> tuple[dict[str, str], dict[str, str
 ALL = tuple(ABBREVIATIONS)
 
 
-def pair_up(t: str) -> tuple[dict[int, int], list[bool]]:
+def pair_up(t: str) -> tuple[dict[int, int], bytearray]:
     """Opening to closing position of quotations and brackets, and for each sign
     whether it lies inside such a pair. What isn't closed doesn't count."""
     stack: list[tuple[str, int]] = []
     pairs: dict[int, int] = {}
     n = len(t)
-    for i, c in enumerate(t):
+    for m in _PAIR_SIGN.finditer(t):
+        i, c = m.start(), m[0]
         if c in PAIRS:
             stack.append((PAIRS[c], i))
         elif c in DOUBLE:
@@ -146,12 +153,12 @@ def pair_up(t: str) -> tuple[dict[int, int], list[bool]]:
                     pairs[stack[k][1]] = i
                     del stack[k:]
                     break
-    inside = [False] * (n + 1)
+    inside = bytearray(n + 1)
     at = 0
     for a in sorted(pairs):
         if a >= at:
             at = pairs[a]
-            inside[a + 1 : at] = [True] * (at - a - 1)
+            inside[a + 1 : at] = b"\1" * (at - a - 1)
     return pairs, inside
 
 
@@ -160,7 +167,7 @@ def _cased(c: str) -> bool:
 
 
 def _caps_word(t: str, i: int) -> str:
-    m = re.compile(r"[\w'’-]+").match(t, i)
+    m = _CAPS_WORD.match(t, i)
     return m[0] if m else ""
 
 
@@ -215,15 +222,19 @@ def sentence_ends(text: str, langs: tuple[str, ...] = ALL) -> list[int]:
 
     start = skip(0)
     i = start
-    while i < n:
-        c = t[i]
+    while True:
+        # Nothing but final marks and closing signs decides anything.
+        place = _PLACE.search(t, i)
+        if place is None:
+            break
+        i, c = place.start(), place[0]
         if i in closes and not inside[i]:
             # A pair that ends with a final mark may end the sentence.
             a, j = closes[i], i + 1
             k = i - 1
-            while k > a and (t[k].isspace() or t[k] in CLOSE + DOUBLE):
+            while k > a and (t[k].isspace() or t[k] in CLOSING):
                 k -= 1
-            if k > a and t[k] in FINAL + STOP + ELLIPSIS:
+            if k > a and t[k] in ENDING:
                 nxt = skip(j)
                 if nxt < n:
                     follow = t[nxt]
@@ -241,14 +252,14 @@ def sentence_ends(text: str, langs: tuple[str, ...] = ALL) -> list[int]:
                         continue
             i += 1
             continue
-        if inside[i] or c not in FINAL + STOP + ELLIPSIS:
+        if inside[i] or c not in ENDING:
             i += 1
             continue
         j = i
-        while j < n and t[j] in FINAL + STOP + ELLIPSIS and not (t[j] in STOP and j > i and t[j - 1] in FINAL and t[j - 1] not in "!?"):
+        while j < n and t[j] in ENDING and not (t[j] in STOP and j > i and t[j - 1] in FINAL and t[j - 1] not in "!?"):
             j += 1
         run = t[i:j]
-        while j < n and (t[j] in CLOSE or t[j] in DOUBLE + "'") and j not in pairs and not (t[j] in DOUBLE + "'" and j + 1 < n and t[j + 1].isalnum()):
+        while j < n and (t[j] in CLOSE or t[j] in QUOTE) and j not in pairs and not (t[j] in QUOTE and j + 1 < n and t[j + 1].isalnum()):
             j += 1
         nxt = skip(j)
         if nxt >= n:
@@ -256,11 +267,11 @@ def sentence_ends(text: str, langs: tuple[str, ...] = ALL) -> list[int]:
             break
         gap, follow = nxt > j, t[nxt]
         ok = True
-        if follow in ",;:%" or (follow in CLOSE and not gap) or re.compile("[—–-]\\s*[^\\W\\d_]").match(t, nxt) and t[nxt + 1 :].lstrip()[:1].islower():
+        if follow in ",;:%" or (follow in CLOSE and not gap) or follow in "—–-" and _DASH.match(t, nxt) and t[nxt + 1 :].lstrip()[:1].islower():
             ok = False
         elif run == "." or run[0] in STOP and len(run) == 1:
             ok = _stop_ends(t, start, i, nxt, gap, exact, misread, caps(i), pairs)
-        elif run[0] in STOP + ELLIPSIS:
+        elif run[0] in DOTS:
             ok = _starts_sentence(t, nxt, caps(i))
         elif follow.islower():
             ok = bool(_STYLED.match(t, nxt))
@@ -283,7 +294,7 @@ def sentence_ends(text: str, langs: tuple[str, ...] = ALL) -> list[int]:
 def _stop_ends(t: str, start: int, i: int, nxt: int, gap: bool, exact: dict, misread: dict, caps: bool, pairs: dict) -> bool:
     """Whether the single full stop at ``i``, followed by ``t[nxt]``, ends a sentence."""
     a = i
-    while a > start and not t[a - 1].isspace() and t[a - 1] not in OPEN + DOUBLE + INVERTED + ",;:/":
+    while a > start and not t[a - 1].isspace() and t[a - 1] not in BEFORE_WORD:
         a -= 1
     # Scripts without blanks run into Latin letters: the tail counts.
     word = _TAIL.search(t[a:i])[0] or t[a:i]
@@ -329,7 +340,7 @@ def _stop_ends(t: str, start: int, i: int, nxt: int, gap: bool, exact: dict, mis
         return False
     if kind == "number":
         # Misread figures begin with a capital that looks like one.
-        return follow.isupper() and not caps and not _FIGURE.match(t, nxt) or follow in OPEN + DOUBLE
+        return follow.isupper() and not caps and not _FIGURE.match(t, nxt) or follow in OPENING
     if kind == "last":
         return _starts_sentence(t, nxt, caps)
     if follow.islower():
@@ -338,10 +349,14 @@ def _stop_ends(t: str, start: int, i: int, nxt: int, gap: bool, exact: dict, mis
 
 
 @F.pandas_udf(ArrayType(IntegerType()))
-def _ends_udf(text: pd.Series) -> pd.Series:
+def _ends_of(text: pd.Series) -> pd.Series:
     return text.map(sentence_ends, na_action="ignore")
 
 
+#: Declared not deterministic, lest the optimizer evaluates it once more for a filter.
+_ends_udf = _ends_of.asNondeterministic()
+
+
 def sentence_bounds(df: DataFrame, text: str = "text", out: str = "sent_ends") -> DataFrame:
     """``df`` with the ends of the sentences of column ``text`` in column ``out``
     (array of code-point counts; a column already called so is replaced).

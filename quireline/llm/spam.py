@@ -180,11 +180,15 @@ WEIGHT = StructType([StructField("spam", DoubleType()), StructField("prose", Dou
 
 
 @F.pandas_udf(WEIGHT)
-def _weigh_udf(text: pd.Series) -> pd.DataFrame:
+def _weigh(text: pd.Series) -> pd.DataFrame:
     rows = [weigh(t) if isinstance(t, str) else (None, None) for t in text]
     return pd.DataFrame(rows, columns=["spam", "prose"], dtype=float)
 
 
+#: Declared not deterministic, lest the optimizer evaluates it once more for a filter.
+_weigh_udf = _weigh.asNondeterministic()
+
+
 def spam_share(pages: DataFrame, text: str = "text", out: str = "spam_share") -> DataFrame:
     """``pages`` with the share of the own text that is repeated keywords, links or
     tags in column ``out`` (replaced if there).

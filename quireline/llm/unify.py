@@ -125,7 +125,8 @@ class Transducer:
         blanks = [c for c, new in self.table.items() if new == " "] + [" "]
         marks = [c for c in signs if U.combining(c) or 0x1160 <= ord(c) < 0x1200 or c in "ﾞﾟ"]
         b, i, m = _span(blanks), _span(unseen), _span(sorted({*marks, *unseen}))
-        self.pattern = re.compile(f"[{i}]*[{b}][{b}{i}]*|.[{m}]+|[{_span(list(self.table))}]", re.DOTALL)
+        # A single plain space stays; runs of blanks and unseen signs are one cluster.
+        self.pattern = re.compile(f"[{b}{i}]{{2,}}|[^{b}][{m}]+|[{_span(list(self.table))}]", re.DOTALL)
         self.blank = re.compile(f"[{b}]")
         self.unseen = set(unseen)
         self.known: dict[str, str] = {}
@@ -189,6 +190,7 @@ def transducer(alike: bool) -> Transducer:
 
 _LATIN = re.compile("[A-Za-zÀ-ɏ]")
 _OTHER = {"Cyrillic": re.compile("[Ѐ-ԯ]"), "Greek": re.compile("[Ͱ-Ͽ]")}
+_BORROWING = re.compile("[Ͱ-Ͽ԰-֏Ѐ-ԯ]")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -212,7 +214,7 @@ def readable(text: str) -> str:
     """The one form for reading: widths, accents, blanks and unseen signs as in
     the key, borrowed letters given back to the script of their word."""
     out = transducer(False)(text)
-    if out.isascii():
+    if out.isascii() or not _BORROWING.search(out):
         return out
     return _WORD.sub(lambda m: m[0] if m[0].isascii() else _one_script(m[0]), out)
 
@@ -228,13 +230,17 @@ def _key_udf(text: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(BinaryType())
-def _digest_udf(text: pd.Series) -> pd.Series:
+def _digest_of(text: pd.Series) -> pd.Series:
     from hashlib import blake2b
 
     form = transducer(True)
     return text.map(lambda t: blake2b(form(t).encode("utf-8", "surrogatepass"), digest_size=16).digest(), na_action="ignore")
 
 
+#: Declared not deterministic, lest the optimizer evaluates it once more for a filter.
+_digest_udf = _digest_of.asNondeterministic()
+
+
 def look_key(text: Column) -> Column:
     """Comparison form: equal for two texts exactly if they look the same."""
     return _key_udf(text)
