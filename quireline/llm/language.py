@@ -42,6 +42,7 @@ FAMILIES = {
     "semitic": "he",
     "mainland": "th vi lo km my id ms",
 }
+LATIN_FAMILIES = ("germanic", "romance", "slavic_latin", "uralic_turkic", "mainland")
 FAMILY_OF = {lang: fam for fam, langs in FAMILIES.items() for lang in langs.split()}
 
 # Ways to write a language's name; ISO 639-2 and 639-3 codes,
@@ -66,10 +67,12 @@ NAMES = {name: code for code, names in SPELLINGS.items() for name in [code, *nam
 NO_LANGUAGE = ("", "und", "xx", "zxx", "mul", "mis", "none", "null", "unknown", "n/a", "na", "-", "?")
 
 #: Hashed features, longest n-gram, labelled rows per language in the sample.
-DIMENSION, GRAM, SAMPLE_PER_LANGUAGE = 1 << 13, 3, 400
+DIMENSION, GRAM, SAMPLE_PER_LANGUAGE = 1 << 15, 3, 400
 #: Fewest letters of a segment that is judged by itself, and least confidence of
 #: a segment that is called foreign.
 LEAST_LETTERS, LEAST_CONFIDENCE = 12, 0.6
+#: Greatest weight of a sentence that comes often in the sample.
+MOST_WEIGHT = 6
 SEED = 20170102
 
 _SCRIPTS = [
@@ -77,10 +80,15 @@ _SCRIPTS = [
     ("han", "㐀-䶿一-鿿"), ("kana", "぀-ヿ"), ("hangul", "가-힯"), ("greek", "Ͱ-Ͽ"),
     ("hebrew", "֐-׿"), ("thai", "฀-๿"),
 ]
-_SCRIPT = [re.compile(f"[{r}]") for _, r in _SCRIPTS]
+#: Number of the script of every code point of the Basic Multilingual Plane, 0 for others.
+_SCRIPT_OF = np.zeros(0x10000, dtype=np.int64)
+for _k, (_, _r) in enumerate(_SCRIPTS):
+    for _a, _b in re.findall("(.)-(.)", _r):
+        _SCRIPT_OF[ord(_a) : ord(_b) + 1] = _k + 1
 #: Indexes before those of the n-grams.
 RESERVED = 2 * len(_SCRIPTS)
 _JUNK = re.compile(r"[A-Za-z0-9+/_=-]{31,}|[A-Za-z_]+[_=]\S*|https?://\S+|[A-Za-z]+\d\w*|\d+[A-Za-z]\w*")
+_NAME = re.compile(r"(?<=[^\W_] )[A-ZÀ-ÖØ-Þ][\w'’.&-]*")
 _LETTER = re.compile(r"[^\W\d_]")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -99,36 +107,46 @@ def worded(text: str) -> str:
     return _JUNK.sub(" ", text)
 
 
+def letters_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of a text's letters in words between blanks, and how many are of
+    each script (0 for other scripts)."""
+    clear = worded(text)
+    # Capitals inside a sentence begin names, which tell no language.
+    short = _NAME.sub("", clear)
+    words = " " + _NOT_LETTERS.sub(" ", (short if 2 * len(short) > len(clear) else clear).lower()).strip() + " "
+    codes = np.frombuffer(words.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return codes, np.bincount(_SCRIPT_OF[np.minimum(codes, 0xFFFF)], minlength=len(_SCRIPTS) + 1)[1:]
+
+
+def hashed(codes: np.ndarray) -> np.ndarray:
+    """Different hashed n-grams, as rows of the weight table."""
+    parts, h = [], np.zeros(len(codes), dtype=np.uint32)
+    for n in range(1, min(GRAM, len(codes)) + 1):
+        h = h[: len(codes) - n + 1] * np.uint32(0x9E3779B1) + codes[n - 1 :]
+        parts.append(((h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(9)) & np.uint32(DIMENSION - 1))
+    return np.unique(np.concatenate(parts), sorted=False).astype(np.intp) + RESERVED
+
+
+def script_features(count: np.ndarray) -> np.ndarray:
+    """Shares of the scripts, and from -1 to 1 whether they are there at all."""
+    return np.concatenate([count / max(1, int(count.sum())), np.minimum(2.0, count / 2) - 1.0])
+
+
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes and weights of a text: shares and presence of the scripts, then the
-    hashed n-grams of its letters scaled to length one."""
-    words = " " + _NOT_LETTERS.sub(" ", worded(text).lower()).strip() + " "
-    codes = np.frombuffer(words.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-    count = np.array([len(p.findall(words)) for p in _SCRIPT], dtype=float)
-    shares = np.concatenate([count / max(1.0, count.sum()), 2 * np.minimum(1.0, count / 4)])
-    parts = []
-    h = np.zeros(len(codes), dtype=np.uint64)
-    for n in range(1, GRAM + 1):
-        if len(codes) < n:
-            break
-        h = h[: len(codes) - n + 1] * np.uint64(0x9E3779B1) + codes[n - 1 :] + np.uint64(n)
-        parts.append(((h ^ (h >> np.uint64(15))) * np.uint64(0x85EBCA6B) >> np.uint64(7)) % np.uint64(DIMENSION - RESERVED))
-    idx, count = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, int), np.zeros(0))
-    w = np.log1p(count.astype(float))
-    norm = math.sqrt(float((w * w).sum())) or 1.0
-    return (
-        np.concatenate([np.arange(len(shares)), idx.astype(np.int64) + RESERVED]),
-        np.concatenate([shares, w / norm]),
-    )
+    """Indexes and weights of a text for training: scripts, then n-grams, whose
+    weights have the length one together."""
+    codes, count = letters_of(text)
+    h = hashed(codes)
+    return np.concatenate([np.arange(RESERVED), h]), np.concatenate([script_features(count), np.full(len(h), 1.0 / math.sqrt(len(h)))])
 
 
 Row = tuple[np.ndarray, np.ndarray]
 
 
-def _train_svm(x: list[Row], y: np.ndarray, c: float = 2.0, rounds: int = 8) -> np.ndarray:
+def _train_svm(x: list[Row], y: np.ndarray, weight: np.ndarray, c: float = 2.0, rounds: int = 20) -> np.ndarray:
     """Linear support vector machine (hinge loss) by dual coordinate descent on
-    sparse rows; y is ±1."""
-    w, alpha = np.zeros(DIMENSION), np.zeros(len(x))
+    sparse rows; y is ±1, an error costs as much as the row's weight says."""
+    w, alpha = np.zeros(DIMENSION + RESERVED), np.zeros(len(x))
     sq = [float(v @ v) + 1e-9 for _, v in x]
     order = np.random.default_rng(SEED)
     for _ in range(rounds):
@@ -138,7 +156,7 @@ def _train_svm(x: list[Row], y: np.ndarray, c: float = 2.0, rounds: int = 8) ->
             g = y[i] * float(w[idx] @ val) - 1.0
             if g >= 0 and alpha[i] == 0:
                 continue
-            new = min(max(alpha[i] - g / sq[i], 0.0), c)
+            new = min(max(alpha[i] - g / sq[i], 0.0), c * weight[i])
             if new != alpha[i]:
                 w[idx] += (new - alpha[i]) * y[i] * val
                 alpha[i], moved = new, True
@@ -158,84 +176,121 @@ class Model:
     #: Mean share of each script in the texts of each family.
     scripts: np.ndarray
 
+    def __post_init__(self) -> None:
+        names = list(self.pairs)
+        #: All weights in one table, a row for each n-gram, so one lookup scores all.
+        rows = [self.family_w] + [self.pairs[n][None, :] for n in names]
+        self.table = np.ascontiguousarray(np.concatenate(rows).T.astype(np.float32))
+        self.place = {n: len(self.families) + k for k, n in enumerate(names)}
+        # Families that write a script; a text in another one can't be of theirs.
+        self.writers = [[k for k in range(len(self.families)) if self.scripts[k, s] >= 0.1] for s in range(len(_SCRIPTS))]
+        # Scores of a text without any script; what is there is added.
+        self.bare = -self.table[len(_SCRIPTS) : RESERVED].sum(0)
+        self.stamp = hash(self.table.tobytes())
+
     def classify(self, text: str) -> tuple[str, float]:
         """Language and confidence between 0 and 1; ``("und", 0)`` without letters."""
-        if not _LETTER.search(worded(text)):
-            return "und", 0.0
-        idx, val = features(text)
-        s = self.family_w[:, idx] @ val
-        # A family that doesn't write the text's main script is out of question.
-        shares = val[: len(_SCRIPTS)]
-        writes = self.scripts[:, int(np.argmax(shares))] >= 0.1
-        if shares.any() and writes.any():
-            s = np.where(writes, s, s - 1e3)
-        k = int(np.argmax(s))
-        rest = np.delete(s, k)
-        conf = _sure(float(s[k] - rest.max())) if len(rest) else 1.0
+        return self.judge(text)[:2]
+
+    def judge(self, text: str) -> tuple[str, float, int]:
+        """Language, confidence and number of letters of a text."""
+        codes, count = letters_of(text)
+        letters = int(count.sum())
+        if not letters:
+            return "und", 0.0, 0
+        able = self.writers[int(count.argmax())] or range(len(self.families))
+        if len(able) == 1 and len(self.members[self.families[able[0]]]) == 1:
+            return self.members[self.families[able[0]]][0], 1.0, letters
+        h = hashed(codes)
+        total = self.table[h].sum(0) / math.sqrt(len(h)) + self.bare
+        for k in count.nonzero()[0].tolist():
+            n = int(count[k])
+            total += self.table[k] * (n / letters) + self.table[len(_SCRIPTS) + k] * min(2.0, n / 2)
+        scores = total.tolist()
+        ranked = sorted(((scores[k], k) for k in able), reverse=True)
+        k = ranked[0][1]
+        conf = _sure(ranked[0][0] - ranked[1][0]) if len(ranked) > 1 else 1.0
         langs = self.members[self.families[k]]
         if len(langs) == 1:
-            return langs[0], conf
+            return langs[0], conf, letters
         votes, margin = dict.fromkeys(langs, 0), dict.fromkeys(langs, math.inf)
-        for (a, b), w in self.pairs.items():
-            if a in votes and b in votes:
-                m = float(w[idx] @ val)
-                votes[a if m >= 0 else b] += 1
-                margin[a], margin[b] = min(margin[a], m), min(margin[b], -m)
+        for a, b in combinations(langs, 2):
+            m = scores[self.place[a, b]]
+            votes[a if m >= 0 else b] += 1
+            margin[a], margin[b] = min(margin[a], m), min(margin[b], -m)
         best = max(langs, key=lambda x: (votes[x], margin[x], x))
-        return best, conf * _sure(margin[best])
+        return best, conf * _sure(margin[best]), letters
+
+
+#: Judgements remembered in a process, by model and sentence; emptied when many.
+_JUDGED: dict[int, dict[str, tuple[str, float, int]]] = {}
 
 
 def _sure(margin: float) -> float:
     return 1.0 / (1.0 + math.exp(-4.0 * max(min(margin, 50.0), -50.0)))
 
 
-def fit(texts: list[str], labels: list[str], per_language: int = 2 * SAMPLE_PER_LANGUAGE) -> Model:
+def fit(texts: list[str], labels: list[str], stands_for: dict[str, float] | None = None, per_language: int = 4 * SAMPLE_PER_LANGUAGE) -> Model:
     """Model from labelled texts, learnt from their sentences.
 
-    A sentence that comes under several labels counts under the most frequent
-    one; of each language ``per_language`` sentences are taken in hash order. The
+    A sentence that comes under several labels counts under the one of whose
+    sentences it is the greatest part, unless that is one sixth of its rows or less;
+    ``stands_for`` says how many rows one sampled row of a label stands for; of each language ``per_language`` sentences are taken, frequent ones first
+    and equally frequent ones in hash order; a sentence weighs as often as it occurs,
+    up to ``MOST_WEIGHT``. The
     second pass leaves out what the first puts elsewhere than labelled, since
     labels are dirty and texts mix languages. Repeatable: the order of the rows
     doesn't matter.
     """
-    votes: dict[str, dict[str, int]] = {}
+    votes: dict[str, dict[str, float]] = {}
+    rate = stands_for or {}
     for t, lab in zip(texts, labels):
-        a = 0
+        a, one = 0, rate.get(lab, 1.0)
         for b in sentence_ends(t):
             s = t[a:b].strip()
             a = b
             if len(_LETTER.findall(s)) >= LEAST_LETTERS:
                 v = votes.setdefault(s, {})
-                v[lab] = v.get(lab, 0) + 1
-    by_label: dict[str, list[str]] = {}
+                v[lab] = v.get(lab, 0.0) + one
+    total: dict[str, float] = {}
+    for v in votes.values():
+        for lab, n in v.items():
+            total[lab] = total.get(lab, 0.0) + n
+    by_label: dict[str, list[tuple[float, int, str]]] = {}
     for s, v in votes.items():
-        by_label.setdefault(max(v, key=lambda k: (v[k], k)), []).append(s)
-    rows = []
+        often = min(sum(n / rate.get(k, 1.0) for k, n in v.items()), MOST_WEIGHT)
+        # A label that stands for "unknown" comes with everything, so what counts is
+        # how much of a label's sentences this one is; rare slips don't.
+        fair = {k: n for k, n in v.items() if 6 * n >= sum(v.values())}
+        by_label.setdefault(max(fair, key=lambda k: (fair[k] / total[k], k)), []).append((-often, zlib.crc32(s.encode("utf-8", "surrogatepass")), s))
+    rows, weight = [], []
     for lab in sorted(by_label):
-        hashed = sorted(by_label[lab], key=lambda s: (zlib.crc32(s.encode("utf-8", "surrogatepass")), s))
-        rows += [(lab, s) for s in hashed[:per_language]]
+        for often, _, s in sorted(by_label[lab])[:per_language]:
+            rows.append((lab, s))
+            weight.append(float(-often))
     labels_of = [lab for lab, _ in rows]
     x = [features(s) for _, s in rows]
-    model = _fit(x, labels_of)
+    model = _fit(x, labels_of, weight)
     kept = [i for i, (lab, s) in enumerate(rows) if model.classify(s)[0] == lab]
     counts: dict[str, int] = {}
     for i in kept:
         counts[labels_of[i]] = counts.get(labels_of[i], 0) + 1
     kept = [i for i in kept if counts[labels_of[i]] >= 3]
-    return _fit([x[i] for i in kept], [labels_of[i] for i in kept]) if kept else model
+    return _fit([x[i] for i in kept], [labels_of[i] for i in kept], [weight[i] for i in kept]) if kept else model
 
 
-def _fit(x: list[Row], labels: list[str]) -> Model:
+def _fit(x: list[Row], labels: list[str], weights: list[float]) -> Model:
+    weight = np.array(weights)
     fam_of = [FAMILY_OF.get(lab, lab) for lab in labels]
     langs, fams = np.array(labels), np.array(fam_of)
     families = sorted(set(fam_of))
-    w = np.array([_train_svm(x, np.where(fams == f, 1.0, -1.0)) for f in families]) if len(families) > 1 else np.zeros((1, DIMENSION))
+    w = np.array([_train_svm(x, np.where(fams == f, 1.0, -1.0), weight) for f in families]) if len(families) > 1 else np.zeros((1, DIMENSION + RESERVED))
     members = {f: sorted({lab for lab, g in zip(labels, fam_of) if g == f}) for f in families}
     pairs = {}
     for f in families:
         for a, b in combinations(members[f], 2):
             pick = np.flatnonzero((langs == a) | (langs == b))
-            pairs[a, b] = _train_svm([x[i] for i in pick], np.where(langs[pick] == a, 1.0, -1.0))
+            pairs[a, b] = _train_svm([x[i] for i in pick], np.where(langs[pick] == a, 1.0, -1.0), weight[pick])
     scripts = np.array([np.mean([v[: len(_SCRIPTS)] for (_, v), g in zip(x, fam_of) if g == f], axis=0) for f in families])
     return Model(families, w, members, pairs, scripts)
 
@@ -259,7 +314,8 @@ def train(labelled: DataFrame, text: str, label: str, per_language: int = SAMPLE
     sample = rows.where(F.col("h") < F.coalesce(share[F.col("l")], F.lit(0))).select("l", "t")
     got = sample.limit(2 * per_language * len(counts)).collect()
     # A labelled text trains with its first 4,000 code points; classification reads whole texts.
-    return fit([readable(r["t"][:4000]) for r in got], [r["l"] for r in got])
+    stands_for = {lang: max(1.0, n / per_language) for lang, n in counts.items()}
+    return fit([readable(r["t"][:4000]) for r in got], [r["l"] for r in got], stands_for)
 
 
 SEGMENT = ArrayType(StructType([
@@ -270,28 +326,27 @@ SEGMENT = ArrayType(StructType([
 
 def segments_udf(model: Model):
     """Sentences of a text with language, confidence and number of letters."""
-    shared = model
-
     @F.pandas_udf(SEGMENT)
     def run(text: pd.Series) -> pd.Series:
-        known: dict[str, tuple[str, float]] = {}
+        known = _JUDGED.setdefault(model.stamp, {})
 
         def one(t: str):
             out, a = [], 0
             for b in sentence_ends(t):
                 s = readable(t[a:b])
-                if s not in known:
+                got = known.get(s)
+                if got is None:
                     if len(known) > 50_000:
                         known.clear()
-                    known[s] = shared.classify(s)
-                lang, conf = known[s]
-                out.append((a, b, lang, conf, len(_LETTER.findall(worded(s)))))
+                    got = known[s] = model.judge(s)
+                out.append((a, b, *got))
                 a = b
             return out
 
         return text.map(one, na_action="ignore")
 
-    return run
+    # Not deterministic for the optimizer, lest it classifies once more for a filter.
+    return run.asNondeterministic()
 
 
 def language_segments(docs: DataFrame, model: Model, key: list[str], text: str = "text") -> DataFrame:
@@ -328,13 +383,15 @@ def filing_segments(paragraphs: DataFrame, model: Model) -> DataFrame:
 def foreign_segments(segments: DataFrame, mains: DataFrame, least_letters: int = LEAST_LETTERS, least_confidence: float = LEAST_CONFIDENCE) -> DataFrame:
     """Sentences in another language than their document's, with that language.
 
-    A segment needs ``least_letters`` letters and ``least_confidence``; shorter
-    ones are too often names.
+    A segment needs ``least_letters`` letters, since shorter ones are too often
+    names, and ``least_confidence``, unless its language is written in another
+    script than the main one: then it can't be the main one.
     """
     m = mains.select("doc_id", F.col("lang").alias("main_lang"))
+    script = F.create_map(*[F.lit(x) for lang, fam in FAMILY_OF.items() for x in (lang, "latin" if fam in LATIN_FAMILIES else fam)])
+    sure = (F.col("confidence") >= least_confidence) | (F.try_element_at(script, F.col("lang")) != F.try_element_at(script, F.col("main_lang")))
     return segments.join(m, "doc_id").where(
-        (F.col("lang") != "und") & (F.col("lang") != F.col("main_lang"))
-        & (F.col("letters") >= least_letters) & (F.col("confidence") >= least_confidence)
+        (F.col("lang") != "und") & (F.col("lang") != F.col("main_lang")) & (F.col("letters") >= least_letters) & sure
     )
 
 
