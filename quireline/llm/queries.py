@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireline.llm import language, mix, pack, scan_repair, sentences, spam, split, tokens, unify
-from quireline.llm.common import read, spread
+from quireline.llm.common import cut, read, spread
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -16,12 +16,23 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return unify.same_looking_pairs(spread(read(spark, root, "paragraphs").where("side IN ('sgml', 'pdf_l4')")))
 
 
+def p1_texts(spark: SparkSession, root: str) -> DataFrame:
+    """Both sides' paragraphs in their one form for reading."""
+    rows = read(spark, root, "paragraphs").where("side IN ('sgml', 'pdf_l4')").select("para_id", "text").dropDuplicates(["para_id"])
+    return unify.unify(rows, out="text")
+
+
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     """Damage of scanned filings, with the right words."""
     rows = read(spark, root, "paragraphs")
     return scan_repair.repair(rows).findings.select("para_id", "noise", "repaired").distinct()
 
 
+def p2_paragraphs(spark: SparkSession, root: str) -> DataFrame:
+    """Merged paragraphs of all filings without furniture, whole and rightly spelled."""
+    return scan_repair.repaired_paragraphs(scan_repair.repair(read(spark, root, "paragraphs")))
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     """Oversized items, and whether a natural cut exists everywhere."""
     return p3_pieces(spark, root).where("piece = 0").select("item", "item_id", "hard")
@@ -48,10 +59,17 @@ def p5_model(spark: SparkSession, root: str) -> language.Model:
     return language.train(rows.join(labels, "doc_id"), "text", "lang")
 
 
+def p5_languages(spark: SparkSession, root: str) -> DataFrame:
+    """Main language of every filing and language of every foreign segment, with
+    confidence; offsets are code points of the paragraph."""
+    segments = cut(language.filing_segments(read(spark, root, "paragraphs"), p5_model(spark, root)))
+    mains = cut(language.main_language(segments))
+    whole = mains.select("doc_id", F.lit(None).cast("bigint").alias("para_id"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), "lang", "confidence")
+    return whole.unionByName(language.foreign_segments(segments, mains).select("doc_id", "para_id", "start", "end", "lang", "confidence"))
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """Wrong language labels and paragraphs with foreign sentences."""
-    from quireline.llm.common import cut
-
     segments = cut(language.filing_segments(read(spark, root, "paragraphs"), p5_model(spark, root)))
     mains = cut(language.main_language(segments))
     wrong = language.wrong_labels(
@@ -94,7 +112,7 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage by name."""
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_pieces, p4_found, p5_found, p6_containers, p7_mix, p7_shares, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_paragraphs, p3_found, p3_pieces, p4_found, p5_found, p5_languages, p6_containers, p7_mix, p7_shares, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
