@@ -135,12 +135,39 @@ def pool_coverage(items: DataFrame, pool: DataFrame, item_words: Column, pool_wo
     return i.join(p, [doc, "w"], "left").groupBy(doc, key).agg((F.count("hit") / F.count("*")).alias("coverage"))
 
 
+def holding(texts: DataFrame, parts: DataFrame, doc: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc, x, y, *carry)``: texts ``y`` of a document that hold one of its parts
+    ``x`` anywhere, inside words too. ``texts(doc, y, *carry)``, ``parts(doc, x)``.
+
+    They meet over keys, not all with all: a part of three and more words over its
+    longest inner word, which a holder has between the same blanks; a shorter one
+    over its first four letters (first letter, if it has fewer). An empty part is
+    held by the first text of its document.
+    """
+    p = parts.where(F.col("x").isNotNull()).select(doc, "x").distinct()
+    t = texts.where(F.col("y").isNotNull()).select(doc, "y", *carry).distinct()
+    w = F.split("x", " ")
+    inner = F.filter(F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0))), lambda q: q != "")
+    longest = F.array_max(F.transform(inner, lambda q: F.struct(F.length(q).alias("n"), q.alias("q"))))["q"]
+    p = p.withColumn("__k", longest)
+    by_word = p.where("__k IS NOT NULL").join(t.withColumn("__k", F.explode(F.array_distinct(F.split("y", " ")))), [doc, "__k"])
+    short = p.where("__k IS NULL AND x != ''").withColumn("__k", F.when(F.length("x") >= 4, F.substring("x", 1, 4)).otherwise(F.substring("x", 1, 1)))
+    grams = F.when(F.length("y") >= 4, F.transform(F.sequence(F.lit(1), F.length("y") - 3), lambda i: F.substring(F.col("y"), i, F.lit(4)))).otherwise(F.array().cast("array<string>"))
+    some = t.join(short.select(doc).distinct(), doc, "left_semi")
+    by_gram = short.join(some.withColumn("__k", F.explode(F.array_distinct(F.concat(grams, F.split("y", ""))))), [doc, "__k"])
+    met = by_word.unionByName(by_gram).where(F.contains("y", "x")).drop("__k")
+    first = t.groupBy(doc).agg(F.min(F.struct(*[c for c in (*carry, "y")])).alias("f")).select(doc, "f.*")
+    return met.unionByName(p.where("x = ''").drop("__k").join(first, doc))
+
+
 def not_contained(items: DataFrame, blobs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Items whose text stands in none of the document's texts nor holds one of
-    them, in small letters. Items and texts of one document meet; documents are
-    bounded by their size."""
-    x = items.select(doc, F.lower(F.col(text)).alias("x")).distinct()
-    hit = x.join(blobs.select(doc, F.lower(F.col(text)).alias("y")).distinct(), doc).where(F.contains("y", "x") | F.contains("x", "y")).select(doc, "x").distinct()
+    them, in small letters."""
+    x = items.select(doc, F.lower(F.col(text)).alias("x"))
+    y = blobs.select(doc, F.lower(F.col(text)).alias("y"))
+    inside = holding(y, x, doc).select(doc, "x")
+    around = holding(x.withColumnRenamed("x", "y"), y.withColumnRenamed("y", "x"), doc).select(doc, F.col("y").alias("x"))
+    hit = inside.unionByName(around).distinct()
     return items.withColumn("x", F.lower(F.col(text))).join(hit, [doc, "x"], "left_anti").drop("x")
 
 
@@ -267,15 +294,19 @@ def cascade(items: DataFrame, stages: list[tuple[str, DataFrame, str]], doc: str
     left = items.withColumn("__k", F.lower(F.col(key)))
     out = None
     for name, texts, how in stages:
-        t = texts.select(doc, F.lower(F.col("text")).alias("__t")).distinct()
+        t = texts.select(doc, F.lower(F.col("text")).alias("y"))
+        k = left.select(doc, F.col("__k").alias("x"))
         if how == "equal":
-            hit = left.join(t, (left[doc] == t[doc]) & (F.col("__k") == F.col("__t")), "left_semi")
+            hit = t.select(doc, F.col("y").alias("__k"))
         else:
-            test = F.contains("__t", "__k") if how == "within" else F.contains("__t", "__k") | F.contains("__k", "__t")
-            hit = left.join(t, (left[doc] == t[doc]) & test, "left_semi")
-        part = hit.withColumn("found_by", F.lit(name))
+            hit = holding(t, k, doc).select(doc, F.col("x").alias("__k"))
+            if how == "either":
+                around = holding(k.withColumnRenamed("x", "y"), t.withColumnRenamed("y", "x"), doc)
+                hit = hit.unionByName(around.select(doc, F.col("y").alias("__k")))
+        hit = hit.distinct()
+        part = left.join(hit, [doc, "__k"], "left_semi").select(left.columns).withColumn("found_by", F.lit(name))
         out = part if out is None else out.unionByName(part)
-        left = left.join(hit.select(doc, "__k").distinct(), [doc, "__k"], "left_anti").select(left.columns)
+        left = left.join(hit, [doc, "__k"], "left_anti").select(left.columns)
     rest = left.withColumn("found_by", F.lit(None).cast("string"))
     return (rest if out is None else out.unionByName(rest)).drop("__k")
 
@@ -284,7 +315,8 @@ def locate(items: DataFrame, lines: DataFrame, least_words: int = 2, doc: str =
     """``(doc, key, line)``: first line of the document that holds each item's text."""
     i = items.where(T.word_count(F.col("text")) >= least_words).select(doc, key, T.squeeze(F.lower("text")).alias("x"))
     t = lines.select(doc, F.col(order).alias("line"), T.squeeze(F.lower("text")).alias("y"))
-    return i.join(t, doc).where(F.contains("y", "x")).groupBy(doc, key).agg(F.min("line").alias("line"))
+    found = holding(t, i, doc, ("line",)).groupBy(doc, "x").agg(F.min("line").alias("line"))
+    return i.join(found, [doc, "x"]).select(doc, key, "line")
 
 
 def islands(lines: DataFrame, starts: Column, doc: str = "doc_id", order: str = "idx", block: int = 5000) -> DataFrame:
@@ -335,7 +367,9 @@ def sampled_values(values: DataFrame, blobs: DataFrame, k: int = 30, doc: str =
     that stand nowhere in its text, neither plain nor escaped."""
     first = values.withColumn("__k", F.row_number().over(Window.partitionBy(doc).orderBy(order))).where(F.col("__k") <= k)
     escaped = F.replace(F.replace(F.replace("value", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    hit = first.join(blobs.select(doc, "text"), doc).where(F.contains("text", "value") | F.contains("text", escaped)).select(doc, "__k").distinct().withColumn("hit", F.lit(1))
+    forms = first.select(doc, "__k", F.explode(F.array_distinct(F.array(F.col("value"), escaped))).alias("x"))
+    held = holding(blobs.select(doc, F.col("text").alias("y")), forms, doc).select(doc, "x").distinct()
+    hit = forms.join(held, [doc, "x"]).select(doc, "__k").distinct().withColumn("hit", F.lit(1))
     return first.join(hit, [doc, "__k"], "left").groupBy(doc).agg(F.count("*").alias("sampled"), F.count_if(F.col("hit").isNull()).alias("missing"))
 
 
@@ -343,7 +377,8 @@ def lower_cased(values: DataFrame, blobs: DataFrame, doc: str = "doc_id") -> Dat
     """``(doc, value)``: values all in capitals that the target has only in small or
     capitalised letters."""
     v = values.where(T.all_caps(F.col("value")) & (F.length("value") > 2)).select(doc, "value").distinct()
-    met = v.join(blobs.select(doc, "text"), doc).groupBy(doc, "value").agg(
-        F.bool_or(F.contains("text", "value")).alias("same"), F.bool_or(F.contains("text", F.lower("value")) | F.contains("text", F.initcap("value"))).alias("lower")
-    )
-    return met.where(~F.col("same") & F.col("lower")).select(doc, "value")
+    texts = blobs.select(doc, F.col("text").alias("y"))
+    forms = v.select(doc, "value", F.explode(F.array(F.struct(F.lit(True).alias("same"), F.col("value").alias("x")), F.struct(F.lit(False).alias("same"), F.lower("value").alias("x")), F.struct(F.lit(False).alias("same"), F.initcap("value").alias("x")))).alias("f")).select(doc, "value", "f.*")
+    held = holding(texts, forms, doc).select(doc, "x").distinct()
+    met = forms.join(held, [doc, "x"]).groupBy(doc, "value").agg(F.bool_or("same").alias("same"))
+    return met.where(~F.col("same")).select(doc, "value")

@@ -108,3 +108,14 @@ def test_jaccard(a, b):
     x, y = [str(v) for v in a], [str(v) for v in b]
     got = spark.createDataFrame([(x, y)], "a array<string>, b array<string>").select(T.jaccard(F.col("a"), F.col("b"))).first()[0]
     assert got == (len({*x} & {*y}) / len({*x} | {*y}) if x or y else 0.0)
+
+
+def test_holding_equals_brute_force(spark):
+    r = random.Random(11)
+    text = lambda n: "".join(r.choice("ab c") for _ in range(n))
+    texts = [(d, text(r.randint(0, 25))) for d in range(3) for _ in range(8)]
+    parts = [(d, text(r.randint(0, 9))) for d in range(3) for _ in range(25)]
+    got = {(x.doc_id, x.x, x.y) for x in J.holding(spark.createDataFrame(texts, "doc_id int, y string"), spark.createDataFrame(parts, "doc_id int, x string")).collect()}
+    want = {(d, x, y) for d, x in parts for e, y in texts if d == e and x and x in y}
+    assert {g for g in got if g[1]} == want
+    assert {(d, x) for d, x, _ in got if not x} == {(d, x) for d, x in parts if not x}
