@@ -71,6 +71,8 @@ DIMENSION, GRAM, SAMPLE_PER_LANGUAGE = 1 << 15, 3, 400
 #: Fewest letters of a segment that is judged by itself, and least confidence of
 #: a segment that is called foreign.
 LEAST_LETTERS, LEAST_CONFIDENCE = 12, 0.6
+#: Least and greatest length of a text in the training sample.
+TRAIN_SIGNS = (40, 20_000)
 #: Greatest weight of a sentence that comes often in the sample.
 MOST_WEIGHT = 6
 SEED = 20170102
@@ -298,12 +300,12 @@ def _fit(x: list[Row], labels: list[str], weights: list[float]) -> Model:
 def train(labelled: DataFrame, text: str, label: str, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Model from a sample of ``labelled`` with about ``per_language`` rows of each
     label, drawn evenly by the hash of the text; at most twice as many rows times
-    the number of labels reach the driver. Rows with null text or without a
-    language in the label are left out.
+    the number of labels, each of ``TRAIN_SIGNS`` code points, reach the driver. Rows
+    with null text or without a language in the label are left out.
     """
     need(labelled, text, label)
     rows = labelled.select(F.col(text).alias("t"), label_code(F.col(label)).alias("l")).where(
-        F.col("l").isNotNull() & (F.char_length(F.trim("t")) >= 40)
+        F.col("l").isNotNull() & F.char_length("t").between(*TRAIN_SIGNS)
     )
     rows = rows.withColumn("h", F.abs(F.xxhash64("t")) % 1_000_000)
     counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
@@ -313,9 +315,8 @@ def train(labelled: DataFrame, text: str, label: str, per_language: int = SAMPLE
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1_000_000, math.ceil(1_000_000 * per_language / n)))])
     sample = rows.where(F.col("h") < F.coalesce(share[F.col("l")], F.lit(0))).select("l", "t")
     got = sample.limit(2 * per_language * len(counts)).collect()
-    # A labelled text trains with its first 4,000 code points; classification reads whole texts.
     stands_for = {lang: max(1.0, n / per_language) for lang, n in counts.items()}
-    return fit([readable(r["t"][:4000]) for r in got], [r["l"] for r in got], stands_for)
+    return fit([readable(r["t"]) for r in got], [r["l"] for r in got], stands_for)
 
 
 SEGMENT = ArrayType(StructType([

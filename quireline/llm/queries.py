@@ -115,6 +115,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_paragraphs, p3_found, p3_pieces, p4_found, p5_found, p5_languages, p6_containers, p7_mix, p7_shares, p8_found)}
 
 
+def _sql_class(signs: str) -> str:
+    """Signs as the body of a regular-expression class in SQL."""
+    return "".join(f"\\x{{{ord(c):x}}}" for c in dict.fromkeys(signs))
+
+
+#: Blanks as Python knows them.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express."""
-    return {}
+    run = f"[^{_sql_class(BLANKS + split.SENTENCE_MARKS + split.CLAUSE_MARKS)}]+"
+    long_ = "SELECT DISTINCT '{item}' AS item, {key} AS item_id, text FROM {table} WHERE side = 'pdf_l4' AND length(text) > {limit}"
+    rows = " UNION ALL ".join(long_.format(item=i, key=f"{k}_id", table=t, limit=split.LIMIT) for i, k, t in (("paragraph", "para", "paragraphs"), ("heading", "heading", "headings")))
+    hard = f"coalesce(list_max(list_transform(regexp_extract_all(text, '{run}'), lambda x: length(x))), 0) > {split.LIMIT}"
+    return {"p3_found": f"SELECT item, item_id, CAST({hard} AS INT) AS hard FROM ({rows})"}

@@ -115,7 +115,7 @@ class Transducer:
     """One-pass rewriting of a text, cluster by cluster, longest match first."""
 
     #: Clusters remembered per process; the memory is emptied beyond it.
-    REMEMBER = 100_000
+    REMEMBER = 20_000
 
     def __init__(self, alike: bool) -> None:
         self.alike, self.table = alike, build_table(alike)
@@ -194,7 +194,7 @@ _BORROWING = re.compile("[Ͱ-Ͽ԰-֏Ѐ-ԯ]")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=20_000)
 def _one_script(word: str) -> str:
     """A word of mixed scripts in the script of its letters that have no double."""
     like = lookalikes()
