@@ -81,6 +81,14 @@ def ngrams(tokens: Column, n: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+def gram_hashes(tokens: Column, n: int) -> Column:
+    """Hashes of the different word n-grams. ``tokens`` should be a column that is
+    there, not an expression: it is read once for each n-gram."""
+    return F.when(
+        F.size(tokens) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.xxhash64(F.slice(tokens, i, n))))
+    ).otherwise(F.array().cast("array<bigint>"))
+
+
 def windows(tokens: Column, size: int, step: int) -> Column:
     """Sliding windows of ``size`` words every ``step`` words."""
     return F.when(

@@ -18,9 +18,9 @@ def gram_coverage(source: DataFrame, target: DataFrame, words: Column, n: int =
     side is made distinct before they meet, so a document of many copies is small.
     Texts of fewer than ``n`` words are left out (see ``short_containment``).
     """
-    hashed = F.array_distinct(F.transform(T.ngrams(words, n), lambda g: F.xxhash64(g)))
-    s = source.select(doc, key, F.explode(hashed).alias("g"))
-    t = target.select(doc, F.explode(hashed).alias("g")).distinct().withColumn("hit", F.lit(1))
+    grams = T.gram_hashes(F.col("__w"), n)
+    s = source.select(doc, key, words.alias("__w")).select(doc, key, F.explode(grams).alias("g"))
+    t = target.select(doc, words.alias("__w")).select(doc, F.explode(grams).alias("g")).distinct().withColumn("hit", F.lit(1))
     return s.join(t, [doc, "g"], "left").groupBy(doc, key).agg(F.count("*").alias("grams"), F.count("hit").alias("hits")).withColumn("coverage", F.col("hits") / F.col("grams"))
 
 
@@ -35,7 +35,7 @@ def word_containment(source: DataFrame, target: DataFrame, words: Column, doc: s
 def window_coverage(source: DataFrame, target: DataFrame, words: Column, size: int = 15, step: int = 8, least: float = 0.6, doc: str = "doc_id", key: str = "para_id") -> DataFrame:
     """``(doc, key, windows, covered)``: sliding windows of each source text, and
     those ``least`` of whose words occur in the target."""
-    s = source.select(doc, key, F.posexplode(T.windows(words, size, step)).alias("k", "w")).select(doc, key, "k", F.explode("w").alias("w"))
+    s = source.select(doc, key, words.alias("__w")).select(doc, key, F.posexplode(T.windows(F.col("__w"), size, step)).alias("k", "w")).select(doc, key, "k", F.explode("w").alias("w"))
     t = target.select(doc, F.explode(F.array_distinct(words)).alias("w")).distinct().withColumn("hit", F.lit(1))
     each = s.join(t, [doc, "w"], "left").groupBy(doc, key, "k").agg((F.count("hit") / F.count("*")).alias("c"))
     return each.groupBy(doc, key).agg(F.count("*").alias("windows"), F.count_if(F.col("c") >= least).alias("covered"))
@@ -226,14 +226,15 @@ def confirmed_missing(sentences: DataFrame, least_neighbour: float = 0.5, most:
 def truncated_heads(source: DataFrame, target: DataFrame, words: Column, head: int = 6, least_words: int = 15, tail: float = 0.65, doc: str = "doc_id", key: str = "para_id") -> DataFrame:
     """``(doc, key)``: source texts whose first ``head`` words stand together nowhere
     in the target while most words of four and more letters of the rest do."""
-    ws = words
-    long_ = source.where(F.size(ws) >= least_words)
-    heads = long_.select(doc, key, F.xxhash64(F.array_join(F.slice(ws, 1, head), " ")).alias("g"))
-    grams = target.select(doc, F.explode(F.array_distinct(F.transform(T.ngrams(ws, head), lambda g: F.xxhash64(g)))).alias("g")).distinct()
+    w = F.col("__w")
+    src, tgt = source.select(doc, key, words.alias("__w")), target.select(doc, words.alias("__w"))
+    long_ = src.where(F.size(w) >= least_words)
+    heads = long_.select(doc, key, F.xxhash64(F.slice(w, 1, head)).alias("g"))
+    grams = tgt.select(doc, F.explode(T.gram_hashes(w, head)).alias("g")).distinct()
     lost = heads.join(grams, [doc, "g"], "left_anti").select(doc, key)
-    rest = F.filter(F.slice(ws, head + 1, 100_000), lambda w: F.length(w) >= 4)
+    rest = F.filter(F.slice(w, F.lit(head + 1), F.size(w)), lambda x: F.length(x) >= 4)
     r = long_.select(doc, key, F.explode(F.array_distinct(rest)).alias("w"))
-    t = target.select(doc, F.explode(F.array_distinct(ws)).alias("w")).distinct().withColumn("hit", F.lit(1))
+    t = tgt.select(doc, F.explode(F.array_distinct(w)).alias("w")).distinct().withColumn("hit", F.lit(1))
     kept = r.join(t, [doc, "w"], "left").groupBy(doc, key).agg((F.count("hit") / F.count("*")).alias("c")).where(F.col("c") >= tail)
     return lost.join(kept, [doc, key], "left_semi")
 
@@ -351,15 +352,17 @@ def staged_coverage(source: DataFrame, target: DataFrame, words: Column, doc: st
 def absent_items(source: DataFrame, target: DataFrame, words, least_items: int = 2, first: int = 12, doc: str = "doc_id", key: str = "para_id") -> DataFrame:
     """``(doc, key, no, item)``: items of enumerations whose first words stand
     together nowhere in the target; ``words`` makes the words of a text."""
-    items = source.where(F.size(T.bullets(F.col("text"))) >= least_items).select(doc, key, F.posexplode(T.bullets(F.col("text"))).alias("no", "item"))
-    head = lambda c: F.slice(words(c), 1, first)
-    items = items.withColumn("n", F.size(head(F.col("item")))).where("n > 0").withColumn("g", F.xxhash64(F.array_join(head(F.col("item")), " ")))
-    sizes = [r["n"] for r in items.select("n").distinct().collect()]
-    t = None
-    for n in sizes:
-        one = target.select(doc, F.lit(n).alias("n"), F.explode(F.array_distinct(F.transform(T.ngrams(words(F.col("text")), n), lambda x: F.xxhash64(x)))).alias("g")).distinct()
-        t = one if t is None else t.unionByName(one)
-    return (items if t is None else items.join(t, [doc, "n", "g"], "left_anti")).select(doc, key, "no", "item")
+    parts = source.select(doc, key, T.bullets(F.col("text")).alias("__b")).where(F.size("__b") >= least_items)
+    items = parts.select(doc, key, F.posexplode("__b").alias("no", "item")).withColumn("__h", F.slice(words(F.col("item")), 1, first))
+    items = items.withColumn("n", F.size("__h")).where("n > 0").withColumn("g", F.xxhash64("__h"))
+    t = target.select(doc, words(F.col("text")).alias("__w"))
+    # Items of one document have few lengths, at most ``first``.
+    grams = None
+    for n in range(1, first + 1):
+        need = items.where(F.col("n") == n).select(doc).distinct()
+        one = t.join(need, doc, "left_semi").select(doc, F.lit(n).alias("n"), F.explode(T.gram_hashes(F.col("__w"), n)).alias("g")).distinct()
+        grams = one if grams is None else grams.unionByName(one)
+    return items.join(grams, [doc, "n", "g"], "left_anti").select(doc, key, "no", "item")
 
 
 def sampled_values(values: DataFrame, blobs: DataFrame, k: int = 30, doc: str = "doc_id", order: str = "ord") -> DataFrame:
