@@ -75,7 +75,12 @@ def regularity(codes: np.ndarray) -> float:
     n = len(codes)
     if n < 8:
         return 0.0
-    lags = [float(np.mean(codes[k:] == codes[:-k])) for k in range(1, min(MAX_LAG, n // 2) + 1)]
+    # Each match is a term that was there before; with too few of those no lag, nor
+    # two together, can reach the least regularity, and neither can even gaps.
+    again = n - len(set(codes.tolist()))
+    if again < LEAST_REGULAR / 2 * (n - MAX_LAG):
+        return 0.0
+    lags = [np.count_nonzero(codes[k:] == codes[:-k]) / (n - k) for k in range(1, min(MAX_LAG, n // 2) + 1)]
     best = max([a + b for a, b in zip(lags, lags[1:])] + lags)
     order = np.argsort(codes, kind="stable")
     sorted_codes = codes[order]
