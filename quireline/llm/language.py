@@ -90,6 +90,8 @@ for _k, (_, _r) in enumerate(_SCRIPTS):
 #: Indexes before those of the n-grams.
 RESERVED = 2 * len(_SCRIPTS)
 _JUNK = re.compile(r"[A-Za-z0-9+/_=-]{31,}|[A-Za-z_]+[_=]\S*|https?://\S+|[A-Za-z]+\d\w*|\d+[A-Za-z]\w*")
+#: Found in every text that holds such junk, and quicker to look for.
+_MAYBE_JUNK = re.compile(r"[\d_=/]|\S{31}")
 _NAME = re.compile(r"(?<=[^\W_] )[A-ZÀ-ÖØ-Þ][\w'’.&-]*")
 _LETTER = re.compile(r"[^\W\d_]")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -106,7 +108,7 @@ def label_code(label: Column) -> Column:
 
 def worded(text: str) -> str:
     """A text without what is no language: codes, addresses and endless runs."""
-    return _JUNK.sub(" ", text)
+    return _JUNK.sub(" ", text) if _MAYBE_JUNK.search(text) else text
 
 
 def letters_of(text: str) -> tuple[np.ndarray, np.ndarray]:
