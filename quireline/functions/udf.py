@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from difflib import SequenceMatcher
 
@@ -35,3 +36,25 @@ def xml_ok(raw: pd.Series) -> pd.Series:
             return False
 
     return raw.map(one, na_action="ignore")
+
+
+_CHARSET = re.compile(rb"charset\s*=\s*[\"']?\s*([A-Za-z0-9_.:-]+)", re.I)
+_META = re.compile(rb"<meta\s[^>]*?charset\s*=\s*[\"']?\s*([A-Za-z0-9_.:-]+)", re.I)
+
+
+def decoded(raw: bytes, headers: str | None) -> str:
+    """Text of a page's bytes: UTF-8 if they are, else the first charset that its
+    headers or its markup declare and that fits, else one sign a byte."""
+    tries = ["utf-8", *(m[1].decode("ascii") for m in (_CHARSET.search((headers or "").encode()), _META.search(raw)) if m)]
+    for name in tries:
+        try:
+            return str(raw, name)
+        except (UnicodeError, LookupError):
+            pass
+    return raw.decode("iso-8859-1")
+
+
+@F.pandas_udf(StringType())
+def page_text(raw: pd.Series, headers: pd.Series) -> pd.Series:
+    """``decoded`` for columns; null bytes give null."""
+    return pd.Series([None if r is None else decoded(bytes(r), h) for r, h in zip(raw, headers)], dtype=object)

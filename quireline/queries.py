@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quireline.functions import entities as E
 from quireline.functions import text as T
-from quireline.functions.udf import nfc, seq_ratio, xml_ok
+from quireline.functions.udf import nfc, page_text, seq_ratio, xml_ok
 from quireline.operators import compare as J
 from quireline.operators import corpus as A
 from quireline.operators import fixes as X
@@ -93,6 +93,13 @@ def t07_headings(spark, root):
     return d.select("doc_id", F.posexplode(M.element_texts(ok, "h1")).alias("ord", "heading"))
 
 
+@query()
+def t07_all_headings(spark, root):
+    """Headings of all pages, each in its own charset; DuckDB can't decode them."""
+    d = table(spark, root, "documents").select("doc_id", page_text("raw", "headers").alias("raw"))
+    return d.select("doc_id", F.posexplode(M.element_texts(F.col("raw"), "h1")).alias("ord", "heading"))
+
+
 @query(rf"""SELECT doc_id, CAST(len(regexp_extract_all(raw, '(?i)<p[\s>/]')) AS INT) AS p, CAST(len(regexp_extract_all(raw, '(?i)<li[\s>/]')) AS INT) AS li, CAST(len(regexp_extract_all(raw, '(?i)<a[\s>/]')) AS INT) AS a FROM {RAW}""")
 def t08_count_tag(spark, root):
     """Numbers of paragraph, item and link tags."""
