@@ -3,7 +3,8 @@
 Method: term recurrence and positional autocorrelation. Running text is read in
 windows of terms; in each, the gaps between the recurrences of every term and the
 autocorrelation of the sequence at short lags tell whether words come back too
-regularly for sentences. Enumerations (many short parts between separators, or
+regularly for sentences; text of scripts without blanks is read in windows of
+n-grams of signs as well. Enumerations (many short parts between separators, or
 many short lines, without function words and final marks) are the second kind.
 Both kinds are weighed by length against sentences; menus, notices, titles and
 footers weigh on neither side.
@@ -30,6 +31,12 @@ MEAN_GAP, GAP_SPREAD = 6.5, 0.75
 SENTENCE_TERMS, FAR_TOO_REGULAR = 16, 0.6
 #: Signs of a term from which on it is a clause of a script without blanks.
 CLAUSE_SIGNS = 7
+#: Signs of an n-gram, of a window of n-grams and of the longest mean gap between
+#: the recurrences of one, in text without blanks; three times as many where each
+#: sign was garbled into three.
+GRAM, GRAM_WINDOW, GRAM_GAP = 4, 200, 24
+#: Signs to one final mark in running text of such a script.
+SENTENCE_SIGNS = 3 * SENTENCE_TERMS
 #: Short lines in a row that are more than a menu; terms of a short line.
 MANY_LINES, SHORT_LINE = 16, 9
 #: Parts of an enumeration in one line, their mean length in terms.
@@ -58,6 +65,8 @@ _URL = re.compile(r"https?://\S+|\bwww\.\S+")
 _END = re.compile(r"[^\W\d_][\])\"»”’]*\s?[.!?…][\"»”)\]’]*(?=\s|$)|[。！？।؟][”」»\")]*")
 _PARTS = re.compile(r"\s+[|·•*/＊»>–—-]{1,2}\s+|\s*[|,;、，]\s*|\t|(?:^|\s)#")
 _WIDE = re.compile("[぀-ヿ㐀-鿿]")
+_MARKS = frozenset("。！？；、，.!?「」『』（）()“”")
+_GARBLED = re.compile("[\x80-\xff\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122\ufffd]")
 _FOOTER = re.compile(r"(?:19|20)\d\d \S+\.\w{2,} \|")
 _NAV = re.compile(r"\s(?:[|>›»·•]|/)\s")
 
@@ -119,6 +128,48 @@ def stuffed_share(line_terms: list[str], ends: int) -> float:
     return float(np.mean(hit / np.maximum(seen, 1) >= 0.5))
 
 
+def gram_cover(codes: np.ndarray, size: int, gap: float) -> float:
+    """Share of the signs that lie in n-grams whose recurrences are short and even
+    gaps apart; ``codes`` has the n-gram that begins at each sign, negative if it
+    proves nothing."""
+    order = np.argsort(codes, kind="stable")
+    kinds, starts, counts = np.unique(codes[order], return_index=True, return_counts=True)
+    covered = np.zeros(len(codes) + size - 1, dtype=bool)
+    for k in np.flatnonzero((counts >= 4) & (kinds >= 0)):
+        at = order[starts[k] : starts[k] + counts[k]]
+        gaps = np.diff(at)
+        # An n-gram that overlaps itself is a row of one sign, a rule or dots.
+        if size <= gaps.mean() <= gap and gaps.std() <= GAP_SPREAD * gaps.mean():
+            for a in at:
+                covered[a : a + size] = True
+    return float(covered.mean())
+
+
+def stuffed_grams(line: str, ends: int) -> float:
+    """Share of a line of a script without blanks, garbled or not, that lies in
+    windows whose n-grams recur too regularly; 0 for other lines."""
+    garbled = 2 * len(_GARBLED.findall(line)) >= len(line)
+    if not garbled and 3 * len(_WIDE.findall(line)) < len(line):
+        return 0.0
+    unit = 3 if garbled else 1
+    size, window = GRAM * unit, GRAM_WINDOW * unit
+    n = len(line) - size + 1
+    if n < 3 * size:
+        return 0.0
+    names: dict[str, int] = {}
+    grams = [line[i : i + size] for i in range(n)]
+    # Keywords hold no marks; signs that a wrong charset has erased prove nothing.
+    codes = np.array([-1 if 2 * g.count("\ufffd") >= size or not _MARKS.isdisjoint(g) else names.setdefault(g, len(names)) for g in grams])
+    least = FAR_TOO_REGULAR if ends * SENTENCE_SIGNS >= len(line) else LEAST_REGULAR
+    hit = np.zeros(n)
+    seen = np.zeros(n)
+    for a in range(0, max(1, n - window // 2), window // 2):
+        b = min(n, a + window)
+        hit[a:b] += gram_cover(codes[a:b], size, GRAM_GAP * unit) >= least
+        seen[a:b] += 1
+    return float(np.mean(hit / np.maximum(seen, 1) >= 0.5))
+
+
 def is_enumeration(line: str, words: list[str], ends: int) -> bool:
     """Many short parts between separators, hardly a final mark or function word."""
     parts = [p for p in _PARTS.split(line) if p]
@@ -174,7 +225,7 @@ def weigh(text: str) -> tuple[float, float]:
             close()
             continue
         close()
-        share = stuffed_share(words, ends)
+        share = max(stuffed_share(words, ends), stuffed_grams(line, ends))
         spam += share * len(line)
         prose += (1 - share) * len(line)
     close()

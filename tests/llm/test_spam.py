@@ -51,6 +51,25 @@ def test_garbled():
     assert share((PROSE["ru"] * 4).encode("koi8-r").decode("utf-8", "replace")) < 0.5
 
 
+def stuffed_wide(text, word):
+    """``text`` with ``word`` and a filler after every third sign."""
+    pick = random.Random(7)
+    return "".join(text[i : i + 3] + word + pick.choice(["", "", "購入", "最安値"]) for i in range(0, len(text), 3))
+
+
+def test_stuffed_without_blanks():
+    prose = "発行者は重要な変更の届出を変更してはならない。受益者に代わって監査委員会は実質所有者の名簿を提出した。手数料は適用される契約に従って期間を延長する。"
+    for word in ("通販 マットレス", "購入 時計"):
+        t = stuffed_wide(prose, word)
+        assert share(t) > 0.9, word
+        assert share(t.encode().decode("latin-1")) > 0.9, word
+        # A stuffed part of a long line counts as far as it reaches.
+        other = "".join(chr(0x4E00 + i) for i in range(2000))
+        assert 0.05 < share(other + t) < 0.2, word
+    assert share(prose * 5) == 0.0 and S.stuffed_grams((prose * 5).encode().decode("latin-1"), 0) == 0.0
+    assert share("\ufffd" * 400) == 0.0 and share("…" * 400) == 0.0
+
+
 def test_frame(spark):
     rows = [(1, SPAM["tags"], 0.1), (1, SPAM["tags"], 0.1), (2, PROSE["en"], 0.1), (3, None, 0.1), (4, "", 0.1)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, spam_share double")
