@@ -131,11 +131,11 @@ def paragraphs(raw: Column, v: MarkupVocabulary, least_words: int = 3) -> Column
     return F.filter(F.transform(found, inner_text), lambda x: F.size(T.words(x)) >= least_words)
 
 
-def sections(docs: DataFrame, v: MarkupVocabulary, raw: str = "raw", key: str = "doc_id", longest: int = 2800, preamble_words: int = 10) -> DataFrame:
+def sections(docs: DataFrame, v: MarkupVocabulary, raw: str = "raw", key: str = "doc_id", longest: int | None = None, preamble_words: int = 10) -> DataFrame:
     """``(key, ord, heading, content, raw_len)``: a text split at the first block
     level of the vocabulary that occurs at least twice; what comes before the first
-    block counts if it has ``preamble_words`` words; ``content`` is the text's first
-    ``longest`` code points, ``raw_len`` its whole length."""
+    block counts if it has ``preamble_words`` words; ``content`` is the whole text or,
+    if asked for, its first ``longest`` code points, ``raw_len`` its whole length."""
     level = F.coalesce(*[F.when(count_tag(F.col(raw), b) >= 2, F.lit(b)) for b in v.blocks], F.lit(v.blocks[0]))
     split = F.coalesce(*[F.when(level == b, F.split(F.col(raw), rf"(?i)(?=<{b}[\s>])", -1)) for b in v.blocks])
     rows = docs.select(key, level.alias("level"), F.posexplode(split).alias("ord", "part"))
@@ -143,7 +143,8 @@ def sections(docs: DataFrame, v: MarkupVocabulary, raw: str = "raw", key: str =
     rows = rows.withColumns({"content": body, "heading": F.get(element_texts(F.col("part"), v.heading), F.lit(0))})
     starts = F.regexp_like("part", F.concat(F.lit("(?i)^<"), F.col("level"), F.lit(r"[\s>]")))
     kept = rows.where(starts | (F.size(T.words(F.col("content"))) >= preamble_words))
-    return kept.select(key, "ord", F.coalesce("heading", F.lit("")).alias("heading"), F.substring("content", 1, longest).alias("content"), F.length("content").alias("raw_len"))
+    content = F.col("content") if longest is None else F.substring("content", 1, longest)
+    return kept.select(key, "ord", F.coalesce("heading", F.lit("")).alias("heading"), content.alias("content"), F.length("content").alias("raw_len"))
 
 
 def nesting_depth(raw: Column, void: tuple[str, ...] = ()) -> Column:

@@ -45,6 +45,14 @@ def test_sections_and_depth(spark):
     assert docs(spark, "<a><b></b></b></b><c>", "", "</x>").select(M.nesting_depth(F.col("raw"))).collect()[0][0] == 2
 
 
+def test_sections_are_whole(spark):
+    long = "word " * 2000 + "end"
+    d = docs(spark, f"<BLOCK2><TI>One</TI><P>{long}</P></BLOCK2><BLOCK2><TI>Two</TI></BLOCK2>")
+    first = M.sections(d, V).orderBy("ord").first()
+    assert first.content == "One " + long and first.raw_len == len(first.content)
+    assert M.sections(d, V, longest=50).orderBy("ord").first().content == ("One " + long)[:50]
+
+
 def test_paths(spark):
     p = M.tag_paths(docs(spark, "<a><b><c></b><d></a><e>"), M.MarkupVocabulary(void=("c",))).orderBy("ord").collect()
     assert [r.path for r in p] == ["a", "a/b", "a/b/c", "a/d", "e"]
