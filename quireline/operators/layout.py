@@ -127,14 +127,22 @@ def merge_lines(column: str = "__lines", short: int = 70) -> Column:
     return merged
 
 
-def paragraphs_from_lines(lines: DataFrame, order: str = "idx", least_words: int = 4, block: int = 2000) -> DataFrame:
-    """``(doc_id, chunk, ord, text)``: lines merged into paragraphs. Documents
-    longer than ``block`` lines are merged block by block, so no group is unbounded."""
-    rows = lines.where(~is_omitted(F.col("text"))).select("doc_id", F.expr(f"{order} div {block}").alias("chunk"), order, "text")
-    packed = rows.groupBy("doc_id", "chunk").agg(F.array_sort(F.collect_list(F.struct(order, "text"))).alias("l"))
-    packed = packed.withColumn("__lines", F.transform("l", lambda x: x["text"]))
-    out = packed.select("doc_id", "chunk", F.posexplode(merge_lines("__lines")).alias("ord", "text"))
-    return out.where(T.word_count(F.col("text")) >= least_words)
+def paragraphs_from_lines(lines: DataFrame, order: str = "idx", least_words: int = 4, block: int = 2000, short: int = 70) -> DataFrame:
+    """``(doc_id, chunk, ord, text)``: lines merged into paragraphs. A document is
+    merged run by run: where a final mark ends a line that is long or comes before a
+    capital, no text so far lets the next line go on. ``chunk`` tells the ``block``
+    lines in which a paragraph's run begins, ``ord`` counts in it."""
+    rows = lines.where(~is_omitted(F.col("text"))).select("doc_id", order, "text")
+    w = Window.partitionBy("doc_id").orderBy(order, "text")
+    last = F.lag("text").over(w)
+    ends = F.regexp_like(F.rtrim(last), F.lit(r"[.?!:;]$")) & ((F.length(last) >= short) | F.regexp_like(F.substring("text", 1, 1), F.lit(r"\p{Lu}")))
+    rows = rows.withColumn("__ends", F.coalesce(ends, F.lit(False)))
+    rows = rows.withColumn("run", F.count_if("__ends").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    packed = rows.groupBy("doc_id", "run").agg(F.array_sort(F.collect_list(F.struct(order, "text"))).alias("l"))
+    packed = packed.select("doc_id", "run", F.expr(f"l[0].{order} div {block}").alias("chunk"), F.transform("l", lambda x: x["text"]).alias("__lines"))
+    out = packed.select("doc_id", "chunk", "run", F.posexplode(merge_lines("__lines", short)).alias("k", "text"))
+    place = F.row_number().over(Window.partitionBy("doc_id", "chunk").orderBy("run", "k")) - 1
+    return out.select("doc_id", "chunk", place.alias("ord"), "text").where(T.word_count(F.col("text")) >= least_words)
 
 
 def distinct_headings(rows: DataFrame, order: str = "idx", least: float = 0.8, most: int = 2000) -> DataFrame:

@@ -33,6 +33,23 @@ def test_merge(spark):
     assert [r.text for r in out] == ["The first line goes on here.", rows[2][2], "Last"]
 
 
+def test_merge_over_block_borders(spark):
+    long = "A line that is long enough to be a paragraph of its own, since it goes on and on."
+    texts = ["An open line", "goes on here", "and then ends.", "Next", "one (a);", "small (b);", "small (c); and more of it, until it is long;", "not joined to that", long, "small again."] * 3
+    df = spark.createDataFrame([(d, i, t) for d in (1, 2) for i, t in enumerate(texts)], "doc_id bigint, idx int, text string")
+
+    def merged(block):
+        out = L.paragraphs_from_lines(df, least_words=2, block=block).orderBy("doc_id", "chunk", "ord").collect()
+        return [r.text for r in out if r.doc_id == 1], [(r.chunk, r.ord) for r in out if r.doc_id == 2]
+
+    whole = df.where("doc_id = 1").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("l"))
+    plain = whole.select(L.merge_lines("transform(l, x -> x.text)").alias("p")).first().p
+    for block in (2000, 10, 4, 1):
+        texts, places = merged(block)
+        assert texts == [p for p in plain if len(p.split()) >= 2], block
+        assert len(set(places)) == len(places)
+
+
 def test_running_heads(spark):
     rows = [(1, p, t) for p in range(4) for t in ("Head", f"text {p}")]
     df = spark.createDataFrame(rows, "doc_id bigint, page int, text string")
