@@ -147,20 +147,17 @@ def paragraphs_from_lines(lines: DataFrame, order: str = "idx", least_words: int
 
 def distinct_headings(rows: DataFrame, order: str = "idx", least: float = 0.8, most: int = 2000) -> DataFrame:
     """``(doc_id, headings)``: headings in order without those whose words overlap a
-    kept one by ``least``; a fold, since what is kept decides what goes. Documents
-    with more than ``most`` headings are folded in parts, then once more over what
-    the parts kept."""
-
-    def fold(df: DataFrame, key: list[str]) -> DataFrame:
-        got = df.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("text").alias("t")))).alias("h"))
-        return got.select(*key, F.expr(f"""aggregate(h, cast(array() as array<struct<o:bigint,t:string,w:array<string>>>), (a, x) ->
-            CASE WHEN exists(a, y -> size(array_union(y.w, __w(x.t))) > 0 AND size(array_intersect(y.w, __w(x.t))) >= {least} * size(array_union(y.w, __w(x.t))))
-              THEN a ELSE concat(a, array(named_struct('o', cast(x.o as bigint), 't', x.t, 'w', __w(x.t)))) END)""".replace(
-            "__w(x.t)", "array_distinct(filter(split(trim(regexp_replace(lower(x.t), '[^a-z0-9 ]', '')), ' '), q -> q != ''))")).alias("k"))
-
-    parts = fold(rows.withColumn("part", F.expr(f"{order} div {most}")), ["doc_id", "part"])
-    again = parts.select("doc_id", F.explode("k").alias("k")).select("doc_id", F.col("k.o").alias(order), F.col("k.t").alias("text"))
-    return fold(again, ["doc_id"]).select("doc_id", F.transform("k", lambda x: x["t"]).alias("headings"))
+    kept one by ``least``; a fold, since what is kept decides what goes. Headings
+    are gathered in parts of ``most`` and folded one part after the other, each
+    against what all earlier ones kept."""
+    part = F.expr(f"{order} div {most}").alias("part")
+    parts = rows.groupBy("doc_id", part).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("text").alias("t")))).alias("h"))
+    got = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "h"))).alias("p"))
+    kept = F.expr(f"""aggregate(p, cast(array() as array<struct<t:string,w:array<string>>>), (k, q) -> aggregate(q.h, k, (a, x) ->
+        CASE WHEN exists(a, y -> size(array_union(y.w, __w(x.t))) > 0 AND size(array_intersect(y.w, __w(x.t))) >= {least} * size(array_union(y.w, __w(x.t))))
+          THEN a ELSE concat(a, array(named_struct('t', x.t, 'w', __w(x.t)))) END))""".replace(
+        "__w(x.t)", "array_distinct(filter(split(trim(regexp_replace(lower(x.t), '[^a-z0-9 ]', '')), ' '), q -> q != ''))"))
+    return got.select("doc_id", kept.alias("k")).select("doc_id", F.transform("k", lambda x: x["t"]).alias("headings"))
 
 
 def two_columns(lines: DataFrame, share: float = 0.55, least: int = 20, pages: int = 5) -> DataFrame:

@@ -64,6 +64,16 @@ def test_distinct_headings(spark):
     assert L.distinct_headings(df, most=2).first().headings == ["General Rules of Play", "Costs", "Rules"]
 
 
+def test_distinct_headings_in_parts(spark):
+    # The third is like the second, the second like the first, the third not like the first.
+    texts = ["a b c d e f g h i", "a b c d e f g h i j", "b c d e f g h i j k", "other", "a b c d e f g h i"]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "doc_id bigint, idx int, text string")
+    for most in (2000, 3, 2, 1):
+        assert L.distinct_headings(df, most=most).first().headings == [texts[0], texts[2], "other"], most
+    late = df.selectExpr("doc_id", "CASE idx WHEN 0 THEN 0 ELSE idx + 1 END AS idx", "text")
+    assert L.distinct_headings(late, most=2).first().headings == [texts[0], texts[2], "other"]
+
+
 def test_columns_and_order(spark):
     s = spark.createDataFrame([span(0, i, 0, "x" * 30, x=x, y=y, w=200.0) for i, (x, y) in enumerate([(50.0, 10.0), (320.0, 5.0), (50.0, 30.0), (320.0, 40.0)])], SPAN)
     lines = L.span_lines(s)
