@@ -190,7 +190,7 @@ def tabular_rules(raw: Column) -> list[Rule]:
     body = lambda t: F.coalesce(F.get(M.elements(t, "TBLBODY"), F.lit(0)), F.lit(""))
     widths = lambda d: F.aggregate(F.regexp_extract_all(d, F.lit(r"(?i)COLWD\s*=\s*\"?([0-9]+)"), F.lit(1)), F.lit(0), lambda s, x: s + x.cast("int"))
     starts = lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?i)COLSTART\s*=\s*\"?([0-9]+)"), F.lit(1)), lambda x: x.cast("int"))
-    rows = F.slice(M.elements(raw, "TBLROW"), 1, 100)
+    rows = M.elements(raw, "TBLROW")
     wrong_order = lambda r: (F.size(starts(r)) > 0) & (starts(r) != F.sequence(F.lit(1), F.greatest(F.size(starts(r)), F.lit(1))))
     stated = lambda t: F.regexp_extract(t, r"(?i)<TBLROWS\s[^>]*?(?:COUNT|ROWS|N)\s*=\s*\"?([0-9]+)", 1)
     unbalanced = sum((_flag(F.regexp_count(raw, F.lit(rf"<{t}[\s>/]")) != F.regexp_count(raw, F.lit(rf"</{t}>"))) for t in BALANCED), F.lit(0))

@@ -38,6 +38,14 @@ def test_tabular_rules(spark):
     assert hits(spark, BOOK.replace('<TBLCDEF COLWD="50"></TBLCDEFS></TBLHEAD>', "</TBLCDEFS></TBLHEAD>"))["column numbers"] == 1
 
 
+def test_column_order_in_late_rows(spark):
+    row = '<TBLROW><TBLCELL COLSTART="{}">a</TBLCELL><TBLCELL COLSTART="{}">b</TBLCELL></TBLROW>'
+    raw = row.format(1, 2) * 120 + row.format(2, 1) * 2
+    d = spark.createDataFrame([(1, raw)], "doc_id bigint, raw string")
+    found = {r.rule: r.n for r in R.issues(d, R.tabular_rules(F.col("raw"))).collect()}
+    assert found["column order"] == 2
+
+
 def test_structure_scores(spark):
     d = spark.createDataFrame([(1, CLEAN), (2, ""), (3, CLEAN.replace("<P>One", "<SGMLTBL></SGMLTBL><P>One"))], "doc_id bigint, raw string")
     s = {r.doc_id: (r.structure, r.critical) for r in V.structure_scores(d, R.filing_rules(F.col("raw"), ["amp"])).collect()}
