@@ -2,32 +2,38 @@
 
 from __future__ import annotations
 
-import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Rows per Arrow batch. Texts may be megabytes long, so batches stay small.
 ARROW_ROWS = 1000
 
 
 def read(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Table ``name`` under ``root``; bounds the Arrow batches of the session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Table ``name`` under ``root``. Arrow batches are bounded for the session
+    unless its caller has chosen their size."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows over all cores, whatever the number of input files.
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` with at least as many partitions as the session has cores.
 
-    A small compressed file is one input split, but its texts may need minutes
-    of Python; the shuffle moves the text once. Without keys the rows go round
-    robin over the session's shuffle partitions (at least the default
-    parallelism), so no key can make one task large.
+    A scan of a large table has them already and stays as it is, so its texts aren't
+    shuffled. Only what comes in fewer pieces (small compressed files) is dealt round
+    robin, since its texts may need minutes of Python.
     """
-    session = df.sparkSession
-    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
-    return df.repartition(parts, *[F.col(k) for k in keys])
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(parts_of(df.sparkSession))
+
+
+def parts_of(session: SparkSession) -> int:
+    """Partitions of a shuffle that adaptive execution mustn't narrow, since few bytes
+    are much work there."""
+    return max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
 
 
 def need(df: DataFrame, *names: str) -> None:
@@ -42,26 +48,24 @@ def latest(df: DataFrame, key: str, keep: list[str]) -> DataFrame:
     return df.select(key, *[c for c in keep if c != key]).dropDuplicates([key])
 
 
-def char_class(chars: str) -> str:
-    """Body of a regular-expression character class that matches ``chars``."""
-    return "".join(re.escape(c) for c in chars)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written as a table into the cluster's shared folder and read again, so
     that what follows starts from there and reads only the columns it needs.
 
-    The folder is that of ``spark.checkpoint.dir``; only where it is unset, as in
-    tests, a temporary one is used.
+    The folder is that of ``spark.checkpoint.dir``. Only a local session may leave it
+    unset, as tests do; a cluster's executors couldn't read each other's folders. The
+    table is deleted when the session's JVM ends.
     """
-    import tempfile
-    import uuid
-
     session = df.sparkSession
-    where = session.sparkContext.getConf().get("spark.checkpoint.dir") or session.conf.get("spark.checkpoint.dir", None)
+    context = session.sparkContext
+    where = context.getConf().get("spark.checkpoint.dir") or session.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="quireline-")
         session.conf.set("spark.checkpoint.dir", where)
     path = f"{where.rstrip('/')}/quireline-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return session.read.schema(df.schema).parquet(path)

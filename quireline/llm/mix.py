@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 
 from quireline.llm.common import cut, need
 
-#: Slices of a source.
-SLICES = 256
+#: Pages that one slice of a source holds on average, if all were of one source.
+SLICE_PAGES = 20_000
 
 
-def mix(pages: DataFrame, weights: DataFrame, total: int | None = None, seed: int = 7, slices: int = SLICES) -> tuple[DataFrame, DataFrame]:
+def mix(pages: DataFrame, weights: DataFrame, total: int | None = None, seed: int = 7, slice_pages: int = SLICE_PAGES) -> tuple[DataFrame, DataFrame]:
     """Pages with their copies, and the report of the sources.
 
     ``pages(doc_id, source, tokens)`` and ``weights(source, target_share,
@@ -30,8 +30,8 @@ def mix(pages: DataFrame, weights: DataFrame, total: int | None = None, seed: in
 
     Pages with null source, without weight or tokens stay out; pages resent with
     one id count once; a weight that comes several times for a source counts once
-    (the greatest); a source without pages is reported with 0. Other columns are
-    ignored.
+    (the greatest); a source without pages is reported with 0. The slices follow the
+    number of pages, so none grows. Other columns are ignored.
     """
     need(pages, "doc_id", "source", "tokens")
     need(weights, "source", "target_share", "max_repeats")
@@ -39,7 +39,9 @@ def mix(pages: DataFrame, weights: DataFrame, total: int | None = None, seed: in
         F.min("source").alias("source"), F.max("tokens").alias("tokens")
     )
     w = weights.where(F.col("source").isNotNull()).groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    rows = cut(rows.withColumn("slice", F.abs(F.xxhash64("doc_id", F.lit(seed))) % slices))
+    rows = cut(rows)
+    slices = -(-rows.count() // slice_pages) or 1
+    rows = rows.withColumn("slice", F.abs(F.xxhash64("doc_id", F.lit(seed))) % slices)
     sums = cut(rows.groupBy("source", "slice").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")))
     size = sums.groupBy("source").agg(F.sum("t").alias("available"))
     all_tokens = sums.join(w, "source").agg(F.sum("t")).first()[0] or 0

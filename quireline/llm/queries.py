@@ -45,6 +45,11 @@ def p3_pieces(spark: SparkSession, root: str) -> DataFrame:
     return split.split_items(paras.unionByName(heads), only_long=True)
 
 
+def p3_rebuilt(spark: SparkSession, root: str) -> DataFrame:
+    """What the pieces of each oversized item give when put together again."""
+    return split.rebuilt(p3_pieces(spark, root))
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     """End of every sentence."""
     rows = read(spark, root, "paragraphs").where("side IN ('sgml', 'pdf_l4') AND text IS NOT NULL").select("para_id", "text")
@@ -95,6 +100,11 @@ def p6_containers(spark: SparkSession, root: str) -> DataFrame:
     return pack.pack(page_tokens(spark, root).select("doc_id", "tokens"))
 
 
+def p6_fill(spark: SparkSession, root: str) -> DataFrame:
+    """Number of containers and how full they are under each capacity."""
+    return pack.fill_report(p6_containers(spark, root))
+
+
 def p7_mix(spark: SparkSession, root: str) -> DataFrame:
     """Pages of the mix with their copies."""
     return mix.mix(page_tokens(spark, root), read(spark, root, "mix_weights"))[0]
@@ -112,7 +122,7 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage by name."""
-    return {f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_paragraphs, p3_found, p3_pieces, p4_found, p5_found, p5_languages, p6_containers, p7_mix, p7_shares, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_paragraphs, p3_found, p3_pieces, p3_rebuilt, p4_found, p5_found, p5_languages, p6_containers, p6_fill, p7_mix, p7_shares, p8_found)}
 
 
 def _sql_class(signs: str) -> str:
@@ -130,4 +140,7 @@ def oracle_sql() -> dict[str, str]:
     long_ = "SELECT DISTINCT '{item}' AS item, {key} AS item_id, text FROM {table} WHERE side = 'pdf_l4' AND length(text) > {limit}"
     rows = " UNION ALL ".join(long_.format(item=i, key=f"{k}_id", table=t, limit=split.LIMIT) for i, k, t in (("paragraph", "para", "paragraphs"), ("heading", "heading", "headings")))
     hard = f"coalesce(list_max(list_transform(regexp_extract_all(text, '{run}'), lambda x: length(x))), 0) > {split.LIMIT}"
-    return {"p3_found": f"SELECT item, item_id, CAST({hard} AS INT) AS hard FROM ({rows})"}
+    return {
+        "p3_found": f"SELECT item, item_id, CAST({hard} AS INT) AS hard FROM ({rows})",
+        "p3_rebuilt": f"SELECT item, item_id, md5(text) AS digest, 0 AS too_long, 0 AS wrong_overlaps FROM ({rows})",
+    }

@@ -1,10 +1,11 @@
 """Problem 3: oversized items cut at natural boundaries.
 
 Method: dynamic programming over boundary positions. ``boundaries`` gives every
-place where a text may be cut with a penalty (sentence end, clause end, blank,
-then places inside a run where nothing better is near); ``best_cuts`` takes the
+place where a text may be cut with a penalty (sentence end, clause end, blank, other
+mark, then places inside a run where nothing better is near); ``best_path`` takes the
 cuts whose penalties and deviations from an even size are least in sum, subject
-to the maximum length and the overlap of consecutive pieces.
+to the maximum length and the overlap of consecutive pieces, and tells which of them
+had to cut a run that no piece can hold.
 """
 
 from __future__ import annotations
@@ -12,13 +13,14 @@ from __future__ import annotations
 import re
 import unicodedata as U
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quireline.llm.common import need
+from quireline.llm.common import need, parts_of
 
 #: Largest piece and overlap of consecutive pieces, in code points.
 LIMIT, OVERLAP = 1200, (80, 120)
@@ -28,44 +30,48 @@ SENTENCE_MARKS = ".!?…" + "。！？．｡︒" + "।॥" + "؟۔" + "։" + "
 CLAUSE_MARKS = ",;:" + "、，；：､" + "،؛" + "՝" + "፣፤፥" + "᠂᠈" + "·"
 CLOSERS = "\"'”’»›)]}）］｝」』】》〉〕"
 
-PENALTY = {"paragraph": 0.0, "sentence": 0.05, "clause": 0.6, "blank": 1.0, "run": 40.0, "sign": 80.0}
+PENALTY = {"paragraph": 0.0, "sentence": 0.05, "clause": 0.6, "blank": 1.0, "mark": 6.0, "run": 40.0, "sign": 80.0}
 
-_MARK = "[" + re.escape(SENTENCE_MARKS + CLAUSE_MARKS) + "]"
-_RUN = re.compile(f"[^\\s{re.escape(SENTENCE_MARKS + CLAUSE_MARKS)}]+")
 _CUTS = re.compile(
     "(?P<paragraph>\\s*\\n\\s*)"
     f"|(?P<sentence>[{re.escape(SENTENCE_MARKS)}]+[{re.escape(CLOSERS)}]*(?:\\s+|$|(?<=[。！？।॥؟])))"
     f"|(?P<clause>[{re.escape(CLAUSE_MARKS)}][{re.escape(CLOSERS)}]*(?:\\s+|(?<=[、，；：،؛])))"
     "|(?P<blank>\\s+)"
+    f"|(?P<mark>[{re.escape(SENTENCE_MARKS + CLAUSE_MARKS)}])"
 )
 _JOINTS = re.compile(r"[_=/\\|&+~-]")
 
 
-def is_hard(text: str, limit: int = LIMIT) -> bool:
-    """Whether a run longer than ``limit`` has neither blank nor ending mark."""
-    return any(m.end() - m.start() > limit for m in _RUN.finditer(text))
+@dataclass
+class Boundaries:
+    """Places after which a text may be cut, ascending, both ends among them: their
+    penalties, and for a place inside a run without blank and ending mark the length of
+    that run, else 0."""
 
+    at: np.ndarray
+    cost: np.ndarray
+    run: np.ndarray
 
-def boundaries(text: str, limit: int = LIMIT, overlap: tuple[int, int] = OVERLAP) -> tuple[np.ndarray, np.ndarray]:
-    """Positions after which ``text`` may be cut, ascending, and their penalties.
 
-    Both ends are in it. Between two natural boundaries that no piece can span
-    there are joints of a run and, if need be, places between grapheme clusters.
-    """
-    at, cost = [0], [0.0]
+def boundaries(text: str, limit: int = LIMIT, overlap: tuple[int, int] = OVERLAP) -> Boundaries:
+    """Where ``text`` may be cut. Between two natural boundaries that no piece can span
+    there are joints of a run and, if need be, places between grapheme clusters."""
+    at, cost, begins = [0], [0.0], []
     for m in _CUTS.finditer(text):
         if m.end() > at[-1]:
             at.append(m.end())
             cost.append(PENALTY[m.lastgroup])
+            begins.append(m.start())
     if at[-1] != len(text):
         at.append(len(text))
         cost.append(0.0)
+        begins.append(len(text))
     else:
         cost[-1] = 0.0
     reach = limit - overlap[1]
-    extra_at, extra_cost = [], []
+    extra_at, extra_cost, extra_run = [], [], []
     step = max(1, min(16, overlap[0] // 4, reach // 4))
-    for a, b in zip(at, at[1:]):
+    for a, b, end in zip(at, at[1:], begins):
         if b - a <= reach:
             continue
         joints = {a + m.end() for m in _JOINTS.finditer(text[a:b])}
@@ -78,11 +84,10 @@ def boundaries(text: str, limit: int = LIMIT, overlap: tuple[int, int] = OVERLAP
             if a < p < b and not (extra_at and extra_at[-1] >= p):
                 extra_at.append(p)
                 extra_cost.append(PENALTY["run"] if p in joints else PENALTY["sign"])
-    if extra_at:
-        both = np.array(at + extra_at), np.array(cost + extra_cost)
-        order = np.argsort(both[0], kind="stable")
-        return both[0][order], both[1][order]
-    return np.array(at), np.array(cost)
+                extra_run.append(end - a if p < end else 0)
+    both = np.array(at + extra_at), np.array(cost + extra_cost), np.array([0] * len(at) + extra_run)
+    order = np.argsort(both[0], kind="stable")
+    return Boundaries(both[0][order], both[1][order], both[2][order])
 
 
 def overlap_start(text: str, cut: int, at: np.ndarray, cost: np.ndarray, overlap: tuple[int, int]) -> int:
@@ -99,8 +104,9 @@ def overlap_start(text: str, cut: int, at: np.ndarray, cost: np.ndarray, overlap
     return start
 
 
-def best_cuts(text: str, limit: int = LIMIT, overlap: tuple[int, int] = OVERLAP) -> list[tuple[int, int]]:
-    """``(start, end)`` of the pieces of ``text``, in order.
+def best_path(text: str, limit: int = LIMIT, overlap: tuple[int, int] = OVERLAP) -> tuple[list[tuple[int, int]], list[int]]:
+    """``(start, end)`` of the pieces of ``text``, in order, and for each the length of
+    the run that its end lies in, 0 at a natural boundary.
 
     A text within the limit is one piece, an empty one too. Time grows with the
     length times the boundaries within one limit, memory with the length.
@@ -109,53 +115,66 @@ def best_cuts(text: str, limit: int = LIMIT, overlap: tuple[int, int] = OVERLAP)
     if limit <= 2 * overlap[1] or overlap[0] > overlap[1] or overlap[0] < 0:
         raise ValueError("the limit must exceed twice the overlap")
     if n <= limit:
-        return [(0, n)]
-    at, cost = boundaries(text, limit, overlap)
+        return [(0, n)], [0]
+    places = boundaries(text, limit, overlap)
+    at, cost = places.at, places.cost
     starts = np.array([0] + [overlap_start(text, int(p), at, cost, overlap) for p in at[1:]])
-    pieces = int(np.ceil((n - overlap[1]) / (limit - overlap[1])))
-    even = min(limit, n / pieces + overlap[0])
+    even = even_size(n, limit, overlap)
     best = np.full(len(at), np.inf)
     back = np.zeros(len(at), dtype=np.int64)
     best[0] = 0.0
-    first = 0
+    # The first boundary whose piece reaches each place; starts needn't ascend strictly.
+    first = np.searchsorted(np.maximum.accumulate(starts), at - limit)
     for j in range(1, len(at)):
-        while at[j] - starts[first] > limit:
-            first += 1
-        size = at[j] - starts[first:j]
-        # A piece must hold more than what it repeats.
-        ok = (at[j] > at[first:j]) & ((at[first:j] == 0) | (at[j] - at[first:j] > 0))
-        total = best[first:j] + ((size - even) / limit) ** 2 + np.where(ok, 0.0, np.inf)
-        k = int(np.argmin(total)) if j > first else -1
-        if k >= 0 and np.isfinite(total[k]):
-            # A cut starts a new piece, so each cut costs something by itself.
-            best[j] = total[k] + cost[j] + 0.5
-            back[j] = first + k
+        f = first[j]
+        if f >= j:
+            continue
+        size = at[j] - starts[f:j]
+        uneven = (size - even) / limit
+        total = np.where(size <= limit, best[f:j] + uneven * uneven, np.inf)
+        k = int(total.argmin())
+        # A cut starts a new piece, so each cut costs something by itself.
+        best[j] = total[k] + cost[j] + 0.5
+        back[j] = f + k
     cuts, j = [], len(at) - 1
     while j:
         cuts.append(j)
         j = int(back[j])
     cuts.reverse()
-    return [(int(starts[int(back[j])]), int(at[j])) for j in cuts]
+    return [(int(starts[int(back[j])]), int(at[j])) for j in cuts], [int(places.run[j]) for j in cuts]
+
+
+def even_size(n: int, limit: int, overlap: tuple[int, int]) -> float:
+    """Length of the pieces of a text of ``n`` code points if all were equal."""
+    pieces = int(np.ceil((n - overlap[1]) / (limit - overlap[1])))
+    return min(limit, n / pieces + overlap[0])
 
 
-def _split_batches(limit: int, overlap: tuple[int, int], only_long: bool):
+def best_cuts(text: str, limit: int = LIMIT, overlap: tuple[int, int] = OVERLAP) -> list[tuple[int, int]]:
+    """``(start, end)`` of the pieces of ``text``, in order."""
+    return best_path(text, limit, overlap)[0]
+
+
+def _split_batches(limit: int, overlap: tuple[int, int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for item, key, text in zip(b["item"], b["item_id"], b["text"]):
-                if only_long and len(text) <= limit:
-                    continue
-                hard = int(is_hard(text, limit))
-                for no, (s, e) in enumerate(best_cuts(text, limit, overlap)):
-                    rows.append((item, key, no, s, e, text[s:e], hard))
-            yield pd.DataFrame(rows, columns=["item", "item_id", "piece", "start", "end", "text", "hard"])
+                pieces, runs = best_path(text, limit, overlap)
+                # No piece can hold such a run, so the best path had to cut inside it.
+                hard = int(max(runs) > limit)
+                for no, ((s, e), inside) in enumerate(zip(pieces, runs)):
+                    rows.append((item, key, no, s, e, text[s:e], inside, hard))
+            yield pd.DataFrame(rows, columns=["item", "item_id", "piece", "start", "end", "text", "inside", "hard"])
 
     return run
 
 
 def split_items(items: DataFrame, limit: int = LIMIT, overlap: tuple[int, int] = OVERLAP, only_long: bool = False) -> DataFrame:
-    """``(item, item_id, piece, start, end, text, hard)``: the pieces of each text
-    of ``items(item, item_id, text)``, offsets in code points.
+    """``(item, item_id, piece, start, end, text, inside, hard)``: the pieces of each
+    text of ``items(item, item_id, text)``, offsets in code points. ``inside`` is the
+    length of the run without natural boundary that a piece's end cuts, 0 if it cuts
+    none; ``hard`` is 1 if the text's best cuts lie in a run above the limit.
 
     Every piece has at most ``limit`` code points; each but the first repeats the
     last ``overlap[0]`` to ``overlap[1]`` code points of its predecessor; without
@@ -168,9 +187,28 @@ def split_items(items: DataFrame, limit: int = LIMIT, overlap: tuple[int, int] =
     rows = items.select("item", "item_id", "text").where(F.col("text").isNotNull())
     if only_long:
         rows = rows.where(F.char_length("text") > limit)
-    rows = rows.dropDuplicates(["item", "item_id"])
+    # Few bytes are much work here, so their partitions are fixed.
+    rows = rows.repartition(parts_of(rows.sparkSession), "item", "item_id").dropDuplicates(["item", "item_id"])
     key = dict(rows.dtypes)["item_id"]
     return rows.mapInPandas(
-        _split_batches(limit, overlap, only_long),
-        f"item string, item_id {key}, piece int, start int, end int, text string, hard int",
+        _split_batches(limit, overlap),
+        f"item string, item_id {key}, piece int, start int, end int, text string, inside int, hard int",
+    )
+
+
+def rebuilt(pieces: DataFrame, limit: int = LIMIT, overlap: tuple[int, int] = OVERLAP) -> DataFrame:
+    """``(item, item_id, digest, too_long, wrong_overlaps)``: digest of the text that
+    the pieces give without what they repeat, how many are above the limit, and how
+    many repeat another length or another text than the overlap asks for."""
+    one = pieces.groupBy("item", "item_id").agg(F.array_sort(F.collect_list(F.struct("piece", "start", "end", "text"))).alias("p"))
+    before = F.concat(F.array(F.lit(None).cast("struct<piece:int,start:int,end:int,text:string>")), F.slice("p", 1, F.size("p") - 1))
+    pairs = F.arrays_zip(before.alias("a"), F.col("p").alias("b"))
+    again = lambda x: F.coalesce(x["a"]["end"] - x["b"]["start"], F.lit(0))
+    wrong = lambda x: x["a"].isNotNull() & (
+        ~again(x).between(*overlap) | (F.right(x["a"]["text"], again(x)) != F.left(x["b"]["text"], again(x)))
+    )
+    new = lambda x: F.substring(x["b"]["text"], again(x) + 1, F.length(x["b"]["text"]))
+    return one.select("item", "item_id", pairs.alias("q")).select(
+        "item", "item_id", F.md5(F.array_join(F.transform("q", new), "")).alias("digest"),
+        F.size(F.filter("q", lambda x: F.length(x["b"]["text"]) > limit)).alias("too_long"), F.size(F.filter("q", wrong)).alias("wrong_overlaps"),
     )

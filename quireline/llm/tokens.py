@@ -15,9 +15,6 @@ from pyspark.sql.types import LongType
 FOLDER, FILE = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers"), "byte_bpe_multi_50k.tiktoken"
 # Fixed value: how the byte-level vocabularies cut a text before pairing.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Code points encoded at once; longer texts are cut at blanks, so that time grows
-#: with their length and no more.
-PIECE = 50_000
 
 
 @lru_cache(maxsize=4)
@@ -31,16 +28,8 @@ def encoding(folder: str, file: str):
 
 
 def count_tokens(text: str, folder: str = FOLDER, file: str = FILE) -> int:
-    """Number of tokens of ``text``; special tokens' names are ordinary text."""
-    enc, n, at = encoding(folder, file), 0, 0
-    while at < len(text):
-        end = min(len(text), at + PIECE)
-        if end < len(text):
-            blank = text.rfind(" ", at + 1, end)
-            end = blank if blank > at else end
-        n += len(enc.encode_ordinary(text[at:end]))
-        at = end
-    return n
+    """Number of tokens of the whole ``text``; special tokens' names are ordinary text."""
+    return len(encoding(folder, file).encode_ordinary(text))
 
 
 def token_count(text: Column, folder: str = FOLDER, file: str = FILE) -> Column:

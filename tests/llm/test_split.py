@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import pytest
 from hypothesis import given, settings
@@ -30,13 +31,48 @@ def test_scripts_without_blanks():
         assert text[e - 1] == "。"
 
 
+def hard(text):
+    return max(S.best_path(text)[1]) > S.LIMIT
+
+
 def test_hard_runs():
-    assert S.is_hard("x" * 1201) and not S.is_hard("x" * 1200) and not S.is_hard("x," * 1300) and S.is_hard("a " + "字" * 1300)
+    assert hard("x" * 1201) and not hard("x" * 1200) and not hard("x," * 1300) and hard("a " + "字" * 1300)
+    assert not hard("a " * 10 + "x" * 1190 + " b" * 300) and hard("x" * 1201 + ".") and not hard(" " * 3000)
     text = "Words before the run. " * 20 + "A1b2" * 700 + ". Words after it. " * 20
     inside = [e for _, e in check(text)[:-1] if text[e - 1].isalnum() and text[e : e + 1].isalnum()]
     assert 0 < len(inside) <= 3
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["x" * 700, "x" * 1201, "字" * 1300, " ", ", ", "。", ".", "word ", "\n"]), max_size=8))
+def test_hard_as_counted(parts):
+    text = "".join(parts)
+    marks = S.SENTENCE_MARKS + S.CLAUSE_MARKS
+    longest = max(map(len, "".join(" " if c.isspace() or c in marks else c for c in text).split(" ")), default=0)
+    assert hard(text) == (longest > S.LIMIT)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["ab ", "c. ", "d, ", "efghijklmnopqrstu ", "字。"]), min_size=1, max_size=12))
+def test_least_cost(parts):
+    """No other choice of cuts costs less."""
+    text, limit, overlap = "".join(parts), 40, (4, 12)
+    b = S.boundaries(text, limit, overlap)
+    if len(text) <= limit or len(b.at) > 16:
+        return
+    even = S.even_size(len(text), limit, overlap)
+    start = [0] + [S.overlap_start(text, int(p), b.at, b.cost, overlap) for p in b.at[1:]]
+
+    def cost(path):
+        sizes = [b.at[j] - start[i] for i, j in zip(path, path[1:])]
+        return sum(((x - even) / limit) ** 2 for x in sizes) + sum(b.cost[j] + 0.5 for j in path[1:]) if max(sizes) <= limit else float("inf")
+
+    end = len(b.at) - 1
+    least = min(cost((0, *mid, end)) for n in range(end) for mid in combinations(range(1, end), n))
+    place = {int(p): k for k, p in enumerate(b.at)}
+    assert cost((0, *[place[e] for _, e in S.best_cuts(text, limit, overlap)])) == pytest.approx(least)
+
+
 def test_small_and_odd_texts():
     assert S.best_cuts("") == [(0, 0)] and S.best_cuts("short") == [(0, 5)] and len(S.best_cuts("x" * 1200)) == 1
     check("e" + "́" * 3000)
@@ -62,3 +98,5 @@ def test_frame(spark):
     assert [r.piece for r in got if r.item == "p"] == [0, 1]
     assert {(r.item, r.item_id) for r in S.split_items(df, only_long=True).collect()} == {("p", 1)}
     assert S.split_items(spark.createDataFrame([], cols)).count() == 0
+    back = S.rebuilt(S.split_items(df)).collect()
+    assert len(back) == 3 and all(r.too_long == 0 and r.wrong_overlaps == 0 for r in back)
