@@ -68,11 +68,14 @@ NO_LANGUAGE = ("", "und", "xx", "zxx", "mul", "mis", "none", "null", "unknown",
 
 #: Hashed features, longest n-gram, labelled rows per language in the sample.
 DIMENSION, GRAM, SAMPLE_PER_LANGUAGE = 1 << 15, 3, 400
-#: Fewest letters of a segment that is judged by itself, and least confidence of
-#: a segment that is called foreign.
-LEAST_LETTERS, LEAST_CONFIDENCE = 12, 0.6
-#: Least and greatest length of a text in the training sample.
-TRAIN_SIGNS = (40, 20_000)
+#: Letters from which on a text says all it can; a sign of a script of syllables or
+#: words counts as three. Fewer take confidence away, so that a name or a number alone
+#: doesn't pass for a sentence of another language.
+ENOUGH, WORD_SIGN = 12, 3
+#: Least confidence of a segment that is called foreign.
+LEAST_CONFIDENCE = 0.6
+#: Fewest letters and greatest length of a text in the training sample.
+TRAIN_LETTERS, TRAIN_SIGNS = 12, (40, 20_000)
 #: Greatest weight of a sentence that comes often in the sample.
 MOST_WEIGHT = 6
 SEED = 20170102
@@ -87,6 +90,8 @@ _SCRIPT_OF = np.zeros(0x10000, dtype=np.int64)
 for _k, (_, _r) in enumerate(_SCRIPTS):
     for _a, _b in re.findall("(.)-(.)", _r):
         _SCRIPT_OF[ord(_a) : ord(_b) + 1] = _k + 1
+#: Scripts whose signs stand for syllables or words.
+_WORD_SIGNS = [k for k, (n, _) in enumerate(_SCRIPTS) if n in ("han", "kana", "hangul")]
 #: Indexes before those of the n-grams.
 RESERVED = 2 * len(_SCRIPTS)
 _JUNK = re.compile(r"[A-Za-z0-9+/_=-]{31,}|[A-Za-z_]+[_=]\S*|https?://\S+|[A-Za-z]+\d\w*|\d+[A-Za-z]\w*")
@@ -153,18 +158,22 @@ def _train_svm(x: list[Row], y: np.ndarray, weight: np.ndarray, c: float = 2.0,
     w, alpha = np.zeros(DIMENSION + RESERVED), np.zeros(len(x))
     sq = [float(v @ v) + 1e-9 for _, v in x]
     order = np.random.default_rng(SEED)
-    for _ in range(rounds):
-        moved = False
-        for i in order.permutation(len(x)):
+    busy = np.ones(len(x), dtype=bool)
+    for turn in range(rounds):
+        # Rows that stayed where they were are only seen again every fourth round.
+        full = turn < 2 or turn % 4 == 0
+        seen = np.arange(len(x)) if full else np.flatnonzero(busy)
+        busy[:] = False
+        for i in order.permutation(seen):
             idx, val = x[i]
             g = y[i] * float(w[idx] @ val) - 1.0
             if g >= 0 and alpha[i] == 0:
                 continue
             new = min(max(alpha[i] - g / sq[i], 0.0), c * weight[i])
-            if new != alpha[i]:
+            if abs(new - alpha[i]) > 1e-6:
                 w[idx] += (new - alpha[i]) * y[i] * val
-                alpha[i], moved = new, True
-        if not moved:
+                alpha[i], busy[i] = new, True
+        if full and not busy.any():
             break
     return w
 
@@ -196,6 +205,10 @@ class Model:
         """Language and confidence between 0 and 1; ``("und", 0)`` without letters."""
         return self.judge(text)[:2]
 
+    def tell(self, text: str) -> str:
+        """Language of a stored text."""
+        return self.judge(readable(text))[0]
+
     def judge(self, text: str) -> tuple[str, float, int]:
         """Language, confidence and number of letters of a text."""
         codes, count = letters_of(text)
@@ -204,7 +217,9 @@ class Model:
             return "und", 0.0, 0
         able = self.writers[int(count.argmax())] or range(len(self.families))
         if len(able) == 1 and len(self.members[self.families[able[0]]]) == 1:
-            return self.members[self.families[able[0]]][0], 1.0, letters
+            return self.members[self.families[able[0]]][0], 1.0 - 0.5**letters, letters
+        units = letters + (WORD_SIGN - 1) * int(count[_WORD_SIGNS].sum())
+        evidence = min(1.0, math.sqrt(units / ENOUGH))
         h = hashed(codes)
         total = self.table[h].sum(0) / math.sqrt(len(h)) + self.bare
         for k in count.nonzero()[0].tolist():
@@ -213,7 +228,7 @@ class Model:
         scores = total.tolist()
         ranked = sorted(((scores[k], k) for k in able), reverse=True)
         k = ranked[0][1]
-        conf = _sure(ranked[0][0] - ranked[1][0]) if len(ranked) > 1 else 1.0
+        conf = _sure(evidence * (ranked[0][0] - ranked[1][0])) if len(ranked) > 1 else 1.0
         langs = self.members[self.families[k]]
         if len(langs) == 1:
             return langs[0], conf, letters
@@ -223,7 +238,7 @@ class Model:
             votes[a if m >= 0 else b] += 1
             margin[a], margin[b] = min(margin[a], m), min(margin[b], -m)
         best = max(langs, key=lambda x: (votes[x], margin[x], x))
-        return best, conf * _sure(margin[best]), letters
+        return best, conf * _sure(evidence * margin[best]), letters
 
 
 #: Judgements remembered in a process, by model and sentence; emptied when many.
@@ -253,7 +268,7 @@ def fit(texts: list[str], labels: list[str], stands_for: dict[str, float] | None
         for b in sentence_ends(t):
             s = t[a:b].strip()
             a = b
-            if len(_LETTER.findall(s)) >= LEAST_LETTERS:
+            if len(_LETTER.findall(s)) >= TRAIN_LETTERS:
                 v = votes.setdefault(s, {})
                 v[lab] = v.get(lab, 0.0) + one
     total: dict[str, float] = {}
@@ -299,15 +314,16 @@ def _fit(x: list[Row], labels: list[str], weights: list[float]) -> Model:
     return Model(families, w, members, pairs, scripts)
 
 
-def train(labelled: DataFrame, text: str, label: str, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
+def train(labelled: DataFrame, text: str, label: str, per_language: int = SAMPLE_PER_LANGUAGE, signs: tuple[int, int] = TRAIN_SIGNS) -> Model:
     """Model from a sample of ``labelled`` with about ``per_language`` rows of each
     label, drawn evenly by the hash of the text; at most twice as many rows times
-    the number of labels, each of ``TRAIN_SIGNS`` code points, reach the driver. Rows
-    with null text or without a language in the label are left out.
+    the number of labels, the first in the order of that hash, each of ``signs`` code
+    points, reach the driver, so equal tables give equal models. Rows with null text or
+    without a language in the label are left out of the sample.
     """
     need(labelled, text, label)
     rows = labelled.select(F.col(text).alias("t"), label_code(F.col(label)).alias("l")).where(
-        F.col("l").isNotNull() & F.char_length("t").between(*TRAIN_SIGNS)
+        F.col("l").isNotNull() & F.char_length("t").between(*signs)
     )
     rows = rows.withColumn("h", F.abs(F.xxhash64("t")) % 1_000_000)
     counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
@@ -315,8 +331,8 @@ def train(labelled: DataFrame, text: str, label: str, per_language: int = SAMPLE
     if not counts:
         raise ValueError("no labelled rows to learn languages from")
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1_000_000, math.ceil(1_000_000 * per_language / n)))])
-    sample = rows.where(F.col("h") < F.coalesce(share[F.col("l")], F.lit(0))).select("l", "t")
-    got = sample.limit(2 * per_language * len(counts)).collect()
+    sample = rows.where(F.col("h") < F.coalesce(share[F.col("l")], F.lit(0)))
+    got = sample.orderBy("h", "l", "t").select("l", "t").limit(2 * per_language * len(counts)).collect()
     stands_for = {lang: max(1.0, n / per_language) for lang, n in counts.items()}
     return fit([readable(r["t"]) for r in got], [r["l"] for r in got], stands_for)
 
@@ -335,7 +351,7 @@ def segments_udf(model: Model):
 
         def one(t: str):
             out, a = [], 0
-            for b in sentence_ends(t):
+            for b in sentence_ends(t, model.tell):
                 s = readable(t[a:b])
                 got = known.get(s)
                 if got is None:
@@ -383,19 +399,20 @@ def filing_segments(paragraphs: DataFrame, model: Model) -> DataFrame:
     return language_segments(spread(rows.dropDuplicates(["para_id"])), model, ["para_id", "doc_id"])
 
 
-def foreign_segments(segments: DataFrame, mains: DataFrame, least_letters: int = LEAST_LETTERS, least_confidence: float = LEAST_CONFIDENCE) -> DataFrame:
-    """Sentences in another language than their document's, with that language.
-
-    A segment needs ``least_letters`` letters, since shorter ones are too often
-    names, and ``least_confidence``, unless its language is written in another
-    script than the main one: then it can't be the main one.
-    """
+def foreign_segments(segments: DataFrame, mains: DataFrame) -> DataFrame:
+    """Every segment in another language than its document's, with the confidence and
+    the document's language as ``main_lang``; those without letters are in none."""
     m = mains.select("doc_id", F.col("lang").alias("main_lang"))
+    return segments.join(m, "doc_id").where((F.col("lang") != "und") & (F.col("lang") != F.col("main_lang")))
+
+
+def certain(foreign: DataFrame, least: float = LEAST_CONFIDENCE) -> DataFrame:
+    """Foreign segments with at least this confidence, and those of two and more
+    letters whose language is written in another script than the main one: they can't
+    be in the main language, whichever other one they are in."""
     script = F.create_map(*[F.lit(x) for lang, fam in FAMILY_OF.items() for x in (lang, "latin" if fam in LATIN_FAMILIES else fam)])
-    sure = (F.col("confidence") >= least_confidence) | (F.try_element_at(script, F.col("lang")) != F.try_element_at(script, F.col("main_lang")))
-    return segments.join(m, "doc_id").where(
-        (F.col("lang") != "und") & (F.col("lang") != F.col("main_lang")) & (F.col("letters") >= least_letters) & sure
-    )
+    other = F.try_element_at(script, F.col("lang")) != F.try_element_at(script, F.col("main_lang"))
+    return foreign.where((F.col("confidence") >= least) | other & (F.col("letters") >= 2))
 
 
 def wrong_labels(tables: dict[str, tuple[DataFrame, str]], mains: DataFrame) -> DataFrame:

@@ -51,9 +51,10 @@ def p3_rebuilt(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
-    """End of every sentence."""
+    """End of every sentence; abbreviations are those of the sentence's language, told
+    by the model of problem 5."""
     rows = read(spark, root, "paragraphs").where("side IN ('sgml', 'pdf_l4') AND text IS NOT NULL").select("para_id", "text")
-    ends = sentences.sentence_bounds(spread(rows)).select("para_id", "sent_ends").dropDuplicates(["para_id"])
+    ends = sentences.sentence_bounds(spread(rows), judge=p5_model(spark, root).tell).select("para_id", "sent_ends").dropDuplicates(["para_id"])
     return ends.select("para_id", F.explode("sent_ends").alias("sent_end"))
 
 
@@ -65,10 +66,13 @@ def p5_model(spark: SparkSession, root: str) -> language.Model:
 
 
 def p5_languages(spark: SparkSession, root: str) -> DataFrame:
-    """Main language of every filing and language of every foreign segment, with
-    confidence; offsets are code points of the paragraph."""
+    """Main language of every filing (und with confidence 0 if its marked-up side has no
+    letter) and language of every foreign segment, with confidence, however small;
+    offsets are code points of the paragraph."""
     segments = cut(language.filing_segments(read(spark, root, "paragraphs"), p5_model(spark, root)))
     mains = cut(language.main_language(segments))
+    filings = read(spark, root, "sgml_content").select("doc_id").where("doc_id IS NOT NULL").distinct()
+    mains = filings.join(mains, "doc_id", "left").select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
     whole = mains.select("doc_id", F.lit(None).cast("bigint").alias("para_id"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), "lang", "confidence")
     return whole.unionByName(language.foreign_segments(segments, mains).select("doc_id", "para_id", "start", "end", "lang", "confidence"))
 
@@ -85,7 +89,7 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
         },
         mains,
     )
-    foreign = language.foreign_segments(segments, mains).select(F.lit("paragraph").alias("unit"), F.col("para_id").alias("unit_id"), "lang").distinct()
+    foreign = language.certain(language.foreign_segments(segments, mains)).select(F.lit("paragraph").alias("unit"), F.col("para_id").alias("unit_id"), "lang").distinct()
     return wrong.unionByName(foreign)
 
 

@@ -1,10 +1,12 @@
 """Problem 4: sentences in all scripts.
 
 Method: the standard sentence-break rules by character property (terminators of
-every script, closers and blanks that follow them, no break inside numbers or
-before a lower-case continuation), with abbreviations suppressed by language and
-quotations and brackets paired first, so that what ends inside one doesn't end
-the sentence around it. The rules read the text in its one form (problem 1), so
+every script from the property Sentence_Break, closers and blanks that follow them, no
+break inside numbers or before a lower-case continuation), with abbreviations
+suppressed by language and quotations and brackets paired first, so that what ends
+inside one doesn't end the sentence around it. The language is a column's, or the
+language model of problem 5 is asked where, and only where, a word before a stop
+abbreviates in some language. The rules read the text in its one form (problem 1), so
 invisible or borrowed signs don't hide a mark; offsets are of the stored text.
 """
 
@@ -12,20 +14,23 @@ from __future__ import annotations
 
 import re
 import unicodedata as U
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from quireline.llm.common import need
 from quireline.llm.unify import transducer
 
-# Signs that end a sentence by themselves, all scripts; the full
-# stop, which may also abbreviate, is apart.
-FINAL = "!?‼⁇⁈⁉‽⸮" + "。！？｡︒" + "।॥" + "؟۔" + "։" + "።፧፨" + "၊။" + "។៕" + "᠃᠉" + "꘎꘏" + "᙮" + "༎"
-STOP = ".․．"
+_SIGNS = "".join(chr(c) for c in range(0x1E000) if not 0xD800 <= c < 0xE000)
+#: Signs that end a sentence by themselves, of all scripts, and full stops, which may
+#: also abbreviate.
+FINAL = "".join(regex.findall(r"\p{Sentence_Break=STerm}", _SIGNS))
+STOP = "".join(regex.findall(r"\p{Sentence_Break=ATerm}", _SIGNS))
 ELLIPSIS = "…"
 OPEN = "([{（［｛「『【《〈〔“‘«‹„‚"
 CLOSE = ")]}）］｝」』】》〉〕”’»›"
@@ -81,13 +86,6 @@ ABBREVIATIONS = {
     "zh": {},
     "ja": {"number": "no"},
 }
-# Words that open a sentence or a clause, to read capitals-only text.
-OPENERS = set(
-    "a an the each every any if since subject short comments nothing under does do is are together see within without following "
-    "unless when where despite notwithstanding in on as e-filers le la les l un une si depuis selon rien malgré chaque voir sauf "
-    "dans pour conformément sous dès el los las cada desde según después salvo véase antes os após der die das wenn seit jeder "
-    "nach vor".split()
-)
 # German months, after which a number with a stop is an ordinal.
 MONTHS = set("januar jänner februar märz april mai juni juli august september oktober november dezember".split())
 
@@ -107,24 +105,62 @@ def _fold(word: str) -> str:
     return w.translate(str.maketrans("ctuhé", "efnbe"))
 
 
-@lru_cache(maxsize=64)
-def abbreviations(langs: tuple[str, ...]) -> tuple[dict[str, str], dict[str, str]]:
-    """Abbreviation to kind for these languages, in comparison form, and the same
-    for those of three and more letters as misread."""
+#: Kinds of abbreviations, the later one first where a word has several.
+KINDS = ("title", "inner", "number", "last")
+
+
+@lru_cache(maxsize=1)
+def abbreviations() -> tuple[dict[str, dict[str, str]], dict[str, dict[str, str]]]:
+    """Abbreviation, in comparison form, to its kind in each language, and the same for
+    those of three and more letters as misread."""
     form = transducer(True)
-    exact: dict[str, str] = {}
-    for lang in langs:
-        for kind, words in ABBREVIATIONS[lang].items():
-            for w in words.split():
-                # "last" wins: it lets what follows decide. Capitals of some
-                # scripts have doubles where the small letters have none.
+    exact: dict[str, dict[str, str]] = {}
+    misread: dict[str, dict[str, str]] = {}
+    for lang, table in ABBREVIATIONS.items():
+        for kind in KINDS:
+            for w in table.get(kind, "").split():
+                # Capitals of some scripts have doubles where the small letters have none.
                 for x in {form(w), form(w.upper()).lower()}:
-                    if exact.get(x) != "last":
-                        exact[x] = kind
-    return exact, {_fold(w): k for w, k in exact.items() if len(w) >= 3}
+                    exact.setdefault(x, {})[lang] = kind
+                    if len(x) >= 3:
+                        misread.setdefault(_fold(x), {})[lang] = kind
+    return exact, misread
+
+
+Languages = Callable[[str], str] | tuple[str, ...] | str | None
+#: Signs after a stop that are read with its sentence to tell the language.
+AHEAD = 60
+
+
+class Clause:
+    """The text around a stop: its sentence's first sign and the languages whose
+    abbreviations count, asked of the stored text only when a word may be one."""
 
+    def __init__(self, text: str, ends: list[int] | None, langs: Languages) -> None:
+        self.text, self.ends, self.langs = text, ends, langs
 
-ALL = tuple(ABBREVIATIONS)
+    def stored(self, a: int, b: int) -> str:
+        """Stored text of the signs from ``a`` to ``b`` of the one form."""
+        if self.ends is None:
+            return self.text[a:b]
+        return self.text[self.ends[a - 1] if a else 0 : self.ends[min(b, len(self.ends)) - 1]]
+
+    def languages(self, start: int, i: int) -> tuple[str, ...]:
+        """Those given, or what the model says of the sentence from ``start``."""
+        if self.langs is None:
+            return tuple(ABBREVIATIONS)
+        if isinstance(self.langs, str):
+            return (self.langs,)
+        return self.langs if isinstance(self.langs, tuple) else (self.langs(self.stored(start, i + AHEAD)),)
+
+    def kind(self, word: str, start: int, i: int) -> str | None:
+        """Kind of the abbreviation ``word`` before the stop at ``i``, or None."""
+        exact, misread = abbreviations()
+        kinds = exact.get(word) or (misread.get(_fold(word)) if len(word) >= 3 else None)
+        if not kinds:
+            return None
+        found = {kinds[x] for x in self.languages(start, i) if x in kinds}
+        return next((k for k in reversed(KINDS) if k in found), None)
 
 
 def pair_up(t: str) -> tuple[dict[int, int], bytearray]:
@@ -173,26 +209,26 @@ def _caps_word(t: str, i: int) -> str:
 
 def _starts_sentence(t: str, i: int, caps: bool) -> bool:
     """Whether what begins at ``i`` can begin a sentence, if the stop before may
-    also be inside one. ``caps``: the words around are in capitals."""
+    also be inside one. ``caps``: the words around are in capitals, where nothing
+    shows that a sentence begins."""
     c = t[i]
     if c.islower():
         return bool(_STYLED.match(t, i))
     if c.isupper():
         word = _caps_word(t, i)
-        if caps and word.upper() == word and not any(map(str.islower, t[i : i + 16])):
-            low = word.lower()
-            return low in OPENERS or re.split(r"['’]", low)[0] in OPENERS or bool(re.match(r"[^\W\d_]-", word))
-        return True
+        return not (caps and word.upper() == word and not any(map(str.islower, t[i : i + 16])))
     return c not in ",;:)-–—%/" and c not in CLOSE
 
 
-def sentence_ends(text: str, langs: tuple[str, ...] = ALL) -> list[int]:
+def sentence_ends(text: str, langs: Languages = None) -> list[int]:
     """Number of code points of ``text`` up to and including the last visible sign
-    of each sentence, ascending; none for a text without visible sign."""
+    of each sentence, ascending; none for a text without visible sign. ``langs`` is
+    the language, several, or a function that tells that of a text; without it every
+    language's abbreviations count."""
     if not text:
         return []
     t, ends = transducer(True).traced(text)
-    exact, misread = abbreviations(langs)
+    clause = Clause(text, ends, langs)
     pairs, inside = pair_up(t)
     closes = {b: a for a, b in pairs.items()}
     n, out, start = len(t), [], 0
@@ -243,7 +279,7 @@ def sentence_ends(text: str, langs: tuple[str, ...] = ALL) -> list[int]:
                         ok = not t[start:a].strip() and _starts_sentence(t, nxt, caps(i))
                     elif not _cased(follow) and follow.isalpha():
                         # No case to tell: the speaker goes on, unless the script changes.
-                        ok = _cased(t[k - 1]) and not re.match("[と随]", follow)
+                        ok = _cased(t[k - 1])
                     else:
                         ok = _starts_sentence(t, nxt, caps(i))
                     if ok:
@@ -270,7 +306,7 @@ def sentence_ends(text: str, langs: tuple[str, ...] = ALL) -> list[int]:
         if follow in ",;:%" or (follow in CLOSE and not gap) or follow in "—–-" and _DASH.match(t, nxt) and t[nxt + 1 :].lstrip()[:1].islower():
             ok = False
         elif run == "." or run[0] in STOP and len(run) == 1:
-            ok = _stop_ends(t, start, i, nxt, gap, exact, misread, caps(i), pairs)
+            ok = _stop_ends(t, start, i, nxt, gap, clause, caps(i), pairs)
         elif run[0] in DOTS:
             ok = _starts_sentence(t, nxt, caps(i))
         elif follow.islower():
@@ -291,7 +327,7 @@ def sentence_ends(text: str, langs: tuple[str, ...] = ALL) -> list[int]:
     return [ends[e - 1] for e in out]
 
 
-def _stop_ends(t: str, start: int, i: int, nxt: int, gap: bool, exact: dict, misread: dict, caps: bool, pairs: dict) -> bool:
+def _stop_ends(t: str, start: int, i: int, nxt: int, gap: bool, clause: Clause, caps: bool, pairs: dict) -> bool:
     """Whether the single full stop at ``i``, followed by ``t[nxt]``, ends a sentence."""
     a = i
     while a > start and not t[a - 1].isspace() and t[a - 1] not in BEFORE_WORD:
@@ -311,7 +347,7 @@ def _stop_ends(t: str, start: int, i: int, nxt: int, gap: bool, exact: dict, mis
             return False
         if follow.isupper() and word.isdigit() and _caps_word(t, nxt).lower() in MONTHS:
             return False
-    kind = exact.get(low) or (misread.get(_fold(low)) if len(low) >= 3 else None)
+    kind = clause.kind(low, start, i)
     if kind and a >= start + 2 and t[a - 1] == " " and t[a - 2] in "-‐¬":
         # The rest of a word that was broken at the end of a line.
         kind = None
@@ -348,32 +384,46 @@ def _stop_ends(t: str, start: int, i: int, nxt: int, gap: bool, exact: dict, mis
     return True
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def _ends_of(text: pd.Series) -> pd.Series:
-    return text.map(sentence_ends, na_action="ignore")
+ENDS = ArrayType(IntegerType())
+
+
+@F.pandas_udf(ENDS)
+def _ends_of(text: pd.Series, lang: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else sentence_ends(t, x if x in ABBREVIATIONS else None) for t, x in zip(text, lang)])
+
+
+def ends_udf(judge: Callable[[str], str]):
+    """Sentence ends with the language that ``judge`` tells where it matters."""
 
+    @F.pandas_udf(ENDS)
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: sentence_ends(t, judge), na_action="ignore")
 
-#: Declared not deterministic, lest the optimizer evaluates it once more for a filter.
-_ends_udf = _ends_of.asNondeterministic()
+    return run
 
 
-def sentence_bounds(df: DataFrame, text: str = "text", out: str = "sent_ends") -> DataFrame:
+def sentence_bounds(df: DataFrame, text: str = "text", out: str = "sent_ends", lang: str | None = None, judge: Callable[[str], str] | None = None) -> DataFrame:
     """``df`` with the ends of the sentences of column ``text`` in column ``out``
     (array of code-point counts; a column already called so is replaced).
 
-    A null text gives null, a text without visible sign an empty array; the last
-    end is that of the text's last visible sign. No shuffle.
+    The abbreviations are those of the language in column ``lang`` (ISO 639-1; every
+    language's where it is null or has none) or, with ``judge``, of the language that
+    it tells. A null text gives null, a text without visible sign an empty array; the
+    last end is that of the text's last visible sign. No shuffle.
     """
-    need(df, text)
-    return df.withColumn(out, _ends_udf(F.col(text)))
+    need(df, text, *([lang] if lang else []))
+    said: Column = F.col(lang) if lang else F.lit(None).cast("string")
+    # Declared not deterministic, lest the optimizer evaluates it once more for a filter.
+    ends = ends_udf(judge).asNondeterministic()(F.col(text)) if judge else _ends_of.asNondeterministic()(F.col(text), said)
+    return df.withColumn(out, ends)
 
 
-def sentences(rows: DataFrame, key: str = "para_id", text: str = "text") -> DataFrame:
+def sentences(rows: DataFrame, key: str = "para_id", text: str = "text", lang: str | None = None, judge: Callable[[str], str] | None = None) -> DataFrame:
     """``(key, sent_no, sent_start, sent_end, sentence)`` for every sentence of
     ``rows``; rows resent with the same ``key`` count once, other columns are
-    ignored, null and empty texts give no row."""
+    ignored, null and empty texts give no row. Languages as in ``sentence_bounds``."""
     need(rows, key, text)
-    cut = sentence_bounds(rows.select(key, text).dropDuplicates([key]), text, "__ends")
+    cut = sentence_bounds(rows.select(key, text, *([lang] if lang else [])).dropDuplicates([key]), text, "__ends", lang, judge)
     begins = F.expr("transform(sequence(0, size(__ends) - 1), i -> struct(i AS no, if(i = 0, 0, __ends[i - 1]) AS a, __ends[i] AS b))")
     return (
         cut.where(F.size("__ends") > 0).select(key, text, F.explode(begins).alias("s"))

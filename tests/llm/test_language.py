@@ -56,7 +56,7 @@ def test_documents(spark, model):
     seg = L.filing_segments(spark.createDataFrame(rows, PARA), model)
     mains = L.main_language(seg)
     assert {r.doc_id: r.lang for r in mains.collect()} == {1: "fr", 2: "zh"}
-    f = L.foreign_segments(seg, mains).collect()
+    f = L.certain(L.foreign_segments(seg, mains)).collect()
     assert {(r.para_id, r.lang) for r in f} == {(2, "en")}
     assert all(r.start < r.end for r in f)
     labels = spark.createDataFrame([(1, "FRA"), (2, "EN"), (2, "EN"), (9, None)], "doc_id bigint, lang string")
@@ -65,6 +65,18 @@ def test_documents(spark, model):
     assert {tuple(r) for r in w} == {("a", 2, "zh"), ("b", 1, "fr")}
 
 
+def test_short_segments_stay_with_their_confidence(spark, model):
+    rows = [(1, 1, "sgml", TEXT["en"] + "公表するもの。" + TEXT["en"] + "Oui.", None)]
+    seg = L.filing_segments(spark.createDataFrame(rows, PARA), model)
+    mains = L.main_language(seg)
+    every = {r.letters: r for r in L.foreign_segments(seg, mains).collect()}
+    assert every[6].lang == "ja" and 0 < every[6].confidence < 1
+    assert 6 in {r.letters for r in L.certain(L.foreign_segments(seg, mains)).collect()}
+    # The fewer letters, the less a text says.
+    whole, part = "Le rapport doit paraître", "Le rap"
+    assert model.judge(part)[1] < model.judge(whole)[1] and model.judge("Ж")[1] == 0.5 < model.judge("Жить")[1]
+
+
 def test_train_from_a_table(spark):
     rows = [(t + f" {i}", {"en": "English", "fr": "FR"}[lang]) for lang, t in TEXT.items() if lang in ("en", "fr") for i in range(5)] + [(None, "en"), ("x", "fr"), (TEXT["ru"], None)]
     m = L.train(spark.createDataFrame(rows, "text string, lang string"), "text", "lang")

@@ -36,6 +36,27 @@ def test_boundaries():
     assert cut("SAID, \"HOLD IT. WAIT!\" AND LEFT. THE END CAME.") == ['SAID, "HOLD IT. WAIT!" AND LEFT.', "THE END CAME."]
 
 
+OTHER_LANGUAGES = ["They chose plan b. Then they left.", "It weighs 10 m. The rest is lost.", "See option d. Next we go.", "The ratio is e. Next we go.", "We met at the par. 3 people left."]
+
+
+def test_abbreviations_are_those_of_the_language():
+    for t in OTHER_LANGUAGES:
+        assert len(S.sentence_ends(t, "en")) == 2 == len(S.sentence_ends(t, lambda text: "en")), t
+    german = "Das gilt z. B. Nr. 5, d. h. ca. 7 Euro."
+    assert len(S.sentence_ends(german, "de")) == 1 == len(S.sentence_ends(german)) and len(S.sentence_ends("Er traf M. Das gilt.", "de")) == 1
+    asked = []
+    S.sentence_ends("No stop abbreviates here. Nothing is asked! Right?", lambda text: asked.append(text) or "en")
+    assert not asked
+    # The stored text is asked, not the comparison form.
+    S.sentence_ends("Согласно ст. 21 и п. 5, срок продлён.", lambda text: asked.append(text) or "ru")
+    assert asked and all(a.startswith("Согласно ст.") for a in asked)
+
+
+def test_all_terminators():
+    for mark in "!?。！？।॥؟۔։።၊៕᠃‼꘎᙮꓿﹖𑁇":
+        assert len(S.sentence_ends(f"Ab cd{mark} Ef gh{mark}")) == 2, mark
+
+
 def test_hidden_signs_and_ends():
     t = "Ρrοf.​ Τarquil left​.​ Next　one"
     assert [t[:e] for e in S.sentence_ends(t)] == ["Ρrοf.​ Τarquil left​.", t]
@@ -54,3 +75,8 @@ def test_frame(spark):
     got = sorted((r.para_id, r.sent_no, r.sent_start, r.sent_end, r.sentence) for r in S.sentences(df).collect())
     assert got == [(1, 0, 0, 4, "One."), (1, 1, 4, 9, "Two.")]
     assert S.sentences(df.limit(0)).count() == 0
+    rows = [(i, t, x) for x in ("en", None, "xx") for i, t in enumerate(OTHER_LANGUAGES)]
+    said = S.sentence_bounds(spark.createDataFrame(rows, "para_id int, text string, lang string"), lang="lang").collect()
+    assert [len(r.sent_ends) for r in said] == [2] * 5 + [1] * 10
+    judged = S.sentence_bounds(spark.createDataFrame(rows, "para_id int, text string, lang string"), judge=lambda text: "en").collect()
+    assert {len(r.sent_ends) for r in judged} == {2}
