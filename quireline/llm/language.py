@@ -356,11 +356,11 @@ def segments_udf(model: Model):
 
         def one(t: str):
             out, a = [], 0
-            for b in sentence_ends(t, model.tell):
+            for b in sentence_ends(t):
                 s = readable(t[a:b])
                 got = known.get(s)
                 if got is None:
-                    if len(known) > 50_000:
+                    if len(known) > 200_000:
                         known.clear()
                     got = known[s] = model.judge(s)
                 out.append((a, b, *got))

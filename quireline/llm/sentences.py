@@ -128,7 +128,8 @@ def abbreviations() -> tuple[dict[str, dict[str, str]], dict[str, dict[str, str]
 
 
 Languages = Callable[[str], str] | tuple[str, ...] | str | None
-#: Signs after a stop that are read with its sentence to tell the language.
+#: Signs after a stop that are read with its sentence to tell the language; twice as many
+#: of a sentence at least.
 AHEAD = 60
 
 
@@ -138,6 +139,7 @@ class Clause:
 
     def __init__(self, text: str, ends: list[int] | None, langs: Languages) -> None:
         self.text, self.ends, self.langs = text, ends, langs
+        self.asked: tuple[int, tuple[str, ...]] = (-1, ())
 
     def stored(self, a: int, b: int) -> str:
         """Stored text of the signs from ``a`` to ``b`` of the one form."""
@@ -151,7 +153,12 @@ class Clause:
             return tuple(ABBREVIATIONS)
         if isinstance(self.langs, str):
             return (self.langs,)
-        return self.langs if isinstance(self.langs, tuple) else (self.langs(self.stored(start, i + AHEAD)),)
+        if isinstance(self.langs, tuple):
+            return self.langs
+        # A sentence is asked for once, with what is read of it by then.
+        if self.asked[0] != start:
+            self.asked = (start, (self.langs(self.stored(start, max(i + AHEAD, start + 2 * AHEAD))),))
+        return self.asked[1]
 
     def kind(self, word: str, start: int, i: int) -> str | None:
         """Kind of the abbreviation ``word`` before the stop at ``i``, or None."""

@@ -1,13 +1,15 @@
 """Problem 8: pages of repeated keywords, links or product tags.
 
-Method: term recurrence and positional autocorrelation. Running text is read in
-windows of terms; in each, the gaps between the recurrences of every term and the
-autocorrelation of the sequence at short lags tell whether words come back too
-regularly for sentences; text of scripts without blanks is read in windows of
-n-grams of signs as well. Enumerations (many short parts between separators, or
-many short lines, without function words and final marks) are the second kind.
-Both kinds are weighed by length against sentences; menus, notices, titles and
-footers weigh on neither side.
+Method: term recurrence and positional autocorrelation. A page is read as sequences
+of terms: each running line is one, and short lines in a row together are one; an
+address is a term like any. In windows of a sequence the gaps between the recurrences
+of every term and the autocorrelation at short lags, weighed by the length of the
+terms, tell whether words come back too regularly for sentences; text of scripts
+without blanks is read in windows of n-grams of signs as well. Lists of many different
+names (parts of a line between separators, or short lines) that hold hardly a function
+word and no final mark are the second kind; function words are those that a great part
+of a language's pages hold, counted over all pages. Both kinds are weighed by length
+against sentences; menus, notices, titles and footers weigh on neither side.
 """
 
 from __future__ import annotations
@@ -22,46 +24,42 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quireline.llm.common import need, spread
 
-#: Terms of a window, longest lag, least autocorrelation of stuffed text.
+#: Terms of a window, longest lag, least regularity of stuffed text.
 WINDOW, MAX_LAG, LEAST_REGULAR = 48, 7, 0.3
 #: Longest mean gap of a term that recurs regularly, largest spread of its gaps.
-MEAN_GAP, GAP_SPREAD = 6.5, 0.75
-#: Terms to one final mark in running text, and the autocorrelation that is too
-#: much even there.
-SENTENCE_TERMS, FAR_TOO_REGULAR = 16, 0.6
+MEAN_GAP, GAP_SPREAD = 8.0, 0.75
+#: Terms to one final mark in running text, and the regularity that is too much even
+#: there.
+SENTENCE_TERMS, FAR_TOO_REGULAR = 16, 0.35
 #: Signs of a term from which on it is a clause of a script without blanks.
 CLAUSE_SIGNS = 7
 #: Signs of an n-gram, of a window of n-grams and of the longest mean gap between
 #: the recurrences of one, in text without blanks; three times as many where each
 #: sign was garbled into three.
 GRAM, GRAM_WINDOW, GRAM_GAP = 4, 200, 24
-#: Signs to one final mark in running text of such a script.
-SENTENCE_SIGNS = 3 * SENTENCE_TERMS
-#: Short lines in a row that are more than a menu; terms of a short line.
-MANY_LINES, SHORT_LINE = 16, 9
-#: Parts of an enumeration in one line, their mean length in terms.
-MANY_PARTS, PART_TERMS = 8, 4.5
-#: Most function words among the terms of an enumeration's different parts.
+#: Signs to one final mark in running text of such a script, and the share of n-grams
+#: that is too much even there.
+SENTENCE_SIGNS, FAR_TOO_MANY_GRAMS = 3 * SENTENCE_TERMS, 0.6
+#: Terms of a short line.
+SHORT_LINE = 9
+#: Parts and terms of a list at least, its mean length of a part in terms.
+MANY_PARTS, MANY_TERMS, PART_TERMS = 16, 20, 6.0
+#: Most function words among the terms of a list's different parts.
 MOST_FUNCTION = 0.3
+#: Fewest different terms among those of a list's windows, on average.
+LEAST_DISTINCT = 0.25
+#: Part of a language's pages that hold a function word at least.
+FUNCTION_SHARE = 0.5
 #: Share of the own text above which a page is spam.
 LEAST_SHARE = 0.5
 
-# Function words of the common languages.
-FUNCTION_WORDS = frozenset(
-    "the a an of to in on at for by with from and or but if that this these those is are was were be been has have had do does not no it its as "
-    "than then who which what when where will would can could may must shall should we you he she they our your their his her i my me us them so "
-    "le la les un une des de du au aux et ou mais si que qui dans sur pour par avec sans ce cette ces est sont été être a ont ne pas il elle nous vous "
-    "ils elles son sa ses leur leurs plus lorsque selon en se el los las una unos y o pero no lo al del con por para sin su sus es son ha han se que "
-    "os uma uns umas e mas do da dos das ao aos na nas em com sem seu sua não é são foi ser tem der die das ein eine einer einem einen und oder "
-    "aber wenn dass ist sind war wird werden nicht kein mit ohne von vom zum zur im am auf für bei nach über so sich als auch es er sie wir ihr "
-    "и в во на не что с со по за к от до из для о об у если как это он она они мы вы его её их был была были может должен "
-    "في من على إلى عن أن إن هذا هذه التي الذي هل لم لا ما كل قد ثم أو و مع بعد قبل إذا "
-    "का के की को में से पर और है हैं था थे यह वह तो ने नहीं यदि कि क्या होगा करना लिए".split()
-)
-
-_TERM = re.compile(r"https?://\S+|[^\s,;|、，。！？；]+")
-_EDGE = "!\"#$%&'()*+./:<=>?@[\\]^_`{}~«»“”„‘’¿¡।؟—–-·•…「」『』（）"
-_URL = re.compile(r"https?://\S+|\bwww\.\S+")
+LINK = "<link>"
+#: How a text is cut into terms; Java's and Python's expressions read it alike.
+URL, BETWEEN, EDGE = r"https?://[^\s)\]]+|www\.[^\s)\]]+", r"[\s,;|、，。！？；]+", r"[!-/:-@\[-`{-~«»“”„‘’¿¡।؟—–·•…「」『』（）]+"
+
+_URL = re.compile(URL)
+_BETWEEN = re.compile(BETWEEN)
+_EDGES = re.compile(f"^{EDGE}|{EDGE}$")
 _END = re.compile(r"[^\W\d_][\])\"»”’]*\s?[.!?…][\"»”)\]’]*(?=\s|$)|[。！？।؟][”」»\")]*")
 _PARTS = re.compile(r"\s+[|·•*/＊»>–—-]{1,2}\s+|\s*[|,;、，]\s*|\t|(?:^|\s)#")
 _WIDE = re.compile("[぀-ヿ㐀-鿿]")
@@ -70,62 +68,100 @@ _GARBLED = re.compile("[\x80-\xff\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u019
 _FOOTER = re.compile(r"(?:19|20)\d\d \S+\.\w{2,} \|")
 _NAV = re.compile(r"\s(?:[|>›»·•]|/)\s")
 
+Terms = list[tuple[str, int]]
+
+
+def terms(line: str) -> Terms:
+    """Terms of a line in small letters and their lengths; every address is one kind
+    of term."""
+    out: Terms = []
+    at = 0
+    for m in [*_URL.finditer(line), None]:
+        for t in _BETWEEN.split(line[at : m.start() if m else len(line)]):
+            t = _EDGES.sub("", t)
+            if t:
+                out.append((t.lower(), len(t)))
+        if m:
+            out.append((LINK, len(m[0])))
+            at = m.end()
+    return out
 
-def terms(line: str) -> list[str]:
-    """Terms of a line in small letters; an address counts as one kind of term."""
-    found = ["<link>" if t.startswith("http") else t.strip(_EDGE).lower() for t in _TERM.findall(line)]
-    return [t for t in found if t]
 
+def function_words(pages: DataFrame, text: str = "text", lang: str = "lang", share: float = FUNCTION_SHARE) -> frozenset[str]:
+    """Words that ``share`` of the pages of some language label hold at least, within
+    two standard errors, counted over all pages before any shuffle.
 
-def regularity(codes: np.ndarray) -> float:
-    """How regularly terms come back, 0 to 1: the greater of the best
+    Bounded whatever the number of pages: of each label there can be no more than the
+    mean number of different words of a page divided by ``share``; labels are cut to
+    two letters. Pages with null text or label count nowhere.
+    """
+    label = F.lower(F.substring(F.trim(F.col(lang)), 1, 2))
+    rows = pages.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(label.alias("l"), F.split(F.lower(F.regexp_replace(F.col(text), URL, " ")), BETWEEN).alias("w"))
+    # One row a page counts the pages, in the same pass.
+    rows = rows.select("l", F.explode(F.array_append(F.array_distinct("w"), F.lit(" "))).alias("w")).where("w != ''")
+    counts = rows.groupBy("l", "w").agg(F.count("*").alias("n"))
+    total = counts.where("w = ' '").select("l", F.col("n").alias("all"))
+    often = counts.join(F.broadcast(total), "l").where((F.col("n") - 2 * F.sqrt("n") >= share * F.col("all")) & (F.col("w") != " "))
+    return frozenset(_EDGES.sub("", r["w"]) for r in often.select("w").distinct().collect()) - {""}
+
+
+def regularity(codes: np.ndarray, size: np.ndarray) -> float:
+    """How regularly terms come back, 0 to 1, by length: the greater of the best
     autocorrelation within ``MAX_LAG`` (a lag and its neighbour together, since
-    fillers shift the beat) and the share of terms whose gaps are short and even."""
+    fillers shift the beat) and the share of terms whose gaps are short and even.
+    Equal ``codes`` are one term, negative ones prove nothing."""
     n = len(codes)
     if n < 8:
         return 0.0
+    plain = codes >= 0
+    total = float(size.sum())
     # Each match is a term that was there before; with too few of those no lag, nor
     # two together, can reach the least regularity, and neither can even gaps.
-    again = n - len(set(codes.tolist()))
-    if again < LEAST_REGULAR / 2 * (n - MAX_LAG):
+    kinds, place, counts = np.unique(codes, return_inverse=True, return_counts=True)
+    again = float(size[(counts[place] > 1) & plain].sum())
+    if again < LEAST_REGULAR / 2 * total * (n - MAX_LAG) / n:
         return 0.0
-    lags = [np.count_nonzero(codes[k:] == codes[:-k]) / (n - k) for k in range(1, min(MAX_LAG, n // 2) + 1)]
+    lags = []
+    for k in range(1, min(MAX_LAG, n // 2) + 1):
+        same = (codes[k:] == codes[:-k]) & plain[k:]
+        lags.append(float(size[k:][same].sum() / size[k:].sum()))
     best = max([a + b for a, b in zip(lags, lags[1:])] + lags)
-    order = np.argsort(codes, kind="stable")
-    sorted_codes = codes[order]
-    starts = np.flatnonzero(np.r_[True, sorted_codes[1:] != sorted_codes[:-1]])
-    ends = np.r_[starts[1:], n]
-    even = 0
-    for a, b in zip(starts, ends):
-        if b - a >= 4:
-            gaps = np.diff(order[a:b])
-            mean = gaps.mean()
-            if mean <= MEAN_GAP and gaps.std() <= GAP_SPREAD * mean:
-                even += b - a
-    return max(best, even / n)
-
-
-def stuffed_share(line_terms: list[str], ends: int) -> float:
-    """Share of a line's terms that lie in windows of unnaturally regular repetition;
-    ``ends`` is the number of final marks in the line."""
+    even = 0.0
+    for k in np.flatnonzero((counts >= 4) & (kinds >= 0)):
+        at = np.flatnonzero(place == k)
+        gaps = np.diff(at)
+        if gaps.mean() <= MEAN_GAP and gaps.std() <= GAP_SPREAD * gaps.mean():
+            even += float(size[at].sum())
+    return max(best, even / total)
+
+
+def stuffed_share(line_terms: Terms, ends: int, function: frozenset) -> float:
+    """Share of a sequence's length that lies in windows of unnaturally regular
+    repetition; ``ends`` is the number of final marks in it."""
     n = len(line_terms)
     if n < 10:
         return 0.0
     names: dict[str, int] = {}
-    codes = np.array([names.setdefault(t, len(names)) for t in line_terms])
-    # Function words recur in every language; their beat proves nothing.
-    # Nor do signs that a wrong charset has erased.
-    plain = np.array([t in FUNCTION_WORDS or 2 * t.count("\ufffd") >= len(t) or len(t) >= CLAUSE_SIGNS and bool(_WIDE.search(t)) for t in line_terms])
+    # Function words recur in every language, and so do figures and letters that count
+    # or measure; their beat proves nothing. Nor do signs that a wrong charset erased.
+    codes = np.array([-1 - i if proves_nothing(t, function) else names.setdefault(t, len(names)) for i, (t, _) in enumerate(line_terms)])
+    size = np.array([k for _, k in line_terms], dtype=float)
     least = FAR_TOO_REGULAR if ends * SENTENCE_TERMS >= n else LEAST_REGULAR
-    codes = np.where(plain, -1 - np.arange(n), codes)
     hit = np.zeros(n)
     seen = np.zeros(n)
     for a in range(0, max(1, n - WINDOW // 2), WINDOW // 2):
         b = min(n, a + WINDOW)
-        flag = regularity(codes[a:b]) >= least
-        hit[a:b] += flag
+        hit[a:b] += regularity(codes[a:b], size[a:b]) >= least
         seen[a:b] += 1
-    return float(np.mean(hit / np.maximum(seen, 1) >= 0.5))
+    return float(size[hit / np.maximum(seen, 1) >= 0.5].sum() / size.sum())
+
+
+def proves_nothing(t: str, function: frozenset) -> bool:
+    """Whether the recurrence of a term tells nothing."""
+    if t == LINK:
+        return False
+    wide = bool(_WIDE.search(t))
+    return t in function or t.isdigit() or len(t) < 3 and not wide or 2 * t.count("\ufffd") >= len(t) or wide and len(t) >= CLAUSE_SIGNS
 
 
 def gram_cover(codes: np.ndarray, size: int, gap: float) -> float:
@@ -160,7 +196,7 @@ def stuffed_grams(line: str, ends: int) -> float:
     grams = [line[i : i + size] for i in range(n)]
     # Keywords hold no marks; signs that a wrong charset has erased prove nothing.
     codes = np.array([-1 if 2 * g.count("\ufffd") >= size or not _MARKS.isdisjoint(g) else names.setdefault(g, len(names)) for g in grams])
-    least = FAR_TOO_REGULAR if ends * SENTENCE_SIGNS >= len(line) else LEAST_REGULAR
+    least = FAR_TOO_MANY_GRAMS if ends * SENTENCE_SIGNS >= len(line) else LEAST_REGULAR
     hit = np.zeros(n)
     seen = np.zeros(n)
     for a in range(0, max(1, n - window // 2), window // 2):
@@ -170,35 +206,41 @@ def stuffed_grams(line: str, ends: int) -> float:
     return float(np.mean(hit / np.maximum(seen, 1) >= 0.5))
 
 
-def is_enumeration(line: str, words: list[str], ends: int) -> bool:
-    """Many short parts between separators, hardly a final mark or function word."""
-    parts = [p for p in _PARTS.split(line) if p]
-    if len(parts) < MANY_PARTS or len(words) / len(parts) > PART_TERMS or ends > len(parts) / 10:
+def is_list(parts: list[str], ends: int, function: frozenset) -> bool:
+    """Many short parts of many different terms, hardly a final mark or function word
+    among the different parts. What repeats few terms is left to their recurrence."""
+    words = [terms(p) for p in parts]
+    n = sum(map(len, words))
+    if len(parts) < MANY_PARTS or n < MANY_TERMS or n / len(parts) > PART_TERMS or ends > len(parts) / 10:
+        return False
+    flat = [t for w in words for t, _ in w]
+    windows = [flat[i : i + WINDOW] for i in range(0, n, WINDOW)]
+    if sum(len(set(w)) for w in windows) < LEAST_DISTINCT * n:
         return False
     # A keyword may hold a function word; repeated parts count once.
-    kinds = [w for p in set(parts) for w in terms(p)]
-    return sum(w in FUNCTION_WORDS for w in kinds) <= MOST_FUNCTION * len(kinds)
+    kinds = [t for w in {tuple(t for t, _ in w) for w in words} for t in w]
+    return sum(t in function for t in kinds) <= MOST_FUNCTION * len(kinds)
 
 
-def weigh(text: str) -> tuple[float, float]:
+def stuffed(text: str, line_terms: Terms, ends: int, function: frozenset) -> float:
+    """Share of a sequence that is repeated keywords or links, by terms or n-grams."""
+    return max(stuffed_share(line_terms, ends, function), stuffed_grams(text, ends))
+
+
+def weigh(text: str, function: frozenset) -> tuple[float, float]:
     """Code points of ``text`` in repeated keywords, links or tags, and in sentences."""
     spam = prose = 0.0
-    block: list[tuple[str, list[str]]] = []
+    block: list[tuple[str, Terms]] = []
 
     def close() -> None:
-        """Weigh a run of short lines: a list, or a menu and a title."""
+        """Weigh short lines in a row: a list, or a menu and a title."""
         nonlocal spam
-        size = sum(len(line) for line, _ in block)
         if block:
-            links = sum(1 for line, _ in block if _URL.search(line))
-            df: dict[str, int] = {}
-            for _, w in block:
-                for t in {x for x in w if x not in FUNCTION_WORDS and not x.isdigit() and len(x) >= 3}:
-                    df[t] = df.get(t, 0) + 1
-            again = max(df.values(), default=0)
-            repeats = len(block) >= 6 and again >= 0.4 * len(block)
-            if len(block) >= MANY_LINES or links >= 3 or links and 2 * links >= len(block) or repeats:
+            size = sum(len(line) for line, _ in block)
+            if is_list([line for line, _ in block], 0, function):
                 spam += size
+            else:
+                spam += size * stuffed("\n".join(line for line, _ in block), [t for _, w in block for t in w], 0, function)
         block.clear()
 
     for line in text.split("\n"):
@@ -211,23 +253,17 @@ def weigh(text: str) -> tuple[float, float]:
         words = terms(line)
         bare = _URL.sub(" ", line)
         ends = len(_END.findall(bare))
-        wide = len(_WIDE.findall(line))
-        length = len(words) + wide / 2
-        if is_enumeration(line, words, ends) and (len(words) >= 20 or len(_URL.findall(line)) >= 3):
-            close()
-            spam += len(line)
-            continue
-        if length < SHORT_LINE and not ends or _URL.search(line) and not ends and length < 2 * SHORT_LINE:
+        length = len(words) + len(_WIDE.findall(line)) / 2
+        if length < SHORT_LINE and not ends or len(bare) < len(line) and not ends and length < 2 * SHORT_LINE:
             block.append((line, words))
             continue
-        nav = len(_NAV.findall(line)) >= 2 and ends == 0 and len(words) < 40
-        if nav:
-            close()
-            continue
         close()
-        share = max(stuffed_share(words, ends), stuffed_grams(line, ends))
-        spam += share * len(line)
-        prose += (1 - share) * len(line)
+        if is_list([p for p in _PARTS.split(line) if p], ends, function):
+            spam += len(line)
+        elif not (len(_NAV.findall(line)) >= 2 and ends == 0 and len(words) < 40):
+            share = stuffed(line, words, ends, function)
+            spam += share * len(line)
+            prose += (1 - share) * len(line)
     close()
     return spam, prose
 
@@ -235,25 +271,27 @@ def weigh(text: str) -> tuple[float, float]:
 WEIGHT = StructType([StructField("spam", DoubleType()), StructField("prose", DoubleType())])
 
 
-@F.pandas_udf(WEIGHT)
-def _weigh(text: pd.Series) -> pd.DataFrame:
-    rows = [weigh(t) if isinstance(t, str) else (None, None) for t in text]
-    return pd.DataFrame(rows, columns=["spam", "prose"], dtype=float)
+def weigh_udf(function: frozenset):
+    """``weigh`` with these function words."""
 
+    @F.pandas_udf(WEIGHT)
+    def run(text: pd.Series) -> pd.DataFrame:
+        rows = [weigh(t, function) if isinstance(t, str) else (None, None) for t in text]
+        return pd.DataFrame(rows, columns=["spam", "prose"], dtype=float)
 
-#: Declared not deterministic, lest the optimizer evaluates it once more for a filter.
-_weigh_udf = _weigh.asNondeterministic()
+    # Declared not deterministic, lest the optimizer evaluates it once more for a filter.
+    return run.asNondeterministic()
 
 
-def spam_share(pages: DataFrame, text: str = "text", out: str = "spam_share") -> DataFrame:
+def spam_share(pages: DataFrame, text: str = "text", out: str = "spam_share", function: frozenset = frozenset()) -> DataFrame:
     """``pages`` with the share of the own text that is repeated keywords, links or
-    tags in column ``out`` (replaced if there).
+    tags in column ``out`` (replaced if there); ``function`` are the function words.
 
-    Null text gives null; a text that has neither such parts nor sentences 0. The
-    rows are spread once over the cores; no other shuffle.
+    Null text gives null; a text that has neither such parts nor sentences 0. No
+    shuffle but to spread a scan of too few pieces.
     """
     need(pages, text)
-    w = spread(pages).withColumn("__w", _weigh_udf(F.col(text)))
+    w = spread(pages).withColumn("__w", weigh_udf(function)(F.col(text)))
     total = F.col("__w.spam") + F.col("__w.prose")
     share = F.when(F.col(text).isNull(), None).when(total > 0, F.col("__w.spam") / total).otherwise(0.0)
     return w.withColumn(out, share).drop("__w")
@@ -262,6 +300,6 @@ def spam_share(pages: DataFrame, text: str = "text", out: str = "spam_share") ->
 def spam_pages(pages: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
     """``(doc_id, spam_share)`` of the pages more than ``least`` of whose own text
     is spam. Pages resent with the same id count once; mirrors count each."""
-    need(pages, "doc_id", "text")
+    need(pages, "doc_id", "text", "lang")
     rows = pages.select("doc_id", "text").where(F.col("text").isNotNull())
-    return spam_share(rows).where(F.col("spam_share") > least).select("doc_id", "spam_share").dropDuplicates(["doc_id"])
+    return spam_share(rows, function=function_words(pages)).where(F.col("spam_share") > least).select("doc_id", "spam_share").dropDuplicates(["doc_id"])

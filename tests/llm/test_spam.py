@@ -1,5 +1,9 @@
 import random
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 from quireline.llm import spam as S
 
 PROSE = {
@@ -15,12 +19,16 @@ SPAM = {
     "places": ", ".join(f"roof repair {r.choice(TOWNS)}" for _ in range(60)), "lines": "\n".join(f"buy plum jam {r.choice(['cheap', 'online'])} {r.choice(TOWNS)}" for _ in range(40)),
     "stuffed": " ".join(f"{w} van rental {r.choice(['', 'cheap', 'now'])}" for w in (PROSE["en"] * 3).split()), "tags": " | ".join(r.choice(["steel", "SKU 4411", "size 9", "19.99", "bestseller", "eco", "gift", "plum jam"]) for _ in range(90)),
     "links": "\n".join(f"cheap loan >> http://a.example/{i}" for i in range(20)), "hash": " ".join(f"#{r.choice(['near_me', 'loan', 'steel', 'buy_now'])}" for _ in range(60)),
+    "sentences": " ".join(f"Looking for {k}? Our {k} {w} is the {k} you want for {k} {w}." for k, w in [("roof repair", "sale"), ("roof repair", "online"), ("roof repair", "cheap")] * 8),
     "wide": " ".join(r.choice(["口コミ ピアノ教室", "格安 ピアノ教室", "通販"]) for _ in range(50)),
 }
 
 
-def share(t):
-    a, b = S.weigh(t)
+FUNCTION = frozenset("the a of so we to you it if not und der die das nach и не".split())
+
+
+def share(t, function=FUNCTION):
+    a, b = S.weigh(t, function)
     return a / (a + b) if a + b else 0.0
 
 
@@ -70,9 +78,49 @@ def test_stuffed_without_blanks():
     assert share("\ufffd" * 400) == 0.0 and share("…" * 400) == 0.0
 
 
+def test_regularity_finds_most(monkeypatch):
+    """Without the recurrence test only lists of many different names are left."""
+    monkeypatch.setattr(S, "regularity", lambda codes, size: 0.0)
+    monkeypatch.setattr(S, "gram_cover", lambda codes, size, gap: 0.0)
+    assert {name for name, t in SPAM.items() if share(t) > 0.5} <= {"lines", "tags", "hash", "links"}
+    assert all(share(SPAM[name]) == 0.0 for name in ("places", "stuffed", "sentences", "wide"))
+
+
+def test_regularity_by_brute_force():
+    pick = random.Random(9)
+    for _ in range(60):
+        codes = np.array([pick.choice([-1 - i, 0, 1, 2, 3]) for i in range(40)])
+        size = np.array([pick.randint(1, 9) for _ in codes], dtype=float)
+        lag = [sum(size[i] for i in range(k, 40) if codes[i] == codes[i - k] and codes[i] >= 0) / sum(size[k:]) for k in range(1, S.MAX_LAG + 1)]
+        even = 0.0
+        for c in range(4):
+            at = [i for i in range(40) if codes[i] == c]
+            gaps = [b - a for a, b in zip(at, at[1:])]
+            if len(at) >= 4 and np.mean(gaps) <= S.MEAN_GAP and np.std(gaps) <= S.GAP_SPREAD * np.mean(gaps):
+                even += sum(size[i] for i in at)
+        want = max([a + b for a, b in zip(lag, lag[1:])] + lag + [even / size.sum()])
+        got = S.regularity(codes, size)
+        assert got == pytest.approx(want) or (got == 0.0 and want < S.LEAST_REGULAR)
+
+
+def test_lists():
+    names = "violin lantern gravel kettle oven hedge coin ridge plum tile saddle lens rope anvil cork fern".split()
+    assert S.is_list(names * 2, 0, FUNCTION) and not S.is_list(names[:10], 0, FUNCTION)
+    assert not S.is_list([f"the {n} of it" for n in names], 0, FUNCTION) and not S.is_list([f"{n} roof" for n in names[:2]] * 20, 0, FUNCTION)
+    assert S.terms("See [foo](https://a.example/b), «Bar»!") == [("see", 3), ("foo", 3), (S.LINK, 19), ("bar", 3)]
+
+
+def test_function_words(spark):
+    rows = [(i, f"The word{i} and the kettle", "EN" if i % 2 else "en-CA") for i in range(40)] + [(50, "le mot", "fr"), (51, None, "en"), (52, "the", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    # One page of a language proves nothing.
+    assert S.function_words(df) == {"the", "and", "kettle"}
+    assert S.function_words(df.limit(0)) == frozenset()
+
+
 def test_frame(spark):
     rows = [(1, SPAM["tags"], 0.1), (1, SPAM["tags"], 0.1), (2, PROSE["en"], 0.1), (3, None, 0.1), (4, "", 0.1)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string, spam_share double")
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, spam_share double").withColumn("lang", F.lit("en"))
     assert [x.doc_id for x in S.spam_pages(df).collect()] == [1]
     got = {x.doc_id: x.spam_share for x in S.spam_share(df).collect()}
     assert got[2] == 0.0 and got[3] is None and got[4] == 0.0
