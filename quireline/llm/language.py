@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from quireline.llm.common import need, spread
+from quireline.llm.common import need, parts_of
 from quireline.llm.sentences import sentence_ends
 from quireline.llm.unify import readable
 
@@ -78,6 +78,8 @@ LEAST_CONFIDENCE = 0.6
 TRAIN_LETTERS, TRAIN_SIGNS = 12, (40, 20_000)
 #: Greatest weight of a sentence that comes often in the sample.
 MOST_WEIGHT = 6
+#: Texts whose n-grams are looked up together.
+CHUNK = 128
 #: How far beyond the margin a row must be to be left alone for one round of training.
 MARGIN = 0.1
 SEED = 20170102
@@ -118,23 +120,32 @@ def worded(text: str) -> str:
     return _JUNK.sub(" ", text) if _MAYBE_JUNK.search(text) else text
 
 
-def letters_of(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of a text's letters in words between blanks, and how many are of
-    each script (0 for other scripts)."""
+def letters_only(text: str) -> str:
+    """A text's words of letters between blanks, in small letters."""
     clear = worded(text)
     # Capitals inside a sentence begin names, which tell no language.
     short = _NAME.sub("", clear)
-    words = " " + _NOT_LETTERS.sub(" ", (short if 2 * len(short) > len(clear) else clear).lower()).strip() + " "
-    codes = np.frombuffer(words.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return " " + _NOT_LETTERS.sub(" ", (short if 2 * len(short) > len(clear) else clear).lower()).strip() + " "
+
+
+def letters_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of ``letters_only``, and how many are of each script (0 for other
+    scripts)."""
+    codes = np.frombuffer(letters_only(text).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     return codes, np.bincount(_SCRIPT_OF[np.minimum(codes, 0xFFFF)], minlength=len(_SCRIPTS) + 1)[1:]
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams as numbers below ``DIMENSION``."""
+    return ((h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(9)) & np.uint32(DIMENSION - 1)
+
+
 def hashed(codes: np.ndarray) -> np.ndarray:
     """Different hashed n-grams, as rows of the weight table."""
     parts, h = [], np.zeros(len(codes), dtype=np.uint32)
     for n in range(1, min(GRAM, len(codes)) + 1):
         h = h[: len(codes) - n + 1] * np.uint32(0x9E3779B1) + codes[n - 1 :]
-        parts.append(((h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(9)) & np.uint32(DIMENSION - 1))
+        parts.append(mixed(h))
     return np.unique(np.concatenate(parts), sorted=False).astype(np.intp) + RESERVED
 
 
@@ -220,17 +231,53 @@ class Model:
         letters = int(count.sum())
         if not letters:
             return "und", 0.0, 0
-        able = self.writers[int(count.argmax())] or range(len(self.families))
-        if len(able) == 1 and len(self.members[self.families[able[0]]]) == 1:
-            return self.members[self.families[able[0]]][0], 1.0 - 0.5**letters, letters
-        units = letters + (WORD_SIGN - 1) * int(count[_WORD_SIGNS].sum())
-        evidence = min(1.0, math.sqrt(units / ENOUGH))
         h = hashed(codes)
         total = self.table[h].sum(0) / math.sqrt(len(h)) + self.bare
         for k in count.nonzero()[0].tolist():
             n = int(count[k])
             total += self.table[k] * (n / letters) + self.table[len(_SCRIPTS) + k] * min(2.0, n / 2)
-        scores = total.tolist()
+        units = letters + (WORD_SIGN - 1) * int(count[_WORD_SIGNS].sum())
+        return self._decide(total.tolist(), int(count.argmax()), letters, min(1.0, math.sqrt(units / ENOUGH)))
+
+    def judge_all(self, texts: list[str]) -> list[tuple[str, float, int]]:
+        """The same for many texts; their n-grams are looked up together."""
+        out: list[tuple[str, float, int]] = []
+        for i in range(0, len(texts), CHUNK):
+            out += self._judge_chunk(texts[i : i + CHUNK])
+        return out
+
+    def _judge_chunk(self, texts: list[str]) -> list[tuple[str, float, int]]:
+        words = [letters_only(t) for t in texts]
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        size = np.array([len(w) for w in words])
+        ends = np.cumsum(size)
+        owner = np.repeat(np.arange(len(texts)), size)
+        kinds = len(_SCRIPTS) + 1
+        counts = np.bincount(owner * kinds + _SCRIPT_OF[np.minimum(codes, 0xFFFF)], minlength=len(texts) * kinds).reshape(-1, kinds)[:, 1:]
+        letters = counts.sum(1)
+        # Hashed n-grams of all texts that don't lie over the end of one; each counts once a text.
+        parts, h, left = [], np.zeros(len(codes), dtype=np.uint32), ends[owner] - np.arange(len(codes))
+        for n in range(1, min(GRAM, len(codes)) + 1):
+            h = h[: len(codes) - n + 1] * np.uint32(0x9E3779B1) + codes[n - 1 :]
+            whole = left[: len(h)] >= n
+            parts.append(owner[: len(h)][whole] * DIMENSION + mixed(h[whole]))
+        keys = np.unique(np.concatenate(parts))
+        of, row = keys // DIMENSION, keys % DIMENSION + RESERVED
+        many = np.bincount(of, minlength=len(texts))
+        total = np.add.reduceat(self.table[row], np.concatenate([[0], np.cumsum(many)[:-1]])) / np.sqrt(many)[:, None]
+        given = counts / np.maximum(letters, 1)[:, None]
+        total += self.bare + given @ self.table[: len(_SCRIPTS)] + np.minimum(2.0, counts / 2) @ self.table[len(_SCRIPTS) : RESERVED]
+        units = letters + (WORD_SIGN - 1) * counts[:, _WORD_SIGNS].sum(1)
+        evidence = np.minimum(1.0, np.sqrt(units / ENOUGH))
+        return [self._decide(*x) for x in zip(total.tolist(), counts.argmax(1).tolist(), letters.tolist(), evidence.tolist())]
+
+    def _decide(self, scores: list[float], script: int, letters: int, evidence: float) -> tuple[str, float, int]:
+        """Family, then language by the votes of its pairs."""
+        if not letters:
+            return "und", 0.0, 0
+        able = self.writers[script] or range(len(self.families))
+        if len(able) == 1 and len(self.members[self.families[able[0]]]) == 1:
+            return self.members[self.families[able[0]]][0], 1.0 - 0.5**letters, letters
         ranked = sorted(((scores[k], k) for k in able), reverse=True)
         k = ranked[0][1]
         conf = _sure(evidence * (ranked[0][0] - ranked[1][0])) if len(ranked) > 1 else 1.0
@@ -295,7 +342,7 @@ def fit(texts: list[str], labels: list[str], stands_for: dict[str, float] | None
     labels_of = [lab for lab, _ in rows]
     x = [features(s) for _, s in rows]
     model = _fit(x, labels_of, weight)
-    kept = [i for i, (lab, s) in enumerate(rows) if model.classify(s)[0] == lab]
+    kept = [i for i, (got, (lab, _)) in enumerate(zip(model.judge_all([s for _, s in rows]), rows)) if got[0] == lab]
     counts: dict[str, int] = {}
     for i in kept:
         counts[labels_of[i]] = counts.get(labels_of[i], 0) + 1
@@ -353,21 +400,21 @@ def segments_udf(model: Model):
     @F.pandas_udf(SEGMENT)
     def run(text: pd.Series) -> pd.Series:
         known = _JUDGED.setdefault(model.stamp, {})
-
-        def one(t: str):
-            out, a = [], 0
+        if len(known) > 200_000:
+            known.clear()
+        cut: list[list[tuple[int, int, str]] | None] = []
+        for t in text:
+            if t is None:
+                cut.append(None)
+                continue
+            a, rows = 0, []
             for b in sentence_ends(t):
-                s = readable(t[a:b])
-                got = known.get(s)
-                if got is None:
-                    if len(known) > 200_000:
-                        known.clear()
-                    got = known[s] = model.judge(s)
-                out.append((a, b, *got))
+                rows.append((a, b, readable(t[a:b])))
                 a = b
-            return out
-
-        return text.map(one, na_action="ignore")
+            cut.append(rows)
+        new = list({s: None for rows in cut for _, _, s in rows or () if s not in known})
+        known.update(zip(new, model.judge_all(new)))
+        return pd.Series([None if rows is None else [(a, b, *known[s]) for a, b, s in rows] for rows in cut], dtype=object)
 
     # Not deterministic for the optimizer, lest it classifies once more for a filter.
     return run.asNondeterministic()
@@ -401,7 +448,9 @@ def filing_segments(paragraphs: DataFrame, model: Model) -> DataFrame:
     """Segments of the marked-up paragraphs, each row of them once."""
     need(paragraphs, "para_id", "doc_id", "side", "text")
     rows = paragraphs.where((F.col("side") == "sgml") & F.col("text").isNotNull()).select("para_id", "doc_id", "text")
-    return language_segments(spread(rows.dropDuplicates(["para_id"])), model, ["para_id", "doc_id"])
+    # Few bytes are much work here, so the partitions of the one shuffle are fixed.
+    rows = rows.repartition(parts_of(rows.sparkSession), "para_id").dropDuplicates(["para_id"])
+    return language_segments(rows, model, ["para_id", "doc_id"])
 
 
 def foreign_segments(segments: DataFrame, mains: DataFrame) -> DataFrame:

@@ -269,7 +269,8 @@ def same_looking_pairs(rows: DataFrame, left: str = "sgml", right: str = "pdf_l4
     Rows with a null ``doc_id`` or text pair with none; resent rows (same
     ``para_id``) count once; other columns are ignored. Only ids and 16-byte
     digests are shuffled, once for each side, keyed by filing and digest, so
-    neither a large filing nor a text of many copies gathers foreign rows; the
+    neither a large filing nor a text of many copies gathers foreign rows (texts
+    move only where a query spreads a scan of too few pieces); the
     result itself holds every pair and therefore may be as large as the product
     of the copies.
     """

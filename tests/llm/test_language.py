@@ -77,6 +77,13 @@ def test_short_segments_stay_with_their_confidence(spark, model):
     assert model.judge(part)[1] < model.judge(whole)[1] and model.judge("Ж")[1] == 0.5 < model.judge("Жить")[1]
 
 
+def test_many_at_once(model):
+    texts = [*TEXT.values(), "", " ", "12", "字", "Ж", "ab", "x" * 5000, *[t[i : i + 9] for t in TEXT.values() for i in range(0, 90, 9)]] * 2
+    for one, many in zip(map(model.judge, texts), model.judge_all(texts)):
+        assert one[0] == many[0] and one[1] == pytest.approx(many[1], abs=1e-4) and one[2] == many[2]
+    assert model.judge_all([]) == []
+
+
 def test_train_from_a_table(spark):
     rows = [(t + f" {i}", {"en": "English", "fr": "FR"}[lang]) for lang, t in TEXT.items() if lang in ("en", "fr") for i in range(5)] + [(None, "en"), ("x", "fr"), (TEXT["ru"], None)]
     m = L.train(spark.createDataFrame(rows, "text string, lang string"), "text", "lang")
