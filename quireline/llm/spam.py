@@ -54,12 +54,13 @@ FUNCTION_SHARE = 0.5
 LEAST_SHARE = 0.5
 
 LINK = "<link>"
-#: How a text is cut into terms; Java's and Python's expressions read it alike.
-URL, BETWEEN, EDGE = r"https?://[^\s)\]]+|www\.[^\s)\]]+", r"[\s,;|、，。！？；]+", r"[!-/:-@\[-`{-~«»“”„‘’¿¡।؟—–·•…「」『』（）]+"
+#: How a text is cut into terms, and signs that aren't part of one at its ends; Java's
+#: and Python's expressions read it alike.
+URL, BETWEEN = r"https?://[^\s)\]]+|www\.[^\s)\]]+", r"[\s,;|、，。！？；]+"
+EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’¿¡।؟—–·•…「」『』（）"
 
 _URL = re.compile(URL)
 _BETWEEN = re.compile(BETWEEN)
-_EDGES = re.compile(f"^{EDGE}|{EDGE}$")
 _END = re.compile(r"[^\W\d_][\])\"»”’]*\s?[.!?…][\"»”)\]’]*(?=\s|$)|[。！？।؟][”」»\")]*")
 _PARTS = re.compile(r"\s+[|·•*/＊»>–—-]{1,2}\s+|\s*[|,;、，]\s*|\t|(?:^|\s)#")
 _WIDE = re.compile("[぀-ヿ㐀-鿿]")
@@ -74,15 +75,16 @@ Terms = list[tuple[str, int]]
 def terms(line: str) -> Terms:
     """Terms of a line in small letters and their lengths; every address is one kind
     of term."""
+    small = line.lower()
     out: Terms = []
     at = 0
-    for m in [*_URL.finditer(line), None]:
-        for t in _BETWEEN.split(line[at : m.start() if m else len(line)]):
-            t = _EDGES.sub("", t)
+    for m in [*_URL.finditer(small), None] if "http" in small or "www." in small else [None]:
+        for t in _BETWEEN.split(small[at : m.start()] if m else small[at:]):
+            t = t.strip(EDGE)
             if t:
-                out.append((t.lower(), len(t)))
+                out.append((t, len(t)))
         if m:
-            out.append((LINK, len(m[0])))
+            out.append((LINK, m.end() - m.start()))
             at = m.end()
     return out
 
@@ -102,7 +104,7 @@ def function_words(pages: DataFrame, text: str = "text", lang: str = "lang", sha
     counts = rows.groupBy("l", "w").agg(F.count("*").alias("n"))
     total = counts.where("w = ' '").select("l", F.col("n").alias("all"))
     often = counts.join(F.broadcast(total), "l").where((F.col("n") - 2 * F.sqrt("n") >= share * F.col("all")) & (F.col("w") != " "))
-    return frozenset(_EDGES.sub("", r["w"]) for r in often.select("w").distinct().collect()) - {""}
+    return frozenset(r["w"].strip(EDGE) for r in often.select("w").distinct().collect()) - {""}
 
 
 def regularity(codes: np.ndarray, size: np.ndarray) -> float:
@@ -115,12 +117,7 @@ def regularity(codes: np.ndarray, size: np.ndarray) -> float:
         return 0.0
     plain = codes >= 0
     total = float(size.sum())
-    # Each match is a term that was there before; with too few of those no lag, nor
-    # two together, can reach the least regularity, and neither can even gaps.
     kinds, place, counts = np.unique(codes, return_inverse=True, return_counts=True)
-    again = float(size[(counts[place] > 1) & plain].sum())
-    if again < LEAST_REGULAR / 2 * total * (n - MAX_LAG) / n:
-        return 0.0
     lags = []
     for k in range(1, min(MAX_LAG, n // 2) + 1):
         same = (codes[k:] == codes[:-k]) & plain[k:]
@@ -141,18 +138,30 @@ def stuffed_share(line_terms: Terms, ends: int, function: frozenset) -> float:
     n = len(line_terms)
     if n < 10:
         return 0.0
-    names: dict[str, int] = {}
+    counts: dict[str, int] = {}
+    for t, _ in line_terms:
+        counts[t] = counts.get(t, 0) + 1
     # Function words recur in every language, and so do figures and letters that count
     # or measure; their beat proves nothing. Nor do signs that a wrong charset erased.
-    codes = np.array([-1 - i if proves_nothing(t, function) else names.setdefault(t, len(names)) for i, (t, _) in enumerate(line_terms)])
+    codes_of = {t: k for k, t in enumerate(t for t, c in counts.items() if c > 1 and not proves_nothing(t, function))}
+    if not codes_of:
+        return 0.0
+    codes = np.array([codes_of.get(t, -1 - i) for i, (t, _) in enumerate(line_terms)])
     size = np.array([k for _, k in line_terms], dtype=float)
+    upto = np.concatenate([[0.0], np.cumsum(size)])
+    again = np.concatenate([[0.0], np.cumsum(np.where(codes >= 0, size, 0.0))])
     least = FAR_TOO_REGULAR if ends * SENTENCE_TERMS >= n else LEAST_REGULAR
     hit = np.zeros(n)
     seen = np.zeros(n)
     for a in range(0, max(1, n - WINDOW // 2), WINDOW // 2):
         b = min(n, a + WINDOW)
-        hit[a:b] += regularity(codes[a:b], size[a:b]) >= least
         seen[a:b] += 1
+        # Each match is a term that was there before; with too few of those no lag, nor
+        # two together, can reach the least regularity, and neither can even gaps.
+        if again[b] - again[a] >= LEAST_REGULAR / 2 * (upto[b] - upto[a]) * (b - a - MAX_LAG) / (b - a):
+            hit[a:b] += regularity(codes[a:b], size[a:b]) >= least
+    if not hit.any():
+        return 0.0
     return float(size[hit / np.maximum(seen, 1) >= 0.5].sum() / size.sum())
 
 
@@ -209,9 +218,11 @@ def stuffed_grams(line: str, ends: int) -> float:
 def is_list(parts: list[str], ends: int, function: frozenset) -> bool:
     """Many short parts of many different terms, hardly a final mark or function word
     among the different parts. What repeats few terms is left to their recurrence."""
+    if len(parts) < MANY_PARTS:
+        return False
     words = [terms(p) for p in parts]
     n = sum(map(len, words))
-    if len(parts) < MANY_PARTS or n < MANY_TERMS or n / len(parts) > PART_TERMS or ends > len(parts) / 10:
+    if n < MANY_TERMS or n / len(parts) > PART_TERMS or ends > len(parts) / 10:
         return False
     flat = [t for w in words for t, _ in w]
     windows = [flat[i : i + WINDOW] for i in range(0, n, WINDOW)]

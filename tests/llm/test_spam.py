@@ -100,7 +100,7 @@ def test_regularity_by_brute_force():
                 even += sum(size[i] for i in at)
         want = max([a + b for a, b in zip(lag, lag[1:])] + lag + [even / size.sum()])
         got = S.regularity(codes, size)
-        assert got == pytest.approx(want) or (got == 0.0 and want < S.LEAST_REGULAR)
+        assert got == pytest.approx(want)
 
 
 def test_lists():
