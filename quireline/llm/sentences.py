@@ -90,7 +90,11 @@ ABBREVIATIONS = {
 MONTHS = set("januar jänner februar märz april mai juni juli august september oktober november dezember".split())
 
 _PAIR_SIGN = re.compile(f"[{re.escape(OPEN + CLOSE + DOUBLE)}]")
-_PLACE = re.compile(f"[{re.escape(FINAL + STOP + ELLIPSIS + CLOSE + DOUBLE)}]")
+_MARKS = FINAL + STOP + ELLIPSIS + CLOSE + DOUBLE
+#: Where something may end; with signs beyond the Basic Multilingual Plane the search is
+#: slower, so they are only looked for in texts that have such.
+_PLACE = re.compile(f"[{re.escape(''.join(c for c in _MARKS if ord(c) < 0x10000))}]")
+_PLACE_BEYOND = re.compile(f"[{re.escape(_MARKS)}]")
 _FIGURE = re.compile(r"[OSIBZ](?:[\d.,;OSIl]|\s)|[IVXLC]+\b|No\b")
 _CAPS_WORD = re.compile(r"[\w'’-]+")
 _DASH = re.compile(r"[—–-]\s*[^\W\d_]")
@@ -153,12 +157,9 @@ class Clause:
             return (self.langs,)
         return self.langs if isinstance(self.langs, tuple) else (self.langs(self.stored(start, i + AHEAD)),)
 
-    def kind(self, word: str, start: int, i: int) -> str | None:
-        """Kind of the abbreviation ``word`` before the stop at ``i``, or None."""
-        exact, misread = abbreviations()
-        kinds = exact.get(word) or (misread.get(_fold(word)) if len(word) >= 3 else None)
-        if not kinds:
-            return None
+    def kind(self, kinds: dict[str, str], start: int, i: int) -> str | None:
+        """Kind, or None, of an abbreviation of several languages before the stop at
+        ``i``."""
         found = {kinds[x] for x in self.languages(start, i) if x in kinds}
         return next((k for k in reversed(KINDS) if k in found), None)
 
@@ -256,11 +257,12 @@ def sentence_ends(text: str, langs: Languages = None) -> list[int]:
             out.append(last)
             start = skip(i)
 
+    marks = _PLACE if max(t) < "\U00010000" else _PLACE_BEYOND
     start = skip(0)
     i = start
     while True:
         # Nothing but final marks and closing signs decides anything.
-        place = _PLACE.search(t, i)
+        place = marks.search(t, i)
         if place is None:
             break
         i, c = place.start(), place[0]
@@ -347,41 +349,51 @@ def _stop_ends(t: str, start: int, i: int, nxt: int, gap: bool, clause: Clause,
             return False
         if follow.isupper() and word.isdigit() and _caps_word(t, nxt).lower() in MONTHS:
             return False
-    kind = clause.kind(low, start, i)
-    if kind and a >= start + 2 and t[a - 1] == " " and t[a - 2] in "-‐¬":
-        # The rest of a word that was broken at the end of a line.
-        kind = None
-    if kind is None and "." in low and gap:
-        # A chain such as "p.m" or "A.B" is known by its whole or by its letters.
-        kind = "last" if re.fullmatch(r"(?:[^\W\d_]\.-?)+[^\W\d_]", low) else None
-    if kind is None and len(word) == 1 and word.isupper() and word.isalpha() and gap and follow.isupper():
-        kind = "title"
-    if not gap:
-        if kind in ("title", "inner") or kind == "number" and not follow.isupper():
+    exact, misread = abbreviations()
+    kinds = exact.get(low) or (misread.get(_fold(low)) if len(low) >= 3 else None)
+
+    def ends(kind: str | None) -> bool:
+        """Whether it does if the word is an abbreviation of this kind, or none."""
+        if kind and a >= start + 2 and t[a - 1] == " " and t[a - 2] in "-‐¬":
+            # The rest of a word that was broken at the end of a line.
+            kind = None
+        if kind is None and "." in low and gap:
+            # A chain such as "p.m" or "A.B" is known by its whole or by its letters.
+            kind = "last" if re.fullmatch(r"(?:[^\W\d_]\.-?)+[^\W\d_]", low) else None
+        if kind is None and len(word) == 1 and word.isupper() and word.isalpha() and gap and follow.isupper():
+            kind = "title"
+        if not gap:
+            if kind in ("title", "inner") or kind == "number" and not follow.isupper():
+                return False
+            if "." in word and kind != "last":
+                return False
+            if nxt in pairs or follow in INVERTED:
+                return len(word) > 1 or not word.isalpha()
+            if follow.isupper():
+                return len(word) > 1 and nxt + 1 < n and (word[-1].islower() or caps or not word[-1].isalpha() or kind == "last" or not _cased(word[-1]))
+            if follow.islower():
+                return len(word) > 2 and bool(_STYLED.match(t, nxt))
+            if follow.isdigit():
+                return len(word) > 3 and word[-1].isalpha()
+            if follow.isalpha():
+                return len(word) > 1 or U.category(follow) == "Lo" and not word.isascii()
             return False
-        if "." in word and kind != "last":
+        if kind in ("title", "inner"):
             return False
-        if nxt in pairs or follow in INVERTED:
-            return len(word) > 1 or not word.isalpha()
-        if follow.isupper():
-            return len(word) > 1 and nxt + 1 < n and (word[-1].islower() or caps or not word[-1].isalpha() or kind == "last" or not _cased(word[-1]))
+        if kind == "number":
+            # Misread figures begin with a capital that looks like one.
+            return follow.isupper() and not caps and not _FIGURE.match(t, nxt) or follow in OPENING
+        if kind == "last":
+            return _starts_sentence(t, nxt, caps)
         if follow.islower():
-            return len(word) > 2 and bool(_STYLED.match(t, nxt))
-        if follow.isdigit():
-            return len(word) > 3 and word[-1].isalpha()
-        if follow.isalpha():
-            return len(word) > 1 or U.category(follow) == "Lo" and not word.isascii()
-        return False
-    if kind in ("title", "inner"):
-        return False
-    if kind == "number":
-        # Misread figures begin with a capital that looks like one.
-        return follow.isupper() and not caps and not _FIGURE.match(t, nxt) or follow in OPENING
-    if kind == "last":
-        return _starts_sentence(t, nxt, caps)
-    if follow.islower():
-        return bool(_STYLED.match(t, nxt))
-    return True
+            return bool(_STYLED.match(t, nxt))
+        return True
+
+    if not kinds:
+        return ends(None)
+    # Most often what follows decides, whichever language it is.
+    ways = {ends(k) for k in (None, *kinds.values())}
+    return ways.pop() if len(ways) == 1 else ends(clause.kind(kinds, start, i))
 
 
 ENDS = ArrayType(IntegerType())
