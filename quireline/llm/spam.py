@@ -98,12 +98,11 @@ def function_words(pages: DataFrame, text: str = "text", lang: str = "lang", sha
     two letters. Pages with null text or label count nowhere.
     """
     label = F.lower(F.substring(F.trim(F.col(lang)), 1, 2))
-    rows = pages.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(label.alias("l"), F.split(F.lower(F.regexp_replace(F.col(text), URL, " ")), BETWEEN).alias("w"))
-    # One row a page counts the pages, in the same pass.
-    rows = rows.select("l", F.explode(F.array_append(F.array_distinct("w"), F.lit(" "))).alias("w")).where("w != ''")
-    counts = rows.groupBy("l", "w").agg(F.count("*").alias("n"))
-    total = counts.where("w = ' '").select("l", F.col("n").alias("all"))
-    often = counts.join(F.broadcast(total), "l").where((F.col("n") - 2 * F.sqrt("n") >= share * F.col("all")) & (F.col("w") != " "))
+    rows = pages.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).withColumn("l", label)
+    total = rows.groupBy("l").agg(F.count("*").alias("all"))
+    words = F.array_distinct(F.split(F.lower(F.regexp_replace(F.col(text), URL, " ")), BETWEEN))
+    counts = rows.select("l", F.explode(words).alias("w")).where("w != ''").groupBy("l", "w").agg(F.count("*").alias("n"))
+    often = counts.join(F.broadcast(total), "l").where(F.col("n") - 2 * F.sqrt("n") >= share * F.col("all"))
     return frozenset(r["w"].strip(EDGE) for r in often.select("w").distinct().collect()) - {""}
 
 
