@@ -21,7 +21,16 @@ MONTHS = {
     "janvier": 1, "février": 2, "mars": 3, "avril": 4, "mai": 5, "juin": 6, "juillet": 7, "août": 8, "septembre": 9, "octobre": 10, "novembre": 11, "décembre": 12,
 }
 # Words without weight in coverage.
-NOISE_WORDS = ("the", "and", "for", "that", "this", "with", "from", "are", "was", "les", "des", "une", "que", "qui", "dans", "pour", "par", "sur")
+NOISE_WORDS = (
+    "the", "a", "an", "of", "and", "or", "to", "in", "for", "is", "are", "by", "with", "that", "this", "it", "its", "as", "at", "on", "be", "was", "has", "have", "had",
+    "will", "shall", "may", "must", "not", "any", "all", "each", "no", "if", "where", "who", "which",
+)
+# Words that label a heading, before a number or letter.
+HEADING_LABELS = ("part", "section", "article", "chapter", "subsection", "division", "appendix", "annex", "schedule", "exhibit")
+# Short names of issuing bodies, and kinds of documents, before a number.
+ISSUERS = ("ni", "mi", "csa", "osc", "msc", "asc", "bcsc", "amf")
+INSTRUMENTS = ("national", "multilateral")
+DOCUMENT_KINDS = ("rule", "policy", "notice", "bulletin", "guideline")
 
 
 def squeeze(text: Column) -> Column:
@@ -103,11 +112,37 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(both > 0, F.size(F.array_intersect(a, b)) / both).otherwise(0.0)
 
 
+_LETTERS_DIGITS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_GAP, _DASHES = " \t\n\r\f\v", "-–—"
+
+
+def _past(text: Column, *signs: str) -> Column:
+    """``text`` after its leading signs, set after set."""
+    for group in signs:
+        text = F.ltrim(text, F.lit(group))
+    return text
+
+
 def strip_heading_prefix(text: Column) -> Column:
     """A heading without its leading label or number ("Part 2 - ", "1.2.3 ", "IV. ");
-    a heading that is nothing else stays."""
-    label = r"(?i)^(?:(?:part|section|article|chapter|subsection|division|appendix|annex|schedule|exhibit)\s+[0-9ivxa-z]+[\s.\-–—]*|[0-9]+(?:\.[0-9]+)*\.?\s*[-–—]*\s*|[ivx]+\.?\s+[-–—]*\s*)"
-    bare = F.trim(F.regexp_replace(F.trim(F.regexp_replace(text, label, "")), r"^[\s–—-]+", ""))
+    a heading that is nothing else stays.
+
+    The first word tells the kind: a label takes the designator after it along, a
+    number its points, a Roman number its one point.
+    """
+    first = F.regexp_extract(text, r"^\S+", 0)
+    after = F.substring(text, F.length(first) + 1, F.length(text))
+    designator = _past(after, _GAP)
+    named = _past(designator, _LETTERS_DIGITS)
+    label = F.lower(first).isin(*HEADING_LABELS) & (F.length(named) < F.length(designator))
+    roman = F.translate(F.lower(F.rtrim(first, F.lit("."))), "ivx", "") == ""
+    roman = roman & ~F.startswith(first, F.lit(".")) & (F.length(first) - F.length(F.rtrim(first, F.lit("."))) <= 1) & (after != "")
+    bare = (
+        F.when(label, _past(named, _GAP + "." + _DASHES))
+        .when(F.substring(text, 1, 1).between("0", "9"), _past(text, "0123456789.", _GAP, _DASHES, _GAP))
+        .when(roman, _past(after, _GAP, _DASHES, _GAP)).otherwise(text)
+    )
+    bare = F.trim(_past(bare, _GAP + _DASHES), F.lit(_GAP))
     return F.when(bare == "", text).otherwise(bare)
 
 
@@ -161,22 +196,30 @@ def near_number(a: Column, b: Column) -> Column:
 
 def language_hint(text: Column) -> Column:
     """FR from six French letters on, else EN."""
-    french = F.length(F.regexp_replace(text, "[^éèêëàâîïôùûçœÉÈÊËÀÂÎÏÔÙÛÇŒ]", ""))
+    french = F.length(F.regexp_replace(text, "[^éèêàâùûîôçœÉÈÊÀÂÙÛÎÔÇŒ]", ""))
     return F.when(french > 5, "FR").otherwise("EN")
 
 
-def first_match(text: Column, *patterns: str) -> Column:
-    """What the first matching pattern finds (its first group), else null."""
-    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns])
-
-
 def number_reference(text: Column) -> Column:
-    """First reference number of a text ("National Instrument 45-106", "45-106")."""
+    """First reference number of a text, with the words that say what it is: a short
+    issuer ("NI 45-106"), else an instrument ("National Instrument 45-106"), else a kind
+    of document ("Notice 45-106"), else the number alone. Of one kind the first counts;
+    null if there is none."""
     flat = squeeze(text)
-    return first_match(
-        flat, r"\b([A-Z]{2,4} [0-9]{2}-[0-9]{3})\b", r"\b((?:National|Multilateral) Instrument [0-9]{2}-[0-9]{3})\b",
-        r"\b((?:Rule|Policy|Notice|Bulletin|Guideline) [0-9]{2}-[0-9]{3})\b", r"\b([0-9]{2}-[0-9]{3})\b",
-    )
+    w = F.split(flat, " ")
+    word = lambda i: F.regexp_extract(F.coalesce(F.get(w, i), F.lit("")), r"[\p{L}\p{N}_]+$", 0)
+    number = lambda i: F.regexp_extract(F.get(w, i), r"^[0-9]{2}-[0-9]{3}\b", 0)
+
+    def named(i: Column) -> Column:
+        last, before = F.lower(word(i - 1)), F.lower(word(i - 2))
+        instrument = (last == "instrument") & (F.get(w, i - 1) == word(i - 1)) & before.isin(*INSTRUMENTS)
+        kind = F.when(last.isin(*ISSUERS), 1).when(instrument, 2).when(last.isin(*DOCUMENT_KINDS), 3)
+        said = F.when(instrument, F.concat_ws(" ", word(i - 2), word(i - 1))).otherwise(word(i - 1))
+        return F.struct(kind.alias("kind"), i.alias("at"), F.concat_ws(" ", said, number(i)).alias("said"))
+
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: (i < F.size(w)) & (number(i) != ""))
+    best = F.array_min(F.filter(F.transform(places, named), lambda x: x["kind"].isNotNull()))
+    return F.coalesce(best["said"], F.nullif(F.regexp_extract(flat, r"\b[0-9]{2}-[0-9]{3}\b", 0), F.lit("")))
 
 
 def text_date(text: Column) -> Column:
@@ -205,22 +248,19 @@ def stamp_date(text: Column) -> Column:
     return F.coalesce(F.try_to_date(text, "yyyyMMdd"), F.try_to_date(text, "yyyy-MM-dd"))
 
 
-def capped(n: Column, unit: float, cap: float) -> Column:
-    """Linear penalty with a cap."""
-    return F.least(F.lit(float(cap)), n * F.lit(float(unit)))
-
-
-def contains_text(blob: Column, part: Column) -> Column:
-    """Whether ``part`` stands anywhere in ``blob``, inside words too."""
-    return F.contains(blob, part)
+# Entities of a table cell and their signs, in the order they are read.
+CELL_ENTITIES = (
+    ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&rsquo;", "’"), ("&lsquo;", "‘"), ("&rdquo;", "”"), ("&ldquo;", "“"), ("&ndash;", "–"),
+    ("&mdash;", "—"), ("&nbsp;", " "),
+)
 
 
 def cell_text(raw: Column) -> Column:
-    """Text of a table cell: tags away, the usual entities decoded."""
-    out = F.regexp_replace(raw, "<[^>]*>", " ")
-    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    """Text of a table cell: tags away, the usual entities decoded, no blanks around."""
+    out = F.regexp_replace(raw, "<[^>]+>", "")
+    for name, sign in CELL_ENTITIES:
         out = F.replace(out, F.lit(name), F.lit(sign))
-    return squeeze(out)
+    return F.trim(out, F.lit(_GAP))
 
 
 def wrap_in_tag(line: Column, part: Column, tag: str) -> Column:

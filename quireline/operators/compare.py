@@ -6,21 +6,37 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from quireline.functions import text as T
 
 
-def gram_coverage(source: DataFrame, target: DataFrame, words: Column, n: int = 5, doc: str = "doc_id", key: str = "para_id") -> DataFrame:
+def gram_coverage(source: DataFrame, target: DataFrame, words: Column, n: int = 5, doc: str = "doc_id", key: str = "para_id", short_texts: bool = True) -> DataFrame:
     """``(doc, key, grams, hits, coverage)``: share of each source text's different
     word n-grams that stand in the document's target texts.
 
     ``words`` is the word array of both sides. Grams travel as 64-bit hashes; each
     side is made distinct before they meet, so a document of many copies is small.
-    Texts of fewer than ``n`` words are left out (see ``short_containment``).
+    A text of fewer words is one gram of itself (none without ``short_texts``), a text
+    without words none.
     """
-    grams = T.gram_hashes(F.col("__w"), n)
-    s = source.select(doc, key, words.alias("__w")).select(doc, key, F.explode(grams).alias("g"))
-    t = target.select(doc, words.alias("__w")).select(doc, F.explode(grams).alias("g")).distinct().withColumn("hit", F.lit(1))
+    w = F.col("__w")
+    s = source.select(doc, key, words.alias("__w"))
+    t = target.select(doc, words.alias("__w"))
+    if not short_texts:
+        t = t.select(doc, F.explode(T.gram_hashes(w, n)).alias("g")).distinct().withColumn("hit", F.lit(1))
+        return _share_of_grams(s.select(doc, key, F.explode(T.gram_hashes(w, n)).alias("g")), t, doc, key)
+    short = F.size(w).between(1, n - 1)
+    lengths = s.where(short).groupBy(doc).agg(F.collect_set(F.size(w)).alias("__n"))
+    spans = F.flatten(F.transform("__n", lambda k: F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.xxhash64(F.slice(w, i, k)))).otherwise(F.array().cast("array<bigint>"))))
+    # Shorter spans of the target are only needed where a source has such texts.
+    small = t.join(lengths, doc).select(doc, F.explode(F.array_distinct(spans)).alias("g"))
+    s = s.select(doc, key, F.explode(F.when(short, F.array(F.xxhash64(w))).otherwise(T.gram_hashes(w, n))).alias("g"))
+    t = t.select(doc, F.explode(T.gram_hashes(w, n)).alias("g")).unionByName(small).distinct().withColumn("hit", F.lit(1))
+    return _share_of_grams(s, t, doc, key)
+
+
+def _share_of_grams(s: DataFrame, t: DataFrame, doc: str, key: str) -> DataFrame:
     return s.join(t, [doc, "g"], "left").groupBy(doc, key).agg(F.count("*").alias("grams"), F.count("hit").alias("hits")).withColumn("coverage", F.col("hits") / F.col("grams"))
 
 
@@ -177,20 +193,27 @@ def positional_differences(a: DataFrame, b: DataFrame, key: list[str], value: st
     return x.join(y, key).where(~F.col("a_value").eqNullSafe(F.col("b_value")))
 
 
+@F.pandas_udf(LongType())
+def _inverted(places: pd.Series) -> pd.Series:
+    """Pairs in falling order: each place is put into the sorted ones before it."""
+    from bisect import bisect_right, insort
+
+    def one(seq) -> int:
+        seen, n = [], 0
+        for v in seq:
+            n += len(seen) - bisect_right(seen, v)
+            insort(seen, v)
+        return n
+
+    return places.map(one)
+
+
 def inversions(pairs: DataFrame, doc: str = "doc_id", a: str = "a", b: str = "b") -> DataFrame:
     """``(doc, matched, inverted, ratio)``: pairs of a matching whose order differs
-    on the two sides; ``pairs(doc, a, b)`` are places on both.
-
-    Counted by a fold over the sorted places of a document (insertion into a sorted
-    array), without all pairs.
-    """
-    seq = pairs.groupBy(doc).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(a).alias("i"), F.col(b).alias("j")))), lambda x: x["j"]).alias("s"))
-    count = F.aggregate(
-        F.sequence(F.lit(1), F.size("s")), F.lit(0).cast("bigint"),
-        lambda acc, i: acc + F.size(F.filter(F.slice("s", F.lit(1), i - 1), lambda v: v > F.element_at("s", i))).cast("bigint"),
-    )
-    n = F.size("s")
-    out = seq.select(doc, n.alias("matched"), F.when(n > 1, count).otherwise(F.lit(0)).alias("inverted"))
+    on the two sides; ``pairs(doc, a, b)`` are places on both. The places of one
+    document are counted by insertion into a sorted list, not by all pairs."""
+    seq = pairs.groupBy(doc).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(a).alias("i"), F.col(b).alias("j")))), lambda x: x["j"].cast("long")).alias("s"))
+    out = seq.select(doc, F.size("s").alias("matched"), _inverted("s").alias("inverted"))
     return out.withColumn("ratio", F.when(F.col("matched") > 1, F.col("inverted") / (F.col("matched") * (F.col("matched") - 1) / 2)).otherwise(0.0))
 
 
@@ -340,7 +363,7 @@ def islands(lines: DataFrame, starts: Column, doc: str = "doc_id", order: str =
 def staged_coverage(source: DataFrame, target: DataFrame, words: Column, doc: str = "doc_id", key: str = "para_id", grams: float = 0.55, single: float = 0.9, runs: float = 0.55) -> DataFrame:
     """``(doc, key, method, confidence)``: how each source text is covered: by its
     5-grams, else by its words, else by its windows; null if by none."""
-    g = gram_coverage(source, target, words, 5, doc, key).select(doc, key, F.col("coverage").alias("g"))
+    g = gram_coverage(source, target, words, 5, doc, key, short_texts=False).select(doc, key, F.col("coverage").alias("g"))
     w = word_containment(source, target, words, doc, key).select(doc, key, (F.col("hits") / F.col("words")).alias("w"))
     r = window_coverage(source, target, words, doc=doc, key=key).select(doc, key, (F.col("covered") / F.col("windows")).alias("r"))
     all_ = source.select(doc, key).join(g, [doc, key], "left").join(w, [doc, key], "left").join(r, [doc, key], "left")
@@ -356,12 +379,10 @@ def absent_items(source: DataFrame, target: DataFrame, words, least_items: int =
     items = parts.select(doc, key, F.posexplode("__b").alias("no", "item")).withColumn("__h", F.slice(words(F.col("item")), 1, first))
     items = items.withColumn("n", F.size("__h")).where("n > 0").withColumn("g", F.xxhash64("__h"))
     t = target.select(doc, words(F.col("text")).alias("__w"))
-    # Items of one document have few lengths, at most ``first``.
-    grams = None
-    for n in range(1, first + 1):
-        need = items.where(F.col("n") == n).select(doc).distinct()
-        one = t.join(need, doc, "left_semi").select(doc, F.lit(n).alias("n"), F.explode(T.gram_hashes(F.col("__w"), n)).alias("g")).distinct()
-        grams = one if grams is None else grams.unionByName(one)
+    # The lengths that a document's items have, at most ``first``; the target is read once.
+    lengths = items.groupBy(doc).agg(F.collect_set("n").alias("__n"))
+    spans = F.transform("__n", lambda n: F.struct(n.alias("n"), F.when(F.size("__w") >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("__w") - n + 1), lambda i: F.xxhash64(F.slice("__w", i, n))))).otherwise(F.array().cast("array<bigint>")).alias("g")))
+    grams = t.join(lengths, doc).select(doc, F.explode(spans).alias("s")).select(doc, "s.n", F.explode("s.g").alias("g")).distinct()
     return items.join(grams, [doc, "n", "g"], "left_anti").select(doc, key, "no", "item")
 
 

@@ -103,3 +103,10 @@ def share_of_maximum(rows: DataFrame, by: list[str], score: str, most: str, good
     bad or between."""
     share = F.when(F.col(most) > 0, F.col(score) / F.col(most))
     return rows.groupBy(*by).agg(F.avg(share).alias("share"), F.count_if(share >= good).alias("good"), F.count_if((share < good) & (share >= bad)).alias("fair"), F.count_if(share < bad).alias("bad"))
+
+
+def first_look(raw: Column) -> dict[str, Column]:
+    """What the tags of a raw text tell of its kind: quoted amendments, an ident block,
+    parts and sections, special roots."""
+    has = lambda p: F.regexp_like(raw, F.lit(p))
+    return {"has_quote": has("<QUOTE"), "has_polident": has("<POLIDENT"), "has_part_sec": has(r"<(PART|SEC)[\s>]"), "is_tsx_special": has(r"<(MISCLAW|LEGIDDOC)[\s>]")}

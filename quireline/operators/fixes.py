@@ -72,3 +72,65 @@ def first_keys(rows: DataFrame, text: str, stage: str, size: int = 60, doc: str
     """Rows whose first ``size`` letters weren't found by an earlier stage or row."""
     w = Window.partitionBy(doc, F.lower(F.substring(text, 1, size))).orderBy(stage, text)
     return rows.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
+
+
+def _lines(docs: DataFrame, doc: str) -> DataFrame:
+    return docs.select(doc, F.posexplode(F.split("raw", "\n", -1)).alias("__k", "text")).select(doc, (F.col("__k") + 1).alias("line"), "text")
+
+
+def metadata_cards(docs: DataFrame, found: DataFrame, shown: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """``(doc, dimension, name, line, wrong, right, auto)``: a card for each wrong
+    language, number or date of ``docs(doc, raw)``, at the line of the root or number
+    tag; only a language can be put right by itself, as ``shown(doc, s_lang)`` says."""
+    wrong = found.where((F.col("dimension") == "metadata") & (F.col("points") > 0)).select(doc, "name")
+    l = _lines(docs.join(wrong.select(doc).distinct(), doc, "left_semi"), doc).withColumn("__n", F.regexp_like("text", F.lit(r"<N[\s>]"))).withColumn("__r", F.contains("text", F.lit("<POLIDOC")))
+    first = l.where("__n OR __r").groupBy(doc).agg(F.min_by(F.struct("line", "text"), F.when(F.col("__n"), F.col("line"))).alias("n"), F.min_by(F.struct("line", "text"), F.when(F.col("__r"), F.col("line"))).alias("r"))
+    place = F.when(F.col("name") == "number", F.col("n")).otherwise(F.col("r"))
+    rows = wrong.join(first, doc).withColumn("p", place).where("p IS NOT NULL").join(shown, doc)
+    language = F.col("name") == "language"
+    attr = lambda v: F.concat(F.lit('LANG="'), v, F.lit('"'))
+    right = F.replace(F.col("p.text"), attr(F.regexp_extract("p.text", 'LANG="([^"]*)"', 1)), attr(F.col("s_lang")))
+    return rows.select(doc, F.lit("metadata").alias("dimension"), "name", F.col("p.line").alias("line"), F.col("p.text").alias("wrong"), F.when(language, right).alias("right"), language.alias("auto"))
+
+
+def issue_cards(docs: DataFrame, issues: DataFrame, tags: dict[str, str], doc: str = "doc_id") -> DataFrame:
+    """``(doc, dimension, severity, name, line)``: a card for each issue of the rules in
+    ``tags`` (rule to tag), at the first line on which that tag opens."""
+    of = F.create_map(*[F.lit(x) for kv in tags.items() for x in kv])
+    i = issues.where(F.col("rule").isin(*tags)).select(doc, F.col("category").alias("dimension"), "severity", F.col("rule").alias("name"), of[F.col("rule")].alias("tag"))
+    names = sorted(set(tags.values()))
+    found = _lines(docs.join(i.select(doc).distinct(), doc, "left_semi"), doc).select(doc, "line", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(rf"<({'|'.join(names)})[\s>/]"), F.lit(1)))).alias("tag"))
+    first = found.groupBy(doc, "tag").agg(F.min("line").alias("line"))
+    return i.join(first, [doc, "tag"]).select(doc, "dimension", "severity", "name", "line").distinct()
+
+
+def wrapping_cards(items: DataFrame, lines: DataFrame, tag: str, doc: str = "doc_id") -> DataFrame:
+    """``(doc, text, line, wrong, right, auto)``: for each item that should be wrapped in
+    ``tag`` the first line that holds it, as it is and wrapped; ``auto`` where the case
+    agrees too."""
+    from quireline.functions.text import wrap_in_tag
+    from quireline.operators.compare import holding
+
+    i = items.select(doc, "text", F.lower("text").alias("x")).distinct()
+    held = holding(lines.select(doc, "line", F.lower("text").alias("y")), i.select(doc, "x"), doc, ("line",)).groupBy(doc, "x").agg(F.min("line").alias("line"))
+    rows = i.join(held, [doc, "x"]).join(lines.select(doc, "line", F.col("text").alias("wrong")), [doc, "line"])
+    return rows.select(doc, "text", "line", "wrong", wrap_in_tag(F.col("wrong"), F.col("text"), tag).alias("right"), F.contains("wrong", F.col("text")).alias("auto"))
+
+
+def inverted_cards(pairs: DataFrame, most: int = 5, doc: str = "doc_id") -> DataFrame:
+    """``(doc, first, second)``: up to ``most`` (as many as a reviewer is shown) pairs of
+    neighbouring headings of a matching ``(doc, a, b, text)`` that stand the other way
+    round in the source, in the target's order."""
+    w = Window.partitionBy(doc).orderBy("a")
+    rows = pairs.withColumns({"__b": F.lead("b").over(w), "second": F.lead("text").over(w)}).where(F.col("b") > F.col("__b"))
+    rows = rows.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= most)
+    return rows.select(doc, F.col("text").alias("first"), "second")
+
+
+def placement_cards(missing: DataFrame, source: DataFrame, target: DataFrame, doc: str = "doc_id", key: str = "para_id", order: str = "idx") -> DataFrame:
+    """``(doc, key, after)``: where a missing source text belongs: behind the place in the
+    target of the nearest source text before it that the target has (null if none).
+    ``source(doc, key, idx, found_at)`` has the target's place of each found text."""
+    w = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = source.withColumn("after", F.last("found_at", ignorenulls=True).over(w))
+    return missing.select(doc, key).join(placed.select(doc, key, "after"), [doc, key])

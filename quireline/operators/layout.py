@@ -10,12 +10,45 @@ from quireline.functions import text as T
 
 BOLD_FLAG, ITALIC_FLAG = 16, 2
 # Words of a web page's frame.
-CHROME = ("sign in", "français", "trading status", "copyright © 20", "home", "log in", "subscribe")
-# Lines that are no content.
+CHROME = ("sign in", "français", "trading status", "home trading", "toronto stock exchange trading notices", "copyright © 20", "tmx group limited")
+# Patterns of texts that a target may leave out; letter case doesn't count.
 OMITTED = (
-    r"^continued\b", r"\bcontinued on (?:next )?page\b", r"^page \d+ of \d+$", r"^- ?\d+ ?-$", r"^\d{1,4}$", r"^copyright\b", r"^©", r"all rights reserved",
-    r"^table of contents$", r"^tel(?:ephone)?[.:]", r"^fax[.:]", r"^www\.", r"^https?://\S+$", r"^\(?cont(?:'d|inued)\)?\.?$",
-)
+    r"^\d{1,4}$",
+    r"^page\s+\d{1,4}",
+    r"^table\s+of\s+contents",
+    r"copyright\s+©?\s*20\d{2}",
+    r"^\s*(continued|suite)\s*$",
+    r"^(home|trading|français|sign in)",
+    r"thomson\s+reuters",
+    r"^(?:january|february|march|april|may|june|july|august|september|october|november|december|janvier|février|mars|avril|mai|juin|juillet|août|septembre|octobre|novembre|décembre)\s+\d{1,2},?\s+\d{4}$",
+    r"^\d{7}$",
+    r"\.{5,}",
+    r"^\d{1,3}\s+(?:see|ibid|supra|infra|note\b)",
+    r"^\d{1,3}\s+.{5,}\.(?:ca|com|gov|org|net)(?:[/\s]|$)",
+    r"^\(\d{4}\),\s+\d+\s+oscb\s+\d+",
+    r"^b\.\d*[:\s]",
+    r"^[-–]\s+and\s+[-–]$",
+    r"^\d{1,2},\s+\d{4}$",
+    r"^\(as\s+of\b",
+    r"^made\s+under\s+the\b",
+    r"^,",
+    r"^q[1-4]\s+\d{4}$",
+    r"^%\s+change\b",
+    r"^date:\s+\d",
+    r"^(?:part|section|chapter)\s+\d+[a-z]?\s*$",
+    r"^(?:annex|appendix)\s+[a-z]\s*$",
+    r"^(?:i{1,3}|iv|vi{0,3}|ix|xi{0,2}|xiv|xv)\.\s+\S",
+    r"(?:securities\s+commission|securities\s+authority)\s*$",
+    r"^(?:canadian\s+investment\s+regulatory\s+organization|cipf)\s*$",
+    r"\bstrikethrough\b",
+    r"^(?:document\s+(?:type|no\.?|number|date|title)|effective\s+date|reference\s+no\.?)\s*[:\s]*$",
+    r"^(?:part|section|article|division|schedule|item)\s+\d+[a-z]?\s+(?:[-–—]|definitions?|purposes?|interpretation|effective\s+date|general|application|exemption|transitional|repeal)\b",
+    r"^fli[;,\s].*fofi",
+    r"^(?:\S{1,2}\s+){2,}\S{1,2}$",
+    r"^(?:rules\s+and\s+policies|notices\s+and\s+news\s+releases)$",
+    r"^\d+\s*\|",
+    r"^(?:part|section|article|division|schedule|item)\s+\d+[a-z]?\s*[–—-]",
+)
 
 #: A span's place.
 SPAN_KEYS = ["doc_id", "page", "block", "line"]
@@ -214,9 +247,10 @@ def outside_tables(blocks: DataFrame, tables: DataFrame, share: float = 0.5, cap
 
 
 def heading_level(size: Column, body: Column, bold: Column, words: Column) -> Column:
-    """Level 1 to 4 by how much larger than the body a line is, else 0."""
+    """Level 1 to 4 of a heading by how much larger than the body its type is, 4 too for
+    short bold text of body size, 0 for what is none."""
     more = size - body
-    return F.when(more >= 6, 1).when(more >= 3, 2).when(more >= 1.5, 3).when(bold & (words <= 12), 4).otherwise(0)
+    return F.when(more > 6, 1).when(more > 3, 2).when(more > 1.5, 3).when(more > 0.5, 4).when(bold & (words <= 12), 4).otherwise(0)
 
 
 def table_pages(drawings: DataFrame, least: int = 4) -> DataFrame:

@@ -208,15 +208,20 @@ def entity_names(raw: Column) -> Column:
     return F.regexp_extract_all(raw, F.lit(r"&([A-Za-z][A-Za-z0-9]*);"), F.lit(1))
 
 
-def list_by_levels(section: Column) -> Column:
-    """Ordered text of a block: headings, paragraphs and items as they come."""
-    return F.regexp_extract_all(section, F.lit(r"(?is)<(?:TI|P|ITEM|h1|p|li)(?:\s[^>]*)?>(.*?)</"), F.lit(1))
+def direct_children(raw: Column, tag: str, void: tuple[str, ...] = ()) -> Column:
+    """Names of the tags that open right inside the first ``tag``, each once, in order;
+    what opens inside another tag is none of them. ``void`` tags open nothing."""
+    first = F.get(elements(raw, tag), F.lit(0))
+    skip = [t.lower() for t in void]
+    state = F.struct(F.lit(0).alias("d"), F.array().cast("array<string>").alias("o"))
 
+    def step(s: Column, t: Column) -> Column:
+        name = F.replace(t, F.lit("/"), F.lit(""))
+        closing, alone = F.startswith(t, F.lit("/")), F.lower(name).isin(skip)
+        depth = F.when(alone, s["d"]).when(closing, F.greatest(s["d"] - 1, F.lit(0))).otherwise(s["d"] + 1)
+        return F.struct(depth.alias("d"), F.when(~closing & (s["d"] == 0), F.array_append(s["o"], name)).otherwise(s["o"]).alias("o"))
 
-def direct_children(raw: Column, tag: str) -> Column:
-    """Names of the tags that open inside the first ``tag``, each once, in order."""
-    first = F.get(elements(raw, tag), F.lit(0))
-    return F.array_distinct(F.regexp_extract_all(first, F.lit(r"<([A-Za-z][A-Za-z0-9]*)"), F.lit(1)))
+    return F.array_distinct(F.aggregate(tag_stream(first), state, step, lambda s: s["o"]))
 
 
 def part_counts(raw: Column, v: MarkupVocabulary) -> Column:

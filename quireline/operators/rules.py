@@ -83,33 +83,85 @@ def raw_signs(text: Column, signs: dict[str, str] = ENTITY_OF) -> Column:
     return F.filter(F.array(*[one(s) for s in signs]), lambda x: x["n"] > 0)
 
 
-def filing_rules(raw: Column, entities: list[str]) -> list[Rule]:
-    """Structural rules of a marked-up filing."""
+# Labels that a date may have.
+DATE_LABELS = ("Effective", "Published", "Amended", "Revised", "Adopted", "Approved", "In Force", "Coming into Force")
+#: Elements that the rules read.
+READ = ("TABLE", "SGMLTBL", "TBLROW", "TBLCELL", "TBLHEAD", "TBLBODY", "TBLCDEFS", "ITEM", "P", "TI", "N", "DEF", "DATE", "POLIDENT")
+
+
+def prepared(docs: DataFrame, raw: str = "raw") -> DataFrame:
+    """``docs`` with what several rules read: the names of the opening tags (``__tags``)
+    and the contents of each element (``__e_``); an element is only searched for in
+    texts where its tag opens."""
+    text = F.col(raw)
+    docs = docs.withColumn("__tags", F.transform(F.regexp_extract_all(text, F.lit(r"<([A-Za-z][A-Za-z0-9]*)[\s>/]"), F.lit(1)), F.upper))
+    found = lambda t: F.when(F.array_contains("__tags", t), M.elements(text, t)).otherwise(F.array().cast("array<string>"))
+    return docs.withColumns({f"__e_{t}": found(t) for t in READ})
+
+
+class _Parts:
+    """Tags and elements of a text: prepared columns, or expressions over the text."""
+
+    def __init__(self, raw: Column, ready: bool) -> None:
+        self.raw, self.ready = raw, ready
+
+    def n(self, tag: str) -> Column:
+        return F.size(F.filter(F.col("__tags"), lambda t: t == tag)) if self.ready else M.count_tag(self.raw, tag)
+
+    def each(self, tag: str) -> Column:
+        return F.col(f"__e_{tag}") if self.ready else M.elements(self.raw, tag)
+
+    def first(self, tag: str) -> Column:
+        return F.get(self.each(tag), F.lit(0))
+
+
+def _total(values: Column) -> Column:
+    """Sum of an array of whole numbers."""
+    return F.aggregate(values, F.lit(0), lambda s, x: s + x)
+
+
+def filing_rules(raw: Column, entities: list[str], ready: bool = False) -> list[Rule]:
+    """Structural rules of a marked-up filing; ``ready`` if ``prepared`` has made the
+    columns they read."""
+    x = _Parts(raw, ready)
     attrs = M.root_attributes(raw, "POLIDOC")
     has = lambda name: F.map_contains_key(attrs, F.lit(name))
-    cells = M.elements(raw, "TBLCELL")
-    tables = M.elements(raw, "TABLE")
+    cells, tables, bodies, items, headings, paragraphs = (x.each(t) for t in ("TBLCELL", "TABLE", "SGMLTBL", "ITEM", "TI", "P"))
     outside = F.regexp_replace(raw, r"(?is)<TABLE(?:\s[^>]*)?>.*?</TABLE>", " ")
-    rows = M.elements(raw, "SGMLTBL")
-    in_rows = lambda t: M.count_tag(F.array_join(M.elements(t, "TBLROW"), " "), "TBLCELL")
-    uneven = lambda t: F.size(F.array_distinct(F.transform(M.elements(t, "TBLROW"), lambda r: M.count_tag(r, "TBLCELL")))) > 1
-    files = F.transform(F.regexp_extract_all(raw, F.lit(r"(?i)<GRAPHIC\s[^>]*?FILENAME\s*=\s*\"([^\"]*)\""), F.lit(1)), F.upper)
-    items = M.elements(raw, "ITEM")
+    rows = lambda t: M.elements(t, "TBLROW")
+    n_cells = lambda t: M.count_tag(t, "TBLCELL")
+    holds = lambda parent, child: F.exists(x.each(parent), lambda t: M.count_tag(t, child) > 0)
+    empty = lambda texts: F.size(F.filter(texts, lambda t: M.inner_text(t) == ""))
+    graphics = F.regexp_extract_all(raw, F.lit(r"(?i)<GRAPHIC(?=[\s>/])([^>]*)>"), F.lit(1))
+    names = F.filter(F.transform(graphics, lambda g: F.regexp_extract(g, r"FILENAME=\"([^\"]+)\"", 1)), lambda f: f != "")
+    numbers = F.array_sort(F.transform(F.filter(names, lambda f: f.rlike(r"(?i)^SB[0-9]{6}\.BMP$")), lambda f: F.substring(f, 3, 6).cast("int")))
+    steps = F.zip_with(numbers, F.slice(numbers, F.lit(2), F.greatest(F.size(numbers), F.lit(1))), lambda a, b: b - a)
+    no_notes = F.regexp_replace(raw, r"(?is)<FOOTNOTE(?:\s[^>]*)?>.*?</FOOTNOTE>", "")
+    between = F.regexp_extract_all(no_notes, F.lit(r"(?s)</P>(.{1,600}?)</P>"), F.lit(1))
+    long_words = lambda t: F.size(F.filter(F.split(F.regexp_replace(t, "<[^>]+>", ""), r"\s+"), lambda w: w.rlike("[a-zA-Z]{3}")))
+    no_body = F.filter(F.transform(bodies, lambda t, i: F.when(M.count_tag(t, "TBLBODY") == 0, i)), lambda i: i.isNotNull())
+    dates = F.regexp_extract_all(raw, F.lit(r"(?i)<DATE\s[^>]*?LABEL=\"([^\"]+)\""), F.lit(1))
+    roots = F.regexp_extract_all(raw, F.lit(r"<POLIDOC[^>]*\sADDDATE=\"([0-9]{8})\""), F.lit(1))
+    rising = F.zip_with(roots, F.slice(roots, F.lit(2), F.greatest(F.size(roots), F.lit(1))), lambda a, b: a < b)
+    ident = F.coalesce(x.first("POLIDENT"), F.lit(""))
+    filled = lambda tag: F.size(M.element_texts(ident, tag)) > 0
     used = F.array_distinct(M.entity_names(raw))
     body = F.regexp_replace(raw, "<[^>]*>", "")
+    yes = lambda flags: F.size(F.filter(flags, lambda f: F.coalesce(f, F.lit(False))))
     return [
         Rule("unknown tag", "schema", "major", 1.0, 4.0, F.size(unknown_tags(raw, FILING_TAGS))),
-        Rule("no root", "schema", "major", 3.0, 3.0, _flag(M.count_tag(raw, "POLIDOC") == 0)),
-        Rule("attribute missing", "schema", "minor", 0.5, 8.0, F.size(F.array_except(F.array(*[F.lit(a) for a in REQUIRED_ATTRIBUTES]), F.map_keys(attrs)))),
+        Rule("no root", "schema", "major", 3.0, 3.0, _flag(F.size(F.map_keys(attrs)) == 0)),
+        Rule("attribute missing", "schema", "minor", 0.5, 8.0, F.when(F.size(F.map_keys(attrs)) > 0, F.size(F.array_except(F.array(*[F.lit(a) for a in REQUIRED_ATTRIBUTES]), F.map_keys(attrs))))),
         Rule("language", "schema", "major", 1.0, 1.0, _flag(has("LANG") & ~attrs["LANG"].isin("EN", "FR"))),
         Rule("date form", "schema", "minor", 0.5, 1.0, sum((_flag(has(a) & ~attrs[a].rlike("^[0-9]{8}$")) for a in ("ADDDATE", "MODDATE")), F.lit(0))),
         Rule("empty label", "schema", "minor", 0.5, 0.5, _flag(has("LABEL") & (F.trim(attrs["LABEL"]) == ""))),
         Rule("container without label", "schema", "minor", 0.5, 1e9, F.size(F.filter(F.regexp_extract_all(raw, F.lit(r"(?i)<CONTAINR\b([^>]*)>"), F.lit(1)), lambda a: ~F.contains(F.upper(a), F.lit("LABEL="))))),
-        Rule("forbidden child", "nesting", "critical", 1.5, 1e9, sum((_flag(M.contained(raw, p, c) > 0) for p, c in FORBIDDEN), F.lit(0))),
-        Rule("item in paragraph", "nesting", "minor", 1.0, 1.0, _flag(M.contained(raw, "P", "ITEM") > 0)),
-        Rule("table body outside table", "nesting", "critical", 2.0, 2.0, _flag(M.count_tag(outside, "SGMLTBL") > 0)),
-        Rule("empty item", "nesting", "major", 1.0, 2.0, F.size(F.filter(items, lambda x: M.inner_text(x) == ""))),
-        Rule("item without paragraph", "nesting", "minor", 0.5, 1.0, F.size(F.filter(items, lambda x: (M.inner_text(x) != "") & (M.count_tag(x, "P") == 0)))),
+        Rule("forbidden child", "nesting", "critical", 1.5, 1e9, sum((_flag(holds(p, c)) for p, c in FORBIDDEN), F.lit(0))),
+        Rule("item in paragraph", "nesting", "minor", 1.0, 1.0, _flag(holds("P", "ITEM"))),
+        Rule("table body outside table", "nesting", "critical", 2.0, 2.0, F.when(x.n("SGMLTBL") > 0, _flag(M.count_tag(outside, "SGMLTBL") > 0))),
+        Rule("empty item", "nesting", "major", 1.0, 2.0, empty(items)),
+        Rule("item without paragraph", "nesting", "minor", 0.5, 1.0, F.size(F.filter(items, lambda t: (M.inner_text(t) != "") & (M.count_tag(t, "P") == 0)))),
+        Rule("end without paragraph", "nesting", "major", 1.0, 2.0, F.size(F.filter(between, lambda t: ~t.rlike(r"<P[\s>1-4]") & (long_words(t) >= 6)))),
         Rule("unknown entity", "characters", "major", 0.5, 3.0, F.size(F.array_except(used, F.array(*[F.lit(e) for e in entities])))),
         Rule("bare ampersand", "characters", "minor", 0.5, 2.0, F.regexp_count(raw, F.lit(r"&(?!#?[A-Za-z0-9]+;|\s)"))),
         Rule("bare less-than", "characters", "minor", 0.25, 1.0, F.regexp_count(raw, F.lit(r"<(?![/A-Za-z!?])"))),
@@ -117,27 +169,50 @@ def filing_rules(raw: Column, entities: list[str]) -> list[Rule]:
         Rule("raw sign", "characters", "minor", 0.4, 2.0, F.size(raw_signs(raw))),
         Rule("table without body element", "tables", "major", 1.0, 1.0, _flag(F.exists(tables, lambda t: M.count_tag(t, "SGMLTBL") == 0))),
         Rule("paragraph in cell", "tables", "critical", 1.5, 1.5, _flag(F.exists(cells, lambda c: M.count_tag(c, "P") > 0))),
-        Rule("no table body", "tables", "minor", 0.5, 1.5, F.size(F.filter(rows, lambda t: M.count_tag(t, "TBLBODY") == 0))),
-        Rule("uneven rows", "tables", "minor", 0.25, 1e9, F.size(F.filter(rows, uneven))),
-        Rule("cell outside row", "tables", "major", 0.5, 2.0, F.aggregate(rows, F.lit(0), lambda s, t: s + M.count_tag(t, "TBLCELL") - in_rows(t))),
-        Rule("graphic without file", "graphics", "major", 1.0, 1.0, _flag(M.count_tag(raw, "GRAPHIC") > F.size(files))),
-        Rule("graphic name", "graphics", "minor", 0.5, 0.5, _flag(F.exists(files, lambda f: ~f.rlike(r"^SB[0-9]{6}\.BMP$")))),
-        Rule("graphic twice", "graphics", "major", 1.0, 1.0, _flag(F.size(files) > F.size(F.array_distinct(files)))),
-        Rule("empty number", "text", "minor", 0.5, 1.5, _empty(raw, "N")),
-        Rule("empty heading", "text", "minor", 0.5, 1.0, _empty(F.regexp_replace(raw, r"(?is)<EDITNOTE(?:\s[^>]*)?>.*?</EDITNOTE>", " "), "TI")),
-        Rule("heading with stop", "text", "minor", 0.1, 0.5, F.size(F.filter(M.element_texts(raw, "TI"), lambda t: t.endswith(".")))),
-        Rule("heading all emphasis", "text", "minor", 0.25, 0.5, F.size(F.filter(M.elements(raw, "TI"), lambda t: F.trim(t).rlike(r"(?is)^<EM>.*</EM>$")))),
-        Rule("item with bullet", "text", "minor", 0.1, 0.5, F.size(F.filter(M.element_texts(raw, "ITEM"), lambda t: t.rlike("^[•▪◦·*-]")))),
-        Rule("address outside line", "text", "minor", 0.25, 1.0, F.size(F.filter(M.elements(raw, "P"), lambda p: F.regexp_replace(p, r"(?is)<(LINE|EM)(?:\s[^>]*)?>.*?</\1>", " ").rlike(r"https?://")))),
-        Rule("no ident block", "legal", "critical", 3.0, 3.0, _flag(M.count_tag(raw, "POLIDENT") == 0)),
-        Rule("definition without text", "legal", "minor", 0.5, 2.0, F.size(F.filter(M.elements(raw, "DEF"), lambda d: M.count_tag(d, "DEFP") == 0))),
-        Rule("no free form", "legal", "major", 2.0, 2.0, _flag(M.count_tag(raw, "FREEFORM") == 0)),
+        # The third table and those after it count once together.
+        Rule("no table body", "tables", "minor", 0.5, 1e9, F.size(F.filter(no_body, lambda i: i < 2)) + _flag(F.exists(no_body, lambda i: i >= 2))),
+        Rule("uneven rows", "tables", "minor", 0.25, 1e9, F.size(F.filter(bodies, lambda t: F.size(F.array_distinct(F.transform(rows(t), n_cells))) > 1))),
+        Rule("empty cell", "tables", "info", 0.0, 0.0, F.size(F.filter(cells, lambda c: F.trim(F.regexp_replace(c, r"\s", "")) == ""))),
+        # Each table costs at most as much as four loose cells.
+        Rule("cell outside row", "tables", "major", 0.5, 1e9, _total(F.transform(bodies, lambda t: F.least(F.lit(4), n_cells(t) - n_cells(F.array_join(rows(t), " ")))))),
+        Rule("graphic without file", "graphics", "major", 1.0, 1e9, F.size(graphics) - F.size(names)),
+        Rule("graphic name", "graphics", "minor", 0.5, 1e9, F.size(F.filter(names, lambda f: ~f.rlike(r"(?i)^SB[0-9]{6}\.BMP$")))),
+        Rule("graphic twice", "graphics", "major", 1.0, 1.0, _flag(F.size(names) > F.size(F.array_distinct(F.transform(names, F.upper))))),
+        Rule("graphic outside paragraph", "graphics", "minor", 0.5, 1.0, F.size(graphics) - F.regexp_count(raw, F.lit(r"(?i)<P[^>]*>\s*<GRAPHIC[\s>/]"))),
+        Rule("graphic numbers apart", "graphics", "minor", 0.1, 0.5, F.size(F.filter(steps, lambda d: d > 100))),
+        Rule("empty number", "text", "minor", 0.5, 1.5, empty(x.each("N"))),
+        Rule("empty heading", "text", "minor", 0.5, 1.0, F.when(x.n("TI") > 0, _empty(F.regexp_replace(raw, r"(?is)<EDITNOTE(?:\s[^>]*)?>.*?</EDITNOTE>", " "), "TI"))),
+        Rule("heading with stop", "text", "minor", 0.1, 0.5, F.size(F.filter(headings, lambda t: M.inner_text(t).endswith(".")))),
+        Rule("heading all emphasis", "text", "minor", 0.25, 0.5, F.size(F.filter(headings, lambda t: F.trim(t).rlike(r"(?is)^<EM>.*</EM>$")))),
+        Rule("item with bullet", "text", "minor", 0.1, 0.5, F.size(F.filter(items, lambda t: M.inner_text(t).rlike("^[•▪◦·*-]")))),
+        Rule("address outside line", "text", "minor", 0.25, 1.0, F.size(F.filter(paragraphs, lambda p: p.rlike(r"https?://") & F.regexp_replace(p, r"(?is)<(LINE|EM)(?:\s[^>]*)?>.*?</\1>", " ").rlike(r"https?://")))),
+        Rule("no ident block", "legal", "critical", 3.0, 3.0, _flag(x.n("POLIDENT") == 0)),
+        Rule("ident without number", "legal", "minor", 1.0, 1.0, F.when(x.n("POLIDENT") > 0, _flag(~filled("N")))),
+        Rule("ident without title", "legal", "minor", 1.0, 1.0, F.when(x.n("POLIDENT") > 0, _flag(~filled("TI")))),
+        Rule("definition without text", "legal", "minor", 0.5, 2.0, F.size(F.filter(x.each("DEF"), lambda d: M.count_tag(d, "DEFP") == 0))),
+        Rule("date label", "legal", "minor", 0.25, 0.5, F.size(F.filter(dates, lambda d: ~d.isin(*DATE_LABELS)))),
+        Rule("no free form", "legal", "major", 2.0, 2.0, _flag(x.n("FREEFORM") == 0)),
+        Rule("dates rising", "legal", "minor", 0.5, 1.0, yes(rising)),
     ]
 
 
+def filing_issues(docs: DataFrame, entities: list[str], raw: str = "raw", key: str = "doc_id") -> DataFrame:
+    """What all structural rules find in filings, as ``issues`` gives it; the order of
+    numbered blocks, which needs a stack of open tags, among them."""
+    ready = prepared(docs.select(key, raw), raw)
+    found = issues(ready, filing_rules(F.col(raw), entities, ready=True), key)
+    faults = M.block_order_faults(docs, "BLOCK", raw, key).groupBy(key, "kind").agg(F.count("*").cast("int").alias("n"))
+    back = F.col("kind") == "reverse"
+    order = faults.select(
+        key, F.when(back, "block in lower block").otherwise("block level skipped").alias("rule"), F.lit("nesting").alias("category"), F.when(back, "minor").otherwise("major").alias("severity"), "n",
+        (F.col("n") * F.when(back, 0.25).otherwise(1.0)).alias("points"),
+    )
+    return found.unionByName(order)
+
+
 # Points of each category.
 FILING_POINTS = {"schema": 8.0, "nesting": 8.0, "characters": 6.0, "tables": 4.0, "graphics": 4.0, "text": 4.0, "legal": 6.0}
-BALANCED = ("POLIDOC", "POLIDENT", "FREEFORM", "BLOCK2", "TABLE", "SGMLTBL", "TBLHEAD", "TBLBODY", "TBLROW", "TBLCELL", "QUOTE")
+BALANCED = ("POLIDOC", "APPENDIX", "BLOCK1", "BLOCK2", "FREEFORM", "POLIDENT", "SGMLTBL", "TABLE", "TBLHEAD", "TBLBODY", "TBLROW")
 
 
 def tag_balance(docs: DataFrame, tags: tuple[str, ...], raw: str = "raw", key: str = "doc_id") -> DataFrame:
@@ -182,34 +257,84 @@ def data_rows(cells: DataFrame, headers: DataFrame, first: int = 4) -> DataFrame
     return below.join(keep, ["doc_id", "sheet", "row"], "left_semi")
 
 
-def tabular_rules(raw: Column) -> list[Rule]:
-    """Rules of documents that were made from a workbook."""
-    tables = M.elements(raw, "SGMLTBL")
-    defs = lambda part: M.count_tag(F.coalesce(F.get(M.elements(part, "TBLCDEFS"), F.lit(0)), F.lit("")), "TBLCDEF")
-    head = lambda t: F.coalesce(F.get(M.elements(t, "TBLHEAD"), F.lit(0)), F.lit(""))
-    body = lambda t: F.coalesce(F.get(M.elements(t, "TBLBODY"), F.lit(0)), F.lit(""))
-    widths = lambda d: F.aggregate(F.regexp_extract_all(d, F.lit(r"(?i)COLWD\s*=\s*\"?([0-9]+)"), F.lit(1)), F.lit(0), lambda s, x: s + x.cast("int"))
-    starts = lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?i)COLSTART\s*=\s*\"?([0-9]+)"), F.lit(1)), lambda x: x.cast("int"))
-    rows = M.elements(raw, "TBLROW")
+# Months of a workbook's date.
+WORKBOOK_MONTHS = "January February March April May June July August September October November December".split()
+
+
+@dataclass(frozen=True)
+class WorkbookKind:
+    """What a kind of document made from workbooks must look like."""
+
+    root: str = "POLIDOC"
+    blocks: bool = True
+    landscape: bool = False
+
+
+def tabular_rules(raw: Column, kind: WorkbookKind = WorkbookKind(), today: str | None = None, ready: bool = False) -> list[Rule]:
+    """Rules of documents that were made from a workbook, of one ``kind``; ``today`` is
+    the day, written out, that the document's date must not be."""
+    x = _Parts(raw, ready)
+    tables, bodies, rows, cells = (x.each(t) for t in ("SGMLTBL", "TBLBODY", "TBLROW", "TBLCELL"))
+    part = lambda t, tag: F.coalesce(F.get(M.elements(t, tag), F.lit(0)), F.lit(""))
+    defs = lambda t: M.count_tag(F.split(t, "<TBLROWS", -1)[0], "TBLCDEF")
+    both = lambda t: (M.count_tag(t, "TBLHEAD") > 0) & (M.count_tag(t, "TBLBODY") > 0)
+    widths = lambda d: F.transform(F.regexp_extract_all(d, F.lit(r"(?i)COLWD\s*=\s*\"?([0-9]+)"), F.lit(1)), lambda w: w.cast("int"))
+    starts = lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"COLSTART=\"([0-9]+)\""), F.lit(1)), lambda w: w.cast("int"))
     wrong_order = lambda r: (F.size(starts(r)) > 0) & (starts(r) != F.sequence(F.lit(1), F.greatest(F.size(starts(r)), F.lit(1))))
-    stated = lambda t: F.regexp_extract(t, r"(?i)<TBLROWS\s[^>]*?(?:COUNT|ROWS|N)\s*=\s*\"?([0-9]+)", 1)
-    unbalanced = sum((_flag(F.regexp_count(raw, F.lit(rf"<{t}[\s>/]")) != F.regexp_count(raw, F.lit(rf"</{t}>"))) for t in BALANCED), F.lit(0))
-    top = F.substring(raw, 1, 500)
+    attr = F.regexp_extract_all(raw, F.lit(r"(?i)<TBLBODY(?=[\s>])([^>]*)>"), F.lit(1))
+    stated = F.transform(F.arrays_zip(attr.alias("a"), bodies.alias("b")), lambda z: F.struct(F.regexp_extract(z["a"], r"TBLROWS=\"([0-9]+)\"", 1).alias("said"), M.count_tag(z["b"], "TBLROW").alias("n")))
+    counts = lambda b: F.transform(M.elements(b, "TBLROW"), lambda r: M.count_tag(r, "TBLCELL"))
+    times = lambda c: F.transform(F.array_distinct(c), lambda v: F.size(F.filter(c, lambda w: w == v)))
+    uneven = lambda b: F.size(counts(b)) > F.coalesce(F.array_max(times(counts(b))), F.lit(0))
+    unbalanced = sum((_flag(F.regexp_count(raw, F.lit(rf"<{t}\b")) != F.regexp_count(raw, F.lit(rf"</{t}>"))) for t in BALANCED), F.lit(0))
+    filing = kind.root == "POLIDOC"
+    text_of = lambda tag: F.regexp_extract(raw, rf"<{tag}>(.*?)</{tag}>", 1)
+    there = lambda tag: F.regexp_like(raw, F.lit(rf"<{tag}>.*?</{tag}>"))
+    number, date = F.trim(text_of("N")), F.trim(text_of("DATE"))
+    title = F.trim(F.regexp_replace(F.regexp_extract(raw, r"(?s)<BLOCK2>\s*<TI>(.*?)</TI>", 1), "<[^>]+>", ""))
+    body = F.regexp_replace(raw, "<[^>]+>", "")
+    has = lambda t: F.contains(raw, F.lit(t))
+    landscape = has('ORIENT="LANDSCAP"')
+    of = lambda c: _flag(c) if filing else F.lit(0)
     return [
-        Rule("root", "content", "critical", 10.0, 10.0, _flag((M.count_tag(raw, "POLIDOC") == 0) | ~F.contains(raw, F.lit("</POLIDOC>")))),
-        Rule("forbidden attribute", "content", "major", 5.0, 5.0, _flag(F.contains(raw, F.lit("INITID=")))),
-        Rule("language attribute", "content", "minor", 2.0, 2.0, _flag(~F.contains(top, F.lit('LANG="EN"')))),
+        Rule("root", "content", "critical", 10.0, 10.0, _flag((x.n(kind.root) == 0) | ~has(f"</{kind.root}>"))),
+        Rule("forbidden attribute", "content", "major", 5.0, 5.0, _flag(has("INITID="))),
+        Rule("language attribute", "content", "minor", 2.0, 2.0, _flag(~F.contains(F.substring(raw, 1, 500), F.lit('LANG="EN"')))),
         Rule("dates", "content", "minor", 2.0, 6.0, sum((_flag(~F.regexp_like(raw, F.lit(rf"{a}=\"[0-9]{{8}}\""))) for a in ("ADDDATE", "CLIPDATE", "MODDATE")), F.lit(0))),
-        Rule("empty number", "content", "minor", 2.0, 2.0, _flag((M.count_tag(raw, "N") == 0) | (_empty(raw, "N") > 0))),
-        Rule("no table", "content", "major", 5.0, 5.0, _flag((M.count_tag(raw, "TBLCELL") == 0) | (M.count_tag(raw, "TBLBODY") == 0))),
-        Rule("literal none", "content", "major", 5.0, 10.0, F.regexp_count(raw, F.lit(">None<"))),
-        Rule("bare ampersand", "content", "minor", 1.0, 5.0, F.regexp_count(raw, F.lit(r"&(?!#?[A-Za-z0-9]+;|\s)"))),
-        Rule("column numbers", "tables", "major", 5.0, 10.0, F.size(F.filter(tables, lambda t: (M.count_tag(t, "TBLHEAD") > 0) & (defs(head(t)) > 0) & (defs(body(t)) > 0) & (defs(head(t)) != defs(body(t)))))),
-        Rule("column order", "tables", "minor", 1.0, 5.0, F.size(F.filter(rows, wrong_order))),
-        Rule("accented signs", "content", "minor", 1.0, 3.0, _flag(F.regexp_like(raw, F.lit("[À-ÖØ-öø-ÿ]")))),
+        Rule("no date", "content", "minor", 2.0, 2.0, of(~there("DATE"))),
+        Rule("date of today", "content", "major", 5.0, 5.0, of(date == F.lit(today)) if today else F.lit(0)),
+        Rule("empty number", "content", "major", 5.0, 5.0, of(~there("N") | (number == ""))),
+        Rule("number and first block differ", "content", "minor", 2.0, 2.0, of((number != "") & F.regexp_like(raw, F.lit(r"(?s)<BLOCK2>\s*<TI>.*?</TI>")) & (number != title))),
+        Rule("block in appendix", "content", "critical", 10.0, 10.0, F.lit(0) if filing else _flag(has("<BLOCK2>"))),
+        Rule("no free form", "content", "major", 5.0, 5.0, of(~has("<FREEFORM>"))),
+        Rule("no block", "content", "major", 5.0, 5.0, of(~has("<BLOCK2>")) if kind.blocks else F.lit(0)),
+        Rule("no table", "content", "critical", 10.0, 20.0, _flag(x.n("TBLCELL") == 0) + _flag(x.n("TBLBODY") == 0)),
+        Rule("literal none", "content", "major", 5.0, 5.0, F.size(F.filter(F.split(raw, "\n", -1), lambda t: F.contains(t, F.lit("<TBLCELL")) & F.contains(t, F.lit(">None<"))))),
+        Rule("bare ampersand", "content", "major", 5.0, 5.0, _flag(F.regexp_like(body, F.lit(r"&(?!#?[A-Za-z0-9]+;)")))),
+        Rule("accented signs", "content", "minor", 2.0, 2.0, _flag(F.regexp_like(body, F.lit("[éèêàâôîçùûÉÈÊÀÂÔÎÇœŒ]")))),
         Rule("balance", "content", "critical", 10.0, 1e9, unbalanced),
-        Rule("stated rows", "tables", "minor", 2.0, 6.0, F.size(F.filter(tables, lambda t: (stated(t) != "") & (stated(t).try_cast("int") != M.count_tag(t, "TBLROW"))))),
-        Rule("column widths", "tables", "major", 4.0, 8.0, F.size(F.filter(M.elements(raw, "TBLCDEFS"), lambda d: (widths(d) > 0) & ~widths(d).between(95, 105)))),
-        Rule("empty rows", "tables", "minor", 1.0, 3.0, F.size(F.filter(M.elements(raw, "TBLROW"), lambda r: M.inner_text(r) == ""))),
-        Rule("long decimals", "tables", "minor", 1.0, 3.0, F.size(F.filter(M.elements(raw, "TBLCELL"), lambda c: F.regexp_like(M.inner_text(c), F.lit(r"^-?[0-9]+\.[0-9]{4,}$"))))),
+        Rule("column numbers", "tables", "major", 5.0, 1e9, F.size(F.filter(tables, lambda t: both(t) & (defs(part(t, "TBLHEAD")) != defs(part(t, "TBLBODY")))))),
+        Rule("row sizes", "tables", "major", 5.0, 1e9, F.size(F.filter(bodies, uneven))),
+        Rule("column order", "tables", "minor", 2.0, 2.0, F.size(F.filter(rows, wrong_order))),
+        Rule("stated rows", "tables", "minor", 2.0, 1e9, F.size(F.filter(stated, lambda z: (z["said"] != "") & (z["said"].cast("int") != z["n"])))),
+        Rule("rows not stated", "tables", "minor", 1.0, 1e9, F.size(F.filter(stated, lambda z: (z["said"] == "") & (z["n"] > 0)))),
+        Rule("no mark before landscape", "tables", "major", 5.0, 5.0, _flag(landscape & ~has("<?RSRVON>"))),
+        Rule("no mark after landscape", "tables", "major", 5.0, 5.0, _flag(landscape & ~has("<?RSRVOFF>"))),
+        Rule("mark not before table", "tables", "minor", 2.0, 2.0, _flag(landscape & ~F.regexp_like(raw, F.lit(r"<\?RSRVON>\s*<TABLE>")))),
+        Rule("landscape without width", "tables", "minor", 2.0, 1e9, F.size(F.filter(F.regexp_extract_all(raw, F.lit(r"<SGMLTBL\b([^>]*)>"), F.lit(1)), lambda a: F.contains(a, F.lit("LANDSCAP")) & ~F.contains(a, F.lit("TBLWD="))))),
+        Rule("root of the kind", "kind", "critical", 8.0, 8.0, _flag(x.n(kind.root) == 0)),
+        Rule("column widths", "kind", "major", 4.0, 4.0, F.size(F.filter(x.each("TBLCDEFS"), lambda d: (F.size(widths(d)) > 0) & ~_total(widths(d)).between(95, 105)))),
+        Rule("landscape of the kind", "kind", "major" if kind.landscape else "minor", 4.0 if kind.landscape else 2.0, 4.0, _flag(~landscape if kind.landscape else landscape)),
+        Rule("blocks of the kind", "kind", "major" if kind.blocks else "minor", 4.0 if kind.blocks else 2.0, 4.0, _flag(~has("<BLOCK2>") if kind.blocks else has("<BLOCK2>"))),
+        Rule("cell of none", "cells", "major", 3.0, 3.0, F.size(F.filter(cells, lambda c: F.lower(c) == "none"))),
+        Rule("empty rows", "cells", "minor", 1.0, 1.0, F.size(F.filter(rows, lambda r: F.regexp_replace(r, r"\s", "") == ""))),
+        Rule("long decimals", "cells", "minor", 1.0, 1.0, _flag(F.size(F.filter(cells, lambda c: F.regexp_like(M.inner_text(c), F.lit(r"^-?0?\.[0-9]+$")))) > 3)),
+        Rule("number left empty", "cells", "major", 3.0, 3.0, of(there("N") & (number == ""))),
+        Rule("date left empty", "cells", "major", 3.0, 3.0, of(there("DATE") & (date == ""))),
+        Rule("date form", "cells", "minor", 1.0, 1.0, _flag((date != "") & ~date.rlike(rf"^(?:{'|'.join(WORKBOOK_MONTHS)})\s+[0-9]{{1,2}},\s+[0-9]{{4}}$"))),
     ]
+
+
+# Points of a workbook document's categories; a third for what the
+# workbook itself is compared with.
+TABULAR_POINTS = {"content": 35.0, "tables": 35.0, "kind": 20.0, "cells": 10.0}

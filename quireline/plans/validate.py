@@ -44,6 +44,10 @@ def heading_scores(source: DataFrame, target: DataFrame, doc: str = "doc_id") ->
     return J.heading_match(source, target, doc=doc).select(doc, "ratio", T.tier(F.col("ratio"), HEADING_STEPS).alias("headings"))
 
 
-def normalised(total: Column, most: Column) -> Column:
-    """A total as a share of what can be reached, in hundredths, at most 100."""
-    return F.least(F.lit(100.0), total / most * 100)
+def tabular_scores(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``(key, score)``: what a workbook document's issues leave of the points of its
+    structure (35), kind (20) and cells (10), none below 0."""
+    lost = lambda *c: F.coalesce(F.sum(F.when(F.col("category").isin(*c), F.col("points"))), F.lit(0.0))
+    left = lambda base, *c: F.greatest(F.lit(0.0), base - lost(*c))
+    rows = docs.select(key).join(found, key, "left").groupBy(key)
+    return rows.agg(F.round(left(35.0, "content", "tables") + left(20.0, "kind") + left(10.0, "cells"), 1).alias("score"))

@@ -112,12 +112,6 @@ def t12_paragraphs(spark, root):
     return pages(spark, root).select("doc_id", F.posexplode(M.paragraphs(F.col("raw"), M.HTML)).alias("ord", "text"))
 
 
-@query()
-def t15_sections(spark, root):
-    """Sections of the pages at the first block level that repeats."""
-    return M.sections(pages(spark, root), M.MarkupVocabulary(heading="p", blocks=("p", "li", "h1")))
-
-
 @query(f"""WITH e AS (SELECT doc_id, unnest(t) AS t, generate_subscripts(t, 1) AS k FROM (SELECT doc_id, regexp_extract_all(raw, '<(/?[A-Za-z][A-Za-z0-9]*)', 1) AS t FROM {RAW})),
   s AS (SELECT doc_id, k, sum(CASE WHEN lower(replace(t, '/', '')) IN ('meta', 'br', 'img', 'link', 'hr', 'input') THEN 0 WHEN t LIKE '/%' THEN -1 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k) AS s FROM e),
   m AS (SELECT doc_id, s - least(0, min(s) OVER (PARTITION BY doc_id ORDER BY k)) AS d FROM s)
@@ -134,12 +128,6 @@ def t19_line_of(spark, root):
     return pages(spark, root).where(at > 0).select("doc_id", M.line_of(F.col("raw"), at - 1).alias("line"))
 
 
-@query()
-def t21_tag_paths(spark, root):
-    """How often each path of open tags occurs."""
-    return M.tag_paths(pages(spark, root), M.HTML).groupBy("path").agg(F.count("*").alias("n"))
-
-
 @query(f"""SELECT doc_id, CAST(len(list_filter(list_distinct(list_transform(regexp_extract_all(raw, '<([A-Za-z][A-Za-z0-9]*)', 1), lambda t: upper(t))), lambda t: t NOT IN ('HTML', 'HEAD', 'BODY', 'TITLE', 'META', 'P', 'A', 'UL', 'LI', 'DIV', 'H1'))) AS INT) AS n FROM {RAW}""")
 def j20_unknown_tags(spark, root):
     """Number of tags that aren't among the usual ones."""
@@ -147,13 +135,6 @@ def j20_unknown_tags(spark, root):
     return pages(spark, root).select("doc_id", F.size(R.unknown_tags(F.col("raw"), known)).alias("n"))
 
 
-@query(f"""SELECT doc_id, name, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(raw, '&([A-Za-z][A-Za-z0-9]*);', 1)) AS name FROM {RAW}) WHERE name NOT IN ('amp', 'lt', 'gt', 'quot') GROUP BY ALL""")
-def j21_unknown_entities(spark, root):
-    """Entities beyond those of well-formed text."""
-    rows = pages(spark, root).select("doc_id", F.explode(M.entity_names(F.col("raw"))).alias("name"))
-    return rows.where(~F.col("name").isin("amp", "lt", "gt", "quot")).groupBy("doc_id", "name").agg(F.count("*").alias("n"))
-
-
 @query()
 def f02_resolved_entities(spark, root):
     """Length of the pages once their entities are resolved."""
@@ -174,20 +155,6 @@ def x_c18_balance(spark, root):
     return R.tag_balance(pages(spark, root), ("html", "body", "p", "li", "ul", "a", "div", "h1"))
 
 
-@query()
-def r_issues(spark, root):
-    """Structural rules applied to the pages, with their points."""
-    d = pages(spark, root)
-    return R.issues(d, R.filing_rules(F.col("raw"), ["amp", "lt", "gt", "quot"]))
-
-
-@query()
-def r_scores(spark, root):
-    """What the rules leave of each category's points."""
-    d = pages(spark, root)
-    return R.category_scores(d, R.issues(d, R.filing_rules(F.col("raw"), ["amp", "lt", "gt", "quot"])), R.FILING_POINTS)
-
-
 # --- text functions -----------------------------------------------------------
 
 
@@ -209,8 +176,16 @@ def f08_plain_words(spark, root):
     return paras(spark, root, "pdf_l4").select("para_id", F.md5(T.plain_words_text(F.col("text"))).alias("digest"))
 
 
-LABEL = r"(?i)^(?:(?:part|section|article|chapter|subsection|division|appendix|annex|schedule|exhibit)\s+[0-9ivxa-z]+[\s.\-–—]*|[0-9]+(?:\.[0-9]+)*\.?\s*[-–—]*\s*|[ivx]+\.?\s+[-–—]*\s*)"
-STRIP = lambda x: f"CASE WHEN trim(regexp_replace(trim(regexp_replace({x}, '{LABEL}', '')), '^[\\s–—-]+', '')) = '' THEN {x} ELSE trim(regexp_replace(trim(regexp_replace({x}, '{LABEL}', '')), '^[\\s–—-]+', '')) END"
+BARE = lambda x: f"trim(ltrim({x}, ' -–—'))"
+FIRST = lambda x: f"string_split({x}, ' ')[1]"
+NEXT = lambda x: f"array_to_string(string_split({x}, ' ')[2:], ' ')"
+LABELLED = "['part', 'section', 'article', 'chapter', 'subsection', 'division', 'appendix', 'annex', 'schedule', 'exhibit']"
+# By words: a label takes the letters and digits of the next word along.
+STRIPPED = lambda x: f"""CASE WHEN list_contains({LABELLED}, lower({FIRST(x)})) AND regexp_matches({NEXT(x)}, '^ *[A-Za-z0-9]') THEN {BARE("regexp_replace(" + NEXT(x) + ", '^ *[A-Za-z0-9]+[ .–—-]*', '')")}
+  WHEN ascii({x}) BETWEEN 48 AND 57 THEN {BARE(f"ltrim({x}, '0123456789.')")}
+  WHEN {x} LIKE '% %' AND length(replace({FIRST(x)}, '.', '')) BETWEEN 1 AND length({FIRST(x)}) AND {FIRST(x)} NOT LIKE '%.%_' AND {FIRST(x)} NOT LIKE '%..' AND list_has_all(['i', 'v', 'x'], string_split(lower(replace({FIRST(x)}, '.', '')), '')) THEN {BARE(NEXT(x))}
+  ELSE {BARE(x)} END"""
+STRIP = lambda x: f"(CASE WHEN {STRIPPED(x)} = '' THEN {x} ELSE {STRIPPED(x)} END)"
 
 
 @query(f"SELECT heading_id, {STRIP('text')} AS bare FROM {H('sgml')}")
@@ -248,7 +223,7 @@ def f18_bullets(spark, root):
     return paras(spark, root, "sgml").select("para_id", F.size(T.bullets(F.col("text"))).alias("n"))
 
 
-CONTENT = r"list_filter(regexp_extract_all(lower(text), '([a-z\x{e0}-\x{ff}0-9]+)', 1), lambda w: length(w) > 2 AND w NOT IN (" + ", ".join(f"'{w}'" for w in T.NOISE_WORDS) + "))"
+CONTENT = r"list_filter(regexp_extract_all(lower(text), '([a-z\x{e0}-\x{ff}0-9]+)', 1), lambda w: length(w) > 2 AND NOT list_contains(string_split('the a an of and or to in for is are by with that this it its as at on be was has have had will shall may must not any all each no if where who which', ' '), w))"
 
 
 @query(f"SELECT para_id, CAST(len({CONTENT}) AS INT) AS n, CAST(len(list_distinct({CONTENT})) AS INT) AS kinds FROM {P('pdf_l4')}")
@@ -333,20 +308,31 @@ def l16_line_merge(spark, root):
     return L.paragraphs_from_lines(paras(spark, root, "pdf_l1"))
 
 
-@query("""SELECT DISTINCT doc_id, CASE WHEN length(regexp_replace(first_page_text, '[^éèêëàâîïôùûçœÉÈÊËÀÂÎÏÔÙÛÇŒ]', '', 'g')) > 5 THEN 'FR' ELSE 'EN' END AS hint FROM pdf_data""")
+@query("""SELECT DISTINCT doc_id, CASE WHEN length(regexp_replace(first_page_text, '[^éèêàâùûîôçœÉÈÊÀÂÙÛÎÔÇŒ]', '', 'g')) > 5 THEN 'FR' ELSE 'EN' END AS hint FROM pdf_data""")
 def l19_language_hint(spark, root):
     """Language hint by French letters."""
     return table(spark, root, "pdf_data").select("doc_id", T.language_hint(F.col("first_page_text")).alias("hint")).distinct()
 
 
-@query(rf"""SELECT DISTINCT doc_id, coalesce(nullif(regexp_extract(t, '\b([A-Z]{{2,4}} [0-9]{{2}}-[0-9]{{3}})\b', 1), ''), nullif(regexp_extract(t, '\b((?:National|Multilateral) Instrument [0-9]{{2}}-[0-9]{{3}})\b', 1), ''),
-  nullif(regexp_extract(t, '\b((?:Rule|Policy|Notice|Bulletin|Guideline) [0-9]{{2}}-[0-9]{{3}})\b', 1), ''), nullif(regexp_extract(t, '\b([0-9]{{2}}-[0-9]{{3}})\b', 1), '')) AS number FROM (SELECT doc_id, {SQUEEZE("label")} AS t FROM sgml_content)""")
+@query(rf"""WITH w AS (SELECT doc_id, label, unnest(string_split({SQUEEZE('label')}, ' ')) AS w, generate_subscripts(string_split({SQUEEZE('label')}, ' '), 1) AS i FROM (SELECT DISTINCT doc_id, label FROM sgml_content)),
+  n AS (SELECT *, regexp_extract(lag(w) OVER o, '[\p{{L}}\p{{N}}_]+$') AS p, lag(w) OVER o AS full_p, regexp_extract(lag(w, 2) OVER o, '[\p{{L}}\p{{N}}_]+$') AS pp, regexp_extract(w, '^[0-9]{{2}}-[0-9]{{3}}\b') AS num FROM w WINDOW o AS (PARTITION BY doc_id, label ORDER BY i)),
+  k AS (SELECT *, CASE WHEN lower(p) IN ('ni', 'mi', 'csa', 'osc', 'msc', 'asc', 'bcsc', 'amf') THEN 1 WHEN lower(full_p) = 'instrument' AND lower(pp) IN ('national', 'multilateral') THEN 2
+    WHEN lower(p) IN ('rule', 'policy', 'notice', 'bulletin', 'guideline') THEN 3 END AS kind FROM n WHERE num <> ''),
+  b AS (SELECT doc_id, label, CASE WHEN kind = 2 THEN pp || ' ' || p ELSE p END || ' ' || num AS said FROM k WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, label ORDER BY kind, i) = 1)
+  SELECT DISTINCT d.doc_id, coalesce(b.said, nullif(regexp_extract({SQUEEZE('d.label')}, '\b[0-9]{{2}}-[0-9]{{3}}\b'), '')) AS number FROM sgml_content d LEFT JOIN b ON d.doc_id = b.doc_id AND d.label IS NOT DISTINCT FROM b.label""")
 def l20_reference_number(spark, root):
     """Reference number in a filing's label."""
     return table(spark, root, "sgml_content").select("doc_id", T.number_reference(F.col("label")).alias("number")).distinct()
 
 
-@query()
+# Month names by number, English, shortened and French; longer ones first.
+MONTH_NAMES = "january february march april may june july august september october november december jan feb mar apr - jun jul aug sep oct nov dec janvier février mars avril mai juin juillet août septembre octobre novembre décembre"
+NAMED = "|".join(sorted((n for n in MONTH_NAMES.split() if n != "-"), key=len, reverse=True))
+MONTH_OF = lambda x: f"CASE WHEN regexp_full_match({x}, '[0-9]+') THEN CAST({x} AS INT) ELSE (list_position(string_split('{MONTH_NAMES}', ' '), lower({x})) - 1) % 12 + 1 END"
+DATE_OF = lambda p, y, m, d: f"CASE WHEN regexp_matches(t, '{p}') THEN TRY_CAST(regexp_extract(t, '{p}', {y}) || '-' || lpad(CAST({MONTH_OF(f"regexp_extract(t, '{p}', {m})")} AS VARCHAR), 2, '0') || '-' || lpad(regexp_extract(t, '{p}', {d}), 2, '0') AS DATE) END".replace("{{", "{").replace("}}", "}")
+
+
+@query(rf"""SELECT DISTINCT doc_id, coalesce({DATE_OF("(?i)\\b(" + NAMED + ") ([0-9]{{1,2}}),? ([0-9]{{4}})\\b", 3, 1, 2)}, {DATE_OF("(?i)\\b([0-9]{{1,2}}) (" + NAMED + ") ([0-9]{{4}})\\b", 3, 2, 1)}, {DATE_OF("\\b([0-9]{{4}})-([0-9]{{2}})-([0-9]{{2}})\\b", 1, 2, 3)}, {DATE_OF("(?i)\\bdate: ?([0-9]{{4}})([0-9]{{2}})([0-9]{{2}})\\b", 1, 2, 3)}) AS date FROM (SELECT doc_id, {SQUEEZE('first_page_text')} AS t FROM pdf_data)""")
 def l21_text_date(spark, root):
     """First date of a filing's first page."""
     return table(spark, root, "pdf_data").select("doc_id", T.text_date(F.col("first_page_text")).alias("date")).distinct()
@@ -358,8 +344,10 @@ def l21_text_date(spark, root):
 GRAMS = lambda n: f"list_distinct(list_transform(range(1, len(w) - {n - 1} + 1), lambda i: array_to_string(list_slice(w, i, i + {n - 1}), ' ')))"
 
 
-@query(f"""WITH s AS (SELECT doc_id, para_id, unnest({GRAMS(5)}) AS g FROM (SELECT doc_id, para_id, {WORDS} AS w FROM {P('pdf_l4')}) WHERE len(w) >= 5),
-  t AS (SELECT DISTINCT doc_id, unnest({GRAMS(5)}) AS g FROM (SELECT doc_id, {WORDS} AS w FROM {P('sgml')}) WHERE len(w) >= 5)
+@query(f"""WITH p AS (SELECT doc_id, para_id, {WORDS} AS w FROM {P('pdf_l4')}), q AS (SELECT doc_id, {WORDS} AS w FROM {P('sgml')}),
+  s AS (SELECT doc_id, para_id, unnest(CASE WHEN len(w) >= 5 THEN {GRAMS(5)} ELSE [array_to_string(w, ' ')] END) AS g FROM p WHERE len(w) > 0),
+  t AS (SELECT DISTINCT doc_id, unnest({GRAMS(5)}) AS g FROM q WHERE len(w) >= 5 UNION SELECT DISTINCT doc_id, g FROM (SELECT DISTINCT s.doc_id, s.g, q.w FROM s JOIN q USING (doc_id) WHERE len(string_split(s.g, ' ')) < 5)
+    WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' ' || g || ' '))
   SELECT s.doc_id, para_id, CAST(count(*) AS BIGINT) AS grams, CAST(count(t.g) AS BIGINT) AS hits, round(CAST(count(t.g) AS DOUBLE) / count(*), 6) AS coverage FROM s LEFT JOIN t ON s.doc_id = t.doc_id AND s.g = t.g GROUP BY ALL""")
 def j01_coverage(spark, root):
     """Share of each printed paragraph's 5-grams that the marked-up text has."""
@@ -470,13 +458,6 @@ def j17_positions(spark, root):
     return J.positional_differences(heads(spark, root, "sgml"), heads(spark, root, "pdf_l4"), ["doc_id", "idx"], "text")
 
 
-@query("""SELECT doc_id, doc_number FROM (SELECT DISTINCT doc_id, doc_number FROM sgml_content WHERE doc_number IS NOT NULL) s ANTI JOIN instruments USING (doc_number)""")
-def j25_unknown_numbers(spark, root):
-    """Filings whose number isn't a known instrument's."""
-    s = table(spark, root, "sgml_content").where("doc_number IS NOT NULL").select("doc_id", "doc_number").distinct()
-    return s.join(table(spark, root, "instruments").select("doc_number"), "doc_number", "left_anti").select("doc_id", "doc_number")
-
-
 @query(f"""SELECT h.doc_id, min(p.idx) AS line FROM (SELECT DISTINCT doc_id, doc_title AS text FROM sgml_content) h JOIN {P('pdf_l1')} p USING (doc_id) WHERE len(string_split({SQUEEZE('h.text')}, ' ')) >= 2 AND contains({SQUEEZE('lower(p.text)')}, {SQUEEZE('lower(h.text)')}) GROUP BY ALL""")
 def j27_locate(spark, root):
     """First printed line that holds the filing's title."""
@@ -484,7 +465,9 @@ def j27_locate(spark, root):
     return J.locate(t, paras(spark, root, "pdf_l1"), key="k").select("doc_id", "line")
 
 
-@query()
+@query(f"""SELECT a.heading_id, CASE WHEN EXISTS (SELECT 1 FROM {H('pdf_l4')} b WHERE b.doc_id = a.doc_id AND lower(b.text) = lower(a.text)) THEN 'same'
+  WHEN EXISTS (SELECT 1 FROM {H('pdf_l4')} b WHERE b.doc_id = a.doc_id AND (contains(lower(b.text), lower(a.text)) OR contains(lower(a.text), lower(b.text)))) THEN 'part'
+  WHEN EXISTS (SELECT 1 FROM {P('pdf_l1')} b WHERE b.doc_id = a.doc_id AND contains(lower(b.text), lower(a.text))) THEN 'line' END AS found_by FROM {H('sgml')} a""")
 def j04_cascade(spark, root):
     """How the headings of the marked-up side are found on the printed one."""
     b = heads(spark, root, "pdf_l4")
@@ -526,12 +509,16 @@ def g9_truncated_heads(spark, root):
     return J.truncated_heads(paras(spark, root, "pdf_l4"), paras(spark, root, "sgml"), plain())
 
 
-@query()
+@query(rf"""WITH s AS (SELECT doc_id, para_id, unnest(x) AS text, generate_subscripts(x, 1) - 1 AS no FROM (SELECT doc_id, para_id, string_split(regexp_replace(text, '([.;!?])\s+([A-Z"(“])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS x FROM {P('pdf_l4')})),
+  g AS (SELECT doc_id, para_id, no, unnest({GRAMS(3)}) AS g FROM (SELECT doc_id, para_id, no, {CONTENT} AS w FROM s) WHERE len(w) >= 3), t AS (SELECT DISTINCT doc_id, unnest({GRAMS(3)}) AS g FROM (SELECT doc_id, {CONTENT} AS w FROM {P('sgml')}) WHERE len(w) >= 3),
+  c AS (SELECT para_id, no, CAST(count(t.g) AS DOUBLE) / count(*) AS coverage FROM g LEFT JOIN t ON g.doc_id = t.doc_id AND g.g = t.g GROUP BY ALL),
+  n AS (SELECT *, lag(coverage) OVER w AS prev, lead(coverage) OVER w AS next, row_number() OVER w AS k, count(*) OVER (PARTITION BY para_id) AS n FROM c WINDOW w AS (PARTITION BY para_id ORDER BY no))
+  SELECT para_id, CAST(no AS INT) AS no, coverage, CASE WHEN k = 1 THEN 'first' WHEN k = n THEN 'last' ELSE k || ' of ' || n END AS place FROM n WHERE coverage < 0.1 AND greatest(coalesce(prev, 0), coalesce(next, 0)) >= 0.5""")
 def g15_lost_sentences(spark, root):
     """Sentences that are lost while their neighbours are there."""
     s = paras(spark, root, "pdf_l4").select("doc_id", "para_id", F.posexplode(T.sentences(F.col("text"))).alias("no", "text")).withColumn("key", F.struct("para_id", "no"))
     w = T.content_words(F.col("text"))
-    c = J.gram_coverage(s, paras(spark, root, "sgml"), w, n=3, key="key")
+    c = J.gram_coverage(s, paras(spark, root, "sgml"), w, n=3, key="key", short_texts=False)
     return J.confirmed_missing(c.select("key.para_id", "key.no", "coverage"))
 
 
@@ -708,7 +695,10 @@ def d6_raw_signs(spark, root):
     return X.sign_cards(lines).select(F.col("line").alias("para_id"), "sign", "n")
 
 
-@query()
+SIGN_SIZES = "[" + ", ".join(f"{{'s': '{a}', 'n': {len(b)}}}" for a, b in X.ENTITY_OF.items()) + "]"
+
+
+@query(f"""SELECT para_id, CAST(coalesce(len(h), 0) AS INT) AS applied, CAST(length(text) + coalesce(list_sum(list_transform(h, lambda x: x.n - 1)), 0) AS INT) AS n FROM (SELECT para_id, text, list_filter({SIGN_SIZES}, lambda x: contains(text, x.s)) AS h FROM {P('sgml')})""")
 def x11_apply_fixes(spark, root):
     """Paragraphs after their sign cards are applied, one place a card."""
     rows = paras(spark, root, "sgml").select(F.col("para_id").alias("doc_id"), F.col("text").alias("raw"))
@@ -755,7 +745,7 @@ def st2_latest(spark, root):
 @query()
 def st4_override_rate(spark, root):
     """Overrides by day."""
-    return ST.run_once(ST.override_rate(log_stream(spark, root)), "append")
+    return ST.run_once(ST.override_rate(log_stream(spark, root), window="1 day"), "append")
 
 
 # --- more of markup, comparison and corpus ---------------------------------------------
@@ -782,20 +772,6 @@ def t24_first_line(spark, root):
     return M.first_line(pages(spark, root), "<h1")
 
 
-@query()
-def t22_context(spark, root):
-    """Lines around the first heading."""
-    d = pages(spark, root)
-    return M.context_lines(d, M.first_line(d, "<h1"))
-
-
-@query()
-def t14_contents(spark, root):
-    """Sizes of what a comparison reads of each page."""
-    c = pages(spark, root).select("doc_id", M.contents(F.col("raw"), M.HTML).alias("c"))
-    return c.select("doc_id", F.length("c.text").alias("n"), F.size("c.paragraphs").alias("paragraphs"), F.size("c.headings").alias("headings"), "c.counts.tables", "c.has_appendix")
-
-
 @query(f"""WITH t AS (SELECT doc_id, lower(replace(t, '/', '')) AS tag FROM (SELECT doc_id, unnest(regexp_extract_all(raw, '<(/?[A-Za-z][A-Za-z0-9]*)', 1)) AS t FROM {RAW}) WHERE t NOT LIKE '/%')
   SELECT doc_id, CAST(sum(n) AS BIGINT) AS tags, CAST(count(*) AS BIGINT) AS kinds, list(tag ORDER BY n DESC, tag)[1] AS most FROM (SELECT doc_id, tag, count(*) AS n FROM t GROUP BY ALL) GROUP BY doc_id""")
 def a01_features(spark, root):
@@ -832,19 +808,14 @@ def j18_sampled_values(spark, root):
     return J.sampled_values(v, paras(spark, root, "pdf_l1"))
 
 
-@query()
+@query(rf"""WITH i AS (SELECT doc_id, para_id, unnest(b) AS item, generate_subscripts(b, 1) - 1 AS no FROM (SELECT doc_id, para_id, list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(text, ';\s+', chr(1), 'g'), '\s+(\([a-z0-9]{{1,3}}\)\s)', chr(1) || '\1', 'g'), '\s*[•▪◦]\s*', chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS b FROM {P('pdf_l4')}) WHERE len(b) >= 2),
+  h AS (SELECT *, array_to_string(list_slice({WORDS.replace('lower(text)', 'lower(item)')}, 1, 12), ' ') AS h FROM i), t AS (SELECT doc_id, ' ' || array_to_string({WORDS}, ' ') || ' ' AS t FROM {P('sgml')})
+  SELECT doc_id, para_id, CAST(no AS INT) AS no, item FROM h WHERE h <> '' AND NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = h.doc_id AND contains(t.t, ' ' || h.h || ' '))""")
 def g10_absent_items(spark, root):
     """Items of printed enumerations that the marked-up text lacks."""
     return J.absent_items(paras(spark, root, "pdf_l4"), paras(spark, root, "sgml"), lambda c: T.words(T.plain_words_text(c)))
 
 
-@query(f"""SELECT doc_id, value FROM (SELECT v.doc_id, value, bool_or(contains(p.text, value)) AS same, bool_or(contains(p.text, lower(value))) AS low FROM (SELECT DISTINCT doc_id, upper(doc_number) AS value FROM sgml_content WHERE doc_number IS NOT NULL AND regexp_matches(upper(doc_number), '[A-Z]') AND length(doc_number) > 2) v JOIN {P('pdf_l1')} p USING (doc_id) GROUP BY ALL) WHERE NOT same AND low""")
-def j19_lower_cased(spark, root):
-    """Numbers with letters that the printed side has in small letters only."""
-    v = table(spark, root, "sgml_content").where("doc_number IS NOT NULL").select("doc_id", F.upper("doc_number").alias("value"))
-    return J.lower_cased(v, paras(spark, root, "pdf_l1"))
-
-
 @query(f"""WITH s AS (SELECT doc_id, para_id, {WORDS} AS w FROM {P('pdf_l4')}), g AS (SELECT doc_id, para_id, unnest({GRAMS(5)}) AS g FROM s WHERE len(w) >= 10), t AS (SELECT DISTINCT doc_id, unnest({GRAMS(5)}) AS g FROM (SELECT doc_id, {WORDS} AS w FROM {P('sgml')}) WHERE len(w) >= 5),
   c AS (SELECT g.doc_id, para_id, CAST(count(t.g) AS DOUBLE) / count(*) AS c FROM g LEFT JOIN t ON g.doc_id = t.doc_id AND g.g = t.g GROUP BY ALL), r AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE c >= 0.6) AS f FROM c GROUP BY doc_id)
   SELECT doc_id, CAST(n AS BIGINT) AS paragraphs, CAST(f AS BIGINT) AS found, CAST(CASE WHEN f / n >= 0.9 THEN 20.0 WHEN f / n >= 0.75 THEN 18.0 WHEN f / n >= 0.6 THEN 15.0 WHEN f / n >= 0.45 THEN 12.0 WHEN f / n >= 0.3 THEN 8.0 ELSE 0.0 END AS DOUBLE) AS text FROM r""")
@@ -853,13 +824,6 @@ def c2_text_scores(spark, root):
     return V.text_scores(paras(spark, root, "pdf_l4"), paras(spark, root, "sgml"), plain()).select("doc_id", "paragraphs", "found", "text")
 
 
-@query()
-def r_tabular_issues(spark, root):
-    """Rules for documents made from workbooks, applied to the pages."""
-    d = pages(spark, root)
-    return R.issues(d, R.tabular_rules(F.col("raw")))
-
-
 @query("""WITH t(prio, category, keyword, template) AS (VALUES (0, 'page', 'page', 'PAGE'), (1, 'note', 'page', 'OTHER'), (2, 'note', 'see', 'SEE')),
   n AS (SELECT DISTINCT decision_id, lower(reviewer_note) AS d, source FROM decisions) SELECT decision_id, (SELECT min_by(t.template, struct_pack(m := CASE WHEN t.category <> 'note' THEN 1 ELSE 0 END, p := t.prio)) FROM t WHERE contains(n.d, t.keyword)) AS template FROM n""")
 def j26_templates(spark, root):

@@ -34,7 +34,7 @@ def latest(stream: DataFrame, key: str = "sgml_file") -> DataFrame:
     return s.groupBy(key).agg(F.max_by(F.upper("validator_decision"), F.struct("at", "decision_id")).alias("decision"), F.max("at").alias("at"))
 
 
-def override_rate(stream: DataFrame, delay: str = "1 hour", window: str = "1 day") -> DataFrame:
+def override_rate(stream: DataFrame, delay: str = "1 hour", window: str = "1 hour") -> DataFrame:
     """Decisions and overrides in each window; records later than ``delay`` are left out."""
     s = stream.withColumn("at", logged_time()).where("at IS NOT NULL").withWatermark("at", delay)
     over = F.col("human_decision").isNotNull() & (F.upper("human_decision") != F.upper("validator_decision"))
@@ -48,7 +48,11 @@ def run_once(frame: DataFrame, mode: str = "complete") -> DataFrame:
     repeated after a lost executor changes nothing.
     """
     spark = frame.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quireline-")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="quireline-")
     where = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:

@@ -77,7 +77,7 @@ def test_tampered_documents(spark):
     cells = "<TABLE><SGMLTBL><TBLBODY><TBLROW><TBLCELL>a</TBLCELL></TBLROW></TBLBODY><TBLCELL>x</TBLCELL></SGMLTBL></TABLE>"
     assert found(spark, CLEAN.replace("<P>One", cells + "<P>One")) == {"cell outside row": 1}
     assert found(spark, CLEAN.replace("<POLIDENT><N>1</N><TI>Title</TI></POLIDENT>", "")) == {"no ident block": 1}
-    assert found(spark, CLEAN.replace("<P>One", '<GRAPHIC FILENAME="SB000001.BMP"><GRAPHIC FILENAME="sb000001.bmp"><GRAPHIC FILENAME="x.jpg"><P>One')) == {"graphic twice": 1, "graphic name": 1}
+    assert found(spark, CLEAN.replace("<P>One", '<GRAPHIC FILENAME="SB000001.BMP"><GRAPHIC FILENAME="sb000001.bmp"><GRAPHIC FILENAME="x.jpg"><P>One')) == {"graphic twice": 1, "graphic name": 1, "graphic outside paragraph": 3}
 
 
 def test_balance(spark):

@@ -15,8 +15,8 @@ from tests.test_markup import CLEAN
 
 WORDS = "doc_id bigint, para_id bigint, idx int, text string"
 BOOK = (
-    '<POLIDOC LANG="EN" ADDDATE="20250101" CLIPDATE="20250101" MODDATE="20250101"><N>1</N><TABLE><SGMLTBL><TBLHEAD><TBLCDEFS><TBLCDEF COLWD="50"><TBLCDEF COLWD="50"></TBLCDEFS></TBLHEAD>'
-    '<TBLBODY><TBLCDEFS><TBLCDEF COLWD="50"><TBLCDEF COLWD="50"></TBLCDEFS><TBLROW><TBLCELL COLSTART="1">a</TBLCELL><TBLCELL COLSTART="2">b</TBLCELL></TBLROW></TBLBODY></SGMLTBL></TABLE></POLIDOC>'
+    '<POLIDOC LANG="EN" ADDDATE="20250101" CLIPDATE="20250101" MODDATE="20250101"><N>1</N><DATE>May 1, 2025</DATE><FREEFORM><BLOCK2><TI>1</TI><TABLE><SGMLTBL><TBLHEAD><TBLCDEFS><TBLCDEF COLWD="50"><TBLCDEF COLWD="50"></TBLCDEFS></TBLHEAD>'
+    '<TBLBODY TBLROWS="1"><TBLCDEFS><TBLCDEF COLWD="50"><TBLCDEF COLWD="50"></TBLCDEFS><TBLROW><TBLCELL COLSTART="1">a</TBLCELL><TBLCELL COLSTART="2">b</TBLCELL></TBLROW></TBLBODY></SGMLTBL></TABLE></BLOCK2></FREEFORM></POLIDOC>'
 )
 
 
@@ -34,7 +34,7 @@ def test_tabular_rules(spark):
     assert hits(spark, BOOK.replace("</TBLROW>", "")) == {"balance": 1}
     assert hits(spark, BOOK.replace('COLWD="50"', 'COLWD="30"')) == {"column widths": 2}
     assert hits(spark, BOOK.replace('COLSTART="2"', 'COLSTART="3"')) == {"column order": 1}
-    assert hits(spark, BOOK.replace(">a<", ">None<").replace(">b<", ">1.23456 & é<")) == {"literal none": 1, "accented signs": 1}
+    assert hits(spark, BOOK.replace(">a<", ">None<").replace(">b<", ">1.23456 & é<")) == {"literal none": 1, "cell of none": 1, "accented signs": 1, "bare ampersand": 1}
     assert hits(spark, BOOK.replace('<TBLCDEF COLWD="50"></TBLCDEFS></TBLHEAD>', "</TBLCDEFS></TBLHEAD>"))["column numbers"] == 1
 
 
