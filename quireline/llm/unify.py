@@ -1,13 +1,13 @@
 """Problem 1: one stored form for texts that look the same.
 
 Method: a longest-match transducer over grapheme clusters. ``build_table``
-precomputes, by rule from the Unicode character database, what every sign turns
-into (width, joined letters, blanks, invisible signs, accents, look-alike
-letters) and refuses a table in which two letters of one script would fall
-together. ``Transducer`` compiles the keys into one alternation that always
-takes the longest cluster, so a text is rewritten in one pass from left to
-right; clusters of a base and several marks that the table doesn't hold are
-derived from its single signs once and remembered.
+precomputes, by rule from the Unicode character database, what every sign and every
+cluster of a base and its marks that has a composed sign turns into (width, joined
+letters, blanks, invisible signs, accents, look-alike letters). ``check_table`` refuses
+a table in which two letters of one script would fall together. ``Transducer`` compiles
+the keys into one alternation that always takes the longest cluster, so a text is
+rewritten in one pass from left to right; clusters that have no composed sign (and
+Hangul ones, which are composed by rule) are derived from the table once and remembered.
 """
 
 from __future__ import annotations
@@ -25,12 +25,14 @@ from quireline.llm.common import need
 
 # Letters of other scripts that are drawn like a Latin letter.
 CYRILLIC = ("аеорсухіѕјһԁԛԝӏАВЕКМНОРСТУХІЅЈԚԜ", "aeopcyxisjhdqwlABEKMHOPCTYXISJQW")
-GREEK = ("ονΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ovABEZHIKMNOPTYX")
+GREEK = ("ονραυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ovpauABEZHIKMNOPTYX")
 ARMENIAN = ("օսհՕՍ", "ouhOU")
+CHEROKEE = ("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ")
+COPTIC = ("ⲞⲟⲎⲒⲔⲘⲚⲢⲣⲤⲥⲦⲬ", "OoHIKMNPpCcTX")
 # Katakana drawn like Han signs, and Hiragana like Katakana.
 KATAKANA = ("ニカロエハタトー", "二力口工八夕卜一")
 HIRAGANA = ("へべぺ", "ヘベペ")
-SCRIPTS = {"Cyrillic": CYRILLIC, "Greek": GREEK, "Armenian": ARMENIAN, "Katakana": KATAKANA, "Hiragana": HIRAGANA}
+SCRIPTS = {"Cyrillic": CYRILLIC, "Greek": GREEK, "Armenian": ARMENIAN, "Cherokee": CHEROKEE, "Coptic": COPTIC, "Katakana": KATAKANA, "Hiragana": HIRAGANA}
 
 #: Decomposition tags under which only the drawing differs, not the sign.
 SAME_SIGN = ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>")
@@ -80,23 +82,51 @@ def plain_sign(ch: str) -> str | None:
     return None if nfc == ch else nfc
 
 
+def derive(cluster: str, like: dict[str, str]) -> str:
+    """Image of a sign or cluster by the rules, sign by sign."""
+    out = U.normalize("NFC", "".join(plain_or(c) for c in cluster))
+    if like:
+        out = U.normalize("NFC", "".join(like.get(c, c) for c in U.normalize("NFD", out)))
+        out = "".join(like.get(c, c) for c in out)
+    return out
+
+
 @lru_cache(maxsize=2)
 def build_table(alike: bool) -> dict[str, str]:
-    """Every single sign of the Basic Multilingual Plane that changes."""
+    """Every sign of the Basic Multilingual Plane that changes, and every cluster of a
+    base, its own or one drawn alike, with the marks of a composed sign; checked."""
     like = lookalikes() if alike else {}
+    drawn: dict[str, list[str]] = {}
+    for a, b in like.items():
+        drawn.setdefault(b, []).append(a)
     table = {}
     for c in [*range(0xD800), *range(0xE000, 0x10000), *range(0xE0000, 0xE0200)]:
         ch = chr(c)
-        plain = plain_sign(ch)
-        new = ch if plain is None else plain
-        if like and new:
-            new = U.normalize("NFC", "".join(like.get(x, x) for x in U.normalize("NFD", new)))
-            new = "".join(like.get(x, x) for x in new)
+        new = derive(ch, like)
         if new != ch:
             table[ch] = new
+        parts = U.normalize("NFD", ch)
+        if len(parts) > 1 and not 0xAC00 <= c < 0xD7A4:
+            for base in (parts[0], *drawn.get(parts[0], ())):
+                table[base + parts[1:]] = derive(base + parts[1:], like)
+    check_table(table)
     return table
 
 
+def check_table(table: dict[str, str]) -> None:
+    """No two letters of one script may get one image. Signs that are only another way
+    to store a letter (composed, wide, joined) are no letters of their own."""
+    seen: dict[tuple[str, str], str] = {}
+    for c in range(0x10000):
+        ch = chr(c)
+        if 0xD800 <= c < 0xE000 or U.category(ch) not in ("Lu", "Ll", "Lo") or plain_or(ch) != ch:
+            continue
+        place = U.name(ch, "").split(" ", 1)[0], table.get(ch, ch)
+        if place in seen:
+            raise ValueError(f"{ch!r} and {seen[place]!r} both become {place[1]!r}")
+        seen[place] = ch
+
+
 def _span(chars: list[str]) -> str:
     """Character class of sorted signs, runs as ranges."""
     out, codes = [], sorted(map(ord, chars))
@@ -126,7 +156,8 @@ class Transducer:
         marks = [c for c in signs if U.combining(c) or 0x1160 <= ord(c) < 0x1200 or c in "ﾞﾟ"]
         b, i, m = _span(blanks), _span(unseen), _span(sorted({*marks, *unseen}))
         # A single plain space stays; runs of blanks and unseen signs are one cluster.
-        self.pattern = re.compile(f"[{b}{i}]{{2,}}|[^{b}][{m}]+|[{_span(list(self.table))}]", re.DOTALL)
+        single = [c for c in self.table if len(c) == 1]
+        self.pattern = re.compile(f"[{b}{i}]{{2,}}|[^{b}][{m}]+|[{_span(single)}]", re.DOTALL)
         self.blank = re.compile(f"[{b}]")
         self.unseen = set(unseen)
         self.known: dict[str, str] = {}
@@ -134,15 +165,18 @@ class Transducer:
 
     def cluster(self, s: str) -> str:
         """Image of one cluster."""
-        out = self.known.get(s)
+        out = self.table.get(s)
+        if out is None:
+            out = self.known.get(s)
         if out is None:
             if self.blank.search(s):
                 out = " "
             else:
-                out = U.normalize("NFC", "".join(self.table.get(c, c) if not self.like else plain_or(c) for c in s))
-                if self.like:
-                    out = U.normalize("NFC", "".join(self.like.get(c, c) for c in U.normalize("NFD", out)))
-                    out = "".join(self.like.get(c, c) for c in out)
+                # Marks in their order, unseen signs away: most are in the table so.
+                seen = U.normalize("NFD", "".join(c for c in s if c not in self.unseen))
+                out = self.table.get(seen)
+                if out is None:
+                    out = derive(s, self.like)
             if len(self.known) >= self.REMEMBER:
                 self.known.clear()
             self.known[s] = out
