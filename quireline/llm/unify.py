@@ -153,7 +153,8 @@ class Transducer:
         signs = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
         unseen = [c for c, new in self.table.items() if new == ""]
         blanks = [c for c, new in self.table.items() if new == " "] + [" "]
-        marks = [c for c in signs if U.combining(c) or 0x1160 <= ord(c) < 0x1200 or c in "ﾞﾟ"]
+        # Some vowel signs are composed though they are no combining marks.
+        marks = {c for c in signs if U.combining(c) or 0x1160 <= ord(c) < 0x1200 or c in "ﾞﾟ"} | {c for k in self.table if len(k) > 1 for c in k[1:]}
         b, i, m = _span(blanks), _span(unseen), _span(sorted({*marks, *unseen}))
         # A single plain space stays; runs of blanks and unseen signs are one cluster.
         single = [c for c in self.table if len(c) == 1]

@@ -71,3 +71,30 @@ def test_unify_replaces_columns(spark):
     assert [tuple(r) for r in U.unify(df, key="look").collect()] == [("ﬁ", "fi", "fi"), (None, None, None)]
     with pytest.raises(ValueError):
         U.unify(df, text="none")
+def test_clusters_are_precomputed():
+    for alike in (True, False):
+        table = U.build_table(alike)
+        like = U.lookalikes() if alike else {}
+        clusters = [k for k in table if len(k) > 1]
+        assert len(clusters) > 900 and all(table[k] == U.derive(k, like) for k in table)
+        form = U.transducer(alike)
+        assert all(form(k) == table[k].strip(" ") for k in clusters)
+    form = U.transducer(True)
+    # A base of another script, marks out of order, unseen signs between: one form.
+    assert form("е\u0301") == form("é") == form("e\u200d\u0301") == "é" and form("a\u0323\u0302") == form("a\u0302\u0323") == form("ậ")
+
+
+def test_letters_of_one_script_stay_apart():
+    table = dict(U.build_table(True))
+    U.check_table(table)
+    for clash in ({"б": "a"}, {"ж": "ш"}, {"q": "p"}):
+        with pytest.raises(ValueError):
+            U.check_table({**table, **clash})
+
+
+def test_borrowed_letters():
+    form = U.transducer(True)
+    assert form("ρaper") == "paper" and form("αt") == "at" and form("ᎪᏢ") == "AP" and form("Ⲟne") == "One"
+    assert form("б") != form("6") and form("p") != form("q") and form("A") != form("a")
+
+
