@@ -12,6 +12,7 @@ from quireline.operators import corpus as A
 from quireline.operators import dimensions as D
 from quireline.operators import fixes as X
 from quireline.operators import markup as M
+from quireline.operators import report as K
 from quireline.operators import rules as R
 from quireline.plans import validate as V
 from quireline.queries import BL, SQUEEZE, query
@@ -171,12 +172,12 @@ def r_issues(spark, root):
     return R.filing_issues(filings(spark, root), list(ENTITIES))
 
 
-@query(f"""SELECT doc_id, category, greatest(0.0, base - coalesce(lost, 0.0)) AS score FROM (SELECT doc_id, unnest(['schema', 'nesting', 'characters', 'tables', 'graphics', 'text', 'legal']) AS category, unnest([8.0, 8.0, 6.0, 4.0, 4.0, 4.0, 6.0]) AS base FROM {FILINGS})
+@query(f"""SELECT doc_id, category, round(greatest(0.0, base - coalesce(lost, 0.0)), 6) AS score FROM (SELECT doc_id, unnest(['schema', 'nesting', 'characters', 'tables', 'graphics', 'text', 'legal']) AS category, unnest([8.0, 8.0, 6.0, 4.0, 4.0, 4.0, 6.0]) AS base FROM {FILINGS})
   LEFT JOIN (SELECT doc_id, category, sum(points) AS lost FROM ({ISSUES_SQL}) GROUP BY ALL) USING (doc_id, category)""")
 def r_scores(spark, root):
     """What the rules leave of each category's points."""
     d = filings(spark, root)
-    return R.category_scores(d, R.filing_issues(d, list(ENTITIES)), R.FILING_POINTS)
+    return R.category_scores(d, R.filing_issues(d, list(ENTITIES)), R.FILING_POINTS).withColumn("score", F.round("score", 6))
 
 
 @query(f"""WITH RECURSIVE f AS {FILINGS}, {ORDER_SQL} SELECT doc_id, kind, "outer", "inner" FROM o""")
@@ -357,12 +358,12 @@ def d7_metadata(spark, root):
     return D.apply_checks(facts(spark, root), D.metadata())
 
 
-@query(f"""WITH c AS ({_checks_sql(COMPLETE_SQL)} UNION ALL {_checks_sql(META_SQL)}) SELECT f.doc_id, f.dimension, greatest(0.0, f.base - coalesce(sum(c.points), 0.0)) AS score
+@query(f"""WITH c AS ({_checks_sql(COMPLETE_SQL)} UNION ALL {_checks_sql(META_SQL)}) SELECT f.doc_id, f.dimension, round(greatest(0.0, f.base - coalesce(sum(c.points), 0.0)), 6) AS score
   FROM (SELECT doc_id, unnest(['tagging', 'completeness', 'ordering', 'metadata']) AS dimension, unnest([5.0, 7.0, 4.0, 3.0]::DOUBLE[]) AS base FROM {FACTS}) f LEFT JOIN c ON c.doc_id = f.doc_id AND c.dimension = f.dimension GROUP BY f.doc_id, f.dimension, f.base""")
 def d_dimension_scores(spark, root):
     """What completeness and metadata leave of the dimensions' points."""
     f = facts(spark, root)
-    return D.dimension_scores(f, D.apply_checks(f, [*D.completeness(), *D.metadata()]), D.DIMENSION_POINTS)
+    return D.dimension_scores(f, D.apply_checks(f, [*D.completeness(), *D.metadata()]), D.DIMENSION_POINTS).withColumn("score", F.round("score", 6))
 
 
 _TEXTS = lambda side: f"(SELECT doc_id, {SQUEEZE('lower(text)')} AS t, min(idx) AS i FROM paragraphs WHERE side = '{side}' GROUP BY ALL)"
@@ -540,3 +541,45 @@ def t14_contents(spark, root):
 def t15_sections(spark, root):
     """Sections of the filings at the first block level that repeats."""
     return M.sections(filings(spark, root), M.MarkupVocabulary())
+
+
+# --- classes and summaries -------------------------------------------------------
+
+
+@query(rf"""WITH b AS (SELECT doc_id, unnest(list_slice(string_split(regexp_replace(raw, '(?i)(<BLOCK[123][\s>])', chr(1) || '\1', 'g'), chr(1)), 2, 1000000)) AS p FROM {FILINGS}), n AS (SELECT doc_id, count(*) AS n FROM b WHERE NOT regexp_matches(string_split(regexp_replace(p, '(?i)</BLOCK[123]>', chr(2), 'g'), chr(2))[1], '(?i)<TI[\s>]') GROUP BY doc_id)
+  SELECT f.doc_id, CAST({N('TI').replace('/]', ']')} AS INT) AS headings, CAST(coalesce(n, 0) AS INT) AS bare FROM {FILINGS} f LEFT JOIN n USING (doc_id)""")
+def g7_bare_blocks(spark, root):
+    """Headings of the filings and blocks without one."""
+    return D.blocks_without_heading(filings(spark, root))
+
+
+_CASES = lambda tests, other="NULL": "CASE " + " ".join(f"WHEN {a} THEN '{b}'" for a, b in tests) + f" ELSE {other} END"
+_WORDS = lambda column, words: [(f"contains(upper({column}), '{a}')", b) for a, b in words]
+_PLACES = [("ALBERTA", "Alberta"), ("BRITISHCOLUMBIA", "BritishColumbia"), ("MANITOBA", "Manitoba"), ("NEWBRUNSWICK", "NewBrunswick"), ("NEWFOUNDLAND", "Newfoundland"), ("NFLD", "Newfoundland"), ("NOVASCOTIA", "NovScotia"), ("/NWT/", "NWT"), ("NUNAVUT", "Nunavut"), ("ONTARIO", "Ontario"), ("PEI", "PEI"), ("QUEBEC", "Quebec"), ("SASKATCHEWAN", "Saskatchewan"), ("TSX", "TSX"), ("TMX", "TSX"), ("CIRO", "CIRO"), ("IIROC", "CIRO")]
+_LABELS = [("ASC", "Alberta"), ("BCSC", "BritishColumbia"), ("MSC", "Manitoba"), ("NSSSC", "NovScotia"), ("OSC", "Ontario"), ("SFSA", "Saskatchewan"), ("TSX", "TSX"), ("TMX", "TSX"), ("CIRO", "CIRO"), ("IIROC", "CIRO"), ("CSA", "CSA"), ("NATIONAL INSTRUMENT", "National"), ("NI ", "National")]
+
+
+@query(f"""WITH p AS (SELECT doc_id, max(path) AS path, max(filename) AS name FROM sgml_content GROUP BY doc_id), r AS (SELECT doc_id, raw, path, name, regexp_extract(raw, 'LABEL="([^"]+)"', 1) AS label, contains(raw, '<QUOTE>') OR contains(raw, '<QUOTE ') AS q, regexp_matches(raw, '<POLIDENT[\\s>]') AS i, regexp_matches(raw, '<PART[\\s>]') OR regexp_matches(raw, '<SEC[\\s>]') AS s FROM {FILINGS} JOIN p USING (doc_id)),
+  j AS (SELECT *, coalesce({_CASES(_WORDS('path', _PLACES))}, {_CASES(_WORDS('label', _LABELS))}, 'Unknown') AS j, regexp_matches(lower(name), 'amending|amendment|implementing') AS am FROM r),
+  k AS (SELECT *, NOT i AND (j = 'TSX' OR regexp_matches(name, 'By-Law|By-law|ByLaw|by-law|bylaw|Form|form|Capital-Markets-Tribunal')) AS sp FROM j)
+  SELECT doc_id, coalesce(nullif(regexp_extract(raw, 'LANG="(EN|FR)"', 1), ''), 'EN') AS lang, CASE WHEN sp THEN 'TSX_SPECIAL' WHEN q OR am THEN 'AMENDMENT' WHEN s THEN 'INSTRUMENT' ELSE 'NOTICE' END AS doc_type, j AS jurisdiction, q AS has_quote, i AS has_polident, sp AS is_special, s AS has_part_sec, label,
+  regexp_extract(raw, 'ADDDATE="([^"]+)"', 1) AS adddate, CAST(CASE WHEN sp THEN 0.95 WHEN q THEN 0.98 WHEN am THEN 0.85 WHEN s THEN 0.9 ELSE 0.85 END AS DOUBLE) AS confidence FROM k""")
+def p02_filing_class(spark, root):
+    """Kind, language and jurisdiction of every filing by its tags, label and path."""
+    names = table(spark, root, "sgml_content").groupBy("doc_id").agg(F.max("path").alias("path"), F.max("filename").alias("name"))
+    return filings(spark, root).join(names, "doc_id").select("doc_id", A.filing_class(F.col("raw"), F.col("path"), F.col("name")).alias("c")).select("doc_id", "c.*")
+
+
+@query(f"""WITH f AS {FILINGS}, i AS ({ISSUES_SQL}) SELECT f.doc_id, round(greatest(0.0, 8.0 - coalesce(sum(CASE severity WHEN 'critical' THEN 2.5 WHEN 'major' THEN 1.0 WHEN 'minor' THEN 0.3::DOUBLE ELSE 0.0 END), 0.0)), 6) AS text, round(greatest(0.0, 1 - count(i.rule) * 0.04::DOUBLE), 6) AS coverage FROM f LEFT JOIN i USING (doc_id) GROUP BY f.doc_id""".replace("WITH f AS", "WITH RECURSIVE f AS", 1))
+def a12_severity_points(spark, root):
+    """Points and coverage left by the filings' issues, each counted as a missing text."""
+    d = filings(spark, root)
+    found = R.filing_issues(d, list(ENTITIES)).select("doc_id", F.lit("missing").alias("kind"), "severity")
+    return D.severity_points(d, found).withColumn("text", F.round("text", 6)).withColumn("coverage", F.round("coverage", 6))
+
+
+@query(f"""SELECT coalesce(upper(human_decision), '-') AS expected, coalesce(upper(validator_decision), '-') AS decision, CAST(count(*) AS BIGINT) AS n, round(avg(normalised_score), 6) AS mean, min(normalised_score) AS low, max(normalised_score) AS high FROM {D_} GROUP BY ALL""")
+def k11_calibration(spark, root):
+    """How the validator's decisions fall on what reviewers decided."""
+    d = table(spark, root, "decisions").distinct()
+    return K.calibration(d.withColumns({"e": F.coalesce("human_decision", F.lit("-")), "g": F.coalesce("validator_decision", F.lit("-"))}), "e", "g", "normalised_score").withColumn("mean", F.round("mean", 6))

@@ -110,3 +110,92 @@ def first_look(raw: Column) -> dict[str, Column]:
     parts and sections, special roots."""
     has = lambda p: F.regexp_like(raw, F.lit(p))
     return {"has_quote": has("<QUOTE"), "has_polident": has("<POLIDENT"), "has_part_sec": has(r"<(PART|SEC)[\s>]"), "is_tsx_special": has(r"<(MISCLAW|LEGIDDOC)[\s>]")}
+
+
+# --- classes of filings ----------------------------------------------------------
+
+# Words in a path or label, in order, and the jurisdiction they mean.
+PATH_WORDS = (
+    ("ALBERTA", "Alberta"), ("BRITISHCOLUMBIA", "BritishColumbia"), ("MANITOBA", "Manitoba"), ("NEWBRUNSWICK", "NewBrunswick"), ("NEWFOUNDLAND", "Newfoundland"), ("NFLD", "Newfoundland"),
+    ("NOVASCOTIA", "NovScotia"), ("/NWT/", "NWT"), ("NUNAVUT", "Nunavut"), ("ONTARIO", "Ontario"), ("PEI", "PEI"), ("QUEBEC", "Quebec"), ("SASKATCHEWAN", "Saskatchewan"), ("TSX", "TSX"), ("TMX", "TSX"),
+    ("CIRO", "CIRO"), ("IIROC", "CIRO"),
+)
+LABEL_WORDS = (
+    ("ASC", "Alberta"), ("BCSC", "BritishColumbia"), ("MSC", "Manitoba"), ("NSSSC", "NovScotia"), ("OSC", "Ontario"), ("SFSA", "Saskatchewan"), ("TSX", "TSX"), ("TMX", "TSX"), ("CIRO", "CIRO"),
+    ("IIROC", "CIRO"), ("CSA", "CSA"), ("NATIONAL INSTRUMENT", "National"), ("NI ", "National"),
+)
+# Folders, beginnings of labels (in order), words in labels and beginnings
+# of numbers, and the jurisdiction of the corpus that they mean.
+FOLDERS = {
+    "Alberta": "Alberta", "British_Columbia": "British_Columbia", "CIRO_": "CIRO", "Manitoba": "Manitoba", "Montreal-Exchange": "Montreal", "NB_": "New_Brunswick", "NFLD_": "Newfoundland",
+    "NS_": "Nova_Scotia", "NWT_": "NWT", "Ontario": "Ontario", "PEI": "PEI", "Quebec": "Quebec", "Saskatchewan": "Saskatchewan", "Toronto-Stock-Exchange": "TSX", "Yukon_": "Yukon",
+}
+LABEL_BEGINNINGS = (
+    ("osc", "Ontario"), ("csa", "CSA_National"), ("ciro", "CIRO"), ("tmx", "TSX"), ("tsx", "TSX"), ("bcsc", "British_Columbia"), ("bc ", "British_Columbia"), ("bc instrument", "British_Columbia"),
+    ("bc notice", "British_Columbia"), ("bc policy", "British_Columbia"), ("asc", "Alberta"), ("msc", "Manitoba"), ("ontario securities commission", "Ontario"), ("superintendent order", "Nova_Scotia"),
+    ("advisory notice", "NWT"), ("blanket order", "British_Columbia"), ("csa multilateral", "CSA_National"), ("multilateral instrument", "CSA_National"), ("national instrument", "CSA_National"),
+)
+LABEL_PARTS = (("csa", "CSA_National"), ("ciro", "CIRO"), ("tmx", "TSX"), ("tsx", "TSX"))
+NUMBER_BEGINNINGS = (
+    ("11-", "CSA_National"), ("13-", "CSA_National"), ("23-", "CSA_National"), ("24-", "CSA_National"), ("25-", "British_Columbia"), ("31-", "CSA_National"), ("33-", "CSA_National"), ("35-", "Alberta"),
+    ("41-", "CSA_National"), ("44-", "Nova_Scotia"), ("45-", "CSA_National"), ("51-", "Ontario"), ("71-", "CSA_National"), ("81-", "CSA_National"), ("91-", "Quebec"), ("93-", "Quebec"), ("94-", "Quebec"),
+    ("96-", "British_Columbia"), ("TSX", "TSX"), ("By-Law", "TSX"),
+)
+# Words in a file's name that tell its kind.
+SPECIAL_NAMES = ("By-Law", "By-law", "ByLaw", "by-law", "bylaw", "Form", "form", "Capital-Markets-Tribunal")
+AMENDING_NAMES = ("amending", "amendment", "implementing")
+
+
+def _first(tests: list[tuple[Column, Column]]) -> Column:
+    """Value of the first test that holds, else null."""
+    out = F.lit(None).cast("string")
+    for hit, value in reversed(tests):
+        out = F.when(hit, value).otherwise(out)
+    return out
+
+
+def jurisdiction(path: Column, label: Column) -> Column:
+    """Jurisdiction by the words of a path, else of a label, else Unknown."""
+    said = lambda text, table: keyword_class(F.coalesce(text, F.lit("")), list(table), "")
+    return F.coalesce(F.nullif(said(path, PATH_WORDS), F.lit("")), F.nullif(said(label, LABEL_WORDS), F.lit("")), F.lit("Unknown"))
+
+
+def corpus_jurisdiction(path: Column, label: Column, number: Column) -> Column:
+    """``(code, method)`` of the corpus: by a folder of the path, else by how the label
+    begins or what it holds, else by how the number begins."""
+    folders = F.split(F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/")), "/")
+    table = F.create_map(*[F.lit(x) for kv in FOLDERS.items() for x in kv])
+    folder = F.get(F.filter(folders, lambda x: F.map_contains_key(table, x)), F.lit(0))
+    small = F.lower(label)
+    label_code = _first([(F.startswith(small, F.lit(a)), F.lit(b)) for a, b in LABEL_BEGINNINGS])
+    part_code = _first([(F.contains(small, F.lit(a)), F.lit(b)) for a, b in LABEL_PARTS])
+    number_code = _first([(F.startswith(number, F.lit(a)), F.lit(b)) for a, b in NUMBER_BEGINNINGS])
+    one = lambda code, method: F.struct(code.alias("code"), method.alias("method"))
+    return (
+        F.when(folder.isNotNull(), one(F.try_element_at(table, folder), F.lit("directory_path"))).when(label_code.isNotNull(), one(label_code, F.concat(F.lit("label:"), label)))
+        .when(part_code.isNotNull(), one(part_code, F.concat(F.lit("label_partial:"), label))).when(number_code.isNotNull(), one(number_code, F.concat(F.lit("doc_number:"), number)))
+        .otherwise(one(F.lit("unknown"), F.lit("undetected")))
+    )
+
+
+def has_parts(raw: Column) -> Column:
+    """Whether a text is built of parts or sections, as instruments are; others are notices."""
+    return F.regexp_like(raw, F.lit(r"<(?:PART|SEC)[\s>]"))
+
+
+def filing_class(raw: Column, path: Column, name: Column) -> Column:
+    """``(lang, doc_type, jurisdiction, has_quote, has_polident, is_special,
+    has_part_sec, label, adddate, confidence)`` of a raw text and its file."""
+    first = lambda p: F.nullif(F.regexp_extract(raw, p, 1), F.lit(""))
+    has = lambda p: F.regexp_like(raw, F.lit(p))
+    label, place = F.coalesce(first('LABEL="([^"]+)"'), F.lit("")), jurisdiction(path, first('LABEL="([^"]+)"'))
+    named = lambda words, text: F.coalesce(sum((F.contains(text, F.lit(w)).cast("int") for w in words), F.lit(0)) > 0, F.lit(False))
+    quote, ident, parts = has(r"<QUOTE[\s>]"), has(r"<POLIDENT[\s>]"), has_parts(raw)
+    special = ~ident & ((place == "TSX") | named(SPECIAL_NAMES, name))
+    amending = named(AMENDING_NAMES, F.lower(name))
+    kind = F.when(special, "TSX_SPECIAL").when(quote | amending, "AMENDMENT").when(parts, "INSTRUMENT").otherwise("NOTICE")
+    sure = F.when(special, 0.95).when(quote, 0.98).when(amending, 0.85).when(parts, 0.9).otherwise(0.85)
+    return F.struct(
+        F.coalesce(first('LANG="(EN|FR)"'), F.lit("EN")).alias("lang"), kind.alias("doc_type"), place.alias("jurisdiction"), quote.alias("has_quote"), ident.alias("has_polident"), special.alias("is_special"),
+        parts.alias("has_part_sec"), label.alias("label"), F.coalesce(first('ADDDATE="([^"]+)"'), F.lit("")).alias("adddate"), sure.alias("confidence"),
+    )

@@ -240,3 +240,79 @@ def corpus_checks() -> list[Check]:
 # Points of the corpus checks, and of a document that has no corpus.
 CORPUS_POINTS = {"jurisdiction": 5.0, "statistics": 10.0, "patterns": 10.0}
 NO_CORPUS = 12.5
+
+
+# --- summaries -------------------------------------------------------------------
+
+# What a missing and an altered text costs by severity.
+MISSING_COST = {"critical": 2.5, "major": 1.0, "minor": 0.3}
+ALTERED_COST = {"critical": 2.0, "major": 0.5, "minor": 0.1}
+
+
+def severity_points(docs: DataFrame, found: DataFrame, most: float = 8.0, each: float = 0.04, key: str = "doc_id") -> DataFrame:
+    """``(key, text, coverage)``: points and coverage that the texts ``found(key, kind,
+    severity)`` of kind ``missing`` or ``altered`` leave."""
+    cost = F.lit(0.0)
+    for kind, table in (("missing", MISSING_COST), ("altered", ALTERED_COST)):
+        for severity, c in table.items():
+            cost = F.when((F.col("kind") == kind) & (F.col("severity") == severity), c).otherwise(cost)
+    lost = found.groupBy(key).agg(F.sum(cost).alias("lost"), F.count("*").alias("n"))
+    rows = docs.select(key).join(lost, key, "left").withColumns({"lost": F.coalesce("lost", F.lit(0.0)), "n": F.coalesce("n", F.lit(0))})
+    return rows.select(key, F.greatest(F.lit(0.0), most - F.col("lost")).alias("text"), F.greatest(F.lit(0.0), 1 - F.col("n") * each).alias("coverage"))
+
+
+def union_issues(levels: dict[str, DataFrame]) -> DataFrame:
+    """Issues of several levels under each other with their ``level``; columns that a
+    level lacks are null."""
+    out = None
+    for name, rows in levels.items():
+        one = rows.withColumn("level", F.lit(name))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
+def fix_summary(fixes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``(key, dimension, severity, n, auto)``: numbers of cards in each dimension and
+    severity, and of those that apply by themselves."""
+    return fixes.groupBy(key, "dimension", "severity").agg(F.count("*").alias("n"), F.count_if("auto").alias("auto"))
+
+
+def blocks_without_heading(docs: DataFrame, key: str = "doc_id", raw: str = "raw") -> DataFrame:
+    """``(key, headings, bare)``: number of headings, and of numbered blocks that end
+    before one opens in them."""
+    parts = F.filter(F.split(F.col(raw), r"(?i)(?=<BLOCK[123][\s>])", -1), lambda p: F.regexp_like(p, F.lit(r"(?i)^<BLOCK[123][\s>]")))
+    body = lambda p: F.split(p, r"(?i)</BLOCK[123]>", -1)[0]
+    bare = F.filter(parts, lambda p: ~F.regexp_like(body(p), F.lit(r"(?i)<TI[\s>]")))
+    return docs.select(key, F.regexp_count(F.col(raw), F.lit(r"(?i)<TI[\s>]")).alias("headings"), F.coalesce(F.size(bare), F.lit(0)).alias("bare"))
+
+
+def heading_positions(target: DataFrame, source: DataFrame, least: float = 0.6, doc: str = "doc_id", order: str = "idx") -> DataFrame:
+    """``(doc, a, b)``: for each target heading (place ``a``) the place ``b`` of the most
+    similar source heading, the first of equal ones, if it is at least ``least`` similar.
+    Headings meet over their words."""
+    words = lambda c: F.explode(T.heading_words(F.col(c))).alias("w")
+    t = target.select(doc, F.col(order).alias("a"), F.lower("text").alias("x")).where("x IS NOT NULL")
+    s = source.select(doc, F.col(order).alias("b"), F.lower("text").alias("y")).where("y IS NOT NULL")
+    met = t.select(doc, "a", "x", words("x")).join(s.select(doc, "b", "y", words("y")), [doc, "w"]).select(doc, "a", "b", "x", "y").distinct()
+    near = met.withColumn("r", seq_ratio("x", "y")).where(F.col("r") >= least)
+    return near.groupBy(doc, "a").agg(F.min_by("b", F.struct(-F.col("r"), F.col("b"))).alias("b"))
+
+
+def cell_points(cells: DataFrame, covered: DataFrame, key: str = "doc_id", cell: str = "cell_id") -> DataFrame:
+    """``(key, cells, share, points)``: points lost for source cells that the target
+    lacks; ``covered(key, cell, method)`` as ``compare.staged_coverage`` gives it."""
+    rows = cells.select(key, cell).join(covered.select(key, cell, "method"), [key, cell], "left")
+    one = rows.groupBy(key).agg(F.count("*").alias("cells"), (F.count("method") / F.count("*")).alias("share"))
+    return one.withColumn("points", F.when(F.col("share") < 0.75, 1.5).when(F.col("share") < 0.9, 0.75).otherwise(0.0))
+
+
+def local_losses(sentences: DataFrame, section: DataFrame, document: DataFrame, local: float = 0.15, everywhere: float = 0.3, n: int = 3, doc: str = "doc_id") -> DataFrame:
+    """Sentences ``(doc, section, key, text)`` whose word ``n``-grams neither their own
+    section of the target ``section(doc, section, text)`` holds by ``local`` nor the
+    whole target ``document(doc, text)`` by ``everywhere``, so that they weren't moved."""
+    w = T.content_words(F.col("text"))
+    fit = sentences.where(F.size(w) >= 6)
+    place = F.concat_ws("\x01", F.col(doc).cast("string"), F.col("section").cast("string"))
+    near = J.gram_coverage(fit.withColumn("__p", place), section.withColumn("__p", place), w, n, "__p", "key", short_texts=False).select("key", F.col("coverage").alias("near"))
+    far = J.gram_coverage(fit, document, w, n, doc, "key", short_texts=False).select("key", F.col("coverage").alias("far"))
+    return fit.join(near, "key").join(far, "key").where((F.col("near") < local) & (F.col("far") < everywhere))

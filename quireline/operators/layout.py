@@ -263,3 +263,44 @@ def table_pages(drawings: DataFrame, least: int = 4) -> DataFrame:
 def line_metadata(first_page: Column) -> dict[str, Column]:
     """Language hint, reference number and date of a first page's text."""
     return {"language_hint": T.language_hint(first_page), "doc_number": T.number_reference(first_page), "doc_date": T.text_date(first_page)}
+
+
+def image_count(blocks: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, images)``: image blocks (``block_type`` 1) of each document; of one
+    without any, the images that ``images(doc_id, name)`` lists, each once."""
+    n = blocks.groupBy("doc_id").agg(F.count_if(F.col("block_type") == 1).alias("images"))
+    if images is None:
+        return n
+    listed = images.groupBy("doc_id").agg(F.count_distinct("name").alias("listed"))
+    both = n.join(listed, "doc_id", "full_outer")
+    return both.select("doc_id", F.when(F.coalesce("images", F.lit(0)) > 0, F.col("images")).otherwise(F.coalesce("listed", F.lit(0))).alias("images"))
+
+
+def ruled_cells(drawings: DataFrame, spans: DataFrame, thin: float = 3.0, long_: float = 20.0) -> DataFrame:
+    """``(doc_id, page, row, col, text)``: the cells that a page's rules cut out, with the
+    texts whose middle lies in each (empty if none). ``drawings(doc_id, page, bbox)``,
+    ``spans(doc_id, page, text, bbox)``. A page's rules are few and rounded before they
+    are ordered; spans meet cells of their own page only."""
+    wide, tall = F.col("bbox.x1") - F.col("bbox.x0"), F.col("bbox.y1") - F.col("bbox.y0")
+
+    def steps(is_rule: Column, at: str, name: str) -> DataFrame:
+        edges = drawings.where(is_rule).select("doc_id", "page", F.round(at, 0).alias("lo")).distinct()
+        w = Window.partitionBy("doc_id", "page").orderBy("lo")
+        return edges.withColumns({f"{name}_hi": F.lead("lo").over(w), name: F.row_number().over(w) - 1}).where(f"{name}_hi IS NOT NULL").withColumnRenamed("lo", f"{name}_lo")
+
+    rows = steps((tall < thin) & (wide > long_), "bbox.y0", "row")
+    cols = steps((wide < thin) & (tall > long_), "bbox.x0", "col")
+    grid = rows.join(cols, ["doc_id", "page"])
+    x, y = (F.col("bbox.x0") + F.col("bbox.x1")) / 2, (F.col("bbox.y0") + F.col("bbox.y1")) / 2
+    s = spans.select("doc_id", "page", "text", x.alias("x"), y.alias("y"))
+    inside = grid.join(s, ["doc_id", "page"]).where((F.col("y") >= F.col("row_lo")) & (F.col("y") < F.col("row_hi")) & (F.col("x") >= F.col("col_lo")) & (F.col("x") < F.col("col_hi")))
+    texts = inside.groupBy("doc_id", "page", "row", "col").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "text"))), lambda t: t["text"]), " ").alias("text"))
+    return grid.select("doc_id", "page", "row", "col").join(texts, ["doc_id", "page", "row", "col"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def interleaved(blocks: DataFrame, tables: DataFrame, notes: DataFrame) -> DataFrame:
+    """``(doc_id, ord, kind, text)``: a document's blocks and tables as they stand on its
+    pages, footnotes after all of them. All three are ``(doc_id, page, y0, text)``."""
+    one = lambda df, kind, last: df.select("doc_id", F.lit(last).alias("last"), "page", "y0", F.lit(kind).alias("kind"), "text")
+    rows = one(blocks, "block", 0).unionByName(one(tables, "table", 0)).unionByName(one(notes, "note", 1))
+    return rows.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("last", "page", "y0", "kind", "text"))).select("doc_id", "ord", "kind", "text")

@@ -110,3 +110,66 @@ def write_xlsx(rows: DataFrame, folder: str, per_file: int = 100_000) -> DataFra
                 yield part.iloc[:1].assign(path=path)[["path"]]
 
     return rows.mapInPandas(run, "path string")
+
+
+#: Columns of the flat report, in order.
+FLAT = ("file", "decision", "score", "level1", "level2", "level3", "level4", "issues", "critical", "generated")
+
+
+def flat_report(rows: DataFrame, generated: str | None = None) -> DataFrame:
+    """The report's columns, those that ``rows`` lacks empty; ``generated`` is the time
+    written into every row (now if none is given)."""
+    time = F.lit(generated) if generated else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
+    have = {**{c: F.col(c) for c in rows.columns}, "generated": time}
+    return rows.select(*[have.get(c, F.lit(None).cast("string")).alias(c) for c in FLAT])
+
+
+def console_lines(rows: DataFrame, issues: DataFrame, first: int = 3, key: str = "doc_id") -> DataFrame:
+    """``(key, lines)``: a report for reading: the decision and score of each document and
+    its issues, critical ones first, of each severity the ``first`` (as many as a screen
+    shows) and how many more there are."""
+    rank = F.when(F.lower("severity") == "critical", 0).when(F.lower("severity") == "major", 1).otherwise(2)
+    one = issues.groupBy(key, F.lower("severity").alias("severity")).agg(F.min(rank).alias("k"), F.array_sort(F.collect_set("rule")).alias("names"))
+    more = F.size("names") - first
+    text = F.concat(F.upper("severity"), F.lit(": "), F.array_join(F.slice("names", 1, first), ", "), F.when(more > 0, F.concat(F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise(""))
+    packed = one.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", text.alias("t")))).alias("l"))
+    head = F.concat_ws(" ", F.col("decision"), F.format_number("score", 1))
+    return rows.join(packed, key, "left").select(key, F.concat(F.array(head), F.coalesce(F.transform("l", lambda x: x["t"]), F.array().cast("array<string>"))).alias("lines"))
+
+
+def exit_code(decisions: DataFrame, decision: str = "decision") -> int:
+    """What a command ends with: 2 if a document was rejected, 1 if one needs review,
+    else 0. One row reaches the driver."""
+    up = F.upper(F.col(decision))
+    worst = decisions.agg(F.max(F.when(up == "REJECT", 2).when(up == "REVIEW", 1).otherwise(0))).first()[0]
+    return int(worst or 0)
+
+
+def batch_array(reports: DataFrame, path: str, report: str = "report") -> None:
+    """All reports as one JSON array in each written file, brackets and commas included;
+    rows stay where they are, so a file is an array of its partition's reports."""
+
+    def run(batches):
+        first = True
+        for b in batches:
+            for x in b[report]:
+                yield b.iloc[:1].assign(value=("[" if first else ",") + x)[["value"]]
+                first = False
+            last = b
+        if not first:
+            yield last.iloc[:1].assign(value="]")[["value"]]
+
+    reports.select(report).mapInPandas(run, "value string").write.mode("overwrite").text(path)
+
+
+def calibration(rows: DataFrame, expected: str = "expected", got: str = "decision", score: str = "score") -> DataFrame:
+    """``(expected, decision, n, mean, low, high)``: how decisions fall on documents whose
+    right one is known."""
+    return rows.groupBy(F.upper(expected).alias("expected"), F.upper(got).alias("decision")).agg(
+        F.count("*").alias("n"), F.avg(score).alias("mean"), F.min(score).alias("low"), F.max(score).alias("high")
+    )
+
+
+def write_fixed(rows: DataFrame, path: str, key: str = "doc_id", text: str = "fixed") -> None:
+    """Corrected documents, each in a folder of its own name with its text as it is."""
+    rows.select(key, F.col(text).alias("value")).write.mode("overwrite").partitionBy(key).option("lineSep", "\n").text(path)
