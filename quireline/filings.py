@@ -11,6 +11,7 @@ from quireline.operators import compare as J
 from quireline.operators import corpus as A
 from quireline.operators import dimensions as D
 from quireline.operators import fixes as X
+from quireline.operators import layout as L
 from quireline.operators import markup as M
 from quireline.operators import report as K
 from quireline.operators import rules as R
@@ -583,3 +584,21 @@ def k11_calibration(spark, root):
     """How the validator's decisions fall on what reviewers decided."""
     d = table(spark, root, "decisions").distinct()
     return K.calibration(d.withColumns({"e": F.coalesce("human_decision", F.lit("-")), "g": F.coalesce("validator_decision", F.lit("-"))}), "e", "g", "normalised_score").withColumn("mean", F.round("mean", 6))
+
+
+@query(f"""WITH f AS {FILINGS}, t AS (SELECT doc_id, unnest(e) AS t, generate_subscripts(e, 1) - 1 AS ord FROM (SELECT doc_id, {EACH('SGMLTBL')} AS e FROM f)), r AS (SELECT doc_id, ord, {N('TBLCELL', 'r')} AS cells FROM (SELECT doc_id, ord, unnest({EACH('TBLROW', 't')}) AS r FROM t)),
+  c AS (SELECT doc_id, ord, cells, count(*) AS n FROM r GROUP BY ALL) SELECT doc_id, CAST(ord AS INT) AS ord, CAST(cells AS INT) AS mode, CAST(n AS BIGINT) AS n FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, ord ORDER BY n DESC, cells) = 1""")
+def a15_modal_cells(spark, root):
+    """Most frequent number of cells in the rows of each table of the filings."""
+    rows = M.table_parts(filings(spark, root)).select("doc_id", "ord", F.explode(M.elements(F.col("content"), "TBLROW")).alias("r"))
+    return L.modal_value(rows.select("doc_id", "ord", M.count_tag(F.col("r"), "TBLCELL").alias("cells")), ["doc_id", "ord"], "cells")
+
+
+@query(f"""WITH f AS {FILINGS}, r AS (SELECT doc_id, unnest(e) AS r, generate_subscripts(e, 1) - 1 AS k FROM (SELECT doc_id, {EACH('TBLROW')} AS e FROM f)), c AS (SELECT doc_id || '-' || k AS row_id, unnest(regexp_extract_all(r, 'COLSTART="([0-9]+)"', 1)) AS s FROM r)
+  SELECT row_id, CAST(count(*) AS BIGINT) AS n FROM c GROUP BY row_id HAVING min(CAST(s AS INT)) <> 1 OR max(CAST(s AS INT)) <> count(*) OR count(DISTINCT s) <> count(*)""")
+def w08_column_starts(spark, root):
+    """Table rows of the filings whose columns aren't numbered 1 to n."""
+    rows = filings(spark, root).select("doc_id", F.posexplode(M.elements(F.col("raw"), "TBLROW")).alias("k", "r"))
+    starts = F.explode(F.regexp_extract_all("r", F.lit('COLSTART="([0-9]+)"'), F.lit(1)))
+    cells = rows.select(F.concat_ws("-", "doc_id", "k").alias("row_id"), starts.alias("s")).withColumn("s", F.col("s").cast("int"))
+    return R.not_sequential(cells, "row_id", "s")

@@ -46,3 +46,18 @@ def preprocess(raw: Column, known: dict[str, str], void_tags: tuple[str, ...] =
     for tag in void_tags:
         out = F.regexp_replace(out, rf"<({tag})((?:\s[^>]*?)?)\s*/?>", "<$1$2/>")
     return resolve_entities(out, known)
+
+
+# Entities of running text and their signs.
+TEXT_ENTITIES = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "mdash": "—", "ndash": "–", "ldquo": "“", "rdquo": "”", "lsquo": "‘", "rsquo": "’", "hellip": "…", "bull": "•", "sect": "§", "para": "¶",
+    "copy": "©", "reg": "®", "trade": "™", "eacute": "é", "egrave": "è", "ecirc": "ê", "agrave": "à", "acirc": "â", "ccedil": "ç", "ocirc": "ô",
+}
+
+
+def plain_text(raw: Column, known: dict[str, str] | None = None) -> Column:
+    """Running text of markup: tags, numeric and unknown entities as blanks, the usual
+    entities as their signs, single blanks."""
+    from quireline.functions.text import squeeze
+
+    return squeeze(resolve_entities(F.regexp_replace(raw, "<[^>]*>", " "), known or TEXT_ENTITIES, unknown=" ", keep_numeric=False))

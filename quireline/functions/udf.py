@@ -25,17 +25,17 @@ def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(BooleanType())
 def xml_ok(raw: pd.Series) -> pd.Series:
-    """Whether a text is well-formed once it is put into one root."""
+    """Whether a text is well-formed by itself or, failing that, put into one root."""
     import xml.etree.ElementTree as ET
 
-    def one(t: str) -> bool:
+    def fits(t: str) -> bool:
         try:
-            ET.fromstring(f"<all>{t}</all>")
+            ET.fromstring(t)
             return True
-        except ET.ParseError:
+        except (ET.ParseError, ValueError):
             return False
 
-    return raw.map(one, na_action="ignore")
+    return raw.map(lambda t: fits(t) or fits(f"<all>{t}</all>"), na_action="ignore")
 
 
 _CHARSET = re.compile(rb"charset\s*=\s*[\"']?\s*([A-Za-z0-9_.:-]+)", re.I)

@@ -406,3 +406,11 @@ def lower_cased(values: DataFrame, blobs: DataFrame, doc: str = "doc_id") -> Dat
     held = holding(texts, forms, doc).select(doc, "x").distinct()
     met = forms.join(held, [doc, "x"]).groupBy(doc, "value").agg(F.bool_or("same").alias("same"))
     return met.where(~F.col("same")).select(doc, "value")
+
+
+def before_mark(rows: DataFrame, mark: Column, most: int = 8, doc: str = "doc_id", order: str = "idx") -> DataFrame:
+    """The first ``most`` rows of each document (as many as an introduction is taken to
+    have) that come before the first row that ``mark`` holds for."""
+    first = rows.where(mark).groupBy(doc).agg(F.min(order).alias("__first"))
+    early = rows.join(first, doc, "left").where(F.col("__first").isNull() | (F.col(order) < F.col("__first"))).drop("__first")
+    return early.withColumn("__k", F.row_number().over(Window.partitionBy(doc).orderBy(order))).where(F.col("__k") <= most).drop("__k")

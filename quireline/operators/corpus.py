@@ -199,3 +199,57 @@ def filing_class(raw: Column, path: Column, name: Column) -> Column:
         F.coalesce(first('LANG="(EN|FR)"'), F.lit("EN")).alias("lang"), kind.alias("doc_type"), place.alias("jurisdiction"), quote.alias("has_quote"), ident.alias("has_polident"), special.alias("is_special"),
         parts.alias("has_part_sec"), label.alias("label"), F.coalesce(first('ADDDATE="([^"]+)"'), F.lit("")).alias("adddate"), sure.alias("confidence"),
     )
+
+
+# --- neighbours ------------------------------------------------------------------
+
+
+def adjacent(rows: DataFrame, key: list[str], order: list[str], value: str, block: Column, out: str = "next") -> DataFrame:
+    """Rows with the ``value`` of the next row of their key in ``order`` as ``out``.
+
+    A key's rows are ordered within blocks of bounded size (``block`` must rise with the
+    order) and the blocks' ends are joined, so a key of very many rows doesn't pass
+    through one task."""
+    rows = rows.withColumn("__b", block)
+    inner, over = Window.partitionBy(*key, "__b").orderBy(*order), Window.partitionBy(*key).orderBy("__b")
+    firsts = rows.groupBy(*key, "__b").agg(F.min_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("__f")).withColumn("__n", F.lead("__f").over(over)).drop("__f")
+    rows = rows.withColumn("__v", F.lead(F.struct(F.col(value).alias("v"))).over(inner))
+    met = [rows[k].eqNullSafe(firsts[k]) for k in [*key, "__b"]]
+    joined = rows.join(firsts, met, "left")
+    return joined.select(*[rows[c] for c in rows.columns if c not in ("__b", "__v")], F.coalesce(rows["__v"], firsts["__n"])["v"].alias(out))
+
+
+def numbered(rows: DataFrame, key: list[str], order: list[str], block: Column, out: str = "k") -> DataFrame:
+    """Rows with their number in their key's ``order``, from 1, counted within blocks as
+    ``adjacent`` does and over the blocks."""
+    rows = rows.withColumn("__b", block)
+    before = Window.partitionBy(*key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*key, "__b").agg(F.count("*").alias("__c")).withColumn("__s", F.coalesce(F.sum("__c").over(before), F.lit(0))).drop("__c")
+    rows = rows.withColumn("__i", F.row_number().over(Window.partitionBy(*key, "__b").orderBy(*order)))
+    met = [rows[k].eqNullSafe(sizes[k]) for k in [*key, "__b"]]
+    return rows.join(sizes, met).select(*[rows[c] for c in rows.columns if c not in ("__b", "__i")], (rows["__i"] + sizes["__s"]).cast("int").alias(out))
+
+
+def falling_dates(rows: DataFrame, key: str, order: list[str], date: str, block: Column) -> DataFrame:
+    """Rows of a key whose successor has an earlier date, with it as ``next_<date>``."""
+    name = f"next_{date}"
+    return adjacent(rows, [key], order, date, block, name).where(F.col(name) < F.col(date))
+
+
+def number_gaps(rows: DataFrame, key: str, number: str, most: int, width: int = 100_000) -> DataFrame:
+    """``(key, number, next_<number>)``: neighbouring numbers of a key that lie more than
+    ``most`` apart."""
+    name = f"next_{number}"
+    return adjacent(rows.select(key, number).distinct(), [key], [number], number, F.expr(f"{number} div {width}"), name).where(F.col(name) - F.col(number) > most)
+
+
+def repeats(rows: DataFrame, name: str, order: str, width: int = 100_000) -> DataFrame:
+    """Rows whose ``name`` (in any case) an earlier row of the ``order`` has, with the
+    number of the time ``k``; no name repeats none."""
+    keyed = rows.where(F.col(name).isNotNull()).withColumn("__name", F.upper(name))
+    return numbered(keyed, ["__name"], [order], F.expr(f"{order} div {width}")).where("k > 1").drop("__name")
+
+
+def known_values(rows: DataFrame, value: str) -> DataFrame:
+    """The different values of a column, without null."""
+    return rows.select(value).where(F.col(value).isNotNull()).distinct()

@@ -18,15 +18,26 @@ def severity_rank(severity: Column) -> Column:
     return out
 
 
-def match_templates(issues: DataFrame, templates: DataFrame) -> DataFrame:
+#: Templates that one rule table may hold; they are read into the plan.
+MOST_TEMPLATES = 2_000
+
+
+def match_templates(issues: DataFrame, templates: DataFrame, most: int = MOST_TEMPLATES) -> DataFrame:
     """Issues with ``template``: of the templates whose keyword stands in the
     description, first those of the issue's category, then any, each in the order
     ``prio``; null if none. ``issues(issue_id, category, description)``,
-    ``templates(prio, category, keyword, template)`` (a rule table, small by nature)."""
-    i = issues.select("issue_id", F.col("category").alias("ic"), F.lower("description").alias("d"))
-    met = i.join(templates, F.contains("d", F.lower("keyword")))
-    best = met.groupBy("issue_id").agg(F.min_by("template", F.struct((F.col("category") != F.col("ic")).cast("int"), F.col("prio"))).alias("template"))
-    return issues.join(best, "issue_id", "left")
+    ``templates(prio, category, keyword, template)``, of which there may be ``most``; more
+    are an error, since each description is held against all of them in one pass."""
+    rules = templates.select("prio", "category", F.lower("keyword").alias("keyword"), "template").limit(most + 1).collect()
+    if len(rules) > most:
+        raise ValueError(f"more than {most} templates")
+    if not rules:
+        return issues.withColumn("template", F.lit(None).cast("string"))
+    one = lambda r: F.struct(F.lit(r["prio"]).cast("int").alias("prio"), F.lit(r["category"]).cast("string").alias("c"), F.lit(r["keyword"]).cast("string").alias("w"), F.lit(r["template"]).cast("string").alias("t"))
+    table = F.array(*[one(r) for r in rules])
+    text = F.lower(F.col("description"))
+    hits = F.transform(F.filter(table, lambda r: F.contains(text, r["w"])), lambda r: F.struct(F.coalesce((r["c"] != F.col("category")).cast("int"), F.lit(1)).alias("a"), r["prio"].alias("p"), r["t"].alias("t")))
+    return issues.withColumn("template", F.array_min(hits)["t"])
 
 
 def sign_cards(lines: DataFrame, signs: dict[str, str] = ENTITY_OF) -> DataFrame:

@@ -266,3 +266,20 @@ def table_parts(docs: DataFrame, tag: str = "SGMLTBL", raw: str = "raw", key: st
         key, "ord", "content", (count_tag(F.col("content"), "TBLHEAD") > 0).alias("has_head"), F.coalesce(count_tag(first_defs, "TBLCDEF"), F.lit(0)).alias("columns"),
         count_tag(F.col("content"), "TBLROW").alias("rows"),
     )
+
+
+def pattern_lines(docs: DataFrame, pattern: str, n: int | None = None, raw: str = "raw", key: str = "doc_id") -> DataFrame:
+    """``(key, k, line)`` of all lines that a pattern matches, counted from 1, or of the
+    ``n``-th only."""
+    lines = docs.select(key, F.posexplode(F.split(F.col(raw), "\n", -1)).alias("__k", "text")).where(F.regexp_like("text", F.lit(pattern)))
+    rows = lines.select(key, F.row_number().over(Window.partitionBy(key).orderBy("__k")).alias("k"), (F.col("__k") + 1).alias("line"))
+    return rows if n is None else rows.where(F.col("k") == n)
+
+
+def unparsable(docs: DataFrame, known: dict[str, str], raw: str = "raw", key: str = "doc_id") -> DataFrame:
+    """``(key)`` of the texts that no parser reads even once they are made ready for one;
+    a warning, since filings needn't be well-formed."""
+    from quireline.functions.entities import preprocess
+    from quireline.functions.udf import xml_ok
+
+    return docs.where(F.col(raw).isNotNull()).where(~xml_ok(preprocess(F.col(raw), known))).select(key)

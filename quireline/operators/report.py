@@ -91,25 +91,40 @@ def xlsx_bytes(rows: list[tuple], names: list[str], sheet: str = "Report") -> by
     return out.getvalue()
 
 
-def write_xlsx(rows: DataFrame, folder: str, per_file: int = 100_000) -> DataFrame:
-    """``(path)`` of the workbooks written, one for at most ``per_file`` rows: the
-    executors write them, the driver sees their names only."""
+def workbooks(rows: DataFrame, per_file: int = 100_000) -> DataFrame:
+    """``(name, content)``: workbooks of at most ``per_file`` rows as bytes, made on the
+    executors; any sink that takes binary columns can keep them."""
     names = rows.columns
 
     def run(batches):
-        import os
         import uuid
 
-        os.makedirs(folder, exist_ok=True)
+        import pandas as pd
+
         for b in batches:
             for at in range(0, len(b), per_file):
-                path = os.path.join(folder, f"part-{uuid.uuid4().hex}.xlsx")
-                part = b.iloc[at : at + per_file]
+                part = [tuple(None if v != v else v for v in r) for r in b.iloc[at : at + per_file].itertuples(index=False)]
+                yield pd.DataFrame({"name": [f"part-{uuid.uuid4().hex}.xlsx"], "content": [xlsx_bytes(part, names)]})
+
+    return rows.mapInPandas(run, "name string, content binary")
+
+
+def write_xlsx(rows: DataFrame, folder: str, per_file: int = 100_000) -> DataFrame:
+    """``(path)`` of the workbooks written into ``folder``, which driver and executors
+    must share as a path (``workbooks`` needs none); the driver sees their names only."""
+
+    def run(batches):
+        import os
+
+        os.makedirs(folder, exist_ok=True)
+        for b in batches:
+            paths = [os.path.join(folder, n) for n in b["name"]]
+            for path, content in zip(paths, b["content"]):
                 with open(path, "wb") as f:
-                    f.write(xlsx_bytes([tuple(None if v != v else v for v in r) for r in part.itertuples(index=False)], names))
-                yield part.iloc[:1].assign(path=path)[["path"]]
+                    f.write(content)
+            yield b.assign(path=paths)[["path"]]
 
-    return rows.mapInPandas(run, "path string")
+    return workbooks(rows, per_file).mapInPandas(run, "path string")
 
 
 #: Columns of the flat report, in order.

@@ -51,3 +51,14 @@ def tabular_scores(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> Da
     left = lambda base, *c: F.greatest(F.lit(0.0), base - lost(*c))
     rows = docs.select(key).join(found, key, "left").groupBy(key)
     return rows.agg(F.round(left(35.0, "content", "tables") + left(20.0, "kind") + left(10.0, "cells"), 1).alias("score"))
+
+
+def overall(levels: DataFrame, most: dict[str, float], key: str = "doc_id") -> DataFrame:
+    """``(key, total, reachable, normalised)``: the sum of a document's levels (columns
+    named as in ``most``), what could be reached in those it has, and the share in
+    hundredths, at most 100; null if it has none. A level that is null wasn't judged and
+    counts on neither side."""
+    total = sum((F.coalesce(F.col(n), F.lit(0.0)) for n in most), F.lit(0.0))
+    reach = sum((F.when(F.col(n).isNotNull(), float(m)).otherwise(0.0) for n, m in most.items()), F.lit(0.0))
+    rows = levels.select(key, total.alias("total"), reach.alias("reachable"))
+    return rows.withColumn("normalised", F.when(F.col("reachable") > 0, F.least(F.lit(100.0), F.col("total") / F.col("reachable") * 100)))

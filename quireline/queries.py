@@ -440,9 +440,11 @@ def j13_multiset_delta(spark, root):
 
 @query()
 def j13_substitutions(spark, root):
-    """Reference numbers that were probably swapped for a near one."""
-    number = F.regexp_extract_all("text", F.lit(r"\b([0-9]{2}-[0-9]{3})\b"), F.lit(1))
-    return J.number_substitutions(J.multiset_delta(paras(spark, root, "pdf_l1"), paras(spark, root, "sgml"), number))
+    """Reference numbers that were probably swapped for a near one: those of each
+    jurisdiction against the same with their last figures turned."""
+    n = table(spark, root, "instruments").where("doc_number IS NOT NULL").select(F.col("jurisdiction").alias("doc_id"), F.col("doc_number").alias("text"))
+    turned = n.select("doc_id", F.concat(F.left("text", F.length("text") - 2), F.reverse(F.right("text", F.lit(2)))).alias("text"))
+    return J.number_substitutions(J.multiset_delta(n, turned, F.regexp_extract_all("text", F.lit(r"\b([0-9]{2}-[0-9]{3})\b"), F.lit(1))), "string")
 
 
 @query(f"""WITH {DELTA} SELECT a.doc_id, CAST(a.token AS DOUBLE) AS source_value, min(CAST(b.token AS DOUBLE)) AS target_value FROM d a JOIN d b ON a.doc_id = b.doc_id AND a.n_source > a.n_target AND b.n_target > b.n_source
@@ -553,28 +555,20 @@ def w03_label_descents(spark, root):
 def w04_adjacent_dates(spark, root):
     """Filings of one number whose successor is older."""
     d = table(spark, root, "sgml_content").where("doc_number IS NOT NULL").select("doc_id", "doc_number", T.stamp_date(F.col("adddate")).alias("added")).distinct()
-    nxt = F.lead("added").over(Window.partitionBy("doc_number").orderBy("doc_id", "added"))
-    return d.withColumn("next_added", nxt).where("next_added < added").select("doc_number", "doc_id", "added", "next_added")
+    return A.falling_dates(d, "doc_number", ["doc_id", "added"], "added", F.expr("doc_id div 10000")).select("doc_number", "doc_id", "added", "next_added")
 
 
 @query("""SELECT prefix, n, next_n FROM (SELECT prefix, n, lead(n) OVER (PARTITION BY prefix ORDER BY n) AS next_n FROM (SELECT DISTINCT split_part(doc_number, '-', 1) AS prefix, CAST(split_part(doc_number, '-', 2) AS INT) AS n FROM instruments)) WHERE next_n - n > 100""")
 def w05_gaps(spark, root):
     """Gaps of more than a hundred in the instruments' numbers."""
-    n = table(spark, root, "instruments").select(F.split_part("doc_number", F.lit("-"), F.lit(1)).alias("prefix"), F.split_part("doc_number", F.lit("-"), F.lit(2)).cast("int").alias("n")).distinct()
-    return n.withColumn("next_n", F.lead("n").over(Window.partitionBy("prefix").orderBy("n"))).where("next_n - n > 100")
+    n = table(spark, root, "instruments").select(F.split_part("doc_number", F.lit("-"), F.lit(1)).alias("prefix"), F.split_part("doc_number", F.lit("-"), F.lit(2)).cast("int").alias("n"))
+    return A.number_gaps(n, "prefix", "n", 100)
 
 
-@query("""SELECT decision_id, sgml_file, CAST(k AS INT) AS k FROM (SELECT decision_id, sgml_file, row_number() OVER (PARTITION BY upper(sgml_file) ORDER BY decision_id) AS k FROM (SELECT DISTINCT decision_id, sgml_file FROM decisions)) WHERE k > 1""")
+@query("""SELECT decision_id, sgml_file, CAST(k AS INT) AS k FROM (SELECT decision_id, sgml_file, row_number() OVER (PARTITION BY upper(sgml_file) ORDER BY decision_id) AS k FROM (SELECT DISTINCT decision_id, sgml_file FROM decisions WHERE sgml_file IS NOT NULL)) WHERE k > 1""")
 def w07_repeats(spark, root):
     """Decisions on a file that was decided before."""
-    d = table(spark, root, "decisions").select("decision_id", "sgml_file").distinct()
-    return d.withColumn("k", F.row_number().over(Window.partitionBy(F.upper("sgml_file")).orderBy("decision_id"))).where("k > 1")
-
-
-@query("""SELECT l_orderkey, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY l_orderkey HAVING min(l_linenumber) <> 1 OR max(l_linenumber) <> count(*) OR count(DISTINCT l_linenumber) <> count(*)""")
-def w08_not_sequential(spark, root):
-    """Orders whose line numbers aren't 1 to n."""
-    return R.not_sequential(table(spark, root, "lineitem"), "l_orderkey", "l_linenumber")
+    return A.repeats(table(spark, root, "decisions").select("decision_id", "sgml_file").distinct(), "sgml_file", "decision_id")
 
 
 @query(f"""SELECT para_id, CAST(len(range(1, len(w) - 14 + 1, 8)) AS INT) AS n FROM (SELECT para_id, {WORDS} AS w FROM {P('sgml')}) WHERE len(w) >= 15""")
@@ -660,12 +654,6 @@ def a11_history(spark, root):
     return ST.counts(table(spark, root, "decisions").distinct())
 
 
-@query("""SELECT c AS cells, CAST(count(*) AS BIGINT) AS orders FROM (SELECT l_orderkey, CAST(count(*) AS BIGINT) AS c FROM lineitem GROUP BY ALL) GROUP BY ALL""")
-def a15_row_sizes(spark, root):
-    """How many orders have each number of lines."""
-    return table(spark, root, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("cells")).groupBy("cells").agg(F.count("*").alias("orders"))
-
-
 @query("""WITH a AS (SELECT o_orderdate AS k, count(*) AS n FROM orders GROUP BY ALL), b AS (SELECT l_shipdate AS k, count(*) AS n FROM lineitem GROUP BY ALL)
   SELECT k AS day, CAST(coalesce(a.n, 0) AS BIGINT) AS n_source, CAST(coalesce(b.n, 0) AS BIGINT) AS n_target FROM a FULL JOIN b USING (k) WHERE abs(coalesce(a.n, 0) - coalesce(b.n, 0)) > greatest(5, floor(coalesce(a.n, 0) * 0.01))""")
 def x_l1b_row_parity(spark, root):
@@ -736,7 +724,8 @@ def st1_counts(spark, root):
     return ST.run_once(ST.counts(log_stream(spark, root)))
 
 
-@query()
+@query("""SELECT sgml_file, upper(validator_decision) AS decision, at FROM (SELECT *, row_number() OVER (PARTITION BY sgml_file ORDER BY at DESC NULLS LAST, decision_id DESC NULLS LAST) AS k FROM (SELECT *,
+  coalesce(try_strptime(logged_at, '%Y-%m-%dT%H:%M:%S'), try_strptime(logged_at, '%Y-%m-%d %H:%M:%S'), try_strptime(logged_at, '%d/%m/%Y %H:%M'), TRY_CAST(logged_at AS TIMESTAMP)) AS at FROM decisions)) WHERE k = 1""")
 def st2_latest(spark, root):
     """Latest decision of each document."""
     return ST.run_once(ST.latest(log_stream(spark, root)))
@@ -833,7 +822,7 @@ def j26_templates(spark, root):
     return X.match_templates(n, t).select(F.col("issue_id").alias("decision_id"), "template")
 
 
-@query("""SELECT list_sort(list(DISTINCT label)) AS labels FROM sgml_content WHERE label IS NOT NULL""")
+@query("SELECT DISTINCT label FROM sgml_content WHERE label IS NOT NULL")
 def a06_known_labels(spark, root):
-    """All labels in use, in order."""
-    return table(spark, root, "sgml_content").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    """All labels in use."""
+    return A.known_values(table(spark, root, "sgml_content"), "label")
\ No newline at end of file

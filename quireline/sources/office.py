@@ -1,5 +1,8 @@
-"""Python data sources for zip archives, workbooks and text documents, from the
-standard library alone. Each file is one task; its rows leave in batches."""
+"""Zip archives, workbooks and text documents, from the standard library alone.
+
+``opened`` reads them from any file system that Spark reads, on the executors. The data
+sources of the same names read a folder that driver and executors share as a path; each
+file is one task there."""
 
 from __future__ import annotations
 
@@ -11,7 +14,9 @@ import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -54,15 +59,20 @@ class ZipReader(_Reader):
     ending = ".zip"
 
     def rows(self, path):
-        with zipfile.ZipFile(path) as z:
-            for info in z.infolist():
-                if not info.is_dir():
-                    yield path, info.filename, z.read(info), None
+        yield from zip_rows(path, path)
 
     def failed(self, path, error):
         return path, None, None, error
 
 
+def zip_rows(file, path: str) -> Iterator[tuple]:
+    """Members of an archive with their bytes."""
+    with zipfile.ZipFile(file) as z:
+        for info in z.infolist():
+            if not info.is_dir():
+                yield path, info.filename, z.read(info), None
+
+
 class ZipSource(DataSource):
     """``(path, member, content, error)`` of the files in zip archives."""
 
@@ -186,12 +196,44 @@ class XlsxSource(DataSource):
         return XlsxReader(self.options)
 
 
+#: What each format's files are read by, and one row in place of a file that can't be.
+_FORMATS = {"zip_members": (ZipSource, ZipReader, zip_rows), "docx_parts": (DocxSource, DocxReader, docx_rows), "xlsx_cells": (XlsxSource, XlsxReader, xlsx_rows)}
+
+
+def opened(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Rows of the files below ``path``, as the data source ``kind`` gives them, read
+    from any file system; a file that can't be read is one row with its error. A file's
+    bytes are in memory while it is read."""
+    source, reader, rows = _FORMATS[kind]
+    schema = source({}).schema()
+    names = [x.split()[0] for x in schema.split(", ")]
+    failed, ending = reader({}).failed, reader.ending
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{ending}").load(path).select("path", "content")
+
+    def read(batches):
+        for b in batches:
+            for name, content in zip(b["path"], b["content"]):
+                try:
+                    got = list(rows(io.BytesIO(content), name))
+                except (zipfile.BadZipFile, ET.ParseError, KeyError) as e:
+                    got = [failed(name, repr(e))]
+                yield pd.DataFrame(got, columns=names)
+
+    return files.mapInPandas(read, schema)
+
+
 def register(spark: SparkSession) -> None:
     """Make the formats ``zip_members``, ``docx_parts`` and ``xlsx_cells`` known."""
     for source in (ZipSource, DocxSource, XlsxSource):
         spark.dataSource.register(source)
 
 
-def member_texts(content: bytes) -> str:
-    """Text of an archive member, what isn't UTF-8 replaced."""
-    return io.BytesIO(content).read().decode("utf-8", "replace")
+def pair_in_archives(members: DataFrame, target: str = ".sgm", source: str = ".pdf") -> DataFrame:
+    """``(path, member, source_member)``: the members with the ending ``target`` and, if
+    their archive has one, the member of the same folder and stem with the ending
+    ``source``; endings in any case, of several sources the first."""
+    has = lambda end: F.endswith(F.lower("member"), F.lit(end))
+    stem = lambda end: F.substring("member", F.lit(1), F.length("member") - len(end))
+    t = members.where(has(target)).select("path", "member", stem(target).alias("__s"))
+    s = members.where(has(source)).groupBy("path", stem(source).alias("__s")).agg(F.min("member").alias("source_member"))
+    return t.join(s, ["path", "__s"], "left").drop("__s")

@@ -94,3 +94,57 @@ def test_settings():
     assert s == Settings("/c", None) and s.need_corpus() == "/c"
     with pytest.raises(ValueError):
         Settings.of({}).need_corpus()
+
+
+def test_neighbours_over_blocks(spark):
+    import random
+
+    r = random.Random(8)
+    rows = [(r.choice(["a", "b", None]), i, r.choice([None, *range(9)])) for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, i int, v int")
+    got = {x.i: x.next for x in A.adjacent(df, ["k"], ["i"], "v", F.expr("i div 7")).collect()}
+    want = {}
+    for key in ("a", "b", None):
+        own = [x for x in rows if x[0] == key]
+        want |= {x[1]: y[2] for x, y in zip(own, [*own[1:], (None, None, None)])}
+    assert got == want
+    n = {x.i: x.k2 for x in A.numbered(df, ["k"], ["i"], F.expr("i div 7"), "k2").collect()}
+    assert n == {x[1]: sum(y[0] == x[0] and y[1] <= x[1] for y in rows) for x in rows}
+    assert A.adjacent(df.limit(0), ["k"], ["i"], "v", F.expr("i div 7")).count() == 0
+    names = spark.createDataFrame([(1, "A"), (2, "a"), (3, None), (4, None), (100_001, "a")], "i int, n string")
+    assert {(x.i, x.k) for x in A.repeats(names, "n", "i").collect()} == {(2, 2), (100_001, 3)}
+
+
+def test_small_operators(spark, tmp_path):
+    import zipfile
+
+    from quireline.functions import entities as E
+    from quireline.operators import compare as J
+    from quireline.operators import markup as M
+    from quireline.plans import validate as V
+    from quireline.sources import office as O
+
+    d = spark.createDataFrame([(1, "<a>x&eacute;y &#160;&zz; b</a>\n<a>\nz"), (2, "<a><b></a>"), (3, None), (4, "<a>1</a><a>2</a>"), (5, "")], "doc_id int, raw string")
+    assert [r[0] for r in d.select(E.plain_text(F.col("raw"))).collect()] == ["xéy b z", "", None, "12".replace("12", "1 2"), ""]
+    assert [(r.doc_id, r.k, r.line) for r in M.pattern_lines(d, "<a>").orderBy("doc_id", "k").collect()] == [(1, 1, 1), (1, 2, 2), (2, 1, 1), (4, 1, 1)]
+    assert [(r.doc_id, r.line) for r in M.pattern_lines(d, "<a>", 2).collect()] == [(1, 2)]
+    assert {r.doc_id for r in M.unparsable(d, E.entity_map()).collect()} == {1, 2}
+    rows = spark.createDataFrame([(1, i, "annex" if i == 3 else "p") for i in range(6)] + [(2, i, "p") for i in range(12)], "doc_id int, idx int, text string")
+    got = [(r.doc_id, r.idx) for r in J.before_mark(rows, F.col("text") == "annex").orderBy("doc_id", "idx").collect()]
+    assert got == [(1, 0), (1, 1), (1, 2)] + [(2, i) for i in range(8)]
+    lv = spark.createDataFrame([(1, 30.0, None), (2, 35.0, 40.0), (3, None, None)], "doc_id int, a double, b double")
+    assert {r.doc_id: r.normalised for r in V.overall(lv, {"a": 35.0, "b": 40.0}).collect()} == {1: pytest.approx(30 / 35 * 100), 2: 100.0, 3: None}
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for n in ("x/one.sgm", "x/one.PDF", "y/one.pdf", "x/two.SGM"):
+            z.writestr(n, "t")
+    O.register(spark)
+    members = spark.read.format("zip_members").option("path", str(tmp_path)).load()
+    (tmp_path / "bad.zip").write_bytes(b"no archive")
+    opened = O.opened(spark, str(tmp_path), "zip_members").collect()
+    assert sorted(r.member for r in opened if r.error is None) == sorted(("x/one.sgm", "x/one.PDF", "y/one.pdf", "x/two.SGM")) and sum(r.error is not None for r in opened) == 1
+    books = K.workbooks(spark.createDataFrame([(1, "a"), (2, None)], "x int, y string").repartition(1)).collect()
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / books[0].name).write_bytes(bytes(books[0].content))
+    cells = O.opened(spark, str(tmp_path / "b"), "xlsx_cells").collect()
+    assert {(c.row, c.col, c.v_str, c.v_num) for c in cells} == {(1, 1, "x", None), (1, 2, "y", None), (2, 1, None, 1.0), (2, 2, "a", None), (3, 1, None, 2.0)}
+    assert {(r.member, r.source_member) for r in O.pair_in_archives(members.where("error IS NULL")).collect()} == {("x/one.sgm", "x/one.PDF"), ("x/two.SGM", None)}
