@@ -724,8 +724,8 @@ def st1_counts(spark, root):
     return ST.run_once(ST.counts(log_stream(spark, root)))
 
 
-@query("""SELECT sgml_file, upper(validator_decision) AS decision, at FROM (SELECT *, row_number() OVER (PARTITION BY sgml_file ORDER BY at DESC NULLS LAST, decision_id DESC NULLS LAST) AS k FROM (SELECT *,
-  coalesce(try_strptime(logged_at, '%Y-%m-%dT%H:%M:%S'), try_strptime(logged_at, '%Y-%m-%d %H:%M:%S'), try_strptime(logged_at, '%d/%m/%Y %H:%M'), TRY_CAST(logged_at AS TIMESTAMP)) AS at FROM decisions)) WHERE k = 1""")
+@query("""SELECT sgml_file, upper(validator_decision) AS decision, "at" FROM (SELECT *, row_number() OVER (PARTITION BY sgml_file ORDER BY "at" DESC NULLS LAST, decision_id DESC NULLS LAST) AS k FROM (SELECT *,
+  coalesce(try_strptime(logged_at, '%Y-%m-%dT%H:%M:%S'), try_strptime(logged_at, '%Y-%m-%d %H:%M:%S'), try_strptime(logged_at, '%d/%m/%Y %H:%M'), TRY_CAST(logged_at AS TIMESTAMP)) AS "at" FROM decisions)) WHERE k = 1""")
 def st2_latest(spark, root):
     """Latest decision of each document."""
     return ST.run_once(ST.latest(log_stream(spark, root)))
