@@ -314,12 +314,13 @@ def word_gaps(pairs: DataFrame, source: str = "source_text", target: str = "targ
 def cascade(items: DataFrame, stages: list[tuple[str, DataFrame, str]], doc: str = "doc_id", key: str = "text") -> DataFrame:
     """Items with the first stage that finds them, or null: ``stages`` are ``(name,
     texts, how)`` with how ``equal`` (same text), ``either`` (one holds the other) or
-    ``within`` (the item stands in the text); each stage sees what is left."""
-    left = items.withColumn("__k", F.lower(F.col(key)))
-    out = None
-    for name, texts, how in stages:
-        t = texts.select(doc, F.lower(F.col("text")).alias("y"))
-        k = left.select(doc, F.col("__k").alias("x"))
+    ``within`` (the item stands in the text). The stages are looked up side by side and
+    the first hit of each text is kept, so no stage repeats those before it."""
+    rows = items.withColumn("__k", F.lower(F.col(key)))
+    k = rows.select(doc, F.col("__k").alias("x")).distinct()
+    hits = None
+    for no, (_, texts, how) in enumerate(stages):
+        t = texts.select(doc, F.lower("text").alias("y"))
         if how == "equal":
             hit = t.select(doc, F.col("y").alias("__k"))
         else:
@@ -327,12 +328,13 @@ def cascade(items: DataFrame, stages: list[tuple[str, DataFrame, str]], doc: str
             if how == "either":
                 around = holding(k.withColumnRenamed("x", "y"), t.withColumnRenamed("y", "x"), doc)
                 hit = hit.unionByName(around.select(doc, F.col("y").alias("__k")))
-        hit = hit.distinct()
-        part = left.join(hit, [doc, "__k"], "left_semi").select(left.columns).withColumn("found_by", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-        left = left.join(hit, [doc, "__k"], "left_anti").select(left.columns)
-    rest = left.withColumn("found_by", F.lit(None).cast("string"))
-    return (rest if out is None else out.unionByName(rest)).drop("__k")
+        hit = hit.withColumn("__no", F.lit(no))
+        hits = hit if hits is None else hits.unionByName(hit)
+    if hits is None:
+        return items.withColumn("found_by", F.lit(None).cast("string"))
+    first = hits.groupBy(doc, "__k").agg(F.min("__no").alias("__no"))
+    names = F.array(*[F.lit(name) for name, _, _ in stages])
+    return rows.join(first, [doc, "__k"], "left").select(*items.columns, F.get(names, F.col("__no")).alias("found_by"))
 
 
 def locate(items: DataFrame, lines: DataFrame, least_words: int = 2, doc: str = "doc_id", key: str = "heading_id", order: str = "idx") -> DataFrame:

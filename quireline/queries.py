@@ -454,6 +454,17 @@ def j14_close_years(spark, root):
     return J.close_values(year_delta(spark, root), 20.0)
 
 
+DECIMAL = r"\b([0-9]+\.[0-9]+)\b"
+
+
+@query(f"""WITH {DELTA.replace(YEAR, DECIMAL)} SELECT a.doc_id, CAST(a.token AS DOUBLE) AS source_value, min(CAST(b.token AS DOUBLE)) AS target_value FROM d a JOIN d b ON a.doc_id = b.doc_id AND a.n_source > a.n_target AND b.n_target > b.n_source
+  AND abs(CAST(a.token AS DOUBLE) - CAST(b.token AS DOUBLE)) <= 1.0 GROUP BY ALL""")
+def j14_close_decimals(spark, root):
+    """Decimal numbers that may stand for a near one of the other side."""
+    number = F.regexp_extract_all("text", F.lit(DECIMAL), F.lit(1))
+    return J.close_values(J.multiset_delta(paras(spark, root, "pdf_l4"), paras(spark, root, "sgml"), number), 1.0)
+
+
 @query(f"""SELECT doc_id, idx, a.text AS a_value, b.text AS b_value FROM {H('sgml')} a JOIN {H('pdf_l4')} b USING (doc_id, idx) WHERE a.text IS DISTINCT FROM b.text""")
 def j17_positions(spark, root):
     """Headings that differ place by place."""
@@ -484,7 +495,7 @@ def d8_word_gaps(spark, root):
 
 def paired(spark, root):
     """Printed paragraphs with the marked-up one that fits best."""
-    p = J.pair_texts(paras(spark, root, "pdf_l4"), paras(spark, root, "sgml"), T.content_words(F.col("text"))).where("score >= 0.5").select("para_id", "other")
+    p = J.pair_texts(paras(spark, root, "pdf_l4"), paras(spark, root, "sgml"), T.content_words(F.col("text"))).select("para_id", "other")
     s = paras(spark, root, "pdf_l4").select("para_id", F.col("text").alias("source_text"))
     t = paras(spark, root, "sgml").select(F.col("para_id").alias("other"), F.col("text").alias("target_text"))
     return p.join(s, "para_id").join(t, "other")
