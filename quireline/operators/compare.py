@@ -158,7 +158,8 @@ def holding(texts: DataFrame, parts: DataFrame, doc: str = "doc_id", carry: tupl
     They meet over keys, not all with all: a part of three and more words over its
     longest inner word, which a holder has between the same blanks; a shorter one
     over its first four letters (first letter, if it has fewer). An empty part is
-    held by the first text of its document.
+    held by the first text of its document. They are merged: Spark takes a text's keys
+    for no larger than the text and would send them all to the driver.
     """
     p = parts.where(F.col("x").isNotNull()).select(doc, "x").distinct()
     t = texts.where(F.col("y").isNotNull()).select(doc, "y", *carry).distinct()
@@ -166,14 +167,17 @@ def holding(texts: DataFrame, parts: DataFrame, doc: str = "doc_id", carry: tupl
     inner = F.filter(F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0))), lambda q: q != "")
     longest = F.array_max(F.transform(inner, lambda q: F.struct(F.length(q).alias("n"), q.alias("q"))))["q"]
     p = p.withColumn("__k", longest)
-    by_word = p.where("__k IS NOT NULL").join(t.withColumn("__k", F.explode(F.array_distinct(F.split("y", " ")))), [doc, "__k"])
+    by_word = p.where("__k IS NOT NULL").hint("merge").join(t.withColumn("__k", F.explode(F.array_distinct(F.split("y", " ")))), [doc, "__k"])
     short = p.where("__k IS NULL AND x != ''").withColumn("__k", F.when(F.length("x") >= 4, F.substring("x", 1, 4)).otherwise(F.substring("x", 1, 1)))
     grams = F.when(F.length("y") >= 4, F.transform(F.sequence(F.lit(1), F.length("y") - 3), lambda i: F.substring(F.col("y"), i, F.lit(4)))).otherwise(F.array().cast("array<string>"))
-    some = t.join(short.select(doc).distinct(), doc, "left_semi")
-    by_gram = short.join(some.withColumn("__k", F.explode(F.array_distinct(F.concat(grams, F.split("y", ""))))), [doc, "__k"])
+    # 64 bits of a document's keys leave out most of the others before they are rows.
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.xxhash64(k).bitwiseAND(63).cast("int"))
+    some = t.join(short.groupBy(doc).agg(F.bit_or(bit(F.col("__k"))).alias("__m")).hint("merge"), doc)
+    keys = F.filter(F.array_distinct(F.concat(grams, F.split("y", ""))), lambda k: bit(k).bitwiseAND(F.col("__m")) != 0)
+    by_gram = short.hint("merge").join(some.withColumn("__k", F.explode(keys)).drop("__m"), [doc, "__k"])
     met = by_word.unionByName(by_gram).where(F.contains("y", "x")).drop("__k")
     first = t.groupBy(doc).agg(F.min(F.struct(*[c for c in (*carry, "y")])).alias("f")).select(doc, "f.*")
-    return met.unionByName(p.where("x = ''").drop("__k").join(first, doc))
+    return met.unionByName(p.where("x = ''").drop("__k").join(first.hint("merge"), doc))
 
 
 def not_contained(items: DataFrame, blobs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:

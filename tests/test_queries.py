@@ -13,3 +13,19 @@ def test_headings_in_any_charset(spark, tmp_path):
     assert got == {1: "Größe", 2: "Сроки", 3: "期限", 4: "Délai"}
     assert {r.doc_id for r in Q.QUERIES["t07_headings"](spark, str(tmp_path)).collect()} == {1}
     assert decoded(b"\xe9", "charset=nonsense") == "é" and decoded(b"", None) == ""
+
+
+def heading_tables(spark, folder):
+    rows = [(1, 1, "sgml", 0, "Part Two of it"), (2, 1, "sgml", 1, "Nowhere"), (3, 2, "sgml", 0, "FEES"), (4, 2, "sgml", 1, ""), (5, 1, "pdf_l4", 0, "the part two of it all"), (6, 2, "pdf_l4", 0, "All Fees paid")]
+    spark.createDataFrame(rows, "heading_id bigint, doc_id bigint, side string, idx int, text string").write.parquet(f"{folder}/headings.parquet")
+    return str(folder)
+
+
+def planned(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_absent_headings_stay_off_the_driver(spark, tmp_path):
+    df = Q.QUERIES["j12_absent_headings"](spark, heading_tables(spark, tmp_path))
+    assert "SortMergeJoin" in planned(df) and "Broadcast" not in planned(df)
+    assert [tuple(r) for r in df.collect()] == [(2, 1)]
