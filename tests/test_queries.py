@@ -29,3 +29,11 @@ def test_absent_headings_stay_off_the_driver(spark, tmp_path):
     df = Q.QUERIES["j12_absent_headings"](spark, heading_tables(spark, tmp_path))
     assert "SortMergeJoin" in planned(df) and "Broadcast" not in planned(df)
     assert [tuple(r) for r in df.collect()] == [(2, 1)]
+
+
+def test_lower_cased_stay_off_the_driver(spark, tmp_path):
+    from quireline import filings  # noqa: F401  (registers its queries)
+
+    df = Q.QUERIES["j19_lower_cased"](spark, heading_tables(spark, tmp_path))
+    assert "SortMergeJoin" in planned(df) and "Broadcast" not in planned(df)
+    assert sorted(tuple(r) for r in df.collect()) == [(1, "PART TWO OF IT"), (2, "FEES")]
