@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from quireline.llm.common import cut, need
 from quireline.llm.unify import look_key, transducer
@@ -601,6 +601,8 @@ BLOCK_OUT = StructType([
     StructField("states", ArrayType(IntegerType())),
 ])
 
+#: Place of a block's last token if its word goes on in the next block.
+PAST = 1 << 20
 #: Code points of the body on both sides of furniture that find it in a merged paragraph.
 CONTEXT = 12
 
@@ -758,6 +760,7 @@ class Repair:
     findings: DataFrame
     merged: DataFrame
     blocks: DataFrame
+    lines: DataFrame
 
 
 def repair(paragraphs: DataFrame, filings: int = SAMPLE_FILINGS, common_words: int = COMMON_WORDS) -> Repair:
@@ -801,7 +804,7 @@ def repair(paragraphs: DataFrame, filings: int = SAMPLE_FILINGS, common_words: i
     @F.pandas_udf(ArrayType(ITEM))
     def edges(pid: pd.Series, raw: pd.Series, nxt: pd.Series, first: pd.Series, word: pd.Series, joined: pd.Series) -> pd.Series:
         def one(p, r, x, f, w, j):
-            over = break_item(int(p), 1 << 20, r, x) if r is not None and x is not None else None
+            over = break_item(int(p), PAST, r, x) if r is not None and x is not None else None
             forms = [] if j or w is None else word_forms(w, shared.value)
             return ([over] if over else []) + ([(int(f), 0, "word", w, None, forms)] if forms else [])
 
@@ -835,7 +838,33 @@ def repair(paragraphs: DataFrame, filings: int = SAMPLE_FILINGS, common_words: i
     none = [F.lit("").alias("repaired"), F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("raw"), F.lit(None).cast("string").alias("right")]
     pieces = read.select(F.explode("r.furniture").alias("para_id"), "doc_id").unionByName(m.where("furniture = 1").select("para_id", "doc_id"))
     found = found.unionByName(pieces.select("para_id", "doc_id", F.lit("furniture").alias("noise"), *none))
-    return Repair(cut(found), m, read)
+    return Repair(cut(found), m, read, blocks)
+
+
+def one_word(a: str, b: str, word: str) -> str:
+    """``word`` in the place of the two tokens that a line end made of it."""
+    *before, last = pieces(a)
+    first, *after = pieces(b)
+    return "".join([*before, in_place(last[:-1] + first, word), *after])
+
+
+def mended(tokens: list[str], fixes) -> list[str]:
+    """The tokens of a run with its fixes, whose places count them; what is joined to
+    the token before is left empty."""
+    out, at = list(tokens), {}
+    for f in fixes:
+        at.setdefault(f["pos"], []).append(f)
+    for i, list_ in sorted(at.items(), reverse=True):
+        if i >= len(out):
+            continue
+        split = [f for f in list_ if f["noise"] == "hyphen"]
+        if split and i + 1 < len(out):
+            out[i], out[i + 1] = one_word(out[i], out[i + 1], split[0]["repaired"]), ""
+            continue
+        for f in list_:
+            if f["noise"] == "misread":
+                out[i] = "".join(in_place(x, f["repaired"]) if x == f["raw"] else x for x in pieces(out[i]))
+    return out
 
 
 @F.pandas_udf(StringType())
@@ -843,28 +872,14 @@ def _apply_udf(text: pd.Series, fixes: pd.Series) -> pd.Series:
     def one(t, fs):
         if fs is None:
             return t
-        tokens = t.split(" ")
-        at = {}
-        for f in fs:
-            at.setdefault(f["pos"], []).append(f)
-        # Positions count the tokens between blanks, as they were read.
-        words = [i for i, w in enumerate(tokens) if w.strip()]
-        for pos, list_ in sorted(at.items(), reverse=True):
-            if pos >= len(words):
-                continue
-            i = words[pos]
-            split = [f for f in list_ if f["noise"] == "hyphen"]
-            if split and pos + 1 < len(words):
-                j = words[pos + 1]
-                before, last = pieces(tokens[i])[:-1], pieces(tokens[i])[-1]
-                first, *after = pieces(tokens[j])
-                tokens[i] = "".join([*before, in_place(last[:-1] + first, split[0]["repaired"]), *after])
-                tokens[j] = ""
-                continue
-            for f in list_:
-                if f["noise"] == "misread":
-                    tokens[i] = "".join(in_place(x, f["repaired"]) if x == f["raw"] else x for x in pieces(tokens[i]))
-        return " ".join(w for w in tokens if w)
+        # Tokens lie between blanks of any kind, as they were read.
+        parts = re.split(r"(\s+)", t)
+        words = [i for i in range(0, len(parts), 2) if parts[i]]
+        for i, w in zip(words, mended([parts[i] for i in words], fs)):
+            parts[i] = w
+            if not w:
+                parts[i - 1] = ""
+        return "".join(parts)
 
     return pd.Series([None if t is None else one(t, fs) for t, fs in zip(text, fixes)])
 
@@ -886,3 +901,68 @@ def repaired_paragraphs(done: Repair) -> DataFrame:
     fixes = done.findings.where("noise != 'furniture'").groupBy("para_id").agg(F.collect_set(F.struct("pos", "noise", "repaired", "raw")).alias("fixes"))
     rows = done.merged.where("furniture = 0 OR text != ''").select("para_id", "doc_id", "idx", "text").join(fixes, "para_id", "left")
     return rows.select("para_id", "doc_id", "idx", _apply_udf("text", "fixes").alias("text"))
+
+
+FRAGMENT = StructType([
+    StructField("para_id", LongType()), StructField("idx", IntegerType()), StructField("text", StringType()),
+    StructField("ended", BooleanType()), StructField("joined", BooleanType()), StructField("aside", BooleanType()),
+])
+
+
+def fragments(lines, states, fixes) -> list[tuple]:
+    """Repaired paragraphs of a block's lines, those aside after the others. The first may
+    go on from the block before, the last is open if it doesn't end here; ``joined`` if
+    its last word holds the first token of the next block. A broken word ends nothing."""
+    over = next((f for f in fixes if f["pos"] == PAST and f["noise"] == "hyphen"), None)
+    hyphens = {f["pos"] for f in fixes if f["noise"] == "hyphen"}
+    tokens, owner, out, aside = [], [], [], []
+    for x, s in zip(lines, states):
+        words = x["text"].split()
+        if s in (HEAD, FOOT) or not words:
+            continue
+        if s == ASIDE:
+            aside.append((x["para_id"], x["idx"], x["text"], True, False, True))
+            continue
+        if not out or out[-1][2]:
+            out.append([x["para_id"], x["idx"], False])
+        tokens += words
+        owner += [len(out) - 1] * len(words)
+        out[-1][2] = s == BREAK and len(tokens) - 1 not in hyphens
+    words = mended(tokens, [f for f in fixes if f["pos"] < PAST])
+    if over and out:
+        words[-1] = one_word(words[-1], over["right"], over["repaired"])
+        out[-1][2] = False
+    texts = [[] for _ in out]
+    for k, w in zip(owner, words):
+        if w:
+            texts[k].append(w)
+    return [(p, i, " ".join(t), e, bool(over) and k == len(out) - 1, False) for k, ((p, i, e), t) in enumerate(zip(out, texts))] + aside
+
+
+@F.pandas_udf(ArrayType(FRAGMENT))
+def _fragments_udf(lines: pd.Series, states: pd.Series, fixes: pd.Series) -> pd.Series:
+    return pd.Series([fragments(x, s, f if f is not None else ()) for x, s, f in zip(lines, states, fixes)])
+
+
+def line_paragraphs(done: Repair) -> DataFrame:
+    """``(para_id, doc_id, idx, text)``: the paragraphs that the printed lines make
+    without furniture, over line and page breaks, whole and rightly spelled; ``para_id``
+    and ``idx`` are those of the first line. Only numbers of paragraphs are summed up
+    over a filing's blocks; texts meet by paragraph."""
+    key = ["doc_id", "page", "block"]
+    lines = done.lines.select(*key, "lines")
+    fixes = done.findings.where("noise != 'furniture'").select("para_id", F.struct("pos", "noise", "repaired", "raw", "right").alias("fix"))
+    fixes = lines.select(*key, F.explode("lines.para_id").alias("para_id")).join(fixes.hint("merge"), "para_id").groupBy(key).agg(F.collect_set("fix").alias("fixes"))
+    rows = lines.join(done.blocks.select(*key, "r.states").hint("merge"), key).join(fixes.hint("merge"), key, "left")
+    got = cut(rows.select(*key, _fragments_udf("lines", "states", "fixes").alias("f")))
+    before = Window.partitionBy("doc_id").orderBy("page", "block").rowsBetween(Window.unboundedPreceding, -1)
+    ended = got.select(*key, F.size(F.filter("f", lambda x: x["ended"] & ~x["aside"])).alias("n"))
+    ended = ended.select(*key, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"))
+    each = got.select(*key, F.posexplode("f").alias("k", "x")).select(*key, "k", "x.*")
+    whole = each.where("NOT aside").join(ended.hint("merge"), key).withColumn("no", F.col("n") + F.col("k"))
+    whole = whole.groupBy("doc_id", "no").agg(F.array_sort(F.collect_list(F.struct("page", "block", "para_id", "idx", "text", "joined"))).alias("l"))
+    # The first token belongs to the last word before it.
+    text = F.transform("l", lambda x, i: F.when(F.get("l", i - 1)["joined"], F.regexp_replace(x["text"], "^[^ ]+ ?", "")).otherwise(x["text"]))
+    first = F.col("l")[0]
+    whole = whole.select(first["para_id"].alias("para_id"), "doc_id", first["idx"].alias("idx"), F.array_join(F.filter(text, lambda t: t != ""), " ").alias("text"))
+    return whole.where("text != ''").unionByName(each.where("aside").select("para_id", "doc_id", "idx", "text"))

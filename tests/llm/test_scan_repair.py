@@ -151,3 +151,29 @@ def test_runs_pass_pages_without_body(spark):
     )
     runs = {(r.tail, r.b): (r.pages, r.f) for r in R.furniture_runs(read).collect()}
     assert runs == {(None, "x"): ([1, 2], ["cover", "h2"]), ("x", "y"): ([2, 3, 4], ["f2", "h3", "f3", "h4"]), ("y", None): ([4], ["f4"])}
+
+
+def test_fixes_between_any_blanks(spark):
+    fixes = "array<struct<pos: int, noise: string, repaired: string, raw: string>>"
+    rows = [(" The annua1\treport  was gran-\nted thc day", [(1, "misread", "annual", "annua1"), (4, "hyphen", "granted", "gran-"), (6, "misread", "the", "thc")])]
+    assert spark.createDataFrame(rows, f"text string, fixes {fixes}").select(R._apply_udf("text", "fixes")).first()[0] == " The annual\treport  was granted the day"
+
+
+def test_repairs_of_lines_reach_their_paragraphs(spark):
+    rows = []
+    for d in range(1, 13):
+        rows += filing(d, damage=d % 3 == 0)[0]
+    got = {}
+    for r in R.line_paragraphs(R.repair(spark.createDataFrame(rows, COLS), filings=100)).orderBy("idx").collect():
+        got.setdefault(r.doc_id, []).append(r.text)
+    assert {d: " ".join(t) for d, t in got.items()} == {d: " ".join([*BODY, *BODY]) for d in range(1, 13)}
+    assert all(t[0].startswith("The trustee") for t in got.values())
+
+
+def test_fragments_of_blocks():
+    line = lambda i, t: {"para_id": i, "idx": i, "text": t}
+    fix = lambda pos, noise, repaired, raw, right=None: {"pos": pos, "noise": noise, "repaired": repaired, "raw": raw, "right": right}
+    lines = [line(1, "Head"), line(2, "of thc"), line(3, "part gran-"), line(4, "ted."), line(5, "(note)"), line(6, "Next prom-")]
+    states = [R.HEAD, R.BODY, R.BREAK, R.BREAK, R.ASIDE, R.BODY]
+    fixes = [fix(1, "misread", "the", "thc"), fix(3, "hyphen", "granted", "gran-", "ted."), fix(R.PAST, "hyphen", "promises", "prom-", "ises,")]
+    assert R.fragments(lines, states, fixes) == [(2, 2, "of the part granted.", True, False, False), (6, 6, "Next promises,", False, True, False), (5, 5, "(note)", True, False, True)]
